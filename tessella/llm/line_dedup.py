@@ -170,6 +170,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = slim.mapInArrow(mark_suspects(held, shards, least_chars, "id", "text"), f"id {docs.schema[id_col].dataType.simpleString()}, text string, {suspects} array<string>").select("id", F.explode(suspects).alias("key"))
     keys = materialize(keys, "line-suspects")
     repeats = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("owner")).where(F.col("n") >= least_docs)
+    # Written: else the join would take over the aggregation's partitions, where a line of a third of all rows is one task.
+    repeats = materialize(repeats, "line-repeats")
     lost = keys.join(repeats, "key").where(~F.col("id").eqNullSafe(F.col("owner")) & F.col("owner").isNotNull())
     per_doc = materialize(lost.groupBy(F.col("id").alias(f"{OWN}id")).agg(F.collect_set("key").alias(drops)), "line-drops")
 

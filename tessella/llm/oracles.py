@@ -31,7 +31,7 @@ select doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(li
     and word_chars between 2 * n_words and 15 * n_words
     and len(regexp_extract_all(text, '!!+|\?\?+')) <= 0.1 * n_words
     and len(list_filter(words, lambda v: regexp_matches(v, '\p{{L}}'))) >= 0.7 * n_words
-    and len(lines) - len(list_distinct(lines)) <= 0.3 * len(lines) as kept
+    and len(lines) - len(list_distinct(lines)) <= 0.5 * len(lines) as kept
 from x left join hit using (doc_id)
 """
 

@@ -122,7 +122,7 @@ RULES = (
     Rule("word_length", mean_length(2, 15), 4),
     Rule("shouting", ratio_at_most(r"!!+|\?\?+", 0.1), 3),
     Rule("letters", lambda text: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")) >= 0.7 * F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)), 5),
-    Rule("lines", lines_at_most(0.3), 4),
+    Rule("lines", lines_at_most(0.5), 4),
 )
 
 
