@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 CHUNK, OVERLAP = 512, 16
-VECTOR, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 16, 16
+VECTOR, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 #: Code of the filling behind a text's end; bytes keep their own value, 0 included.
 FILL = 256
 
@@ -76,7 +76,7 @@ class Network:
         return np.concatenate([np.add.reduceat(pooled, starts) / n, np.maximum.reduceat(pooled, starts)], axis=1)
 
 
-def fit(samples: list[tuple[bytes, int]], epochs: int = 8, rate: float = 3e-3, seed: int = 7, most_chunks: int = 8) -> Network:
+def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3, seed: int = 7, most_chunks: int = 8) -> Network:
     """Adam on the cross-entropy. Of a long training text, most_chunks chunks spread over it are shown."""
     net = Network.new(seed)
     r = np.random.default_rng(seed)
@@ -176,7 +176,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int, text_byt
     return [(bytes(x["text"]), x["quality"]) for x in sorted(rows, key=lambda x: (x["doc_id"], x["quality"]))][: 4 * per_label]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1000, text_bytes: int = 16_384, keep_from: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, text_bytes: int = 16_384, keep_from: float = 0.3) -> DataFrame:
     """Per row: doc_id, held_out, score and predicted.
 
     Learning reads at most per_label rows of each label whose id isn't held out, and of those the first text_bytes
