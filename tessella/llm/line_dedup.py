@@ -76,7 +76,11 @@ def sent_hashes(shards: int, least: int) -> Callable:
     return run
 
 
-def twice_filters(shards: int, most_bytes: int) -> Callable:
+def whole_hashes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def twice_filters(shards: int, most_bytes: int, unpack: Callable[[bytes], np.ndarray] = whole_hashes) -> Callable:
     """A shard's filter of hashes seen again. A task may hold more than one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +89,9 @@ def twice_filters(shards: int, most_bytes: int) -> Callable:
             for shard, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(shard, []).append((once, twice))
         for shard, parts in held.items():
-            total = sum(len(a) + len(b) for a, b in parts) // 8
-            seen, again = Bloom(12 * total), []
-            for once, twice in parts:
-                ones, twos = np.frombuffer(once, np.uint64), np.frombuffer(twice, np.uint64)
+            pairs = [(unpack(a), unpack(b)) for a, b in parts]
+            seen, again = Bloom(12 * sum(len(a) + len(b) for a, b in pairs)), []
+            for ones, twos in pairs:
                 again += [twos, ones[seen.hits(ones)]]
                 seen.add(ones)
                 again.append(twos[seen.hits(twos)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, line_dedup, mixing, near_dup, packing, quality_cnn, quality_rules
+from . import chat_format, exact_dedup, html_extract, line_dedup, mixing, near_dup, packing, quality_cnn, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,4 +67,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_quality_cnn, op4_exact_dedup, op5_quality_rules, op6_chat_format, op7_packing, op8_mixing, op9_jaccard_join, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_quality_cnn, op4_exact_dedup, op5_quality_rules, op6_chat_format, op7_packing, op8_mixing, op9_jaccard_join, op10_line_dedup)}
