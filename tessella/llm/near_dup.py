@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import OWN, materialize, texts
 from .graph import components
 from .kernels import U, mix, shingle_sets
 
@@ -195,3 +195,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     alone = slim.where(F.col("doc_id").isNull() | ~has_word).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return found.unionByName(alone)
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
+    """The input without near copies: of each class the row with the smallest id stays, with all its columns.
+
+    Rows that repeat an id stand or fall together, and of rows that repeat id and text one stays. Rows without a word
+    or an id are no near copies and stay.
+    """
+    classes = materialize(jaccard_classes(docs, id_col, text_col, n, threshold, target_recall), "near-rows")
+    losers = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    stay = docs.join(losers, id_col, "left_anti").select(*docs.columns)
+    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stay
+    mark = f"{OWN}text"
+    return stay.withColumn(mark, F.xxhash64(text_col)).dropDuplicates([id_col, mark]).drop(mark)
