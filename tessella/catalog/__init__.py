@@ -1,6 +1,6 @@
 """The registered queries, by kind of operator, with their SQL twins."""
 
-from . import relational, scalars
+from . import answers, relational, retrieval, scalars, state
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "answers", "relational", "retrieval", "scalars", "state"]
