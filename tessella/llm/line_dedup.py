@@ -16,34 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, Filters
 from .common import BLANKS, OWN, materialize, partitions, texts
 
-PROBES = 5
-
-
-class Bloom:
-    """A Bloom filter over 64-bit hashes, in numpy."""
-
-    def __init__(self, bits: int, data: np.ndarray | None = None) -> None:
-        self.size = max(64, bits + 7 & ~7)
-        self.data = np.zeros(self.size >> 3, np.uint8) if data is None else data
-
-    def probes(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
-        first, step = hashes >> np.uint64(33), (hashes & np.uint64(0x7FFFFFFF)) | np.uint64(1)
-        for i in range(PROBES):
-            yield ((first + np.uint64(i) * step) % np.uint64(self.size)).astype(np.int64)
-
-    def add(self, hashes: np.ndarray) -> None:
-        for at in self.probes(hashes):
-            np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for at in self.probes(hashes):
-            found &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return found
-
-
 def key_of(line: str) -> str | None:
     """What makes lines equal: stripped of ASCII white space, A-Z in lower case."""
     return line.strip(BLANKS).encode().lower().decode()
@@ -109,7 +84,7 @@ def mark_suspects(filters, shards: int, least: int, id_col: str, text_col: str)
     """Adds each document's suspect keys, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blooms = {s: Bloom(8 * len(b), np.frombuffer(b, np.uint8)) for s, b in filters.value.items()}
+        known = Filters(filters.value, shards)
         for batch in batches:
             where, keys = [], []
             for i, text in enumerate(texts(batch.column(text_col))):
@@ -119,12 +94,8 @@ def mark_suspects(filters, shards: int, least: int, id_col: str, text_col: str)
             out: list[list[str]] = [[] for _ in range(batch.num_rows)]
             if keys:
                 hashes = np.array([line_hash(k) for k in keys], np.uint64)
-                shard = hashes % np.uint64(shards)
-                for s in np.unique(shard).tolist():
-                    at = np.flatnonzero(shard == s)
-                    if s in blooms:
-                        for j in at[blooms[s].hits(hashes[at])].tolist():
-                            out[where[j]].append(keys[j])
+                for j in np.flatnonzero(known.hits((hashes % np.uint64(shards)).astype(np.int64), hashes)).tolist():
+                    out[where[j]].append(keys[j])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, f"{OWN}suspects"])
 
     return run

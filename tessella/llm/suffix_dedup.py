@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Filters
 from .common import partitions, texts
-from .kernels import BYTE, GROUP, U, mix, powers
-from .line_dedup import Bloom, twice_filters
+from .kernels import BYTE, U, mix, powers
+from .line_dedup import twice_filters
 
 LENGTH = 50
 GRAM = 24
@@ -38,7 +39,9 @@ AROUND = SPAN - 1 + LENGTH
 #: A difference cover modulo 13: each residue is the difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: What a task holds before it sends, in bytes of text; what a shard sorts at a time, in surroundings.
-HOLD, BUCKET = 48 << 20, 200_000
+HOLD, BUCKET = 16 << 20, 100_000
+#: Texts are hashed in groups of about so many bytes.
+GROUP = 1 << 19
 LAST = np.iinfo(np.int64).max
 CODEC = "zstd"
 
@@ -209,7 +212,7 @@ def surroundings(filters, shards: int) -> Callable:
     """Rows of kind 0 for shards, of kind 1 (marks) for groups of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blooms = {s: Bloom(8 * len(b), np.frombuffer(b, np.uint8)) for s, b in filters.value.items()}
+        known = Filters(filters.value, shards)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -235,11 +238,7 @@ def surroundings(filters, shards: int) -> Callable:
                 size += len(data)
                 if len(hashes):
                     shard, value = split_hash(hashes, shards)
-                    value = mix(value)
-                    hit = np.zeros(len(hashes), bool)
-                    for s, bloom in blooms.items():
-                        own = np.flatnonzero(shard == s)
-                        hit[own] = bloom.hits(value[own])
+                    hit = known.hits(shard, mix(value))
                     text, first, stop, place, hashes = (x[hit] for x in (text, first, stop, place, hashes))
                     at = (place - SPAN + 1)[:, None] + np.arange(AROUND)
                     inside = (at >= first[:, None]) & (at < stop[:, None] + LENGTH)
@@ -344,7 +343,7 @@ def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if not held:
         return
     n = sum(x for x, _ in held)
-    rounds = -(-n // (8 * BUCKET))  # what is unpacked at a time
+    rounds = -(-n // (4 * BUCKET))  # what is unpacked at a time
     for r in range(rounds):
         parts = []
         for size, data in held:
