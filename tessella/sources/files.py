@@ -22,7 +22,7 @@ PLACEHOLDER_CHARS = 200
 def mime_type(content: Column) -> Column:
     """The kind of a file by its first bytes."""
     starts = lambda *codes: F.substring(content, 1, len(codes)) == F.lit(bytes(codes))
-    head = F.lower(F.trim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
+    head = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 512), "ISO-8859-1"), r"^\s+", ""))
     return (
         F.when(starts(*b"%PDF-"), "application/pdf")
         .when(starts(*b"PK\x03\x04"), F.when(F.decode(content, "ISO-8859-1").contains("word/document.xml"), "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("application/zip"))

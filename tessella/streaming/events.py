@@ -62,7 +62,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'append' else 0}")
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def once_per_batch(path: str) -> Callable[[DataFrame, int], None]:
