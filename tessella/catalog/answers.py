@@ -11,10 +11,10 @@ from ..operators.verification import verify_claims
 from .base import derived, query, table, twin
 
 #: Claims: assistant turns. Sources: the user turns of the same conversation, labelled S1 and on.
-SOURCES = "select conv_id as answer_id, 'S' || cast(row_number() over (partition by conv_id order by turn) as string) as label, text as excerpt, 'Case ' || cast(conv_id as string) || ' [2020] GHASC ' || cast(turn as string) as citation from {conversations} where role = 'user'"
+SOURCES = "select conv_id as answer_id, 'S' || cast(row_number() over (partition by conv_id order by turn) as string) as label, text as excerpt, 'Case ' || cast(conv_id as string) || ' [2020] XYSC ' || cast(turn as string) as citation from {conversations} where role = 'user'"
 CLAIMS = """
 select c.conv_id as answer_id, c.turn as claim_id,
-  case c.turn % 4 when 1 then 'It was so held.' when 3 then 'See [2020] GHASC ' || cast(c.turn - 1 as string) || ' again' else 'See [1999] UKHL 4 at length' end as text,
+  case c.turn % 4 when 1 then 'It was so held.' when 3 then 'See [2020] XYSC ' || cast(c.turn - 1 as string) || ' again' else 'See [1999] UKHL 4 at length' end as text,
   case when c.conv_id % 6 = 0 then 'S9' else ' [s1] ' end as label,
   case when c.conv_id % 5 = 0 then 'two words' when c.conv_id % 5 = 1 then 'these words are not in it' else substr(u.text, 1, 40) end as quote
 from {conversations} c join (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from {conversations} where role = 'user') u on u.conv_id = c.conv_id and u.n = 1

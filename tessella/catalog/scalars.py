@@ -72,7 +72,7 @@ def uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "p.uri", "p.jurisdiction", "p.year", "p.number", F.col("p.day").cast("string").alias("day"))
 
 
-QUERIES_TYPED = "select doc_id, case doc_id % 4 when 0 then citation when 1 then '2020 GHASC ' || cast(doc_id as string) when 2 then 'Party' || cast(doc_id % 37 as string) || '  vs Other  Thing' else substr(text, 1, 40) end as typed from ({judgments})".replace("{judgments}", JUDGMENTS)
+QUERIES_TYPED = "select doc_id, case doc_id % 4 when 0 then citation when 1 then '2020 XYSC ' || cast(doc_id as string) when 2 then 'Party' || cast(doc_id % 37 as string) || '  vs Other  Thing' else substr(text, 1, 40) end as typed from ({judgments})".replace("{judgments}", JUDGMENTS)
 
 
 @query("n10_detect_citation", f"""select doc_id, coalesce(nullif(regexp_extract(typed, '\\[(\\d{{4}})\\]\\s+([A-Za-z][A-Za-z0-9]*)\\s+(\\d+)', 2), ''), nullif(regexp_extract(typed, '\\b(\\d{{4}})\\s+([A-Z][A-Za-z]*[A-Z][A-Za-z]*)\\s+(\\d+)\\b', 2), '')) as court from ({twin(QUERIES_TYPED)})""")
@@ -126,7 +126,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", T.quote_in(F.col("quote"), F.col("passage")).alias("found"), T.quote_words(F.col("quote")).alias("words"))
 
 
-CLAIMS = "select doc_id, 'It was held in ' || case doc_id % 3 when 0 then '[2020] GHASC 7' when 1 then '[' || cast(1990 + doc_id % 30 as string) || '] ' || upper(court_code) || 'SC ' || cast(doc_id as string) else 'court' end || case when doc_id % 5 = 0 then ' at page 12' else '' end as claim, citation, text from ({judgments})".replace("{judgments}", JUDGMENTS)
+CLAIMS = "select doc_id, 'It was held in ' || case doc_id % 3 when 0 then '[2020] XYSC 7' when 1 then '[' || cast(1990 + doc_id % 30 as string) || '] ' || upper(court_code) || 'SC ' || cast(doc_id as string) else 'court' end || case when doc_id % 5 = 0 then ' at page 12' else '' end as claim, citation, text from ({judgments})".replace("{judgments}", JUDGMENTS)
 
 
 @query("n17_references_supported", f"""select doc_id, not regexp_matches(claim, '(?i)\\b(?:pages?|pgs?|pp?)(?:\\.\\s*|\\s+)\\d+') and (c = '' or contains(citation, c) or contains(lower(text), lower(c))) as supported

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The words of headings, and abbreviations that end no sentence.
+# The words of headings, abbreviations that end no sentence, and the patterns of headings, citations and numbers.
 HEADINGS = (
     "JUDGMENT", "JUDGEMENT", "RULING", "CORAM", "FACTS", "BACKGROUND", "INTRODUCTION", "ISSUES?", "ANALYSIS", "EVALUATION", "HOLDINGS?", "DECISION", "CONCLUSIONS?",
     "ORDERS?", "DISPOSITION", "EVIDENCE", "SUBMISSIONS", "THE LAW", "GROUNDS? OF APPEAL", "RESOLUTION", "DETERMINATION", "REASONS?", "COSTS",

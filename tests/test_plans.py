@@ -27,9 +27,9 @@ def test_unsplittable_words_become_windows():
 
 
 def test_sentences_keep_citations_and_abbreviations():
-    text = "As held in Mensah v. Owusu. The rule in [2020] GHASC 7 applies. Mr. Addo agreed."
+    text = "As held in Mensah v. Owusu. The rule in [2020] XYSC 7 applies. Mr. Addo agreed."
     parts = [text[a:b] for a, b in chunking.sentences(text, 0, len(text))]
-    assert parts == ["As held in Mensah v. Owusu.", "The rule in [2020] GHASC 7 applies.", "Mr. Addo agreed."]
+    assert parts == ["As held in Mensah v. Owusu.", "The rule in [2020] XYSC 7 applies.", "Mr. Addo agreed."]
 
 
 def test_paragraph_numbers():
@@ -93,10 +93,10 @@ def test_greedy_choice_passes_over_what_does_not_fit(spark):
 
 
 def test_each_reason_for_removing_a_claim(spark):
-    sources = spark.createDataFrame([(1, "S1", "The appeal is hereby dismissed with costs.", "A v B [2020] GHASC 7"), (1, "S2", "Other text of the court entirely.", "C v D [2021] GHASC 8")], "answer_id long, label string, excerpt string, citation string")
+    sources = spark.createDataFrame([(1, "S1", "The appeal is hereby dismissed with costs.", "A v B [2020] XYSC 7"), (1, "S2", "Other text of the court entirely.", "C v D [2021] XYSC 8")], "answer_id long, label string, excerpt string, citation string")
     claims = [
         (1, 1, "It was dismissed", ["[s1]"], "appeal is hereby dismissed"), (1, 2, "x", ["S9"], "appeal is hereby dismissed"), (1, 3, "x", ["S1"], "hereby dismissed"),
-        (1, 4, "x", ["S2"], "appeal is hereby dismissed"), (1, 5, "see [1999] UKHL 4", ["S1"], "appeal is hereby dismissed"), (1, 6, "see [2020] GHASC 7", ["S2", "S1"], "appeal ... with costs. "), (1, 7, "x", [], "appeal is hereby dismissed"),
+        (1, 4, "x", ["S2"], "appeal is hereby dismissed"), (1, 5, "see [1999] UKHL 4", ["S1"], "appeal is hereby dismissed"), (1, 6, "see [2020] XYSC 7", ["S2", "S1"], "appeal ... with costs. "), (1, 7, "x", [], "appeal is hereby dismissed"),
     ]
     got = {r.claim_id: r.reason for r in verification.verify_claims(spark.createDataFrame(claims, "answer_id long, claim_id long, text string, labels array<string>, quote string"), sources, 3).collect()}
     assert got == {1: None, 2: "no_valid_source", 3: "quote_too_short", 4: "quote_not_found", 5: "unsupported_reference", 6: None, 7: "no_valid_source"}
