@@ -172,8 +172,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int, text_byt
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     # At most 2 * per_label ids, so a broadcast of a known size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, text_bytes).alias("text")).collect()
-    return [(bytes(x["text"]), x["quality"]) for x in sorted(rows, key=lambda x: (x["doc_id"], x["quality"]))][: 4 * per_label]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, text_bytes).alias("text"))
+    # One row of each id and label, so what reaches the driver is bounded however often a row repeats.
+    rows = rows.dropDuplicates(["doc_id", "quality"]).collect()
+    return [(bytes(x["text"]), x["quality"]) for x in sorted(rows, key=lambda x: (x["doc_id"], x["quality"]))]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, text_bytes: int = 16_384, keep_from: float = 0.3) -> DataFrame:
