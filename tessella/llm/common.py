@@ -46,6 +46,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
-    """The UTF-8 bytes of a string column; null is empty."""
-    for value in column.cast(pa.binary()).to_pylist():
-        yield value or b""
+    """The UTF-8 bytes of a string column, some at a time; null is empty."""
+    column = column.cast(pa.binary())
+    for at in range(0, len(column), 256):
+        for value in column.slice(at, 256).to_pylist():
+            yield value or b""

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
 U = np.uint64
 #: Texts are hashed in groups of about so many bytes.
-GROUP = 1 << 21
+GROUP = 1 << 19
 BASE = U(0x9E3779B97F4A7C15)
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -34,7 +34,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+def groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     group, size = [], 0
     for text in texts:
         group.append(text)
@@ -61,7 +61,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(bounds, prepend=0)
 
 
-def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes], n: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams; a text of fewer words has one, of all its words."""
     factors = mix(np.arange(1, n + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
     for group in groups(texts):

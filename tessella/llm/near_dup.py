@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, materialize, texts
+from .bloom import possible, shared_filter
+from .common import OWN, materialize, partitions, texts
 from .graph import components
 from .kernels import U, mix, shingle_sets
 
@@ -48,7 +49,7 @@ def signatures(n: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, nodes, mins = [], [], []
-            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(list(texts(batch.column(1))), n)):
+            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(texts(batch.column(1)), n)):
                 if len(shingles):
                     ids.append(doc)
                     nodes.append(node_of(shingles))
@@ -70,33 +71,41 @@ def member_sets(n: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(list(texts(batch.column("text"))), n))
-            right = [node_of(s) == bytes(k) for s, k in zip(sets, batch.column("node").to_pylist())]
             names = [x for x in batch.schema.names if x != "text"]
-            made = pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
-            yield made.filter(pa.array(right, pa.bool_()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = list(shingle_sets(texts(part.column("text")), n))
+                right = [node_of(s) == bytes(k) for s, k in zip(sets, part.column("node").to_pylist())]
+                made = pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
+                yield made.filter(pa.array(right, pa.bool_()))
 
     return run
 
 
+#: Cells of one matrix of sets by n-grams.
+CELLS = 4 << 20
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections of the sets on the left with those on the right."""
+    """The sizes of all intersections of the sets on the left with those on the right, as matrix products."""
     held, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    sizes = [len(s) for s in (*left, *right)]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    # Only n-grams that both sides hold count; columns go in slices to bound the matrices.
-    out = np.zeros((len(left), len(right)), np.float64)
-    width = max(1, (16 << 20) // max(len(left), len(right)))
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    # N-grams that one set alone holds are in no intersection.
+    shared = np.bincount(at, minlength=len(held)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    at, owner = column[at[keep]], owner[keep]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    for low in range(0, len(held), width):
+    columns = int(shared.sum())
+    out = np.zeros((len(left), len(right)), np.int64)
+    width = max(1, min(columns, CELLS // (len(left) + len(right))))
+    for low in range(0, columns, width):
         i, j = np.searchsorted(at, [low, low + width])
-        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        on_left = owner[i:j] < len(left)
-        a[owner[i:j][on_left], at[i:j][on_left] - low] = 1
-        b[owner[i:j][~on_left] - len(left), at[i:j][~on_left] - low] = 1
-        out += a @ b.T
-    return out.astype(np.int64)
+        m = np.zeros((len(left) + len(right), width), np.float32)
+        m[owner[i:j], at[i:j] - low] = 1
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return out
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction) -> np.ndarray:
@@ -134,11 +143,12 @@ def verified(threshold: Fraction) -> Callable:
         key, rows = None, []
         for batch in batches:
             found = []
-            for r in batch.to_pylist():
-                if (own := (r["group"], r["i"], r["j"])) != key:
-                    found += flush(rows)
-                    key, rows = own, []
-                rows.append(r)
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    if (own := (r["group"], r["i"], r["j"])) != key:
+                        found += flush(rows)
+                        key, rows = own, []
+                    rows.append(r)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.binary(), pa.binary(), pa.int64()))], ["node", "other", "links"])
         if found := flush(rows):
@@ -147,7 +157,7 @@ def verified(threshold: Fraction) -> Callable:
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, hashes: int = 128) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, hashes: int = 128, filter_bytes: int = 64 << 20) -> DataFrame:
     """Per row: doc_id, class_id, n_links and n_copies.
 
     Two rows are linked if their sets of word n-grams have a Jaccard similarity of threshold or more; a text of fewer
@@ -160,7 +170,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Bands lose a pair at the threshold with a probability of at most 1 - target_recall, others less. N-grams are
     compared by 64-bit hashes. The work in a group of near copies grows with the square of its different texts, as the
     number of its links does, but is dealt out block by block; each text is copied at most 33 times for it while
-    groups have up to 131,072 texts.
+    groups have up to 131,072 texts. filter_bytes bounds what all tasks get; past its capacity more texts shuffle.
     """
     bands, rows = choose_bands(threshold, target_recall, hashes)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -179,7 +189,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = materialize(sizes.select(F.col("label").alias("group"), splits.alias("splits")), "near-sizes")
     members = groups.join(sizes, groups["label"] == sizes["group"]).join(nodes.select("node", "least", "copies"), "node")
     members = materialize(members.select("group", "node", "least", "copies", "splits", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int").alias("block")), "near-members")
-    sets = slim.join(members, slim["doc_id"] == members["least"]).select("group", "node", "copies", "splits", "block", "text")
+    # Only texts that may be a member's shuffle: a filter of their ids, of a fixed most size, goes to all tasks first.
+    mark, shards = f"{OWN}hash", max(16, 2 * partitions(docs.sparkSession))
+    wanted = shared_filter(members.select(F.xxhash64("least").alias(mark)), shards, filter_bytes)
+    few = slim.where("doc_id is not null").withColumn(mark, F.xxhash64("doc_id")).mapInArrow(possible(wanted, shards, mark), f"doc_id {kind}, text string")
+    sets = few.join(members, few["doc_id"] == members["least"]).select("group", "node", "copies", "splits", "block", "text")
     sets = sets.mapInArrow(member_sets(n), "group binary, node binary, copies long, splits int, block int, shingles binary")
     dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select("group", "node", "copies", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "shingles")
     dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
