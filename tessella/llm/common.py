@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_path, table
+
+__all__ = ["BLANKS", "GAP", "OWN", "WORD", "materialize", "partitions", "table", "texts"]
+
 #: Prefix of every helper column, so that columns of the input keep their names.
 OWN = "__tessella_"
 #: ASCII white space as the contracts list it: space and \t \n \v \f \r.
@@ -17,26 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and any lost executor can be replaced."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
