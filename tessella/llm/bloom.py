@@ -90,8 +90,8 @@ def shared_filter(hashes: DataFrame, shards: int, most_bytes: int):
     return spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in rows})
 
 
-def possible(held, shards: int, column: str) -> Callable:
-    """Keeps the rows whose hash may be in the filters, without that column."""
+def possible(held, shards: int, column: str, inside: bool = True) -> Callable:
+    """Keeps the rows whose hash may be in the filters, or those whose hash surely isn't; the column itself goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filters(held.value, shards)
@@ -99,6 +99,6 @@ def possible(held, shards: int, column: str) -> Callable:
             hashes = batch.column(column).to_numpy()
             hit = known.hits(shard_of(hashes, shards), hashes.view(np.uint64))
             names = [n for n in batch.schema.names if n != column]
-            yield batch.select(names).filter(pa.array(hit, pa.bool_()))
+            yield batch.select(names).filter(pa.array(hit == inside, pa.bool_()))
 
     return run

@@ -157,6 +157,17 @@ def verified(threshold: Fraction) -> Callable:
     return run
 
 
+def few_edges(stars: DataFrame) -> DataFrame:
+    """The same components with about one edge a node: each node to its smallest hub, and its other hubs to that one.
+
+    A node has a hub for each band at most, so what is gathered for it is bounded; hubs are few.
+    """
+    own = stars.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
+    own = materialize(own, "near-stars")
+    others = own.select(F.explode("hubs").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    return own.select(F.col("node").alias("a"), F.col("least").alias("b")).union(others)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, hashes: int = 128, filter_bytes: int = 64 << 20) -> DataFrame:
     """Per row: doc_id, class_id, n_links and n_copies.
 
@@ -181,8 +192,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "near-hubs")
-    stars = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(stars)
+    groups = components(few_edges(keys.join(hubs, "key").where("node <> hub").select("node", "hub")))
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
     splits = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("n") / MOST_BLOCK)).cast("int")
@@ -211,7 +221,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.unionByName(alone)
 
 
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, filter_bytes: int = 64 << 20) -> DataFrame:
     """The input without near copies: of each class the row with the smallest id stays, with all its columns.
 
     Rows that repeat an id stand or fall together, and of rows that repeat id and text one stays. Rows without a word
@@ -219,7 +229,13 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     classes = materialize(jaccard_classes(docs, id_col, text_col, n, threshold, target_recall), "near-rows")
     losers = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    stay = docs.join(losers, id_col, "left_anti").select(*docs.columns)
+    # Rows that the filter of losers doesn't know stay where they are; only the others shuffle, for the exact answer.
+    mark, shards = f"{OWN}hash", max(16, 2 * partitions(docs.sparkSession))
+    known = shared_filter(losers.select(F.xxhash64(id_col).alias(mark)), shards, filter_bytes)
+    marked, fields = docs.withColumn(mark, F.xxhash64(id_col)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    sure = marked.mapInArrow(possible(known, shards, mark, False), fields)
+    maybe = marked.mapInArrow(possible(known, shards, mark), fields)
+    stay = sure.unionByName(maybe.join(losers, id_col, "left_anti").select(*docs.columns))
     if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay
     mark = f"{OWN}text"
