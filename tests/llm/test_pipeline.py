@@ -7,7 +7,7 @@ from tessella.llm import oracles, queries
 from tessella.llm.line_dedup import key_of
 
 from ..compare import assert_same, connection
-from .helpers import frame, near_classes, texts, words
+from .helpers import frame, near_classes, words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,10 +43,6 @@ def test_empty_table_goes_through(spark):
     assert docs.count() == 0
 
 
-def test_near_copy_ids_in_texts(spark):
-    assert len(texts()) == 42
-
-
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_twin(spark, name):
     assert_same(queries.QUERIES[name](spark, FOLDER), connection(FOLDER), oracles.ORACLES[name])
