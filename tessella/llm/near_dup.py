@@ -8,6 +8,7 @@ task: no pair is ever a row.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -115,26 +116,51 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction)
     return both * (threshold.numerator + threshold.denominator) >= sums * threshold.numerator
 
 
+def spanning(hit: np.ndarray, one: bool) -> list[np.ndarray]:
+    """A breadth-first spanning forest of the links: each node's parent, -1 for roots and nodes without a link.
+
+    With one, rows and columns are the same nodes and there is one array; else there is one for the rows and one for
+    the columns, and a node's parent is on the other side.
+    """
+    sides = [hit] if one else [hit, hit.T]
+    parents = [np.full(len(s), -1) for s in sides]
+    unseen = [np.ones(len(s), bool) for s in sides]
+    for root in np.flatnonzero(hit.any(axis=1)).tolist():  # each column with a link is reached from a row
+        if not unseen[0][root]:
+            continue
+        unseen[0][root] = False
+        todo = deque([(0, root)])
+        while todo:
+            side, a = todo.popleft()
+            to = 0 if one else 1 - side
+            found = np.flatnonzero(sides[side][a] & unseen[to])
+            unseen[to][found] = False
+            parents[to][found] = a
+            todo.extend((to, b) for b in found.tolist())
+    return parents
+
+
 def verified(threshold: Fraction) -> Callable:
-    """Per block pair: (node, other, links): links is the number of rows linked to node, other a linked node or null."""
+    """Per block pair: (node, other, links): links is the number of rows linked to node, other its parent in a spanning forest or null."""
 
     def pairs(rows: list[dict]) -> Iterator[tuple[bytes, bytes | None, int]]:
         i, j = rows[0]["i"], rows[0]["j"]
         sides: dict[int, dict[bytes, tuple[np.ndarray, int]]] = {i: {}, j: {}}
         for r in rows:  # rows of equal nodes, as repeated rows give, count once
             sides[r["block"]][r["node"]] = (np.frombuffer(r["shingles"], np.uint64), r["copies"])
-        left, right = list(sides[i]), list(sides[j])
+        left, right = sorted(sides[i]), sorted(sides[j])
         if not left or not right:
             return
         hit = linked([sides[i][k][0] for k in left], [sides[j][k][0] for k in right], threshold)
         copies = [np.array([sides[s][k][1] for k in side], np.int64) for s, side in ((i, left), (j, right))]
         if i == j:
             np.fill_diagonal(hit, False)
+        parents = spanning(hit, i == j)
         for a in np.flatnonzero(hit.any(axis=1)).tolist():
-            yield left[a], min(right[b] for b in np.flatnonzero(hit[a]).tolist()), int(copies[1][hit[a]].sum())
+            yield left[a], right[parents[0][a]] if parents[0][a] >= 0 else None, int(copies[1][hit[a]].sum())
         if i != j:
             for b in np.flatnonzero(hit.any(axis=0)).tolist():
-                yield right[b], min(left[a] for a in np.flatnonzero(hit[:, b]).tolist()), int(copies[0][hit[:, b]].sum())
+                yield right[b], left[parents[1][b]], int(copies[0][hit[:, b]].sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[dict]) -> list[tuple]:
@@ -209,7 +235,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     links = materialize(dealt.mapInArrow(verified(Fraction(str(threshold))), "node binary, other binary, links long"), "near-links")
 
-    classes = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    classes = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.join(nodes.select("node", "least"), "node")
     first = materialize(named.groupBy("label").agg(F.min("least").alias("class_id")), "near-names")
     per_node = classes.join(first, "label").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "class_id", "links")

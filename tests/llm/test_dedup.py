@@ -128,6 +128,48 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert kept.columns == frame(spark).columns
 
 
+@pytest.mark.parametrize("block", [64, 3])
+def test_near_copies_in_chains_and_bridged_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = {}
+    # Only neighbours of a chain are linked; each text is a window over the chain's words.
+    for c in range(20):
+        for k in range(4 + c % 4):
+            rows[len(rows)] = " ".join(f"chain{c}x{w}" for w in range(4 * k, 4 * k + 44))
+    # Two clusters of texts in which one word differs, and one text between them that links them.
+    for c in range(6):
+        for start in (0, 6, 12):
+            for k in range(1 if start == 6 else 4):
+                rows[len(rows)] = " ".join(f"bridge{c}x{w}" if k == 0 or w != start + 83 else f"other{c}x{k}" for w in range(start, start + 84))
+    out = near_dup.jaccard_classes(frame(spark, list(rows.items())).repartition(3)).collect()
+    expected = near_classes(rows)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == expected
+    assert len({c for c, _ in expected.values()}) == 26 and max(n for _, n in expected.values()) > 3
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_spanning_forests_keep_all_that_links_connect(one):
+    rng = np.random.default_rng(4)
+    for n in [2, 4, 12, 30] * 10:
+        hit = rng.random((n, n)) < 1.2 / n
+        if one:
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+        parents = near_dup.spanning(hit, one)
+        to = 0 if one else n
+        links = [(a, b + to) for a, b in np.argwhere(hit).tolist()]
+        edges = [(k * n + a, int(p) + (to if k == 0 else 0)) for k, side in enumerate(parents) for a, p in enumerate(side) if p >= 0]
+        assert {tuple(sorted(e)) for e in edges} <= {tuple(sorted(e)) for e in links}
+
+        def groups(pairs, size=n + to):
+            label = list(range(size))
+            for a, b in pairs:
+                label = [label[a] if x == label[b] else x for x in label]
+            return {frozenset(i for i in range(size) if label[i] == x) for x in label}
+
+        assert groups(edges) == groups(links) and len(edges) == n + to - len(groups(links))
+
+
 def test_no_near_copies_at_all(spark):
     assert near_dup.jaccard_classes(frame(spark, empty=True)).count() == 0
     out = near_dup.jaccard_classes(frame(spark, [(1, "a b c d e f"), (2, None), (3, "x y")])).collect()
