@@ -1,15 +1,16 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, a line being what stands between two block tags. A line's weight is its text outside
-links and outside parts that are no article by their own markup. Weights are summed over a sliding window of lines:
-where the sum jumps above a threshold the text surges, where it falls to nothing it dives, and what lies between a
-surge and its dive is text.
+links and outside parts that are no article by their own markup, and more inside article and main elements. Weights
+are summed over a sliding window of lines: where the sum jumps above a threshold the text surges, where it falls to
+nothing it dives, and the lines with a weight between a surge and its dive are text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,18 +53,18 @@ def no_article(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article or main element) of each line, those of skipped parts with an empty text."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, number of the outermost article or main element or 0) of each line, those of skipped parts with an empty text."""
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = [0]
-    skip, depth, link, article = "", 0, 0, 0
+    skip, depth, link, article, articles = "", 0, 0, 0, 0
     at, size = 0, len(page)
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        weight = 0 if SMALL_PRINT.match(text) else max(0, len(text) - 2 * linked[0])
-        out.append((text, weight, article > 0))
+        weight = 0 if not article and SMALL_PRINT.match(text) else max(0, len(text) - 2 * linked[0])
+        out.append((text, weight, articles if article else 0))
         parts.clear()
         linked[0] = 0
 
@@ -107,6 +108,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             end_line()
             link = 0
             if name in ("article", "main"):
+                articles += not closing and not article
                 article = max(0, article - 1) if closing else article + 1
     end_line()
     return out
@@ -115,31 +117,32 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surges and dives, blocks joined by one space.
 
-    If the page marks an article, lines outside it have no weight and all of its own lines are text. Otherwise the
-    surge threshold is the smaller of surge and a third of the fullest window, so short pages keep their text, and of
-    several stretches those count that have a fifth of the fullest one's weight.
+    A line with a weight inside an article or main element has surge more. Windows and stretches end at the borders of
+    these elements. The surge threshold is the smaller of surge and a third of the fullest window, so short pages keep
+    their text, and of several stretches those count that have a fifth of the fullest one's weight, those of one
+    article or main element taken together.
     """
     lines = lines_of(page or "")
-    marked = any(inside and weight for _, weight, inside in lines)
-    if marked:
-        lines = [(text, max(weight, 1) if text else 0, True) if inside else ("", 0, False) for text, weight, inside in lines]
-    weights = [weight for _, weight, _ in lines]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    weights = [weight + surge if weight and article else weight for _, weight, article in lines]
+    within = [article for _, _, article in lines]
+    sums = [sum(w for w, article in zip(weights[i : i + window], within[i : i + window]) if article == within[i]) for i in range(len(weights))]
     if not sums or not max(sums):
         return ""
-    threshold = 1 if marked else min(surge, max(1, max(sums) // 3))
-    stretches, i = [], 0
+    threshold = min(surge, max(1, max(sums) // 3))
+    stretches, totals, i = [], Counter(), 0
     while i < len(lines):
         if weights[i] and sums[i] >= threshold:
             j = i
-            while j < len(lines) and sums[j]:
+            while j < len(lines) and sums[j] and within[j] == within[i]:
                 j += 1
-            stretches.append((sum(weights[i:j]), i, j))
+            owner = within[i] or -i - 1
+            stretches.append((owner, i, j))
+            totals[owner] += sum(weights[i:j])
             i = j
         else:
             i += 1
-    most = max((w for w, _, _ in stretches), default=0)
-    return " ".join(lines[k][0] for w, i, j in stretches if marked or 5 * w >= most for k in range(i, j) if lines[k][0] and (marked or weights[k]))
+    most = max(totals.values(), default=0)
+    return " ".join(lines[k][0] for owner, i, j in stretches if 5 * totals[owner] >= most for k in range(i, j) if weights[k])
 
 
 def extracted(html_col: str, window: int, surge: int) -> Callable:

@@ -30,6 +30,15 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_articles_are_a_bonus_and_no_picker():
+    body = "Long text of the page. " * 40
+    assert html_extract.main_text(f"<div><p>{body}</p><p>Short.</p></div><div><hr><hr></div><article><p>Read this too.</p></article>") == body + "Short."
+    links = "<ul>" + "".join(f"<li><a href={k}>Another page of this site</a></li>" for k in range(9)) + "</ul>"
+    for name in ("article", "main"):
+        assert html_extract.main_text(f"<p>Near it.</p><{name}><p>{body}</p><aside>a</aside><form>b</form><p>End.</p>{links}</{name}>") == body + "End."
+    assert html_extract.main_text(f"<main>{links}</main>") == ""
+
+
 def test_pages_as_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old", 9), (2, None, None, None, None), (3, "u", "<p>" + "word " * 50_000, "x", 1)], "page_id long, url string, html string, text string, n_chars int")
     out = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
