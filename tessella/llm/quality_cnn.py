@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import materialize, texts
 
 CHUNK, OVERLAP = 512, 16
 VECTOR, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
@@ -64,6 +64,13 @@ class Network:
             out.append((w.reshape(-1, WIDTH * VECTOR) @ self.filters).reshape(len(part), w.shape[1], FILTERS).max(axis=1))
         return np.maximum(np.concatenate(out) + self.shift, 0)
 
+    def best(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, FILTERS) twice: the place of each filter's largest answer in a chunk, and that answer without shift."""
+        w = self.windows(codes)
+        answers = (w.reshape(-1, WIDTH * VECTOR) @ self.filters).reshape(len(codes), w.shape[1], FILTERS)
+        place = answers.argmax(axis=1)
+        return place, np.take_along_axis(answers, place[:, None], axis=1)[:, 0]
+
     def scores(self, pooled: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One probability for each document; starts: its first chunk."""
         features = self.features(pooled, starts)
@@ -76,8 +83,8 @@ class Network:
         return np.concatenate([np.add.reduceat(pooled, starts) / n, np.maximum.reduceat(pooled, starts)], axis=1)
 
 
-def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3, seed: int = 7, most_chunks: int = 8) -> Network:
-    """Adam on the cross-entropy. Of a long training text, most_chunks chunks spread over it are shown."""
+def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3, seed: int = 7) -> Network:
+    """Adam on the cross-entropy, over all chunks of each text, as in scoring."""
     net = Network.new(seed)
     r = np.random.default_rng(seed)
     if len({label for _, label in samples}) < 2:
@@ -85,23 +92,19 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3,
         net.out[:] = 0
         net.out_shift[:] = 0 if not samples else 4 if samples[0][1] else -4
         return net
-    shown = []
-    for text, label in samples:
-        c = chunks(text)
-        shown.append((c[np.linspace(0, len(c) - 1, min(most_chunks, len(c))).astype(int)], label))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
     for _ in range(epochs):
-        order = r.permutation(len(shown))
+        order = r.permutation(len(samples))
         for at in range(0, len(order), 32):
-            rows = [shown[i] for i in order[at : at + 32]]
+            rows = [(chunks(text), label) for text, label in (samples[i] for i in order[at : at + 32])]
             codes, labels = np.concatenate([c for c, _ in rows]), np.array([y for _, y in rows], np.float32)
             starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in rows])[:-1]])
             sizes = np.diff(starts, append=len(codes))
-            seen = net.windows(codes)
-            answers = (seen.reshape(-1, WIDTH * VECTOR) @ net.filters).reshape(len(codes), seen.shape[1], FILTERS)
-            best = answers.argmax(axis=1)
-            raw = np.take_along_axis(answers, best[:, None], axis=1)[:, 0] + net.shift
+            # In slices, of which only each filter's best place stays, so that a long text takes little more memory.
+            found = [net.best(codes[i : i + 64]) for i in range(0, len(codes), 64)]
+            best, raw = (np.concatenate(x) for x in zip(*found))
+            raw += net.shift
             pooled = np.maximum(raw, 0)
             features = net.features(pooled, starts)
             hidden_raw = features @ net.dense + net.dense_shift
@@ -121,8 +124,8 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3,
             every = np.arange(len(codes))
             for k in range(FILTERS):
                 place = best[:, k]
-                g_filters[:, k] = seen[every, place].T @ d_raw[:, k]
                 at_bytes = codes[every[:, None], place[:, None] * STEP + np.arange(WIDTH)]
+                g_filters[:, k] = net.vectors[at_bytes].reshape(len(codes), -1).T @ d_raw[:, k]
                 np.add.at(g_vectors, at_bytes, d_raw[:, k, None, None] * net.filters[:, k].reshape(1, WIDTH, VECTOR))
             step += 1
             for p_, g, (m, v) in zip(net.parameters(), (g_vectors, g_filters, d_raw.sum(axis=0), g_dense, g_dense_shift, g_out, g_out_shift), state):
@@ -166,28 +169,41 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_label: int, text_bytes: int) -> list[tuple[bytes, int]]:
-    """At most per_label texts of each label, by the hash of their id, of at most text_bytes bytes each."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_label: int, label_bytes: int) -> list[tuple[bytes, int]]:
+    """At most per_label whole texts of each label, by the hash of their id, fewer if they have over label_bytes bytes."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", "quality").distinct()
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     # At most 2 * per_label ids, so a broadcast of a known size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, text_bytes).alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     # One row of each id and label, so what reaches the driver is bounded however often a row repeats.
-    rows = rows.dropDuplicates(["doc_id", "quality"]).collect()
-    return [(bytes(x["text"]), x["quality"]) for x in sorted(rows, key=lambda x: (x["doc_id"], x["quality"]))]
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, text_bytes: int = 16_384, keep_from: float = 0.3) -> DataFrame:
+    rows = materialize(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "quality-sample")
+    place = F.xxhash64("doc_id")
+    sizes = rows.select("doc_id", "quality", place.alias("place"), F.octet_length("text").alias("size")).collect()
+    taken = F.lit(False)
+    for q in (0, 1):
+        total, last = 0, None
+        for r in sorted((r for r in sizes if r["quality"] == q), key=lambda r: (r["place"], r["doc_id"])):
+            total += r["size"]
+            if last and total > label_bytes:
+                break
+            last = r
+        if last:
+            taken = taken | (F.col("quality") == q) & ((place < last["place"]) | (place == last["place"]) & (F.col("doc_id") <= last["doc_id"]))
+    found = rows.where(taken).select("doc_id", "quality", F.encode("text", "UTF-8").alias("text")).collect()
+    return [(bytes(x["text"]), x["quality"]) for x in sorted(found, key=lambda x: (x["doc_id"], x["quality"]))]
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, label_bytes: int = 16 << 20, keep_from: float = 0.3) -> DataFrame:
     """Per row: doc_id, held_out, score and predicted.
 
-    Learning reads at most per_label rows of each label whose id isn't held out, and of those the first text_bytes
-    bytes; scoring reads every byte of every text. Null and empty texts get a score like any other. Labels that are
+    Learning reads at most per_label rows of each label whose id isn't held out, each whole; if they have more than
+    label_bytes bytes, fewer rows, but one at least. Scoring reads every byte of every text. Null and empty texts get a score like any other. Labels that are
     null or neither 0 nor 1 are passed over; with one label or none the score is a constant. Rows that repeat are
     scored each; a null id is scored and is not held out unless crc32 of the empty text says so. Scores depend on
     the bytes alone.
     """
-    net = fit(training_sample(docs, labels, per_label, text_bytes))
+    net = fit(training_sample(docs, labels, per_label, label_bytes))
     held = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scored(held, "doc_id", "text"), f"doc_id {kind}, score double")

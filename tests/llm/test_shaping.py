@@ -207,6 +207,20 @@ def test_network_learns_and_reads_whole_texts(spark):
     assert {r.score for r in quality_cnn.score_quality(frame(spark, rows[:3]), labels.where("doc_id < 0")).collect()} == {0.5}
 
 
+def test_learning_reads_whole_texts(spark):
+    rng = np.random.default_rng(8)
+    same = " ".join(f"word{k % 50}" for k in range(2600))
+    assert len(same) > 16_384
+    tails = [lambda: " ".join(rng.choice(["zx$%", "#@!q", "&&^j"], 500)), lambda: " ".join(rng.choice(["kind", "morning", "letter"], 400))]
+    rows = [(i, same + " " + tails[i % 2]()) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    out = quality_cnn.score_quality(frame(spark, rows), labels).collect()
+    by = [[r.score for r in out if r.held_out and r.doc_id % 2 == q] for q in (0, 1)]
+    assert min(map(len, by)) > 10 and min(by[1]) > max(by[0]) + 0.5
+    few = quality_cnn.training_sample(frame(spark, rows), labels, 1500, 100_000)
+    assert all(text.decode() in {t for _, t in rows} for text, _ in few) and {q for _, q in few} == {0, 1} and all(sum(len(t) for t, y in few if y == q) <= 100_000 for q in (0, 1))
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 15, 16, 17, 511, 512, 513, 5000):
         c = quality_cnn.chunks(bytes([7]) * n)
