@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import cap_per_group, first_of_each, fuse, ranked, rerank_head
+from ..session import shared_path
 
 DIMENSION = 256
 POOL, PER_CASE, RAW, RERANK = 450, 3, 600, 30
@@ -92,16 +94,29 @@ def block_top(held, raw: int) -> Callable:
 def dense_channel(questions: DataFrame, passages: DataFrame, raw: int = RAW, limit: int = POOL, per_case: int = PER_CASE, most_questions: int = 20_000) -> DataFrame:
     """questions(qid, vector) and passages(chunk_id, doc_id, hashes, vector). The raw cut comes before equal passages and caps.
 
-    The questions are a stated set: they are counted first, and more than most_questions must be asked in several calls.
+    Any number of questions is asked, most_questions in each pass over the passages: so many are on the driver and in a
+    task at once, and each pass leaves its tops in the shared folder.
     """
     spark = passages.sparkSession
+    kinds, order = dict(passages.dtypes), [F.desc("score"), F.col("chunk_id")]
+
+    def nearest(asked: list) -> DataFrame:
+        held = spark.sparkContext.broadcast(([r["qid"] for r in asked], np.array([r["vector"] for r in asked], np.float64)))
+        near = passages.select("chunk_id", "vector").mapInArrow(block_top(held, raw), f"qid long, chunk_id {kinds['chunk_id']}, score double")
+        return ranked(near, order, raw, by=["qid"]).drop("rank")
+
     asked = questions.select("qid", "vector").limit(most_questions + 1).collect()
-    if len(asked) > most_questions:
-        raise ValueError(f"at most {most_questions} questions at a time")
-    held = spark.sparkContext.broadcast(([r["qid"] for r in asked], np.array([r["vector"] for r in asked], np.float64)))
-    kinds = dict(passages.dtypes)
-    near = passages.select("chunk_id", "vector").mapInArrow(block_top(held, raw), f"qid long, chunk_id {kinds['chunk_id']}, score double")
-    near = ranked(near, [F.desc("score"), F.col("chunk_id")], raw, by=["qid"]).drop("rank")
+    if len(asked) <= most_questions:
+        near = nearest(asked)
+    else:
+        # Written once, so that all passes see the same questions, and read back a block at a time.
+        path, tops = shared_path(spark, "questions"), shared_path(spark, "nearest")
+        questions.select("qid", "vector").write.parquet(path)
+        waiting = spark.read.parquet(path).toLocalIterator()
+        while part := list(islice(waiting, most_questions)):
+            made = nearest(part)
+            made.write.mode("append").parquet(tops)
+        near = ranked(spark.read.schema(made.schema).parquet(tops), order, raw, by=["qid"]).drop("rank")
     rows = near.join(passages.select("chunk_id", "doc_id", "source_text_hash", "content_hash"), "chunk_id")
     best = [F.desc("score"), F.col("doc_id"), F.col("chunk_id")]
     once = first_of_each(rows, ["qid", "source_text_hash", "content_hash"], best)

@@ -113,3 +113,17 @@ def test_illegal_steps_and_last_state(spark):
     assert {(r.id, r.status, r.version) for r in events.last_state(log, "id", ["at"], "status").collect()} == {(1, "approved", 2), (2, "approved", 3)}
     bad = events.illegal_steps(log, "id", ["at"], "status", [("draft", "approved"), ("draft", "retired")]).collect()
     assert [(r.id, r.at) for r in bad] == [(2, 3)]
+
+
+def test_dense_channel_answers_any_number_of_questions(spark):
+    rows = [(i, [float((i * k) % 7 - 3) for k in (1, 2, 3, 5)]) for i in range(40)]
+    passages = spark.createDataFrame([(i, i % 11, f"s{i % 11}", f"c{i}", v) for i, v in rows], "chunk_id long, doc_id long, source_text_hash string, content_hash string, vector array<double>")
+    questions = spark.createDataFrame(rows[:23], "qid long, vector array<double>")
+
+    def asked(**most):
+        return sorted(map(tuple, search.dense_channel(questions, passages, raw=9, limit=5, **most).select("qid", "chunk_id", "score", "rank").collect()))
+
+    whole = asked()
+    assert {q for q, *_ in whole} == set(range(23))
+    for most in (5, 22, 23):
+        assert asked(most_questions=most) == whole
