@@ -3,7 +3,10 @@
 Markup is stripped into lines, a line being what stands between two block tags. A line's weight is its text outside
 links and outside parts that are no article by their own markup, and more inside article and main elements. Weights
 are summed over a sliding window of lines: where the sum jumps above a threshold the text surges, where it falls to
-nothing it dives, and the lines with a weight between a surge and its dive are text.
+nothing it dives, and the lines with a weight around a surge, from the first sum above nothing to the dive, are text.
+
+A page is read once from left to right: a tag ends before the next "<" outside quotes, and behind the last ">" there
+are none, so broken markup costs no more than any other.
 """
 
 from __future__ import annotations
@@ -26,20 +29,22 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 NO_ARTICLE = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments", "consent", "cookie", "cookies", "copyright",
     "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup",
-    "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "promo", "promoted", "promotion", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
     "complementary", "contentinfo", "alert",
 }
 SMALL_PRINT = re.compile(r"^\s*(©|\(c\)\s*\d{4}|copyright\b|all rights reserved)", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?>[^<>=]+|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)>", re.S)
+MARKS = re.compile(r"(?<![^\s\"'/])(?:class|id|role|aria-label)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-WORDS = re.compile(r"[a-z]+")
+#: The first word of a class, id or role, however it is joined to the rest.
+FIRST_WORD = re.compile(r"[a-z]+")
 
 WINDOW, SURGE = 3, 80
 
 
 def no_article(name: str, attributes: str) -> bool:
+    """Whether an element is no article by its name, or by the first word of one of its classes, its id or its role."""
     if name in SKIPPED:
         return True
     if not attributes or name in ("html", "body", "main", "article"):
@@ -47,19 +52,32 @@ def no_article(name: str, attributes: str) -> bool:
     if HIDDEN.search(attributes):
         return True
     for groups in MARKS.findall(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(groups)).lower()
-        if not NO_ARTICLE.isdisjoint(WORDS.findall(value)):
-            return True
+        for value in "".join(groups).split():
+            first = FIRST_WORD.match(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            if first and first[0] in NO_ARTICLE:
+                return True
     return False
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, number of the outermost article or main element or 0) of each line, those of skipped parts with an empty text."""
+    """(text, weight, number of the outermost article or main element or 0) of each line, those of skipped parts with an empty text.
+
+    A form is skipped too, unless it holds more text than the rest of the page that isn't skipped: then it wraps the page.
+    """
+    plain, forms = _lines(page, True)
+    if forms:
+        wrapped, _ = _lines(page, False)
+        if sum(w for _, w, _ in wrapped) > 2 * sum(w for _, w, _ in plain):
+            return wrapped
+    return plain
+
+
+def _lines(page: str, skip_forms: bool) -> tuple[list[tuple[str, int, int]], bool]:
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = [0]
-    skip, depth, link, article, articles = "", 0, 0, 0, 0
-    at, size = 0, len(page)
+    skip, depth, link, article, articles, forms = "", 0, 0, 0, 0, False
+    at, size, last = 0, len(page), page.rfind(">") + 1
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
@@ -69,7 +87,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         linked[0] = 0
 
     while at < size:
-        found = TOKEN.search(page, at)
+        found = TOKEN.search(page, at, last) if at < last else None
         text = page[at : found.start() if found else size]
         if text and not skip:
             parts.append(text)
@@ -98,9 +116,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 end_line()
             if skip or closing and name not in ("article", "body", "html"):
                 continue
-        if not closing and name not in VOID and no_article(name, found[3]):
+        if not closing and name not in VOID and (name != "form" or skip_forms) and no_article(name, found[3]):
             end_line()
-            skip, depth, link = name, 1, 0
+            skip, depth, link, forms = name, 1, 0, forms or name == "form"
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -111,7 +129,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 articles += not closing and not article
                 article = max(0, article - 1) if closing else article + 1
     end_line()
-    return out
+    return out, forms
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -135,6 +153,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             j = i
             while j < len(lines) and sums[j] and within[j] == within[i]:
                 j += 1
+            # A title or another short line in front belongs to the text as one behind it does.
+            while i and sums[i - 1] and within[i - 1] == within[i]:
+                i -= 1
             owner = within[i] or -i - 1
             stretches.append((owner, i, j))
             totals[owner] += sum(weights[i:j])

@@ -8,6 +8,7 @@ task: no pair is ever a row.
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import possible, shared_filter
-from .common import OWN, materialize, partitions, texts
+from .common import OWN, discard, materialize, partitions, texts
 from .graph import components
 from .kernels import U, mix, shingle_sets
 
-#: A group is split into blocks of at least BLOCK nodes, at most SPLITS of them while they stay under MOST_BLOCK.
-BLOCK, SPLITS, MOST_BLOCK = 64, 32, 4096
+#: A group is split into blocks of at least BLOCK nodes, at most SPLITS of them while they stay under MOST_BLOCK nodes
+#: and BLOCK_BYTES of n-gram hashes.
+BLOCK, SPLITS, MOST_BLOCK, BLOCK_BYTES = 64, 32, 2048, 8 << 20
 
 
 def choose_bands(threshold: float, target_recall: float, hashes: int) -> tuple[int, int]:
@@ -41,7 +43,7 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def signatures(n: int, bands: int, rows: int) -> Callable:
-    """(doc_id, node, bands) for texts with words; node is a digest of the whole n-gram set."""
+    """(doc_id, node, digest, size, bands) for texts with words; node is a digest of the whole n-gram set, digest of the text."""
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
     shifts = mix(factors)
     weights = mix(np.arange(101, 101 + rows, dtype=np.uint64)) | U(1)
@@ -49,11 +51,13 @@ def signatures(n: int, bands: int, rows: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nodes, mins = [], [], []
-            for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(texts(batch.column(1)), n)):
+            ids, nodes, mins, digests, sizes = [], [], [], [], []
+            for doc, shingles, text in zip(batch.column(0).to_pylist(), shingle_sets(texts(batch.column(1)), n), texts(batch.column(1))):
                 if len(shingles):
                     ids.append(doc)
                     nodes.append(node_of(shingles))
+                    digests.append(hashlib.sha256(text).digest())
+                    sizes.append(len(shingles))
                     # In slices, so that a very long text takes no more memory than a short one.
                     low = None
                     for part in (shingles[i : i + 4096] for i in range(0, len(shingles), 4096)):
@@ -62,7 +66,7 @@ def signatures(n: int, bands: int, rows: int) -> Callable:
                     mins.append(low)
             if ids:
                 keys = mix((np.array(mins).reshape(-1, bands, rows) * weights).sum(axis=2) ^ salt).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(nodes, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(nodes, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "digest", "size", "bands"])
 
     return run
 
@@ -99,21 +103,25 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
     columns = int(shared.sum())
-    out = np.zeros((len(left), len(right)), np.int64)
+    out = np.zeros((len(left), len(right)), np.int32)
     width = max(1, min(columns, CELLS // (len(left) + len(right))))
     for low in range(0, columns, width):
         i, j = np.searchsorted(at, [low, low + width])
         m = np.zeros((len(left) + len(right), width), np.float32)
         m[owner[i:j], at[i:j] - low] = 1
-        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int32)
     return out
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: Fraction) -> np.ndarray:
     """Which pairs have a Jaccard similarity of the threshold or more, in whole numbers."""
     both = overlaps(left, right)
-    sums = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])
-    return both * (threshold.numerator + threshold.denominator) >= sums * threshold.numerator
+    a, b = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    over, under = threshold.numerator + threshold.denominator, threshold.numerator
+    hit = np.zeros(both.shape, bool)
+    for i in range(0, len(a), 256):  # in slices of rows, as the products take eight bytes a cell
+        hit[i : i + 256] = both[i : i + 256].astype(np.int64) * over >= (a[i : i + 256, None] + b) * under
+    return hit
 
 
 def spanning(hit: np.ndarray, one: bool) -> list[np.ndarray]:
@@ -183,86 +191,97 @@ def verified(threshold: Fraction) -> Callable:
     return run
 
 
-def few_edges(stars: DataFrame) -> DataFrame:
-    """The same components with about one edge a node: each node to its smallest hub, and its other hubs to that one.
+def stars(links: DataFrame) -> DataFrame:
+    """(node, least, hubs) of links (node, hub). A node has a hub for each band at most, so what is gathered for it is bounded."""
+    return materialize(links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "near-stars")
 
-    A node has a hub for each band at most, so what is gathered for it is bounded; hubs are few.
-    """
-    own = stars.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
-    own = materialize(own, "near-stars")
+
+def few_edges(own: DataFrame) -> DataFrame:
+    """The same components with about one edge a node: each node to its smallest hub, and its other hubs to that one; hubs are few."""
     others = own.select(F.explode("hubs").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
     return own.select(F.col("node").alias("a"), F.col("least").alias("b")).union(others)
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, hashes: int = 128, filter_bytes: int = 64 << 20) -> DataFrame:
-    """Per row: doc_id, class_id, n_links and n_copies.
-
-    Two rows are linked if their sets of word n-grams have a Jaccard similarity of threshold or more; a text of fewer
-    than n words has one n-gram, of all its words. A class is what links connect, its id the smallest id in it.
-    n_links counts the other rows that a row is linked to, copies too; n_copies counts the rows with its own n-gram
-    set, itself included. Words are compared as they are. Null texts and texts without a word are linked to nothing,
-    as are rows whose id is null: these have a null class. Rows that repeat an id are rows of their own. Other columns
-    are ignored; an empty table gives no rows.
-
-    Bands lose a pair at the threshold with a probability of at most 1 - target_recall, others less. N-grams are
-    compared by 64-bit hashes. The work in a group of near copies grows with the square of its different texts, as the
-    number of its links does, but is dealt out block by block; each text is copied at most 33 times for it while
-    groups have up to 131,072 texts. filter_bytes bounds what all tasks get; past its capacity more texts shuffle.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, target_recall: float, hashes: int, filter_bytes: int) -> DataFrame:
+    """Per row with an id and a word: doc_id, digest (of the text), class_id, n_links, n_copies, and first, the smallest (doc_id, digest) of its class."""
     bands, rows = choose_bands(threshold, target_recall, hashes)
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(slim.where("doc_id is not null").mapInArrow(signatures(n, bands, rows), f"doc_id {kind}, node binary, bands array<long>"), "near-signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    signed = materialize(slim.mapInArrow(signatures(n, bands, rows), f"doc_id {kind}, node binary, digest binary, size long, bands array<long>"), "near-signed")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "near-nodes")
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "near-hubs")
-    groups = components(few_edges(keys.join(hubs, "key").where("node <> hub").select("node", "hub")))
+    own = stars(keys.join(hubs, "key").where("node <> hub").select("node", "hub"))
+    groups = components(few_edges(own))
+    discard(hubs, own)
 
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
-    splits = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("n") / MOST_BLOCK)).cast("int")
+    sizes = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    splits = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("n") / MOST_BLOCK), F.ceil(8 * F.col("grams") / BLOCK_BYTES)).cast("int")
     sizes = materialize(sizes.select(F.col("label").alias("group"), splits.alias("splits")), "near-sizes")
-    members = groups.join(sizes, groups["label"] == sizes["group"]).join(nodes.select("node", "least", "copies"), "node")
-    members = materialize(members.select("group", "node", "least", "copies", "splits", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int").alias("block")), "near-members")
+    members = groups.join(sizes, groups["label"] == sizes["group"]).join(nodes.select("node", "least.doc_id", "copies"), "node")
+    members = materialize(members.select("group", "node", F.col("doc_id").alias("least"), "copies", "splits", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int").alias("block")), "near-members")
+    discard(groups, sizes)
     # Only texts that may be a member's shuffle: a filter of their ids, of a fixed most size, goes to all tasks first.
     mark, shards = f"{OWN}hash", max(16, 2 * partitions(docs.sparkSession))
     wanted = shared_filter(members.select(F.xxhash64("least").alias(mark)), shards, filter_bytes)
-    few = slim.where("doc_id is not null").withColumn(mark, F.xxhash64("doc_id")).mapInArrow(possible(wanted, shards, mark), f"doc_id {kind}, text string")
+    few = slim.withColumn(mark, F.xxhash64("doc_id")).mapInArrow(possible(wanted, shards, mark), f"doc_id {kind}, text string")
     sets = few.join(members, few["doc_id"] == members["least"]).select("group", "node", "copies", "splits", "block", "text")
     sets = sets.mapInArrow(member_sets(n), "group binary, node binary, copies long, splits int, block int, shingles binary")
     dealt = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select("group", "node", "copies", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "shingles")
     dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     links = materialize(dealt.mapInArrow(verified(Fraction(str(threshold))), "node binary, other binary, links long"), "near-links")
+    discard(members)
 
     classes = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.join(nodes.select("node", "least"), "node")
-    first = materialize(named.groupBy("label").agg(F.min("least").alias("class_id")), "near-names")
-    per_node = classes.join(first, "label").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "class_id", "links")
-    per_node = nodes.select("node", "least", "copies").join(per_node, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"))
+    first = materialize(classes.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("first")), "near-names")
+    per_node = classes.join(first, "label").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "first", "links")
+    per_node = nodes.select("node", "least", "copies").join(per_node, "node", "left").select("node", F.coalesce("first", "least").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies"))
     per_node = materialize(per_node, "near-classes")
-    found = signed.select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    discard(nodes, links, classes, first)
+    return signed.select("doc_id", "digest", "node").join(per_node, "node").select("doc_id", "digest", F.col("first.doc_id").alias("class_id"), "n_links", "n_copies", "first")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, hashes: int = 128, filter_bytes: int = 64 << 20) -> DataFrame:
+    """Per row: doc_id, class_id, n_links and n_copies.
+
+    Two rows are linked if their sets of word n-grams have a Jaccard similarity of threshold or more; a text of fewer
+    than n words has one n-gram, of all its words. A class is what links connect, its id the smallest id in it.
+    n_links counts the other rows that a row is linked to, copies too; n_copies counts the rows with its own n-gram
+    set, itself included. Words are compared as they are. Null texts and texts without a word are linked to nothing,
+    as are rows whose id is null: these have a null class. Rows that repeat an id are rows of their own. Other columns
+    are ignored; an empty table gives no rows.
+
+    Bands lose a pair at the threshold with a probability of at most 1 - target_recall, others less. N-grams are
+    compared by 64-bit hashes. The work in a group of near copies grows with the square of its different texts, as the
+    number of its links does, but is dealt out block by block, and blocks are bounded in nodes and in bytes; each text
+    is copied at most 33 times for it while groups have up to 65,536 texts and 256 MiB of n-gram hashes. filter_bytes
+    bounds what all tasks get; past its capacity more texts shuffle.
+    """
+    found = _classes(docs, id_col, text_col, n, threshold, target_recall, hashes, filter_bytes).select("doc_id", "class_id", "n_links", "n_copies")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     alone = slim.where(F.col("doc_id").isNull() | ~has_word).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return found.unionByName(alone)
 
 
-def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, filter_bytes: int = 64 << 20) -> DataFrame:
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999, hashes: int = 128, filter_bytes: int = 64 << 20) -> DataFrame:
     """The input without near copies: of each class the row with the smallest id stays, with all its columns.
 
-    Rows that repeat an id stand or fall together, and of rows that repeat id and text one stays. Rows without a word
-    or an id are no near copies and stay.
+    Of rows of a class that share the smallest id, the one whose text has the smallest SHA-256 stays, and of those that
+    repeat id and text one. Rows without a word or an id are no near copies of anything: all of them stay, as they are.
     """
-    classes = materialize(jaccard_classes(docs, id_col, text_col, n, threshold, target_recall), "near-rows")
-    losers = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    # Rows that the filter of losers doesn't know stay where they are; only the others shuffle, for the exact answer.
-    mark, shards = f"{OWN}hash", max(16, 2 * partitions(docs.sparkSession))
-    known = shared_filter(losers.select(F.xxhash64(id_col).alias(mark)), shards, filter_bytes)
+    rows = materialize(_classes(docs, id_col, text_col, n, threshold, target_recall, hashes, filter_bytes).select("doc_id", "digest", (F.struct("doc_id", "digest") == F.col("first")).alias("stays")), "near-rows")
+    digest, mark, shards = f"{OWN}digest", f"{OWN}hash", max(16, 2 * partitions(docs.sparkSession))
+    losers = rows.where("not stays").select(F.col("doc_id").alias(id_col), F.col("digest").alias(digest)).distinct()
+    again = rows.where("stays").groupBy(F.col("doc_id").alias(id_col), F.col("digest").alias(digest)).count().where("count > 1").drop("count")
+    # Rows that the filter doesn't know stay where they are; only the others shuffle, for the exact answer.
+    touched = materialize(losers.withColumn("lost", F.lit(True)).unionByName(again.withColumn("lost", F.lit(False))), "near-touched")
+    known = shared_filter(touched.select(F.xxhash64(id_col).alias(mark)), shards, filter_bytes)
     marked, fields = docs.withColumn(mark, F.xxhash64(id_col)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     sure = marked.mapInArrow(possible(known, shards, mark, False), fields)
-    maybe = marked.mapInArrow(possible(known, shards, mark), fields)
-    stay = sure.unionByName(maybe.join(losers, id_col, "left_anti").select(*docs.columns))
-    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return stay
-    mark = f"{OWN}text"
-    return stay.withColumn(mark, F.xxhash64(text_col)).dropDuplicates([id_col, mark]).drop(mark)
+    maybe = marked.mapInArrow(possible(known, shards, mark), fields).withColumn(digest, F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256)))
+    told = maybe.join(touched.withColumnRenamed("lost", f"{OWN}lost"), [id_col, digest], "left").where(f"{OWN}lost is null or not {OWN}lost")
+    once = told.where(f"{OWN}lost is null").unionByName(told.where(f"{OWN}lost is not null").dropDuplicates([id_col, digest]))
+    return sure.unionByName(once.select(*docs.columns))
