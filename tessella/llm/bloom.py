@@ -35,6 +35,21 @@ class Bloom:
         return found
 
 
+def power_of_two(n: int) -> int:
+    return 1 << max(6, int(n - 1).bit_length())
+
+
+def folded(bloom: Bloom, items: int, most_bits: int) -> Bloom:
+    """The same filter with fewer bits: halves are laid over each other while 12 bits an item are left, or more than most_bits.
+
+    It needs a size that is a power of two: then a place modulo half the size is the place modulo the half.
+    """
+    data = bloom.data
+    while len(data) > 8 and (8 * len(data) > most_bits or 4 * len(data) >= 12 * items):
+        data = data[: len(data) // 2] | data[len(data) // 2 :]
+    return Bloom(8 * len(data), data)
+
+
 class Filters:
     """The filters of all shards in one array."""
 

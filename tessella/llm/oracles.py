@@ -7,9 +7,9 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 EXACT = f"""
-with t as (select doc_id, {LOWER} as text from documents),
-g as (select text, max(doc_id) as keep_id, count(*) as group_size, sha256(text) as text_sha256 from t group by text)
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text)
+with t as (select doc_id, {LOWER} as text from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, row_number() over (partition by text order by doc_id desc nulls last) = 1 as kept, sha256(text) as text_sha256
+from t window same as (partition by text)
 """
 
 MEASURES = rf"""
@@ -72,12 +72,12 @@ from summed join edges on summed.source is not distinct from edges.source
 
 KEY = f"translate(trim(line, {BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LINES = f"""
-with lines as (
-  select doc_id, i, line, {KEY} as key from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (select r, doc_id, i, line, {KEY} as key from (select r, doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as i from d)),
 often as (select key, max(doc_id) as owner from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
-told as (select l.*, o.key is not null and l.doc_id <> o.owner as gone from lines l left join often o on l.key = o.key)
+told as (select l.*, coalesce(l.doc_id <> o.owner, false) as gone from lines l left join often o on l.key = o.key)
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
-from told group by doc_id
+from told group by r, doc_id
 """
 
 ORACLES = {"op4_exact_dedup": EXACT, "op5_quality_rules": RULES, "op6_chat_format": CHAT, "op8_mixing": MIX, "op10_line_dedup": LINES}

@@ -26,7 +26,7 @@ def texts() -> dict[int, str | None]:
 
 
 def frame(spark, rows=None, empty=False):
-    rows = [] if empty else [(i, t, "en", None if i % 4 == 0 else f"s{i % 3}", len(t or ""), "n", True, 1, "k", 5, "x") for i, t in (rows or texts().items())]
+    rows = [] if empty else [(i, t, "en", None if (i or 0) % 4 == 0 else f"s{(i or 0) % 3}", len(t or ""), "n", True, 1, "k", 5, "x") for i, t in (rows or texts().items())]
     return spark.createDataFrame(rows, DOCS)
 
 

@@ -6,8 +6,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, kernels, line_dedup, near_dup, suffix_dedup
+from tessella.llm import bloom, exact_dedup, kernels, line_dedup, near_dup, suffix_dedup
 
 from .helpers import frame, near_classes, shingles, texts
 
@@ -29,19 +30,32 @@ def test_exact(spark):
 def test_exact_repeated_rows_and_null_ids(spark):
     d = frame(spark, [(1, "a"), (1, "A"), (None or 2, "b")]).union(frame(spark, [(1, "z")]).selectExpr("cast(null as long)", "'A'", *frame(spark).columns[2:]))
     out = exact_dedup.exact_owners(d).collect()
-    assert sum(r.kept for r in out) == 2 and len(out) == 4
+    assert sum(r.kept for r in out) == 2 and len(out) == 4 and [r.kept for r in out if r.doc_id is None] == [False]
+    alone = exact_dedup.exact_owners(d.where("doc_id is null").union(d.where("doc_id is null"))).collect()
+    assert sorted(r.kept for r in alone) == [False, True] and {(r.keep_id, r.group_size) for r in alone} == {(None, 2)}
     assert {r.keep_id for r in out if r.doc_id != 2} == {1}
 
 
-@pytest.mark.parametrize("budget", [10**9, 3000])
-def test_trie_spills_and_keeps_all(budget):
+@pytest.mark.parametrize("budgets", [{}, {"trie_bytes": 20_000, "local_bytes": 5000}])
+def test_exact_in_any_memory(spark, budgets):
     rng = np.random.default_rng(1)
-    keys = [bytes(rng.choice(list(b"ab"), size=int(n))) for n in rng.integers(0, 40, 400)] + [b"", b"x" * 5000, b"x" * 5000 + b"y"]
-    trie = exact_dedup.SpillingTrie(budget)
-    for i, k in enumerate(keys):
-        trie.insert(k, [i])
-    found = list(trie.results())
-    assert len(found) == len(set(keys)) and {k: sorted(v) for k, v in found} == {k: [i for i, x in enumerate(keys) if x == k] for k in keys}
+    keys = ["".join(rng.choice(list("ab"), size=int(n))) for n in rng.integers(0, 12, 300)] + ["", "x" * 5000, "x" * 5000 + "y", None]
+    rows = dict(enumerate(keys))
+    groups = defaultdict(list)
+    for i, t in rows.items():
+        groups[t or ""].append(i)
+    out = got(exact_dedup.exact_owners(frame(spark, list(rows.items())).repartition(3), **budgets), "doc_id", "keep_id", "group_size", "kept")
+    assert out == Counter((i, max(g), len(g), i == max(g)) for g in groups.values() for i in g)
+
+
+def test_trie_holds_one_owner_of_a_key():
+    trie = exact_dedup.PatriciaTrie()
+    numbers = [trie.insert(k, (True, i, 0, -i)) for i, k in enumerate([b"abc", b"abd", b"abc", b"", b"ab", b"abc"])]
+    assert numbers[0] == numbers[2] == numbers[5] and len(set(numbers)) == 4
+    held = {k: (o[1][1], o[2]) for k, o in trie.walk()}
+    assert held == {b"abc": (5, 3), b"abd": (1, 1), b"": (3, 1), b"ab": (4, 1)}
+    prefix, node = trie.cut()
+    assert {k for k, _ in trie.walk(node, prefix)} | {k for k, _ in trie.walk()} == set(held) and all(k.startswith(prefix) for k, _ in trie.walk(node, prefix))
 
 
 def plain_repeats(rows: dict) -> dict:
@@ -113,6 +127,26 @@ def test_lines_do_not_depend_on_the_filter(spark, most):
     assert got(line_dedup.drop_repeated_lines(frame(spark, rows), filter_bytes=most), "doc_id", "kept_text") == whole
 
 
+def test_lines_count_documents_and_not_rows(spark):
+    line = "a line of text that is certainly longer than forty characters"
+    few = [(1, line), (1, line), (1, line), (2, line), (3, line)]
+    assert {r.n_dropped for r in line_dedup.drop_repeated_lines(frame(spark, few)).collect()} == {0}
+    many = frame(spark, [*few, (4, line), (5, line), (5, line)])
+    many = many.union(many.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    out = line_dedup.drop_repeated_lines(many).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped, r.kept_text) for r in out) == sorted([(0, 0, line)] * 3 + [(1, 1, "")] * 3 + [(i, 1, "") for i in (2, 3, 4)] + [(5, 0, line)] * 2)
+
+
+def test_filters_fold_to_what_they_hold():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    whole = bloom.Bloom(1 << 20)
+    whole.add(hashes)
+    small = bloom.folded(whole, 500, 1 << 30)
+    assert small.size == 8192 and small.hits(hashes).all() and small.hits(rng.integers(0, 2**64, 10_000, dtype=np.uint64)).mean() < 0.02
+    assert bloom.folded(whole, 500, 1024).size == 1024 and bloom.folded(whole, 500, 1024).hits(hashes).all()
+
+
 def test_near_copies(spark):
     rows = texts()
     out = near_dup.jaccard_classes(frame(spark).repartition(4)).collect()
@@ -128,6 +162,46 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert kept.columns == frame(spark).columns
 
 
+def test_rows_without_words_and_repeated_rows(spark):
+    near = texts()
+    pair = [(None, "x y"), (None, "x y"), (4, ""), (4, "")]
+    out = near_dup.one_of_each_class(frame(spark, pair)).collect()
+    assert len(out) == 4
+    copies = [(7, near[22]), (7, near[22]), (7, near[30]), (8, near[22]), (8, near[23]), (9, "a text of its own with several words"), (9, "another text that has the same id")]
+    out = near_dup.one_of_each_class(frame(spark, pair + copies).repartition(3)).collect()
+    told = Counter((r.doc_id, r.text) for r in out)
+    assert told == Counter({(None, "x y"): 2, (4, ""): 2, (7, near[22]): 1, (7, near[30]): 1, (9, copies[5][1]): 1, (9, copies[6][1]): 1})
+    links = near_dup.jaccard_classes(frame(spark, pair + copies)).collect()
+    assert len(links) == 11 and all(r.class_id is None and r.n_links == 0 for r in links if r.doc_id is None)
+
+
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(rows)
+    numbers: dict = {}
+    sets = [np.array([numbers.setdefault(g, len(numbers)) for g in shingles(rows[i])], np.int64) for i in ids]
+    links: Counter = Counter()
+    for a, own in enumerate(sets):
+        held = np.zeros(len(numbers), bool)
+        held[own] = True
+        for b in range(a):
+            if 0.8 * len(own) <= len(sets[b]) * 1.0001 and 0.8 * len(sets[b]) <= len(own) * 1.0001:
+                n = int(held[sets[b]].sum())
+                links.update((ids[a], ids[b]) if n and n >= 0.8 * (len(own) + len(sets[b]) - n) - 1e-12 else ())
+    found = {r.doc_id: r.n_links for r in near_dup.jaccard_classes(docs).collect()}
+    assert sum(links.values()) > 200 and all(found[i] <= links[i] for i in rows)
+    assert sum(found.values()) >= 0.999 * sum(links.values())
+
+
+def test_long_texts_are_hashed_in_slices():
+    text = b"word " * 300_000 + b"x" * 1_500_000 + b"\n" + b"tail of some words"
+    whole, counts = kernels.word_hashes([text])
+    again = np.concatenate([kernels.long_word(w) if len(w) > kernels.GROUP else kernels.word_hashes([w])[0] for w in text.split()])
+    assert counts.tolist() == [len(whole)] == [300_005] and (whole == again).all()
+    assert len(next(kernels.shingle_sets([text], 5))) == 9
+
+
 @pytest.mark.parametrize("block", [64, 3])
 def test_near_copies_in_chains_and_bridged_clusters(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
