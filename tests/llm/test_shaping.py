@@ -74,6 +74,12 @@ def test_cascade_keeps_the_same_in_any_order(spark):
     assert quality_rules.apply_rules(frame(spark, empty=True)).count() == 0
 
 
+def test_report_of_an_empty_table_and_repeated_rows(spark):
+    assert quality_rules.quality_report(frame(spark, empty=True)).count() == 0
+    out = quality_rules.quality_report(frame(spark, [(None, "a b c"), (None, "a b c"), (1, None)])).collect()
+    assert len(out) == 3 and all(r.base_failed and not r.kept for r in out)
+
+
 def test_rules_stay_native(spark):
     plan = quality_rules.quality_report(frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -92,7 +98,7 @@ def test_layouts(spark):
 
 def test_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "a<", "|b", "<\\\\|x<||", "", "é🙂\n\n<|im_start|>", "\\n"]
-    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "a\nb\\n", "assistant", "", "<|im_end|>", "assistant", "user"], nasty))] + [(2, 1, None, None), (2, 1, "assistant", "tie"), (2, 1, "assistant", "tie"), (None, 0, "user", "null key")]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "a\nb\\n\\e\x00", "assistant", "", "<|im_end|>", "assistant", "user"], nasty))] + [(2, 1, None, None), (2, 1, "assistant", "tie"), (2, 1, "assistant", "tie"), (None, 0, "user", "null key")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat_format.format_turns(chat_format.canonical_turns(chat_format.turns_from_rows(d), "value"))
     out = {r.conv_id: r for r in made.select("conv_id", "turns", "formatted", "loss_spans", chat_format.read_back(F.col("formatted")).alias("back")).collect()}
@@ -105,6 +111,30 @@ def test_round_trip(spark):
     assert chat_format.turns_from_rows(d.where("turn < 0")).count() == 0
 
 
+def test_texts_of_any_length_and_many_turns(spark):
+    d = spark.range(1).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("a<|b "), 4_200_000).alias("text"))
+    d = d.unionByName(spark.range(1000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")))
+    as_json = d.groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))).alias("value")).where("conv_id = 0")
+    as_json = as_json.withColumn("value", F.regexp_replace("value", '"turn":0,', ""))
+    for chats in (chat_format.turns_from_rows(d), as_json):
+        made = chat_format.format_turns(chat_format.canonical_turns(chats, "value"))
+        back = chat_format.read_back(F.col("formatted"))
+        out = {r.conv_id: r for r in made.select("conv_id", (back == F.col("turns")).alias("same"), F.size("turns").alias("n"), F.length(F.col("turns")[0]["text"]).alias("long"), "loss_spans", F.when(F.col("conv_id") == 1, F.col("formatted")).alias("formatted")).collect()}
+        assert out[0].same and out[0].n == 1 and out[0].long == 21_000_000 and out[0].loss_spans[0].length == 25_200_000
+        if 1 in out:
+            assert out[1].same and out[1].n == 1000
+            assert [out[1].formatted[s.begin : s.begin + s.length] for s in out[1].loss_spans] == [f"text {i}" for i in range(1, 1000, 2)]
+
+
+def test_structs_are_taken_as_they_are(spark):
+    rows = spark.sql("select 1 as conv_id, named_struct('response', 'r', 'prompt', cast(null as string)) as value union all select 2, null")
+    out = {r.conv_id: r.turns for r in chat_format.canonical_turns(rows, "value").collect()}
+    assert [tuple(t) for t in out[1]] == [("user", ""), ("assistant", "r")] and out[2] is None
+    talk = spark.sql("select array(named_struct('from', 'gpt', 'value', 'g'), named_struct('from', 'other', 'value', null)) as conversations").selectExpr("struct(conversations) as value")
+    assert [tuple(t) for t in chat_format.canonical_turns(talk, "value").first().turns] == [("assistant", "g"), ("other", "")]
+    assert chat_format.canonical_turns(spark.sql("select named_struct('x', 1) as value"), "value").first().turns is None
+
+
 def check_packed(rows, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
