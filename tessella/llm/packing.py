@@ -4,11 +4,17 @@ Piece lengths are whole numbers up to the capacity, so however many documents th
 histogram of at most that many counts. Spark tokenizes, cuts and counts; the driver solves the histogram by bin
 completion with branch and bound and gets a plan of fillings, each with a repeat count; tasks then look up where the
 n-th piece of each length goes.
+
+Best fit gives the first incumbent. Where it misses the bound of total over capacity, fractional packing (fillings as
+columns) gives a sharper bound, and its fillings, rounded down, fix most bins; what remains has few pieces of each length
+and goes through bin completion: around the largest piece left all undominated fillings are enumerated, fullest first,
+and waste that would cost the incumbent's number of bins ends a branch.
 """
 
 from __future__ import annotations
 
 import base64
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -53,115 +59,185 @@ def bins(plan: Plan) -> int:
     return sum(n for _, n in plan)
 
 
-def below(counts: np.ndarray) -> np.ndarray:
-    """For each x the largest size at most x that is left, 0 if none."""
-    return np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
-
+def fillings(sizes: list[int], counts: list[int], room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """All undominated multisets of sizes (largest first, counts of each) that leave at most most_waste of the room, fullest first.
 
-def completions(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room beside a bin's largest piece, fullest first.
-
-    The largest single piece t that fits dominates every filling of total t or less, as those pieces would fit in its
-    place; so others count only if they are fuller. Each filling is maximal: its last piece is the largest that fits.
+    A filling is dominated if a piece that it leaves out could take the place of some of its pieces with no less in all:
+    those pieces fit wherever that piece would have gone. reach[k] has bit t if the sizes from k on can make a sum of t.
     """
-    prev = below(counts)
-    t = int(prev[room])
-    if not t:
-        return [()]
-    found = {(t,): t}
-    if t < room:
-        firsts = np.flatnonzero(counts[: t + 1])[::-1]
-        firsts = firsts[firsts > 0]
-        for a in firsts[: 4 * most].tolist():
-            counts[a] -= 1
-            prev2 = below(counts) if counts[a] == 0 else prev
-            b = min(int(prev2[room - a]), a)
-            b = int(prev2[b])
-            if b and a + b > t:
-                found[(a, b)] = a + b
-            if b and a + b < room:
-                counts[b] -= 1
-                c = int(below(counts)[min(room - a - b, b)])
-                if c and a + b + c > t:
-                    found[(a, b, c)] = a + b + c
-                # A smaller second piece may leave room that a third fills to the end.
-                for second in np.flatnonzero(counts[1 : b + 1])[::-1][:3].tolist():
-                    third = room - a - (second + 1)
-                    if 0 < third <= second + 1 and counts[third] > (third == second + 1):
-                        found[(a, second + 1, third)] = room
-                        break
-                counts[b] += 1
-            counts[a] += 1
-            if len(found) > 4 * most:
-                break
-    # Those that still leave room take what else fits.
-    out = {}
-    for filling in found:
-        rest = counts.copy()
-        for x in filling:
-            rest[x] -= 1
-        filling, left = list(filling), room - sum(filling)
-        while left and (x := int(below(rest)[left])):
-            filling.append(x)
-            rest[x] -= 1
-            left -= x
-        out[tuple(sorted(filling, reverse=True))] = left
-    return sorted(out, key=lambda f: (out[f], len(f), [-x for x in f]))[:most]
-
-
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 4_000, branches: int = 4) -> Plan:
-    """Branch and bound over bin completions; at best fit's result if nothing better is found in so many nodes.
-
-    A node fixes a filling around the largest piece left, for as many bins as its pieces last. Waste that would cost
-    as many bins as the incumbent prunes a branch; reaching the bound of total over capacity ends the search.
+    reach = [1] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        bits, step, left = reach[k + 1], 1, counts[k]
+        while left:  # counts in powers of two
+            step = min(step, left)
+            bits |= bits << sizes[k] * step
+            left, step = left - step, 2 * step
+        reach[k] = bits & (1 << room + 1) - 1
+
+    def with_sum(k: int, rest: int, taken: list[int]) -> Iterator[list[int]]:
+        if not rest:
+            yield taken + [0] * (len(sizes) - k)
+            return
+        # The next size that is taken; from where no sum of the smaller ones is left, none is.
+        for j in range(k, len(sizes)):
+            if not reach[j] >> rest & 1:
+                return
+            for n in range(min(counts[j], rest // sizes[j]), 0, -1):
+                if reach[j + 1] >> rest - n * sizes[j] & 1:
+                    yield from with_sum(j + 1, rest - n * sizes[j], [*taken, *[0] * (j - len(taken)), n])
+
+    def dominated(taken: list[int], waste: int) -> bool:
+        sums, pairs = 1, 0  # of any pieces, and of two or more
+        for size, n in zip(sizes, taken):
+            for _ in range(n):
+                pairs |= pairs << size | (sums & ~1) << size
+                sums |= sums << size
+        for size, n, all_ in zip(sizes, taken, counts):
+            # A piece left out that fits beside, or in the place of a smaller one or of several that aren't more.
+            if n < all_ and (size <= waste or (sums & ~1) >> max(1, size - waste) & (1 << min(waste, size - 1)) - 1 if waste else False):
+                return True
+            if n < all_ and pairs >> max(0, size - waste) & (1 << min(waste, size) + 1) - 1:
+                return True
+        return False
+
+    for waste in range(min(most_waste, room) + 1):
+        for taken in with_sum(0, room - waste, []):
+            if not dominated(taken, waste):
+                yield tuple(size for size, n in zip(sizes, taken) for _ in range(n))
+
+
+def best_column(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable filling with any number of each size, by dynamic programming over the room."""
+    worth, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(sizes.min()), capacity + 1):
+        fit = sizes <= c
+        gains = worth[c - sizes[fit]] + values[fit]
+        k = int(gains.argmax())
+        if gains[k] > worth[c - 1] + 1e-12:
+            worth[c], pick[c] = gains[k], np.flatnonzero(fit)[k]
+        else:
+            worth[c], pick[c] = worth[c - 1], -1
+    column, c = np.zeros(len(sizes)), capacity
+    while c > 0:
+        if pick[c] < 0:
+            c -= 1
+        else:
+            column[pick[c]] += 1
+            c -= int(sizes[pick[c]])
+    return float(worth[capacity]), column
+
+
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, seconds: float) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+    """(fillings with fractional repeats, lower bound of bins): the simplex method, in which a dynamic program finds the next filling.
+
+    The bound holds after any number of steps: no filling is worth more than the best one's value, so the pieces' worth
+    over that value bounds the bins.
+    """
+    m, began = len(sizes), time.monotonic()
+    per = capacity // sizes
+    columns, inverse, x = np.diag(per.astype(float)), np.diag(1 / per), counts / per
+    bound = 0.0
+    while True:
+        values = inverse.sum(axis=0)
+        worth, column = best_column(sizes, values, capacity)
+        bound = max(bound, float(values @ counts) / worth)
+        if worth <= 1 + 1e-9 or time.monotonic() - began > seconds:
+            break
+        step = inverse @ column
+        rows = np.flatnonzero(step > 1e-9)
+        k = int(rows[np.argmin(x[rows] / step[rows])])
+        take = x[k] / step[k]
+        x -= take * step
+        x[k] = take
+        inverse[k] /= step[k]
+        step[k] = 0
+        inverse -= np.outer(step, inverse[k])
+        columns[:, k] = column
+    made = [(tuple(int(s) for s, n in zip(sizes, columns[:, k].astype(int)) for _ in range(n)), float(x[k])) for k in range(m)]
+    return made, bound
+
+
+def bin_completion(counts: np.ndarray, capacity: int, seconds: float = 20.0) -> Plan:
+    return solved(counts, capacity, seconds)[0]
+
+
+def solved(counts: np.ndarray, capacity: int, seconds: float = 20.0) -> tuple[Plan, int]:
+    """(plan, lower bound of its bins). The plan is as short as any if the two agree, or if the search came to its end.
+
+    seconds bounds the time of the two searches; the plan is then the best one found, and the bound tells how far from
+    the shortest it can be at most.
     """
     counts = counts.astype(np.int64).copy()
+    total, began = int((counts * np.arange(len(counts))).sum()), time.monotonic()
+    bound, incumbent = -(-total // capacity), best_fit(counts, capacity)
+    if bins(incumbent) <= bound:
+        return incumbent, bound
+    sizes = np.flatnonzero(counts)
+    columns, least = fractional(sizes, counts[sizes].astype(float), capacity, seconds / 2)
+    bound = max(bound, int(np.ceil(least - 1e-6)))
+    fixed, left = [], counts.copy()
+    for pieces, x in sorted(columns, key=lambda c: -c[1]):
+        need = np.bincount(pieces, minlength=len(counts))
+        n = min(int(x + 1e-6), int((left[need > 0] // need[need > 0]).min()))
+        if n > 0:
+            fixed.append((pieces, n))
+            left -= n * need
+    # So few pieces are searched as they are, too, without fillings fixed before.
+    for start, rest in ((fixed, left), *[([], counts)] * (int(counts.sum()) <= SMALL)):
+        if bins(incumbent) > bound:
+            plan = start + completed(rest, capacity, bins(incumbent) - bins(start), bound - bins(start), began + seconds)
+            incumbent = min(incumbent, plan, key=bins)
+    return incumbent, bound
+
+
+SMALL = 300
+
+
+def completed(counts: np.ndarray, capacity: int, most: int, bound: int, ends: float) -> Plan:
+    """The shortest plan of fewer than most bins, by branch and bound; best fit's if none is found by then."""
     sizes = np.arange(len(counts))
     total = int((counts * sizes).sum())
-    bound = -(-total // capacity)
-    incumbent = best_fit(counts, capacity)
-    fixed: Plan = []
-    # A piece with an exact partner is best with it: the pair dominates all other fillings of the larger one.
-    if bins(incumbent) > bound:
-        for size in range(capacity, capacity // 2 - 1, -1):
-            partner = capacity - size
-            n = int(counts[size]) if not partner else int(counts[size]) // 2 if partner == size else int(min(counts[size], counts[partner]))
-            if n:
-                fixed.append(((size, partner) if partner else (size,), n))
-                counts[size] -= n
-                if partner:
-                    counts[partner] -= n
-        best = best_fit(counts, capacity)
-        if bins(fixed) + bins(best) < bins(incumbent):
-            incumbent = fixed + best
-    best_bins, seen = bins(incumbent), 0
-    stack: list[tuple[np.ndarray, Plan, int, int]] = [(counts, list(fixed), bins(fixed), 0)]
-    while stack and best_bins > bound and seen < nodes:
-        left, plan, used, wasted = stack.pop()
-        seen += 1
-        if not left.any():
-            if used < best_bins:
-                incumbent, best_bins = plan, used
+    best = best_fit(counts, capacity)
+    best_bins = min(most, bins(best))
+    seen: dict[bytes, int] = {}
+
+    def options(left: np.ndarray, wasted: int) -> Iterator[tuple[int, ...]]:
+        held = np.flatnonzero(left)[::-1]
+        size, own = int(held[0]), left[held].tolist()
+        own[0] -= 1
+        allowed = (best_bins - 1) * capacity - total - wasted
+        if allowed >= 0:
+            for filling in fillings(held.tolist(), own, capacity - size, allowed):
+                yield (size, *filling)
+
+    # One frame a bin: the pieces left, the waste so far, the fillings still to try, and the plan.
+    stack = [(counts, 0, options(counts, 0) if counts.any() else iter(()), [])]
+    while stack and best_bins > max(bound, 0) and time.monotonic() < ends:
+        left, wasted, todo, plan = stack[-1]
+        pieces = next(todo, None)
+        if pieces is None:
+            stack.pop()
+            continue
+        waste = wasted + capacity - sum(pieces)
+        if total + waste > (best_bins - 1) * capacity:  # fillings come fullest first: the others waste more
+            stack.pop()
+            continue
+        rest = left - np.bincount(pieces, minlength=len(left))
+        made = [*plan, (pieces, 1)]
+        if not rest.any():
+            if len(made) < best_bins:
+                best, best_bins = made, len(made)
             continue
-        rest = int((left * sizes).sum())
-        if used + -(-rest // capacity) >= best_bins:  # total + waste so far would fill the incumbent's bins
+        greedy = best_fit(rest, capacity)
+        if len(made) + bins(greedy) < best_bins:
+            best, best_bins = made + greedy, len(made) + bins(greedy)
+        key = rest.tobytes()
+        if seen.get(key, len(made) + 1) <= len(made):  # the same pieces were left by as few bins
             continue
-        size = int(np.flatnonzero(left)[-1])
-        left = left.copy()
-        left[size] -= 1
-        options = completions(left, capacity - size, branches)
-        left[size] += 1
-        for filling in reversed(options):
-            pieces = (size, *filling)
-            need = np.bincount(pieces, minlength=len(left))
-            n = int((left[need > 0] // need[need > 0]).min())
-            waste = wasted + n * (capacity - sum(pieces))
-            if n > 1 and total + waste > (best_bins - 1) * capacity:
-                n, waste = 1, wasted + capacity - sum(pieces)
-            if total + waste > (best_bins - 1) * capacity:
-                continue
-            stack.append((left - n * need, [*plan, (pieces, n)], used + n, waste))
-    return incumbent
+        if len(seen) < 200_000:
+            seen[key] = len(made)
+        stack.append((rest, waste, options(rest, waste), made))
+    return best
 
 
 def places(plan: Plan, capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

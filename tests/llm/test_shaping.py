@@ -166,6 +166,8 @@ def test_packing(spark):
     lengths = [r.length for r in packing.pack_documents(frame(spark, docs)).collect()]
     assert -(-sum(lengths) // 1024) <= n <= packing.bins(packing.best_fit(np.bincount(lengths, minlength=1025), 1024))
     assert packing.pack_documents(frame(spark, empty=True)).count() == 0
+    odd = packing.pack_documents(frame(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (None, None)])).collect()
+    assert sorted(r.length for r in odd) == [1, 3, 3, 3] and [r.doc_id for r in odd].count(1) == 2 and len({(r.sequence_id, r.offset) for r in odd}) == 4
     with_ids = packing.pack_documents(frame(spark, [(1, "two words")]), with_ids=True).first()
     assert len(with_ids.ids) == with_ids.length and with_ids.ids[-1] == 2
 
@@ -182,6 +184,61 @@ def test_bin_completion_beats_best_fit():
     assert packing.bins(packing.bin_completion(counts, 1024)) < packing.bins(packing.best_fit(counts, 1024))
 
 
+@pytest.mark.parametrize("sizes, n", [(range(340, 345), 10_001), ([205, 260, 342, 401, 513], 5000)])
+def test_few_lengths_are_packed_to_the_bound(sizes, n):
+    counts = np.bincount(np.random.default_rng(0).choice(list(sizes), n), minlength=1025)
+    plan, bound = packing.solved(counts, 1024)
+    held = np.zeros(1025, np.int64)
+    for filling, k in plan:
+        assert sum(filling) <= 1024
+        np.add.at(held, list(filling), k)
+    assert (held == counts).all() and packing.bins(plan) == bound < packing.bins(packing.best_fit(counts, 1024))
+
+
+def fewest(sizes: list[int], capacity: int) -> int:
+    """By trying every bin for every piece."""
+    best = len(sizes)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            put(i + 1, [*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_bin_completion_is_as_short_as_any():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = sorted(rng.integers(8, 60, 11).tolist(), reverse=True)
+        plan, bound = packing.solved(np.bincount(sizes, minlength=101), 100)
+        assert packing.bins(plan) == fewest(sizes, 100) >= bound and sorted(x for f, n in plan for x in f * n) == sorted(sizes)
+
+
+def test_fillings_are_all_that_nothing_dominates():
+    sizes, counts, room = [50, 40, 33, 30, 20, 13, 7], [1, 2, 1, 2, 1, 2, 3], 83
+    every = [()]
+    for s, n in zip(sizes, counts):
+        every = [f + (s,) * k for f in every for k in range(n + 1)]
+    every = [f for f in every if sum(f) <= room]
+
+    def dominated(f):
+        left = {s: n - f.count(s) for s, n in zip(sizes, counts)}
+        parts = {tuple(x for i, x in enumerate(f) if bits >> i & 1) for bits in range(2 ** len(f))}
+        return any(n and any(sum(p) <= s <= sum(p) + room - sum(f) and (sum(p) < s or len(p) > 1) for p in parts) for s, n in left.items())
+
+    found = list(packing.fillings(sizes, counts, room, room))
+    assert sorted(found) == sorted(f for f in every if not dominated(f)) and len(set(found)) == len(found)
+    assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
 def targets(sizes: dict, share=1.5, most=2.0) -> dict:
     """Filling up step by step, as the contract words it."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
