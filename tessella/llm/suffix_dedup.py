@@ -4,14 +4,17 @@ A substring of LENGTH bytes repeats if an earlier document holds it too. Each pl
 bucket of its anchor: the k-gram with the smallest hash in it. Equal substrings have equal anchors at equal distances,
 so a bucket holds all suffixes that can be equal, and its text is shipped once for the dozen suffixes around an anchor.
 
-1. Tasks send the hashes of their anchors; shards find those that more than one document holds and make small filters
-   of a fixed most size, which all tasks get. A false hit costs work, never a wrong result.
+1. Tasks send the hashes of their anchors; shards stream them through filters of fixed size, which find those that
+   more than one document holds, and count those that very many hold. All tasks get small filters of both.
 2. Tasks send the surroundings of anchors that hit. Of equal surroundings within a task only those of its first
-   document go; the others are repeats already.
-3. A shard sorts one bucket of suffixes after another. The columns of a difference cover get ranks, from the last to
-   the first; every other suffix is ordered by the few bytes before its next cover column and the rank there, so ties
-   of any length cost the same. Neighbours that agree in LENGTH bytes are equal substrings.
-4. What repeats goes back to the documents as bit masks.
+   document go; the others are repeats already. Around an anchor that very many documents hold the text differs at
+   the edges of what they share: there each substring goes by itself, to the shard of its own hash, so that no bucket
+   grows with the input.
+3. A shard takes its surroundings in blocks. First the columns of a difference cover are ranked over the whole block,
+   from the last to the first; then one suffix column after another is ordered within its buckets by the few bytes
+   before its next cover column and the rank there, so ties of any length cost the same. Neighbours that agree in
+   LENGTH bytes are equal substrings. As an anchor's surroundings are aligned, suffixes of one bucket start at one column.
+4. What repeats goes back as runs of starts to the documents that have any; other documents stay where they are.
 """
 
 from __future__ import annotations
@@ -25,10 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import Filters
-from .common import partitions, texts
+from .bloom import Bloom, Filters, filled, folded, power_of_two
+from .common import materialize, shards_for, text_bytes, texts
 from .kernels import BYTE, U, mix, powers
-from .line_dedup import twice_filters
 
 LENGTH = 50
 GRAM = 24
@@ -39,15 +41,20 @@ AROUND = SPAN - 1 + LENGTH
 #: A difference cover modulo 13: each residue is the difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: What a task holds before it sends, in bytes of text; what a shard sorts at a time, in surroundings.
-HOLD, BUCKET = 16 << 20, 100_000
-#: Texts are hashed in groups of about so many bytes.
+HOLD, BLOCK = 16 << 20, 100_000
+#: Texts are hashed in groups of about so many bytes; longer ones are cut into slices of so many starts.
 GROUP = 1 << 19
+#: An anchor in more documents than this is split up by substrings; so many surroundings are split at a time.
+HOT, HOT_PART = 20_000, 10_000
+#: Input bytes for each filter shard, each shard of surroundings and each group of documents, and the most of them.
+FILTER_SHARD, SHARD, DOCS_GROUP, MOST_SHARDS = 32 << 20, 8 << 20, 32 << 20, 50_000
 LAST = np.iinfo(np.int64).max
 CODEC = "zstd"
 
 RECORD = np.dtype([("hash", "<u8"), ("first", "u1"), ("last", "u1"), ("bytes", "u1", (AROUND,)), ("fill", "u1", (2,))])
 PLACE = np.dtype([("doc", "<i8"), ("text", "<u8"), ("base", "<i8"), ("group", "<i4")])
-MARK = np.dtype([("doc", "<i8"), ("text", "<u8"), ("base", "<i8"), ("mask", "<u4")])
+#: A run of starts whose LENGTH bytes a smaller document holds.
+MARK = np.dtype([("doc", "<i8"), ("text", "<u8"), ("start", "<i8"), ("stop", "<i8")])
 
 
 def smallest(hashes: np.ndarray) -> np.ndarray:
@@ -75,7 +82,7 @@ def anchors(group: list[bytes]) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return data, none, none, none, none, none.view(np.uint64)
-    up, down = powers(1 << max(GROUP.bit_length(), len(data).bit_length()))
+    up, down = powers(2 * GROUP + LENGTH)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE[data] * up[: len(data)], out=sums[1:])
     hashes = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
@@ -91,17 +98,20 @@ def anchors(group: list[bytes]) -> tuple[np.ndarray, ...]:
     return data, text[first], first, stop, place[first], hashes[place[first]]
 
 
-def groups_of(rows: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Groups of texts of about GROUP bytes, each with the number of its first text."""
-    at, group, size = 0, [], 0
+def groups_of(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(row, offset in it, bytes) of slices in groups of about GROUP bytes; slices of a text overlap, so that each start is whole in one."""
+    row, offset, group, size = [], [], [], 0
     for i, text in enumerate(rows):
-        group.append(text)
-        size += len(text)
-        if size >= GROUP:
-            yield at, group
-            at, group, size = i + 1, [], 0
+        for at in range(0, max(1, len(text) - LENGTH + 1), GROUP):
+            group.append(text[at : at + GROUP + LENGTH - 1])
+            row.append(i)
+            offset.append(at)
+            size += len(group[-1])
+            if size >= GROUP:
+                yield np.array(row), np.array(offset), group
+                row, offset, group, size = [], [], [], 0
     if group:
-        yield at, group
+        yield np.array(row), np.array(offset), group
 
 
 def split_hash(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +130,8 @@ def from_five(data: bytes) -> np.ndarray:
 
 
 def sent_anchors(shards: int) -> Callable:
+    """(shard, once, twice, held): anchors that one document of this part of a task holds, those that more hold, and how many do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = number = 0
@@ -128,32 +140,76 @@ def sent_anchors(shards: int) -> Callable:
             hashes, owner = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((owner, hashes))
             hashes, owner = hashes[order], owner[order]
-            new = np.append(True, hashes[1:] != hashes[:-1])
-            starts = np.flatnonzero(new)
-            many = np.maximum.reduceat(owner, starts) > owner[starts]
+            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
+            docs = np.add.reduceat(new.astype(np.int64), starts)
             shard, value = split_hash(hashes[starts], shards)
             order = np.lexsort((value, shard))
-            shard, value, many = shard[order], value[order], many[order]
+            shard, value, docs = shard[order], value[order], docs[order]
             at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            parts = list(zip(shard[at].tolist(), np.split(value, at[1:]), np.split(many, at[1:])))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()), pa.array([five_bytes(v[~m]) for _, v, m in parts], pa.binary()), pa.array([five_bytes(v[m]) for _, v, m in parts], pa.binary())], ["shard", "once", "twice"])
+            parts = list(zip(shard[at].tolist(), np.split(value, at[1:]), np.split(docs, at[1:])))
+            columns = [[s for s, _, _ in parts], [five_bytes(v[d == 1]) for _, v, d in parts], [five_bytes(v[d > 1]) for _, v, d in parts], [np.minimum(d[d > 1], 65535).astype("<u2").tobytes() for _, _, d in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "once", "twice", "held"])
 
         for batch in batches:
-            for _, group in groups_of(list(texts(batch.column(0)))):
+            rows = list(texts(batch.column(0)))
+            for row, _, group in groups_of(rows):
                 _, text, _, _, _, found = anchors(group)
                 if len(found):
-                    held.append((found, text + number))
-                number += len(group)
+                    held.append((found, row[text] + number))
                 size += sum(map(len, group))
                 if size >= HOLD and held:
                     yield from flush()
                     held, size = [], 0
+            number += len(rows)
         if held:
             yield from flush()
 
     return run
 
 
+def anchor_filters(shards: int, most_hashes: int, most_bytes: int) -> Callable:
+    """(shard, bits, hot) from rows sorted by shard: filters of the anchors of several documents and of those of more than HOT.
+
+    Nothing is gathered: the filters and the counts (two rows of counters, of which the smaller holds) have sizes that
+    follow from most_hashes, about how many anchors a shard gets. A count may be too large, never too small, and takes
+    in what at least two documents of a task's part hold.
+    """
+    bits, width, most_bits = power_of_two(12 * most_hashes), power_of_two(max(1024, most_hashes // 4)), max(64, 8 * most_bytes // shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([folded(again, n, most_bits).data.tobytes()], pa.binary()), pa.array([folded(hot, n_hot, most_bits // 8).data.tobytes() if n_hot else b""], pa.binary())], ["shard", "bits", "hot"])
+
+        n = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, once, twice, docs = (c[i].as_py() for c in batch.columns)
+                if shard != own:
+                    yield from done()
+                    own, seen, again, hot, n, n_hot = shard, Bloom(bits), Bloom(bits), Bloom(1 << 16), 0, 0
+                    counts = np.zeros((2, width), np.int64)
+                ones, twos = from_five(once), from_five(twice)
+                repeats = np.concatenate([twos, ones[seen.hits(ones)]])
+                for hashes in (ones, twos):
+                    seen.add(hashes)
+                repeats = repeats[~again.hits(repeats)]
+                again.add(repeats)
+                n += len(repeats)
+                places = [(twos >> U(k)).astype(np.int64) & width - 1 for k in (0, 32)]
+                for row, at in zip(counts, places):
+                    np.add.at(row, at, np.frombuffer(docs, "<u2").astype(np.int64))
+                many = twos[np.minimum(counts[0][places[0]], counts[1][places[1]]) > HOT]
+                hot.add(many)
+                n_hot += len(many)
+        yield from done()
+
+    return run
+
+
 def row_digest(records: np.ndarray) -> np.ndarray:
     words = records.view("<u8").reshape(len(records), -1)
     return mix((mix(words) * (mix(np.arange(1, words.shape[1] + 1, dtype=np.uint64)) | U(1))).sum(axis=1))
@@ -199,41 +255,82 @@ def by_key(kind: int, key: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, i
     return [(kind, int(key[rows[0]]), len(rows), packed(*(a[rows] for a in arrays))) for rows in np.split(order, starts[1:]) if len(rows)]
 
 
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start column, stop column) of the runs of set bits."""
+    bits = np.zeros((len(mask), SPAN + 2), np.int8)
+    bits[:, 1:-1] = mask[:, None] >> np.arange(SPAN, dtype=np.uint32) & np.uint32(1)
+    step = np.diff(bits, axis=1)
+    row, start = np.nonzero(step > 0)
+    return row, start, np.nonzero(step < 0)[1]
+
+
 def marks_of(places: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    hit = np.flatnonzero(mask)
-    marks = np.zeros(len(hit), MARK)
-    for name in ("doc", "text", "base"):
-        marks[name] = places[name][hit]
-    marks["mask"] = mask[hit]
-    return by_key(1, places["group"][hit], marks)
+    """Rows of kind 1: the runs of starts that the masks tell, those that meet as one, packed for each group of documents."""
+    row, start, stop = runs_of(mask)
+    marks, group = np.zeros(len(row), MARK), places["group"][row]
+    for name in ("doc", "text"):
+        marks[name] = places[name][row]
+    marks["start"], marks["stop"] = places["base"][row] + start, places["base"][row] + stop
+    order = np.lexsort((marks["start"], marks["text"], marks["doc"]))
+    marks, group = marks[order], group[order]
+    if len(marks):
+        new = np.append(True, (marks["doc"][1:] != marks["doc"][:-1]) | (marks["text"][1:] != marks["text"][:-1]) | (marks["start"][1:] > marks["stop"][:-1]))
+        at = np.flatnonzero(new)
+        stops = np.maximum.reduceat(marks["stop"], at)
+        marks, group = marks[at], group[at]
+        marks["stop"] = stops
+    return by_key(1, group, marks)
+
+
+def split_up(records: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each substring as a record of its own, in the bucket of its own hash."""
+    columns = np.arange(SPAN)
+    row, column = np.nonzero((records["first"][:, None] <= columns) & (columns <= records["last"][:, None]))
+    out = np.zeros(len(row), RECORD)
+    at = np.arange(AROUND)
+    inside = (at >= column[:, None]) & (at < column[:, None] + LENGTH)
+    out["bytes"] = np.where(inside, records["bytes"][row], 0)
+    out["hash"] = records["hash"][row]
+    out["first"] = out["last"] = column
+    out["hash"] = row_digest(out)
+    return out, places[row]
+
+
+def known_first(records: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Of equal records those of their first document, and marks for the others."""
+    order, new = same_records(records, places["doc"])
+    records, places = records[order], places[order]
+    least = places["doc"][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    later = places["doc"] > least
+    width = records["last"].astype(np.int64) - records["first"] + 1
+    mask = ((1 << width) - 1 << records["first"].astype(np.int64)).astype(np.uint32)
+    return records[~later], places[~later], marks_of(places[later], mask[later])
 
 
-def surroundings(filters, shards: int) -> Callable:
-    """Rows of kind 0 for shards, of kind 1 (marks) for groups of documents."""
+def surroundings(filters, shards: int, targets: int) -> Callable:
+    """Rows of kind 0 for shards of surroundings, of kind 1 (marks) for groups of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filters(filters.value, shards)
+        known, hot = (Filters({s: x[k] for s, x in filters.value.items()}, shards) for k in (0, 1))
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            records, places = (np.concatenate(x) for x in zip(*held))
-            order, new = same_records(records, places["doc"])
-            records, places = records[order], places[order]
-            least = places["doc"][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            later = places["doc"] > least
-            width = records["last"].astype(np.int64) - records["first"] + 1
-            mask = ((1 << width) - 1 << records["first"].astype(np.int64)).astype(np.uint32)
-            rows = marks_of(places[later], mask[later])
-            shard, _ = split_hash(records["hash"][~later], shards)
-            rows += by_key(0, shard, records[~later], places[~later])
+            records, places, rows = known_first(*(np.concatenate(x) for x in zip(*held)))
+            shard, value = split_hash(records["hash"], shards)
+            often = hot.hits(shard, mix(value))
+            for at in range(0, int(often.sum()), HOT_PART):
+                own = np.flatnonzero(often)[at : at + HOT_PART]
+                own_records, own_places, own_rows = known_first(*split_up(records[own], places[own]))
+                rows += own_rows + by_key(0, (mix(own_records["hash"]) % U(targets)).astype(np.int64), own_records, own_places)
+            rows += by_key(0, (mix(records["hash"][~often]) % U(targets)).astype(np.int64), records[~often], places[~often])
             if rows:
                 yield sent_rows(rows)
 
         for batch in batches:
             ids, rows, group_of = batch.column("id").to_pylist(), list(texts(batch.column("text"))), batch.column("group").to_numpy()
-            doc = np.array([LAST if i is None else i for i in ids], np.int64)
-            for begin, group in groups_of(rows):
+            doc, told = np.array([LAST if i is None else i for i in ids], np.int64), {}
+            for row, offset, group in groups_of(rows):
                 data, text, first, stop, place, hashes = anchors(group)
                 size += len(data)
                 if len(hashes):
@@ -245,9 +342,10 @@ def surroundings(filters, shards: int) -> Callable:
                     records, places = np.zeros(len(text), RECORD), np.zeros(len(text), PLACE)
                     records["hash"], records["first"], records["last"] = hashes, first - (place - SPAN + 1), stop - (place - SPAN + 1)
                     records["bytes"] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
-                    digests = np.array([xxhash.xxh3_64_intdigest(t) for t in group], np.uint64)
-                    begins = np.cumsum([0, *map(len, group)])
-                    places["doc"], places["text"], places["base"], places["group"] = doc[begin + text], digests[text], place - SPAN + 1 - begins[text], group_of[begin + text]
+                    told = {i: told[i] if i in told else xxhash.xxh3_64_intdigest(rows[i]) for i in row.tolist()}  # slices of one text share it
+                    digests = np.array([told[i] for i in row.tolist()], np.uint64)
+                    begins = np.cumsum([0, *map(len, group)])[:-1]
+                    places["doc"], places["text"], places["base"], places["group"] = doc[row[text]], digests[text], place - SPAN + 1 - begins[text] + offset[text], group_of[row[text]]
                     held.append((records, places))
                 if size >= HOLD and held:
                     yield from flush()
@@ -277,31 +375,35 @@ def number_of(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_orders(text: np.ndarray, bucket: np.ndarray, columns: int) -> Iterator[np.ndarray]:
-    """For each start column the rows in order of (bucket, their bytes from there to the end).
+def cover_ranks(text: np.ndarray) -> dict[int, np.ndarray]:
+    """The rank of each row's bytes from a column of the difference cover to the end, among all rows.
 
-    Ranks of the cover columns come first, each from the bytes up to the next cover column and the rank there.
+    From the last column to the first, each from the bytes up to the next cover column and the rank there.
     """
     width = text.shape[1]
-    cover = [c for c in range(width) if c % MODULUS in COVER]
     rank: dict[int, np.ndarray] = {}
     after, behind = width, np.zeros(len(text), np.int64)
-    for c in reversed(cover):
-        behind = rank[c] = ranks((behind, number_of(text[:, c:after]), bucket))
+    for c in reversed([c for c in range(width) if c % MODULUS in COVER]):
+        behind = rank[c] = ranks((behind, number_of(text[:, c:after])))
         after = c
-    for start in range(columns):
-        following = next(c for c in cover if c >= start)
-        if following == start:
-            yield np.argsort(rank[start], kind="stable")
-        else:
-            yield np.lexsort((rank[following], number_of(text[:, start:following]), bucket))
+    return rank
+
+
+def suffix_order(start: int, text: np.ndarray, bucket: np.ndarray, rank: dict[int, np.ndarray]) -> np.ndarray:
+    """The rows in order of (bucket, their bytes from start to the end): the bytes before the next cover column, then the rank there."""
+    following = min(c for c in rank if c >= start)
+    if following == start:
+        return np.lexsort((rank[start], bucket))
+    return np.lexsort((rank[following], number_of(text[:, start:following]), bucket))
 
 
 def smallest_holders(records: np.ndarray, least: np.ndarray) -> np.ndarray:
     """(records, SPAN): the smallest document with the same LENGTH bytes at this column of this bucket."""
     out = np.full((len(records), SPAN), LAST, np.int64)
     bucket, text = records["hash"], records["bytes"]
-    for column, order in enumerate(suffix_orders(text, bucket, SPAN)):
+    rank = cover_ranks(text)
+    for column in range(SPAN):
+        order = suffix_order(column, text, bucket, rank)
         order = order[(records["first"][order] <= column) & (column <= records["last"][order])]
         if not len(order):
             continue
@@ -333,22 +435,29 @@ def bucket_marks(records: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks from the surroundings of this task's shards, bucket by bucket; marks that come in go on as they are."""
-    held: list[tuple[int, bytes]] = []
+    """Marks from surroundings, shard by shard as they come, block by block; marks that come in go on as they are."""
+    own, held = None, []
     for batch in batches:
-        rows = batch.to_pylist()
-        if onward := [tuple(r.values()) for r in rows if r["kind"]]:
-            yield sent_rows(onward)
-        held += [(r["n"], r["data"]) for r in rows if not r["kind"]]
-    if not held:
-        return
+        for at in range(batch.num_rows):
+            kind, key, n, data = (c[at].as_py() for c in batch.columns)
+            if kind:
+                yield sent_rows([(kind, key, n, data)])
+                continue
+            if key != own:
+                yield from shard_marks(held)
+                own, held = key, []
+            held.append((n, data))
+    yield from shard_marks(held)
+
+
+def shard_marks(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     n = sum(x for x, _ in held)
-    rounds = -(-n // (4 * BUCKET))  # what is unpacked at a time
+    rounds = -(-n // (4 * BLOCK))  # what is unpacked at a time
     for r in range(rounds):
         parts = []
         for size, data in held:
             records, places = unpacked(data, size, RECORD, PLACE)
-            own = mix(records["hash"]) % U(rounds) == U(r)
+            own = mix(records["hash"] ^ U(0x5DEECE66D)) % U(rounds) == U(r)
             parts.append((records[own], places[own]))
         records, places = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(records["hash"], kind="stable")
@@ -356,26 +465,47 @@ def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         at = 0
         while at < len(records):
             # A bucket is never cut: it ends where the hash changes.
-            end = min(at + BUCKET, len(records))
+            end = min(at + BLOCK, len(records))
             end = int(np.searchsorted(records["hash"], records["hash"][end - 1], side="right"))
             if rows := marks_of(places[at:end], bucket_marks(records[at:end], places[at:end])):
                 yield sent_rows(rows)
             at = end
 
 
-def without_repeats(text: bytes, starts: np.ndarray) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, removed runs) if each start removes LENGTH bytes."""
+def without_repeats(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, removed runs) if each start of the runs removes LENGTH bytes."""
     edge = np.zeros(len(text) + 1, np.int32)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
+    np.add.at(edge, stops - 1 + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
     runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
+def marked_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the documents that have marks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            marks = unpacked(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), MARK)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(mix(np.unique(marks["doc"]).view(np.uint64)).view(np.int64))], ["hash"])
+
+
+def with_marks(held, shards: int, inside: bool) -> Callable:
+    """Keeps the documents that may have marks, or those that surely have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filters(held.value, shards)
+        for batch in batches:
+            doc = np.array([LAST if i is None else i for i in batch.column("id").to_pylist()], np.int64)
+            hashes = mix(doc.view(np.uint64))
+            hit = known.hits(np.mod(hashes.view(np.int64), shards), hashes)
+            yield batch.filter(pa.array(hit == inside, pa.bool_()))
+
+    return run
+
+
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each group first the marks, then its documents."""
-    bit = np.arange(SPAN)
     group, blobs, marks = None, [], None
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
@@ -396,8 +526,7 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = own[own["text"] == U(xxhash.xxh3_64_intdigest(text))]
             kept, removed, runs = text, 0, 0
             if len(own):
-                row, column = np.nonzero(own["mask"][:, None] >> bit.astype(np.uint32) & np.uint32(1))
-                kept, removed, runs = without_repeats(text, own["base"][row] + column)
+                kept, removed, runs = without_repeats(text, own["start"], own["stop"])
             for x, v in zip(out, (r["id"], kept, len(text), removed, runs, hashlib.sha256(kept).hexdigest())):
                 x.append(v)
         if out[0]:
@@ -413,18 +542,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes. Rows that repeat an id are one document's: none is smaller than another. A null id is larger than all
     others. Other columns are ignored; an empty table gives no rows. filter_bytes bounds what all tasks get.
     """
-    spark = docs.sparkSession
-    shards = groups = max(8, partitions(spark))
+    spark, size = docs.sparkSession, text_bytes(docs, text_col)
+    shards, targets, groups = (min(MOST_SHARDS, shards_for(size, each)) for each in (FILTER_SHARD, SHARD, DOCS_GROUP))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("group"))
-    hashes = slim.select("text").mapInArrow(sent_anchors(shards), "shard int, once binary, twice binary")
-    filters = hashes.repartition(shards, "shard").mapInArrow(twice_filters(shards, filter_bytes, from_five), "shard int, bits binary")
+    hashes = slim.select("text").mapInArrow(sent_anchors(shards), "shard int, once binary, twice binary, held binary")
+    dealt = hashes.repartition(shards, "shard").sortWithinPartitions("shard")
+    # An anchor stands for about SPAN / 2 starts.
+    filters = dealt.mapInArrow(anchor_filters(shards, -(-2 * max(size, 1) // (shards * SPAN)), filter_bytes), "shard int, bits binary, hot binary")
     # Bounded by filter_bytes, whatever the input's size.
-    held = spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in filters.collect()})
+    held = spark.sparkContext.broadcast({r["shard"]: (bytes(r["bits"]), bytes(r["hot"])) for r in filters.collect()})
     kinds = "kind int, key int, n long, data binary"
-    sent = slim.mapInArrow(surroundings(held, shards), kinds)
-    marks = sent.repartition(shards, "key").mapInArrow(sorted_buckets, kinds)
-    both = marks.select(F.col("key").alias("group"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "n", "data").unionByName(
-        slim.select("group", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), F.encode(F.col("text"), "UTF-8").alias("data"))
+    sent = slim.mapInArrow(surroundings(held, shards, targets), kinds)
+    marks = sent.repartition(targets, "key").sortWithinPartitions("key").mapInArrow(sorted_buckets, kinds)
+    marks = materialize(marks.select(F.col("key").alias("group"), "n", "data"), "suffix-marks")
+    # Only documents with marks meet them; the others are told by a filter of ids of a fixed most size.
+    hashed = marks.select("n", "data").mapInArrow(marked_docs, "hash long").repartition(groups, F.pmod("hash", F.lit(groups)))
+    known = spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in hashed.mapInArrow(filled(groups, filter_bytes), "shard int, bits binary").collect()})
+    fields = "id long, text string, group int"
+    maybe = slim.mapInArrow(with_marks(known, groups, True), fields)
+    both = marks.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "n", "data").unionByName(
+        maybe.select("group", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), F.encode(F.col("text"), "UTF-8").alias("data"))
     )
-    dealt = both.repartition(groups, "group").sortWithinPartitions("group", "kind")
-    return dealt.mapInArrow(cleaned, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    told = both.repartition(groups, "group").sortWithinPartitions("group", "kind")
+    told = told.mapInArrow(cleaned, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    bytes_ = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
+    zero = F.lit(0).cast("long")
+    sure = slim.mapInArrow(with_marks(known, groups, False), fields).select(F.col("id").alias("doc_id"), bytes_.alias("kept"), F.octet_length(bytes_).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"))
+    return sure.unionByName(told)

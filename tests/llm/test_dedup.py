@@ -97,12 +97,58 @@ def test_suffix_orders():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, (300, suffix_dedup.AROUND)).astype(np.uint8)
     text[100:200] = text[:100]
-    bucket = rng.integers(0, 3, 300).astype(np.uint64)
-    for column, order in enumerate(suffix_dedup.suffix_orders(text, bucket, suffix_dedup.SPAN)):
-        keys = [(int(bucket[i]), text[i, column:].tobytes()) for i in order]
+    bucket, rank = rng.integers(0, 3, 300).astype(np.uint64), suffix_dedup.cover_ranks(text)
+    for column in range(suffix_dedup.SPAN):
+        keys = [(int(bucket[i]), text[i, column:].tobytes()) for i in suffix_dedup.suffix_order(column, text, bucket, rank)]
         assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("hot, part", [(3, 7), (10**9, 7)])
+def test_hot_passages_are_split_up(hot, part, monkeypatch):
+    """The stages one after another, as tasks of another process would not see the changed bounds."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_PART", part)
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdef "), size=130))
+    rows = {i: "".join(rng.choice(list("abcdef "), size=int(rng.integers(0, 90)))) + passage + "".join(rng.choice(list("abcdef "), size=60)) for i in range(40)}
+    rows |= {50: rows[3], 51: None, 52: passage[:60], 53: passage[40:]}
+    batch = pa.RecordBatch.from_pydict({"id": list(rows), "text": list(rows.values()), "group": [i % 3 for i in rows]}, pa.schema([("id", pa.int64()), ("text", pa.string()), ("group", pa.int32())]))
+    parts = [batch.slice(0, 20), batch.slice(20)]
+    held: dict = {}
+    sent = [b for p in parts for b in suffix_dedup.sent_anchors(2)(iter([p.select(["text"])]))]
+    for s in (0, 1):
+        own = [b.filter(pa.array([x == s for x in b.column(0).to_pylist()])) for b in sent]
+        for b in suffix_dedup.anchor_filters(2, 10_000, 1 << 20)(iter(own)):
+            held |= {r["shard"]: (r["bits"], r["hot"]) for r in b.to_pylist()}
+    assert any(h for _, h in held.values()) == (hot == 3)
+
+    class Shared:
+        value = held
+
+    rows_ = [r for p in parts for b in suffix_dedup.surroundings(Shared, 2, 4)(iter([p])) for r in b.to_pylist()]
+    made = [b for k in range(4) for b in suffix_dedup.sorted_buckets(iter([pa.RecordBatch.from_pylist([r for r in rows_ if not r["kind"] and r["key"] == k], suffix_dedup.SENT)]))]
+    marks = [r for r in rows_ if r["kind"]] + [r for b in made for r in b.to_pylist()]
+    starts: dict = defaultdict(set)
+    for r in marks:
+        for m in suffix_dedup.unpacked(r["data"], r["n"], suffix_dedup.MARK)[0]:
+            starts[int(m["doc"])] |= set(range(int(m["start"]), int(m["stop"])))
+    seen: dict = {}
+    for i in sorted(rows):
+        t = (rows[i] or "").encode()
+        assert starts[i] == {k for k in range(len(t) - 49) if seen.setdefault(t[k : k + 50], i) < i}
+
+
+def test_long_documents_and_null_ids(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefgh "), size=1_300_000))
+    rows = [(1, long[600_000:600_300]), (2, long), (3, long[:520_000] + "##" + long[524_200:524_400]), (None, long[1_200_000:]), (None, "")]
+    out = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    found = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in out}
+    assert found == {(1, 300): (0, 0), (2, 1_300_000): (300, 1), (3, 520_202): (520_200, 2), (None, 100_000): (100_000, 1), (None, 0): (0, 0)}
+
+
 def test_lines(spark):
     rows = texts()
     holders = defaultdict(set)
