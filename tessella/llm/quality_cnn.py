@@ -84,7 +84,7 @@ class Network:
 
 
 def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3, seed: int = 7) -> Network:
-    """Adam on the cross-entropy, over all chunks of each text, as in scoring."""
+    """Adam on the cross-entropy, over all chunks of each text, as in scoring. Both labels weigh the same in all."""
     net = Network.new(seed)
     r = np.random.default_rng(seed)
     if len({label for _, label in samples}) < 2:
@@ -92,6 +92,7 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3,
         net.out[:] = 0
         net.out_shift[:] = 0 if not samples else 4 if samples[0][1] else -4
         return net
+    share = np.bincount([label for _, label in samples], minlength=2) / len(samples)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
     for _ in range(epochs):
@@ -110,7 +111,7 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = 10, rate: float = 3e-3,
             hidden_raw = features @ net.dense + net.dense_shift
             hidden = np.maximum(hidden_raw, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.out_shift, -30, 30)))
-            d = ((p - labels) / len(rows)).astype(np.float32)
+            d = ((p - labels) / (2 * share[labels.astype(int)] * len(rows))).astype(np.float32)
             g_out, g_out_shift = hidden.T @ d, d.sum(keepdims=True)
             d_hidden = d[:, None] * net.out * (hidden_raw > 0)
             g_dense, g_dense_shift = features.T @ d_hidden, d_hidden.sum(axis=0)
@@ -199,9 +200,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, lab
 
     Learning reads at most per_label rows of each label whose id isn't held out, each whole; if they have more than
     label_bytes bytes, fewer rows, but one at least. Scoring reads every byte of every text. Null and empty texts get a score like any other. Labels that are
-    null or neither 0 nor 1 are passed over; with one label or none the score is a constant. Rows that repeat are
-    scored each; a null id is scored and is not held out unless crc32 of the empty text says so. Scores depend on
-    the bytes alone.
+    null or neither 0 nor 1 are passed over; with one label or none the score is a constant. An id with both labels is
+    learned with both, and of texts that share an id the smallest one; rows that repeat are scored each. A null id is
+    scored, and not held out unless crc32 of the empty text says so. Scores depend on the bytes alone, but for the last
+    digits of single precision; other columns,
+    score and predicted among them, are ignored, and an empty table gives no rows.
     """
     net = fit(training_sample(docs, labels, per_label, label_bytes))
     held = docs.sparkSession.sparkContext.broadcast(net)

@@ -39,6 +39,104 @@ def test_articles_are_a_bonus_and_no_picker():
     assert html_extract.main_text(f"<main>{links}</main>") == ""
 
 
+def test_broken_markup_costs_no_more():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a '" * 250_000, '<a b="' * 150_000, "<" * 1_000_000, "<!" * 500_000, "<script>" * 100_000, '<a b="<a b=" ' * 80_000 + ">"):
+        assert isinstance(html_extract.main_text(page), str)
+    assert time.perf_counter() - began < 10
+    assert html_extract.main_text("<p title=it's>Don't stop here, whatever the quote says.</p>") == "Don't stop here, whatever the quote says."
+
+
+def test_forms_that_wrap_a_page_and_words_in_class_names():
+    text = "The text of the page, which a form wraps. " * 9
+    assert html_extract.main_text(f"<form><div class=menu-bar>Home</div><p>{text}</p><input></form><div>x</div>") == text.strip()
+    assert html_extract.main_text(f"<article><p>{text}</p><div class='related-work'>Earlier work is told here in some words.</div><div class='ad-box'>Buy it.</div></article>") == f"{text}Earlier work is told here in some words."
+
+
+SMALL = re.compile("All rights reserved.", re.I)
+
+
+def other_lines(page: str):
+    """(text, weight, inside an article) of each line by the standard library's parser, for well-formed pages."""
+    from html.parser import HTMLParser
+
+    class Lines(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.text, self.linked, self.stack, self.raw, self.links, self.inside = [], "", 0, [], 0, 0, 0
+
+        def end(self):
+            text = " ".join(self.text.split())
+            small = SMALL.match(text) and not self.inside or text.startswith("©")
+            self.out.append((text, 0 if small else max(0, len(text) - 2 * self.linked), self.inside))
+            self.text, self.linked = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("b", "br", "meta") and tag != "br":
+                return
+            if tag == "a":
+                self.links += 1
+                return
+            self.end()
+            if tag in ("nav", "head", "footer", "header", "aside", "script", "style", "form") or dict(attrs).get("class") == "ad":
+                self.stack.append(tag)
+            elif self.stack and tag == self.stack[-1]:
+                self.stack.append(tag)
+            self.inside += tag in ("article", "main")
+
+        def handle_endtag(self, tag):
+            if tag == "b":
+                return
+            if tag == "a":
+                self.links -= 1
+                return
+            self.end()
+            if self.stack and tag == self.stack[-1]:
+                self.stack.pop()
+            self.inside -= tag in ("article", "main")
+
+        def handle_data(self, data):
+            if not self.stack:
+                self.text += data
+                self.linked += len(data.strip()) if self.links else 0
+
+    p = Lines()
+    p.feed(page)
+    p.close()
+    p.end()
+    return p.out
+
+
+def other_text(page: str) -> str:
+    lines = [(t, w + 80 if w and a else w, a) for t, w, a in other_lines(page)]
+    sums = [sum(w for _, w, a in lines[i : i + 3] if a == lines[i][2]) for i in range(len(lines))]
+    runs, kept = [], []
+    for i, s in enumerate(sums):
+        if s and i and sums[i - 1] and lines[i][2] == lines[i - 1][2]:
+            runs[-1].append(i)
+        elif s:
+            runs.append([i])
+    least = min(80, max(1, max(sums, default=0) // 3))
+    runs = [r for r in runs if any(sums[i] >= least and lines[i][1] for i in r)]
+    weights = [sum(lines[i][1] for i in r) for r in runs]
+    for r, w in zip(runs, weights):
+        kept += [lines[i][0] for i in r if lines[i][1]] if 5 * w >= max(weights) else []
+    return " ".join(kept)
+
+
+def test_pages_as_another_reader_sees_them(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    made = [html_extract.main_text(p) for p in pages]
+    same = sum(a == other_text(p) for a, p in zip(made, pages))
+    assert same == len(pages), same
+    # The distribution of text tells an article without its tag; but for a line of small print in it.
+    for a, p in zip(made, pages):
+        b = html_extract.main_text(re.sub(r"<(/?)article", r"<\1div", p))
+        assert SMALL.sub("", a).split() == SMALL.sub("", b).split()
+
+
 def test_pages_as_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old", 9), (2, None, None, None, None), (3, "u", "<p>" + "word " * 50_000, "x", 1)], "page_id long, url string, html string, text string, n_chars int")
     out = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
@@ -308,6 +406,43 @@ def test_learning_reads_whole_texts(spark):
     assert all(text.decode() in {t for _, t in rows} for text, _ in few) and {q for _, q in few} == {0, 1} and all(sum(len(t) for t, y in few if y == q) <= 100_000 for q in (0, 1))
 
 
+def plain_score(net, text: bytes) -> float:
+    """The forward pass, one filter, place and chunk after another."""
+    answers = []
+    for begin in range(0, max(1, len(text) - quality_cnn.OVERLAP), quality_cnn.CHUNK - quality_cnn.OVERLAP):
+        codes = list(text[begin : begin + quality_cnn.CHUNK])
+        codes += [quality_cnn.FILL] * (quality_cnn.CHUNK - len(codes))
+        best = []
+        for k in range(quality_cnn.FILTERS):
+            filter_ = net.filters[:, k].reshape(quality_cnn.WIDTH, quality_cnn.VECTOR).astype(float)
+            places = range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STEP)
+            best.append(max(0.0, float(net.shift[k]) + max(sum(float(net.vectors[codes[p + w]].astype(float) @ filter_[w]) for w in range(quality_cnn.WIDTH)) for p in places)))
+        answers.append(best)
+    features = np.array([sum(a[k] for a in answers) / len(answers) for k in range(quality_cnn.FILTERS)] + [max(a[k] for a in answers) for k in range(quality_cnn.FILTERS)])
+    hidden = np.maximum(features @ net.dense + net.dense_shift, 0)
+    return float(1 / (1 + np.exp(-(hidden @ net.out + net.out_shift[0]))))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    net = quality_cnn.Network.new(3)
+    made = [b"", "é short".encode(), b"a text that goes on " * 60, bytes(range(256)) * 3]
+    parts = [quality_cnn.chunks(t) for t in made]
+    starts = np.cumsum([0, *map(len, parts)])[:-1]
+    found = net.scores(net.pooled(np.concatenate(parts)), starts)
+    assert found == pytest.approx([plain_score(net, t) for t in made], abs=1e-5)
+
+
+def test_scores_of_odd_rows(spark):
+    rows = [(i, "good words here " * 9 if i % 2 else "b@d #### stuff " * 9) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    odd = frame(spark, [*rows, (7, "good words here " * 9), (7, "another text"), (None, "x"), (None, "x")]).withColumn("score", F.lit("text")).withColumn("predicted", F.lit(9.5)).withColumn("held_out", F.lit(None).cast("string"))
+    out = quality_cnn.score_quality(odd, labels).collect()
+    assert len(out) == 64 and all(isinstance(r.score, float) and r.predicted in (0, 1) and isinstance(r.held_out, bool) for r in out)
+    again = quality_cnn.score_quality(odd.repartition(3), labels).collect()
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.score)
+    assert [key(r)[1] for r in sorted(again, key=key)] == pytest.approx([key(r)[1] for r in sorted(out, key=key)], abs=1e-5)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 15, 16, 17, 511, 512, 513, 5000):
         c = quality_cnn.chunks(bytes([7]) * n)
