@@ -1,18 +1,19 @@
 """Exact-span passages: a document becomes pieces of its own text, each within a token budget.
 
-One document is one unit of work and stays in its Arrow batch; nothing shuffles. The text is cut into atoms at blank
-lines and headings, atoms that are too long at sentence ends and then between tokens; atoms are gathered up to a
-target, and stray pieces join a neighbour. Offsets are code points.
+One document is one unit of work and stays in its Arrow batch; nothing shuffles. Every token gets the strength of the
+break in front of it: none, the end of a sentence, the beginning of a paragraph, or a heading. Places to cut follow
+from the strengths alone, and one walk over them fills passages up to a target. Offsets are code points.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The words of headings, abbreviations that end no sentence, and the patterns of headings, citations and numbers.
@@ -20,166 +21,189 @@ HEADINGS = (
     "JUDGMENT", "JUDGEMENT", "RULING", "CORAM", "FACTS", "BACKGROUND", "INTRODUCTION", "ISSUES?", "ANALYSIS", "EVALUATION", "HOLDINGS?", "DECISION", "CONCLUSIONS?",
     "ORDERS?", "DISPOSITION", "EVIDENCE", "SUBMISSIONS", "THE LAW", "GROUNDS? OF APPEAL", "RESOLUTION", "DETERMINATION", "REASONS?", "COSTS",
 )
-ABBREVIATIONS = frozenset(
-    "no nos v vs vrs j jj jsc ja cj j.s.c j.a ltd co inc mr mrs ms dr prof hon s ss sec art arts para paras p pp cf e.g i.e etc al op cit ibid supra rev st esq gov govt corp dept ord cap vol".split()
-)
+ABBREVIATIONS = (
+    "no", "nos", "v", "vs", "vrs", "j", "jj", "jsc", "ja", "cj", "j.s.c", "j.a", "ltd", "co", "inc", "mr", "mrs", "ms", "dr", "prof", "hon", "s", "ss", "sec", "art",
+    "arts", "para", "paras", "p", "pp", "cf", "e.g", "i.e", "etc", "al", "op", "cit", "ibid", "supra", "rev", "st", "esq", "gov", "govt", "corp", "dept", "ord", "cap",
+    "vol",
+)
 HEADING = re.compile(r"(?:(?:[IVXLC]+|\d{1,2}|[A-Z])[.)]\s+)?(?:[A-Z][A-Z ,&'-]*\s)?(?:" + "|".join(HEADINGS) + r")(?:\s+[A-Z][A-Z ,&'-]*)?\s*:?")
 PROTECTED = re.compile(r"\[\d{4}\]\s*[A-Za-z][A-Za-z0-9]*\s*\d+|\(\d{4}\)\s*\d+\s*[A-Z][A-Za-z.]*\s*\d*")
 STOP = re.compile(r"[.?!;:](?=[\"')\]]?\s+[\"'(\[]?[A-Z0-9])")
-TOKEN = re.compile(r"\S+")
 BRACKETED, NUMBERED = re.compile(r"\s*\[(\d{1,3})\]"), re.compile(r"\s*(\d{1,3})\.\s+\S")
-SMALL, HEADING_CHARS, NUMBERED_TOKENS = 30, 60, 30
+HEADING_CHARS, STRAY, NUMBERED_TOKENS = 60, 30, 30
+
+NONE, SENTENCE, PARAGRAPH, SECTION = range(4)
+#: Where the tokens of a text are: one row (start, end) each. Any tokenizer that tells offsets fits.
+Tokenizer = Callable[[str], np.ndarray]
+
+
+def words(text: str) -> np.ndarray:
+    """Tokens as runs without white space."""
+    return np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+
+
+def is_heading(line: str) -> bool:
+    return len(line) <= HEADING_CHARS and line.upper() == line and HEADING.fullmatch(line) is not None
+
+
+def sentence_ends(text: str) -> np.ndarray:
+    """Where a sentence ends: stops that aren't within a citation and don't belong to an abbreviation or an initial."""
+    inside = np.zeros(len(text) + 1, bool)
+    for m in PROTECTED.finditer(text):
+        inside[m.start() : m.end() - 1] = True
+    short = frozenset(ABBREVIATIONS)
+
+    def ends(at: int) -> bool:
+        if inside[at]:
+            return False
+        before = re.search(r"[^\s(\[\"']*\Z", text[max(0, at - 20) : at])[0].lower()
+        return text[at] != "." or not (before in short or len(before) == 1 and before.isalpha())
+
+    return np.array([m.start() for m in STOP.finditer(text) if ends(m.start())], np.int64)
+
+
+def strengths(text: str, tokens: np.ndarray) -> np.ndarray:
+    """The break in front of each token."""
+    out = np.zeros(len(tokens), np.int8)
+    following = np.searchsorted(tokens[:, 0], sentence_ends(text), side="right")
+    out[following[following < len(tokens)]] = SENTENCE
+    feeds = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+    line = np.searchsorted(feeds, tokens[:, 0])
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    begins, ends = np.append(0, feeds + 1), np.append(feeds, len(text))
+    titled = np.array([is_heading(text[begins[k] : ends[k]].strip()) for k in line[first].tolist()], bool)
+    after_gap = np.append(True, np.diff(line[first]) > 1)
+    after_title = np.append(False, titled[:-1])
+    out[first[after_gap | after_title]] = PARAGRAPH
+    out[first[titled]] = SECTION
+    return out
+
+
+def cuts(strength: np.ndarray, most: int) -> np.ndarray:
+    """Token numbers where pieces of at most `most` tokens begin: as few kinds of break as that takes, the strong ones first."""
+    at = np.flatnonzero(strength >= PARAGRAPH)
+    for weaker in (np.flatnonzero(strength >= SENTENCE), np.arange(len(strength))):
+        sizes = np.diff(at, append=len(strength))
+        for start, size in zip(at[sizes > most].tolist(), sizes[sizes > most].tolist()):
+            inner = weaker[(weaker > start) & (weaker < start + size)]
+            at = np.append(at, inner if len(inner) < size - 1 else np.arange(start + most, start + size, most))
+        at = np.unique(at)
+    return at
+
+
+def filled(at: np.ndarray, strength: np.ndarray, target: int, most: int) -> list[int]:
+    """Token numbers where passages begin. A heading always begins one; strays join a neighbour that has room."""
+    begins: list[int] = []
+    for start, end in zip(at.tolist(), [*at[1:].tolist(), len(strength)]):
+        if not begins or strength[start] == SECTION or end - begins[-1] > target:
+            begins.append(start)
+    bounds = [*begins, len(strength)]
+    k = 0
+    while k < len(bounds) - 1:
+        size = bounds[k + 1] - bounds[k]
+        if size < STRAY and k and bounds[k + 1] - bounds[k - 1] <= most and strength[bounds[k]] != SECTION:
+            del bounds[k]
+            k -= 1
+        elif size < STRAY and k + 2 < len(bounds) and bounds[k + 2] - bounds[k] <= most and strength[bounds[k + 1]] != SECTION:
+            del bounds[k + 1]
+        else:
+            k += 1
+    return bounds[:-1]
 
 
-@dataclass
-class Piece:
+class Piece(NamedTuple):
     start: int
     end: int
     tokens: int
-    heading: bool = False
-    section: str | None = None
-    refs: list[str] = field(default_factory=list)
+    section: str | None
+    refs: list[str]
 
 
-def size(text: str, start: int, end: int) -> int:
-    return len(text[start:end].split())
+def chunk(text: str, target: int = 350, most: int = 400, tokenizer: Tokenizer = words) -> list[Piece]:
+    """The passages of a text in order.
 
+    section is the last heading at or before a passage's begin; refs are the numbers of the paragraphs that begin in it:
+    those in brackets, and those with a point if the paragraph has NUMBERED_TOKENS tokens. A tokenizer may see more
+    tokens in a passage alone than in its text; such a passage is halved until it fits.
+    """
+    tokens = tokenizer(text)
+    if not len(tokens):
+        return []
+    strength = strengths(text, tokens)
+    begins = filled(cuts(strength, most), strength, target, most)
+    paragraphs = np.flatnonzero(strength >= PARAGRAPH)
+    sizes = np.diff(paragraphs, append=len(tokens))
 
-def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    body = text[start:end]
-    left = len(body) - len(body.lstrip())
-    return (start + left, start + len(body.rstrip())) if body.strip() else (start, start)
+    def label(k: int) -> str:
+        return text[tokens[k, 0] :].split("\n", 1)[0].strip().rstrip(":").rstrip()
 
+    sections = [(k, label(k)) for k in np.flatnonzero(strength == SECTION).tolist()]
+
+    def piece(a: int, b: int) -> Iterator[Piece]:
+        start, end = int(tokens[a, 0]), int(tokens[b - 1, 1])
+        n = len(tokenizer(text[start:end]))
+        if n > most and b - a > 1:
+            yield from piece(a, (a + b) // 2)
+            yield from piece((a + b) // 2, b)
+            return
+        refs = []
+        for k in np.flatnonzero((paragraphs >= a) & (paragraphs < b)).tolist():
+            at = int(tokens[paragraphs[k], 0])
+            found = BRACKETED.match(text, at) or (NUMBERED.match(text, at) if sizes[k] >= NUMBERED_TOKENS else None)
+            refs += [found[1]] if found else []
+        section = next((name for k, name in reversed(sections) if k <= a), None)
+        yield Piece(start, end, n, section, list(dict.fromkeys(refs)))
+
+    return [p for a, b in zip(begins, [*begins[1:], len(tokens)]) for p in piece(a, b)]
 
-def is_heading(line: str) -> bool:
-    line = line.strip()
-    return 0 < len(line) <= HEADING_CHARS and line == line.upper() and HEADING.fullmatch(line) is not None
-
-
-def atoms(text: str) -> Iterator[tuple[int, int, bool]]:
-    """Spans between blank lines and headings, and the headings."""
-    begin = at = 0
-    for line in text.splitlines(keepends=True):
-        end = at + len(line)
-        # Only \n ends a paragraph's line; other line ends are white space inside one.
-        blank, heading = not line.strip() and line.endswith("\n"), is_heading(line)
-        if blank or heading:
-            if begin < (span := trimmed(text, begin, at))[1] and span[0] < span[1]:
-                yield *span, False
-            if heading:
-                yield *trimmed(text, at, end), True
-            begin = end
-        at = end
-    start, end = trimmed(text, begin, len(text))
-    if start < end:
-        yield start, end, False
-
-
-def sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    part = text[start:end]
-    kept = [m.span() for m in PROTECTED.finditer(part)]
-    begin = 0
-    for m in STOP.finditer(part):
-        if any(a < m.end() < b for a, b in kept):
-            continue
-        if m[0] == ".":
-            word = re.search(r"[A-Za-z.]+$", part[begin : m.start()])
-            last = word[0].lower().strip(".") if word else ""
-            if word and (len(last) == 1 or last in ABBREVIATIONS):
-                continue
-        span = trimmed(text, start + begin, start + m.end())
-        if span[0] < span[1]:
-            yield span
-        begin = m.end()
-    span = trimmed(text, start + begin, end)
-    if span[0] < span[1]:
-        yield span
-
-
-def windows(text: str, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
-    marks = [m.span() for m in TOKEN.finditer(text, start, end)]
-    for i in range(0, len(marks), most):
-        yield marks[i][0], marks[min(i + most, len(marks)) - 1][1]
-
-
-def fitted(text: str, most: int) -> Iterator[Piece]:
-    for start, end, heading in atoms(text):
-        n = size(text, start, end)
-        if n <= most:
-            yield Piece(start, end, n, heading)
-            continue
-        for a, b in sentences(text, start, end):
-            if (n := size(text, a, b)) <= most:
-                yield Piece(a, b, n)
-            else:
-                for c, d in windows(text, a, b, most):
-                    yield Piece(c, d, size(text, c, d))
-
-
-def references(text: str, piece: Piece) -> list[str]:
-    body = text[piece.start : piece.end]
-    if m := BRACKETED.match(body):
-        return [m[1]]
-    m = NUMBERED.match(body)
-    return [m[1]] if m and piece.tokens >= NUMBERED_TOKENS else []
-
-
-def chunk(text: str, target: int, most: int) -> list[Piece]:
-    """The pieces of a text; a pure function of it."""
-    gathered: list[Piece] = []
-    section = None
-    for piece in fitted(text, most):
-        if piece.heading:
-            section = " ".join(text[piece.start : piece.end].split()).rstrip(":")
-        refs = references(text, piece)
-        if not gathered or piece.heading or gathered[-1].tokens + piece.tokens > target:
-            gathered.append(Piece(piece.start, piece.end, piece.tokens, section=section, refs=refs))
-        else:
-            last = gathered[-1]
-            last.end, last.tokens, last.refs = piece.end, last.tokens + piece.tokens, last.refs + refs
-    merged: list[Piece] = []
-    for piece in gathered:
-        last = merged[-1] if merged else None
-        if last and min(last.tokens, piece.tokens) < SMALL and last.tokens + piece.tokens <= most:
-            # A small piece before takes on the label of what follows it; a small one behind doesn't change its neighbour's.
-            label = piece.section if last.tokens < SMALL else last.section
-            merged[-1] = Piece(last.start, piece.end, last.tokens + piece.tokens, section=label, refs=last.refs + piece.refs)
-        else:
-            merged.append(piece)
-    out: list[Piece] = []
-    for piece in merged:
-        if (n := size(text, piece.start, piece.end)) <= most:
-            piece.tokens = n
-            out.append(piece)
-        else:
-            out += [Piece(a, b, size(text, a, b), section=piece.section, refs=piece.refs) for a, b in windows(text, piece.start, piece.end, most)]
-    return out
 
+CHUNKS = [("ordinal", pa.int32(), "int"), ("content", pa.string(), "string"), ("char_start", pa.int32(), "int"), ("char_end", pa.int32(), "int"), ("token_count", pa.int32(), "int"), ("section", pa.string(), "string"), ("refs", pa.list_(pa.string()), "array<string>")]
 
-CHUNKS = "doc_id long, ordinal int, content string, char_start int, char_end int, token_count int, section string, refs array<string>"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("ordinal", pa.int32()), ("content", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("token_count", pa.int32()), ("section", pa.string()), ("refs", pa.list_(pa.string()))])
 
+def chunked(target: int, most: int, tokenizer: Tokenizer) -> Callable:
+    """Of each row a row per passage; the columns behind the text are repeated."""
 
-def chunked(target: int, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, p in enumerate(chunk(text or "", target, most)):
-                    rows.append((doc, i, text[p.start : p.end], p.start, p.end, p.tokens, p.section, list(dict.fromkeys(p.refs))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), SCHEMA.types)] if rows else [pa.array([], t) for t in SCHEMA.types], schema=SCHEMA)
+            whole, rows = [], []
+            for k, text in enumerate(batch.column(0).to_pylist()):
+                for i, p in enumerate(chunk(text or "", target, most, tokenizer)):
+                    rows.append((i, text[p.start : p.end], *p))
+                    whole.append(k)
+            made = [pa.array([r[j] for r in rows], t) for j, (_, t, _) in enumerate(CHUNKS)]
+            kept = batch.select(batch.schema.names[1:]).take(pa.array(whole, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*kept.schema.names, *(n for n, _, _ in CHUNKS)])
 
     return run
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 350, most: int = 400) -> DataFrame:
-    """Passages of each document, with their exact place in it."""
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 350, most: int = 400, tokenizer: Tokenizer = words, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Passages of each document, with their exact place in it, and the columns to keep."""
     if target > most:
         raise ValueError("the target must not exceed the limit")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(chunked(target, most), CHUNKS)
+    slim = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:]), *(f"{n} {t}" for n, _, t in CHUNKS)])
+    return slim.mapInArrow(chunked(target, most, tokenizer), fields)
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
-    """pages(doc_id, page, text) as one text per document, pages a blank line apart, in page order."""
-    listed = F.array_sort(F.collect_list(F.struct("page", "text")))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda p: p["text"]), "\n\n").alias("text"))
+    """pages(doc_id, page, text) as one text per document, pages a blank line apart, in page order.
+
+    page_starts holds (page, start) of each page in that text, in order.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    made = pages.groupBy("doc_id").agg(listed.alias("pages"))
+    lengths = F.transform("pages", lambda p: F.length(p["text"]) + 2)
+    before = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
+    starts = F.transform("pages", lambda p, i: F.struct(p["page"].alias("page"), before(i).alias("start")))
+    return made.select("doc_id", F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n").alias("text"), starts.alias("page_starts"))
+
+
+def page_of(page_starts: Column, char: Column) -> Column:
+    """The last page that begins at or before a character."""
+    return F.element_at(F.filter(page_starts, lambda p: p["start"] <= char), -1)["page"]
+
+
+def with_page_bounds(chunks: DataFrame) -> DataFrame:
+    """Adds page_start and page_end to passages that kept page_starts: the pages of their first and last character."""
+    return chunks.withColumn("page_start", page_of(F.col("page_starts"), F.col("char_start"))).withColumn("page_end", page_of(F.col("page_starts"), F.col("char_end") - 1))

@@ -9,33 +9,61 @@ from tessella.operators import events, ranking, snapshots, verification
 from tessella.plans import chunking, search
 
 
-def spans(text, target=20, most=25):
-    made = chunking.chunk(text, target, most)
-    assert all(text[p.start : p.end] == text[p.start : p.end].strip() for p in made)
-    assert all(len(text[p.start : p.end].split()) == p.tokens <= most for p in made)
-    return made
+def spans(text, target=20, most=25, **more):
+    made = chunking.chunk(text, target, most, **more)
+    assert all(text[p.start : p.end] == text[p.start : p.end].strip() and len(text[p.start : p.end].split()) == p.tokens <= most for p in made)
+    assert " ".join(text[p.start : p.end] for p in made).split() == text.split()
+    return [(text[p.start : p.end].split()[0], p.tokens, p.section) for p in made]
 
 
 def test_paragraphs_are_gathered_and_headings_begin():
-    text = " ".join(["word"] * 12) + "\n\n" + " ".join(["more"] * 12) + "\n\nFACTS\n" + " ".join(["fact"] * 40) + "."
-    made = chunking.chunk(text, 50, 60)
-    assert [p.tokens for p in made] == [65] or [p.section for p in made][-1] == "FACTS"
+    text = " ".join(["word"] * 32) + "\n\n" + " ".join(["more"] * 12) + "\n\nFACTS\n" + " ".join(["fact"] * 40) + "."
+    assert spans(text, 50, 60) == [("word", 44, None), ("FACTS", 41, "FACTS")]
+    assert spans(text, 40, 43) == [("word", 32, None), ("more", 12, None), ("FACTS", 41, "FACTS")]
+    assert spans(text, 40, 44) == [("word", 44, None), ("FACTS", 41, "FACTS")]
 
 
 def test_unsplittable_words_become_windows():
-    assert [p.tokens for p in chunking.chunk(" ".join(f"w{i}" for i in range(130)), 50, 50)] == [50, 50, 30]
+    assert [n for _, n, _ in spans(" ".join(f"w{i}" for i in range(130)), 50, 50)] == [50, 50, 30]
+
+
+def test_long_paragraphs_are_cut_at_sentences_first():
+    text = "One two three four. Five six seven. Eight nine ten eleven twelve thirteen fourteen. End here."
+    assert [w for w, _, _ in spans(text, 7, 7)] == ["One", "Eight", "End"]
 
 
 def test_sentences_keep_citations_and_abbreviations():
     text = "As held in Mensah v. Owusu. The rule in [2020] XYSC 7 applies. Mr. Addo agreed."
-    parts = [text[a:b] for a, b in chunking.sentences(text, 0, len(text))]
-    assert parts == ["As held in Mensah v. Owusu.", "The rule in [2020] XYSC 7 applies.", "Mr. Addo agreed."]
+    tokens = chunking.words(text)
+    assert [text[a:].split()[0] for a, _ in tokens[chunking.strengths(text, tokens) == chunking.SENTENCE]] == ["The", "Mr."]
 
 
 def test_paragraph_numbers():
     text = "\n\n".join(f"[{n}] " + " ".join(["word"] * 5) for n in (12, 13, 14))
-    made = chunking.chunk(text, 350, 400)
-    assert [p.refs for p in made] == [["12", "13", "14"]]
+    assert [p.refs for p in chunking.chunk(text, 350, 400)] == [["12", "13", "14"]]
+    numbered = "7. " + " ".join(["word"] * 40) + "\n\n8. short"
+    assert [p.refs for p in chunking.chunk(numbered, 350, 400)] == [["7"]]
+
+
+def test_other_tokenizers():
+    import numpy as np
+
+    letters = lambda text: np.array([(i, i + 1) for i, c in enumerate(text) if c.strip()], np.int64).reshape(-1, 2)
+    made = chunking.chunk("abcdefghij", 4, 4, letters)
+    assert [(p.start, p.end, p.tokens) for p in made] == [(0, 4, 4), (4, 8, 4), (8, 10, 2)]
+    # One token more in front of whatever it is given: passages are halved until they fit.
+    more = lambda text: np.concatenate([[[0, 0]], chunking.words(text)]).astype(np.int64)
+    made = chunking.chunk(" ".join("abcdefghijklmnopqrst"), 10, 10, more)
+    assert all(p.tokens <= 10 for p in made) and len(made) > 2 and made[-1].end == 39
+
+
+def test_pages_give_bounds(spark):
+    pages = spark.createDataFrame([(1, i, " ".join([f"page{i}"] * 40)) for i in range(3)], "doc_id long, page int, text string")
+    joined = chunking.join_pages(pages)
+    made = chunking.with_page_bounds(chunking.chunk_documents(joined, target=40, most=50, keep=("page_starts",)))
+    assert [(r.page_start, r.page_end) for r in made.orderBy("ordinal").collect()] == [(0, 0), (1, 1), (2, 2)]
+    one = chunking.with_page_bounds(chunking.chunk_documents(joined, keep=("page_starts",))).collect()
+    assert [(r.page_start, r.page_end, r.content.count("page")) for r in one] == [(0, 2, 120)]
 
 
 @pytest.mark.parametrize("line, expected", [("FACTS", True), ("II. THE LAW:", True), ("A. GROUNDS OF APPEAL", True), ("Facts", False), ("FACTS " + "A" * 60, False), ("HELLO", False), ("", False)])
@@ -52,7 +80,8 @@ def test_chunks_handle_empty_and_null(spark):
 
 def test_pages_join_in_order(spark):
     pages = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, "")], "doc_id long, page int, text string")
-    assert chunking.join_pages(pages).first()["text"] == "a\n\n\n\nc"
+    made = chunking.join_pages(pages).first()
+    assert made["text"] == "a\n\n\n\nc" and [tuple(x) for x in made["page_starts"]] == [(0, 0), (1, 3), (2, 5)]
 
 
 LIST = "qid long, source_text_hash string, content_hash string, chunk_id long, doc_id long, score double, rank long"
