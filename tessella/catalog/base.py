@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 #: Relations in SQL that Spark and DuckDB both read. Documents stand for judgments: language for court, source for jurisdiction.
 JUDGMENTS = """
-select doc_id, md5(text) as source_text_hash, lang as court_code, 'Court ' || upper(lang) as court_name, source as jurisdiction,
+select doc_id, md5(text) as source_text_hash, lang as court_code, 1990 + doc_id % 30 as year, 'Court ' || upper(lang) as court_name, source as jurisdiction,
   '/akn/' || lang || '/judgment/' || source || '/' || cast(1990 + doc_id % 30 as string) || '/' || cast(doc_id as string) || '/eng@'
     || cast(1990 + doc_id % 30 as string) || '-0' || cast(1 + doc_id % 9 as string) || '-1' || cast(doc_id % 10 as string) as uri,
   'Party' || cast(doc_id % 37 as string) || ' v. Other' || cast(doc_id % 11 as string) || ' (J' || cast(doc_id % 5 as string) || '/' || cast(doc_id as string) || '/2020) ['
@@ -66,11 +66,11 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.md5("text").alias("source_text_hash"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
     lines = lines.where(F.trim("content") != "")
-    return lines.select("doc_id", "source_text_hash", F.col("ordinal").cast("long").alias("ordinal"), (F.col("doc_id") * 100000 + F.col("ordinal")).alias("chunk_id"), "content", F.md5("content").alias("content_hash"))
+    return lines.select("doc_id", "source_text_hash", F.col("ordinal").cast("long").alias("ordinal"), (F.col("doc_id") * (1 << 32) + F.col("ordinal")).alias("chunk_id"), "content", F.md5("content").alias("content_hash"))
 
 
 PASSAGES = """
-select doc_id, source_text_hash, ordinal - 1 as ordinal, doc_id * 100000 + ordinal - 1 as chunk_id, content, md5(content) as content_hash
+select doc_id, source_text_hash, ordinal - 1 as ordinal, doc_id * 4294967296 + ordinal - 1 as chunk_id, content, md5(content) as content_hash
 from (select doc_id, md5(text) as source_text_hash, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as ordinal from documents)
 where trim(content) <> ''
 """

@@ -7,31 +7,52 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..plans import chunking, search
-from .base import JUDGMENTS, PASSAGES, judgments, passages, query, table, twin
+from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
+
+
+#: Every tenth question is a citation, every tenth a case name, the others are words 3 to 8 of a benchmark item; some have filters.
+NAMED = """
+select b.item_id as qid, case when b.item_id % 10 = 3 then 'See [' || cast(1990 + b.item_id % 30 as string) || '] ' || upper(d.lang) || 'SC ' || cast(b.item_id as string)
+  when b.item_id % 10 = 7 then 'Party' || cast(b.item_id % 37 as string) || ' v Other' || cast(b.item_id % 11 as string) end as named, b.text as item,
+  case when b.item_id % 4 = 1 then 'en' end as court_code, case when b.item_id % 6 = 2 then 2000 end as year_from, case when b.item_id % 12 = 2 then 2012 end as year_to
+from {benchmark} b left join {documents} d on d.doc_id = b.item_id
+"""
+#: Vectors of some judgments were made in a context that has changed since.
+CURRENT = "doc_id % 23 <> 0"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: words 3 to 8 of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("text"))
+    """Questions: qid, text, and the filters court_code, year_from and year_to."""
+    words = F.array_join(F.slice(F.split("item", " "), 3, 6), " ")
+    return derived(spark, sf_dir, NAMED).select("qid", F.coalesce("named", words).alias("text"), "court_code", "year_from", "year_to")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages with what their judgment is filtered by, written once for a run."""
+    held = passages(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("court_code")), "doc_id")
+    return search.index_passages(held.withColumn("year", 1990 + F.col("doc_id") % 30).withColumn("current", F.expr(CURRENT)))
 
 
+PASSES = "(q.court_code is null or coalesce(p.court_code = q.court_code, false)) and (q.year_from is null or p.year >= q.year_from) and (q.year_to is null or p.year <= q.year_to)"
 CHANNEL = f"""
-p as materialized ({PASSAGES}), q as (select item_id as qid, array_to_string(string_split(text, ' ')[3:8], ' ') as text from benchmark),
+n as ({twin(NAMED)}), q as (select qid, coalesce(named, array_to_string(string_split(item, ' ')[3:8], ' ')) as text, court_code, year_from, year_to from n),
+p as materialized (select x.*, lang as court_code, 1990 + x.doc_id % 30 as year from ({PASSAGES}) x join documents using (doc_id)),
 pw as materialized (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from p),
-qw as (select distinct qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from q),
-ls as (select qid, chunk_id, count(*)::double as score from pw join qw using (word) group by all),
-lo as (select qid, chunk_id, doc_id, source_text_hash, content_hash, score from ls join p using (chunk_id)
+qw as (select distinct qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from q), qn_ as (select qid, count(*) as terms from qw group by qid),
+lw as (select qid, chunk_id, word, count(*) as n from pw join qw using (word) group by all),
+ls as (select qid, chunk_id, score from (select qid, chunk_id, sum(n)::double as score, count(*) as held from lw group by all) join qn_ using (qid) where held = terms),
+lo as (select qid, chunk_id, doc_id, source_text_hash, content_hash, score from ls join p using (chunk_id) join q using (qid) where {PASSES}
   qualify row_number() over (partition by qid, source_text_hash, content_hash order by score desc, doc_id, chunk_id) = 1),
 lc as (select * from lo qualify row_number() over (partition by qid, source_text_hash order by score desc, doc_id, chunk_id) <= 3),
 lexical as materialized (select *, row_number() over (partition by qid order by score desc, doc_id, chunk_id) as rank from lc qualify rank <= 450)
 """
-DENSE = """
+DENSE = f"""
 pb as (select chunk_id, substr(sha256(word), 63, 2) as b, count(*)::double as n from pw group by all),
 pn as materialized (select chunk_id, b, n / sqrt(sum(n * n) over (partition by chunk_id)) as v from pb),
 qb as (select qid, substr(sha256(word), 63, 2) as b, count(*)::double as n from (select qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from q) group by all),
 qn as (select qid, b, n / sqrt(sum(n * n) over (partition by qid)) as v from qb),
 hit as (select qid, chunk_id, round(sum(pn.v * qn.v), 9) as score from pn join qn using (b) group by all),
-ds as (select q.qid, p.chunk_id, coalesce(score, 0) as score from q cross join p left join hit on hit.qid = q.qid and hit.chunk_id = p.chunk_id),
+ds as (select q.qid, p.chunk_id, coalesce(score, 0) as score from q join p on {PASSES} and p.{CURRENT} left join hit on hit.qid = q.qid and hit.chunk_id = p.chunk_id),
 dr as (select * from ds qualify row_number() over (partition by qid order by score desc, chunk_id) <= 600),
 dd as (select qid, chunk_id, doc_id, source_text_hash, content_hash, score from dr join p using (chunk_id)
   qualify row_number() over (partition by qid, source_text_hash, content_hash order by score desc, doc_id, chunk_id) = 1),
@@ -47,36 +68,41 @@ reranked as (select x.*, case when position <= 30 then round(len(list_intersect(
   / (1 + sqrt(len(regexp_extract_all(lower(p.content), '[a-z0-9]+')))), 9) end as rerank from placed x join q using (qid) join p using (chunk_id)),
 final as (select *, row_number() over (partition by qid order by case when position <= 30 then 0 else 1 end, case when position <= 30 then -rerank end, position) as final from reranked)
 """
-CASES = """
-best as (select *, min(final) over (partition by qid, source_text_hash) as best, row_number() over (partition by qid, source_text_hash order by final) as in_case from final qualify in_case <= 3),
-cased as (select *, dense_rank() over (partition by qid order by best) as case_rank from best)
+CASES = rf"""
+j as (select * from ({twin(JUDGMENTS)}) where eligibility = 'eligible'),
+cited as (select qid, 0 as class, j.doc_id, j.source_text_hash from q join (select doc_id, source_text_hash, court_code, year, regexp_extract(citation, '\[[0-9]+\] [A-Z]+ [0-9]+') as own from j) j on contains(q.text || ' ', j.own || ' ') join j p using (doc_id) where q.text like 'See [%' and {PASSES}),
+by_name as (select qid, 1 as class, p.doc_id, p.source_text_hash from q join j p on q.text like 'Party%' and starts_with(p.citation, replace(q.text, ' v ', ' v. ') || ' ') where {PASSES}),
+named as (select qid, source_text_hash, arg_min(class, class * (1::bigint << 40) + doc_id) as class, arg_min(doc_id, class * (1::bigint << 40) + doc_id) as doc_id from (select * from cited union all select * from by_name) group by all),
+exact as (select qid, class, p.chunk_id, p.doc_id, p.source_text_hash, p.content_hash from named join p using (doc_id) qualify row_number() over (partition by qid, doc_id order by p.ordinal) = 1),
+every as (select qid, chunk_id, doc_id, source_text_hash, content_hash, 2 as class, final as place, lexical_rank, dense_rank, rrf, rerank from final
+  union all select qid, chunk_id, doc_id, source_text_hash, content_hash, class, doc_id, null, null, null, null from exact),
+once as (select * from every qualify row_number() over (partition by qid, source_text_hash, content_hash order by class, place) = 1),
+best as (select *, min(class * (1::bigint << 40) + place) over (partition by qid, source_text_hash) as best, row_number() over (partition by qid, source_text_hash order by class, place) as in_case from once qualify in_case <= 3),
+cased as (select *, dense_rank() over (partition by qid order by best, source_text_hash) as case_rank from best),
+t as (select source_text_hash, string_agg(uri, ' ' order by judgment_date is null, judgment_date, uri) as uris from j group by 1)
 """
 
 
-def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical_channel(asked(spark, sf_dir), passages(spark, sf_dir))
-
-
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return search.bag_vectors(asked(spark, sf_dir), "text"), search.bag_vectors(passages(spark, sf_dir), "content")
-
-
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.dense_channel(*vectors(spark, sf_dir))
+def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(questions, indexed passages, lexical, dense)."""
+    questions, held = asked(spark, sf_dir), indexed(spark, sf_dir)
+    return questions, held, search.lexical_channel(questions, held), search.dense_channel(search.bag_vectors(questions, "text"), search.bag_vectors(held.where("current"), "content"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid(asked(spark, sf_dir), lexical(spark, sf_dir), dense(spark, sf_dir), passages(spark, sf_dir))
+    questions, held, lexical, dense = channels(spark, sf_dir)
+    return search.hybrid(questions, lexical, dense, held)
 
 
 @query("c11_lexical_channel", f"with {CHANNEL} select qid, chunk_id, score, rank from lexical")
 def lexical_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical(spark, sf_dir).select("qid", "chunk_id", "score", "rank")
+    return search.lexical_channel(asked(spark, sf_dir), indexed(spark, sf_dir)).select("qid", "chunk_id", "score", "rank")
 
 
 @query("c12_dense_channel", f"with {CHANNEL}, {DENSE} select qid, chunk_id, score, rank from dense")
 def dense_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir).select("qid", "chunk_id", "score", "rank")
+    vectors = search.bag_vectors(indexed(spark, sf_dir).where("current"), "content")
+    return search.dense_channel(search.bag_vectors(asked(spark, sf_dir), "text"), vectors).select("qid", "chunk_id", "score", "rank")
 
 
 @query("c13_rrf_fusion", f"with {CHANNEL}, {DENSE}, {FUSED} select qid, chunk_id, lexical_rank, dense_rank, rrf, position from placed")
@@ -84,17 +110,16 @@ def fused_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select("qid", "chunk_id", "lexical_rank", "dense_rank", "rrf", "position")
 
 
-@query("c14_rerank", f"with {CHANNEL}, {DENSE}, {FUSED} select qid, chunk_id, rerank, final from final where position <= 60")
+@query("c14_rerank", f"with {CHANNEL}, {DENSE}, {FUSED} select qid, chunk_id, rerank, final from final")
 def rerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).where("position <= 60").select("qid", "chunk_id", "rerank", "final")
+    return found(spark, sf_dir).select("qid", "chunk_id", "rerank", "final")
 
 
-@query("c15_search", f"with j as ({twin(JUDGMENTS)}), {CHANNEL}, {DENSE}, {FUSED}, {CASES}, t as (select source_text_hash, string_agg(uri, ' ' order by judgment_date is null, judgment_date, uri) as uris from j where eligibility = 'eligible' group by 1) select qid, case_rank, in_case, chunk_id, round(coalesce(rerank, rrf), 9) as score, case when lexical_rank is not null and dense_rank is not null then 'hybrid' when lexical_rank is not null then 'lexical' else 'dense' end as channel, uris from cased left join t using (source_text_hash) where case_rank <= 10")
+@query("c15_search", f"with {CHANNEL}, {DENSE}, {FUSED}, {CASES} select qid, case_rank, in_case, chunk_id, round(case when class < 2 then 1.0 else coalesce(rerank, rrf) end, 9) as score, case when class = 0 then 'citation' when class = 1 then 'case_name' when lexical_rank is not null and dense_rank is not null then 'hybrid' when lexical_rank is not null then 'lexical' else 'dense' end as channel, uris from cased left join t using (source_text_hash) where case_rank <= 10")
 def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    twins = search.twins(judgments(spark, sf_dir)).select("source_text_hash", F.array_join("uris", " ").alias("uris"))
-    both = F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull()
-    r = search.cases(found(spark, sf_dir)).join(twins, "source_text_hash", "left")
-    return r.select("qid", "case_rank", "in_case", "chunk_id", F.round(F.coalesce("rerank", "rrf"), 9).alias("score"), F.when(both, "hybrid").when(F.col("lexical_rank").isNotNull(), "lexical").otherwise("dense").alias("channel"), "uris")
+    questions, held, lexical, dense = channels(spark, sf_dir)
+    r = search.search(questions, judgments(spark, sf_dir), held, lexical, dense)
+    return r.select("qid", "case_rank", "in_case", "chunk_id", F.round("score", 9).alias("score"), "channel", F.array_join("uris", " ").alias("uris"))
 
 
 @query("c16_degradation", "with c as (select label as model, count(*) as total, count(*) filter (where vec_id % (label + 1) = 0) as current from embeddings group by label) select model, case when current = 0 then 'lexical' else 'hybrid' end as mode, case when current = 0 then 'no vectors' when current < total then (total - current)::varchar || ' vectors missing' else '' end as reason from c")
