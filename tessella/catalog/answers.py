@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import evaluation
 from ..operators.verification import verify_claims
+from ..plans import search
 from .base import derived, query, table, twin
+from .retrieval import CHANNEL, DENSE, FUSED, channels
 
 #: Claims: assistant turns. Sources: the user turns of the same conversation, labelled S1 and on.
 SOURCES = "select conv_id as answer_id, 'S' || cast(row_number() over (partition by conv_id order by turn) as string) as label, text as excerpt, 'Case ' || cast(conv_id as string) || ' [2020] XYSC ' || cast(turn as string) as citation from {conversations} where role = 'user'"
@@ -81,25 +86,35 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = "select o_orderkey as id, o_orderpriority as category, case when o_orderkey % 4 = 0 then null else o_custkey % 30 + 1 end as rank, case when o_orderkey % 5 = 0 then null else o_custkey % 25 + 1 end as rank_b, o_orderkey % 10 = 3 as expect_no_answer, o_totalprice as latency, o_orderkey % 3 = 0 as abstained, o_orderkey % 7 as claims, o_orderkey % 2 as removed from {orders}"
 
 
-@query("a10_retrieval_metrics", f"with r as ({twin(RECORDS)}) select category, count(*) as questions, count(*) filter (where not expect_no_answer) as answerable, avg(case when rank <= 20 then 1.0 else 0.0 end) filter (where not expect_no_answer) as recall, avg(case when rank <= 10 then 1.0 / rank else 0.0 end) filter (where not expect_no_answer) as mrr from r group by category")
+@query("a10_retrieval_metrics", f"with r as ({twin(RECORDS)}) select category, count(*) as questions, count(*) filter (where not expect_no_answer) as answerable, avg(case when rank <= 20 then 1.0 else 0.0 end) filter (where not expect_no_answer) as recall, avg(case when rank <= 10 then 1.0 / rank else 0.0 end) filter (where not expect_no_answer) as mrr, any_value(p50) as p50, any_value(p95) as p95 from r join (select category, list_sort(list(latency))[round_even(0.5 * (count(*) - 1), 0)::int + 1] as p50, list_sort(list(latency))[round_even(0.95 * (count(*) - 1), 0)::int + 1] as p95 from r group by category) using (category) group by category")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = derived(spark, sf_dir, RECORDS)
-    asked, rank = ~F.col("expect_no_answer"), F.col("rank")
-    return r.groupBy("category").agg(F.count("*").alias("questions"), F.count_if(asked).alias("answerable"), F.avg(F.when(asked, F.when(rank <= 20, 1.0).otherwise(0.0))).alias("recall"), F.avg(F.when(asked, F.when(rank <= 10, 1.0 / rank).otherwise(0.0))).alias("mrr"))
+    r = derived(spark, sf_dir, RECORDS).withColumn("answerable", ~F.col("expect_no_answer"))
+    return evaluation.retrieval_metrics(r, ["category"]).join(evaluation.nearest_rank(r, ["category"], "latency", {"p50": 0.5, "p95": 0.95}), "category")
+
+
+#: Records of answers: what each conversation cited, claimed and lost.
+ANSWERS = "select conv_id, case conv_id % 3 when 0 then 'citation' when 1 then 'name' else 'words' end as category, conv_id % 11 = 3 as expect_no_answer, conv_id % 7 = 5 as abstained, case conv_id % 7 when 5 then 'no_results' when 6 then 'quote_not_found' end as reason, case when conv_id % 4 = 0 then 0 else 1 end as gold_cited, 1 + conv_id % 3 as cited, conv_id % 3 as valid_ids, conv_id % 3 + case when conv_id % 13 = 0 then 1 else 0 end as cited_ids, cast(count(*) as int) as claims, cast(conv_id % 2 as int) as removed, cast(sum(length(text)) as bigint) as words from {conversations} group by conv_id"
+RATE = "round(count(*) filter (where {0} and {1})::double / nullif(count(*) filter (where {1}), 0), 4)"
 
 
-@query("a12_answer_metrics", f"with r as ({twin(RECORDS)}) select category, avg(case when abstained then 0.0 else 1.0 end) filter (where not expect_no_answer) as answered_rate, avg(case when abstained then 1.0 else 0.0 end) filter (where expect_no_answer) as abstention_rate, sum(claims)::double / nullif(sum(claims) + sum(removed), 0) as support_rate from r group by category")
+@query("a12_answer_metrics", f"""with r as ({twin(ANSWERS)}) select category, count(*) as questions, {RATE.format('not abstained', 'not expect_no_answer')} as answered_rate, {RATE.format('abstained', 'expect_no_answer')} as abstention_rate,
+  {RATE.format('gold_cited > 0', 'not expect_no_answer and not abstained')} as gold_cited_rate, round(sum(gold_cited) filter (where not expect_no_answer and not abstained)::double / nullif(sum(cited) filter (where not expect_no_answer and not abstained), 0), 4) as evidence_precision,
+  round(sum(valid_ids)::double / nullif(sum(cited_ids), 0), 4) as id_validity, round(sum(claims)::double / nullif(sum(claims + removed), 0), 4) as support_rate, round(avg(words) filter (where not abstained), 4) as mean_words, round(avg(claims) filter (where not abstained), 4) as mean_claims from r group by category""")
 def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none, away = F.col("expect_no_answer"), F.col("abstained")
-    return derived(spark, sf_dir, RECORDS).groupBy("category").agg(F.avg(F.when(~none, F.when(away, 0.0).otherwise(1.0))).alias("answered_rate"), F.avg(F.when(none, F.when(away, 1.0).otherwise(0.0))).alias("abstention_rate"), F.try_divide(F.sum("claims").cast("double"), F.sum("claims") + F.sum("removed")).alias("support_rate"))
+    return evaluation.answer_metrics(derived(spark, sf_dir, ANSWERS), ["category"])
+
+
+@query("c27_answer_reasons", f"with r as ({twin(ANSWERS)}) select category, reason, count(*) as n from r where reason is not null group by all")
+def answer_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.removal_reasons(derived(spark, sf_dir, ANSWERS), ["category"])
 
 
-@query("a13_paired_comparison", f"""with r as ({twin(RECORDS)}), p as (select category, coalesce(rank <= 20, false) as a, coalesce(rank_b <= 20, false) as b, id from r where not expect_no_answer and id % 97 < 3),
+@query("a13_paired_comparison", f"""with r as ({twin(RECORDS)}), p as (select category, coalesce(rank <= 20, false) as a, coalesce(rank_b <= 20, false) as b, id from r where not expect_no_answer),
 n as (select category, count(*) filter (where a and b) as both_found, count(*) filter (where a and not b) as only_a, count(*) filter (where b and not a) as only_b, count(*) filter (where not a and not b) as neither from p group by category)
 select *, round(case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1))) from (select unnest(range(0, 100000)) as k) where k <= least(only_a, only_b)) / pow(2.0, only_a + only_b)) end, 6) as p from n""")
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = lambda c: F.coalesce(F.col(c) <= 20, F.lit(False))
-    r = derived(spark, sf_dir, RECORDS).where("not expect_no_answer and id % 97 < 3")
+    r = derived(spark, sf_dir, RECORDS).where("not expect_no_answer")
     n = r.groupBy("category").agg(F.count_if(hit("rank") & hit("rank_b")).alias("both_found"), F.count_if(hit("rank") & ~hit("rank_b")).alias("only_a"), F.count_if(hit("rank_b") & ~hit("rank")).alias("only_b"), F.count_if(~hit("rank") & ~hit("rank_b")).alias("neither"))
     return n.withColumn("p", F.round(V.mcnemar(F.col("only_a"), F.col("only_b")), 6))
 
@@ -112,16 +127,26 @@ def first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(first, "user_id").where(F.col("at") <= F.col("first")).groupBy("user_id").agg(F.count("*").alias("rank"))
 
 
-@query("c26_evaluate_lexical", """with q as (select item_id, text from benchmark), gold as (select item_id, doc_id from q join documents d on contains(d.text, q.text)) select count(distinct item_id) as questions_with_gold, count(*) as gold_documents from gold""")
+@query("c26_evaluate_retrieval", f"""with {CHANNEL}, {DENSE}, {FUSED},
+gold as (select item_id as qid, doc_id, b.text from benchmark b join documents d on contains(d.text, b.text)),
+shown as (select 'lexical' as config, qid, chunk_id, doc_id, rank from lexical union all select 'dense', qid, chunk_id, doc_id, rank from dense union all select 'hybrid', qid, chunk_id, doc_id, position from placed union all select 'reranked', qid, chunk_id, doc_id, final from final),
+asked as (select config, qid, case qid % 10 when 3 then 'citation' when 7 then 'name' else 'words' end as category, qid in (select qid from gold) as answerable from q, (select distinct config from shown)),
+hits as (select config, s.qid, min(rank) as rank from shown s join gold g on g.qid = s.qid and g.doc_id = s.doc_id group by all),
+parts as (select config, s.qid, min(rank) as passage_rank from shown s join p using (chunk_id) join benchmark b on b.item_id = s.qid where rank <= 20 and (contains(p.content, b.text) or contains(b.text, p.content)) group by all)
+select config, category, count(*) as questions, count(*) filter (where answerable) as answerable, avg(case when rank <= 20 then 1.0 else 0.0 end) filter (where answerable) as recall,
+  avg(case when rank <= 10 then 1.0 / rank else 0.0 end) filter (where answerable) as mrr, avg(case when passage_rank <= 20 then 1.0 else 0.0 end) filter (where answerable) as passage_recall
+from asked left join hits using (config, qid) left join parts using (config, qid) group by all""")
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .relational import gold_containment
-
-    g = gold_containment(spark, sf_dir)
-    q = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    d = table(spark, sf_dir, "documents").join(g.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    # Only documents that hold a gold passage meet the questions.
-    hit = d.join(q.withColumnRenamed("text", "gold"), F.col("text").contains(F.col("gold"))).select("item_id", "doc_id")
-    return hit.agg(F.countDistinct("item_id").alias("questions_with_gold"), F.count("*").alias("gold_documents"))
+    questions, held, lexical, dense = channels(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark")
+    gold = evaluation.containing(table(spark, sf_dir, "documents"), items).withColumnRenamed("item_id", "qid")
+    fused = search.hybrid(questions, lexical, dense, held)
+    lists = {"lexical": (lexical, "rank"), "dense": (dense, "rank"), "hybrid": (fused, "position"), "reranked": (fused, "final")}
+    ranked = [f.select(F.lit(name).alias("config"), "qid", "chunk_id", "doc_id", F.col(place).alias("rank")) for name, (f, place) in lists.items()]
+    k = F.col("qid") % 10
+    asked = questions.select("qid", F.when(k == 3, "citation").when(k == 7, "name").otherwise("words").alias("category"))
+    records = evaluation.retrieval_records(asked, reduce(DataFrame.unionByName, ranked), gold, held, items.select(F.col("item_id").alias("qid"), "text"))
+    return evaluation.retrieval_metrics(records, ["config", "category"])
 
 
 @query("s13_gold_problems", "select item_id, array_to_string(list_filter([case when length(text) < 200 then 'short' end, case when item_id in (select item_id from benchmark group by item_id having count(*) > 1) then 'duplicate' end, case when not regexp_matches(text, '\\.$') then 'no end' end], lambda x: x is not null), ',') as problems from benchmark")

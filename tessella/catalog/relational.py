@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import ranking, snapshots
+from ..operators import evaluation, ranking, snapshots
 from .base import JUDGMENTS, PASSAGES, judgments, passages, query, table, twin
 
 J = f"with j as ({twin(JUDGMENTS)})"
@@ -140,10 +140,10 @@ def late_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(F.broadcast(top), "chunk_id", "left_semi").select("chunk_id", "content")
 
 
-@query("j08_neighbours", f"{P} select a.chunk_id as of_chunk, b.chunk_id from p a join p b on a.doc_id = b.doc_id and b.ordinal between a.ordinal - 1 and a.ordinal + 1 where a.ordinal % 5 = 2")
+@query("j08_neighbours", f"{P} select a.chunk_id as of_chunk, b.chunk_id from p a join p b on a.doc_id = b.doc_id and b.ordinal between a.ordinal - 1 and a.ordinal + 1")
 def around(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir).select("doc_id", "ordinal", "chunk_id")
-    return ranking.neighbours(p, p.where("ordinal % 5 = 2"), 1).select("of_chunk", "chunk_id")
+    return ranking.neighbours(p, p, 1).select("of_chunk", "chunk_id")
 
 
 @query("j11_chunk_counts", f"{P} select d.doc_id, (select count(*) from p where p.doc_id = d.doc_id) as chunks from documents d")
@@ -154,18 +154,8 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j15_gold_containment", "select d.doc_id, count(*) as items, min(item_id) as first_item from documents d join benchmark b on contains(d.text, b.text) group by d.doc_id")
 def gold_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Words inside a gold passage are whole words of a text that holds it, so five of them make the containment an
-    # equi-join; the whole passage then decides. Passages too short for that are compared one by one.
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    five = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"), F.split("text", r"\s+").alias("w"))
-    long_gold = b.where(F.size("w") >= 7).select("item_id", "gold", five(F.col("w"), F.lit(1)).alias("key"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    windows = F.when(F.size(F.split("text", r"\s+")) >= 5, let(F.split("text", r"\s+"), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: five(w, i)))))
-    near = d.select("doc_id", F.explode(windows).alias("key")).join(long_gold, "key").select("doc_id", "item_id", "gold").distinct()
-    hit = near.join(d, "doc_id").where(F.col("text").contains(F.col("gold"))).select("doc_id", "item_id")
-    short = d.join(b.where(F.size("w") < 7).select("item_id", "gold"), F.col("text").contains(F.col("gold"))).select("doc_id", "item_id")
-    return hit.unionByName(short).groupBy("doc_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"))
+    hit = evaluation.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hit.groupBy("doc_id").agg(F.count("*").alias("items"), F.min("item_id").alias("first_item"))
 
 
 @query("j17_live_sessions", "select e.event_id from events e join customer c on c.c_custkey = e.user_id where c.c_acctbal > 0 and e.ts >= timestamp '2024-01-10' and e.ts < timestamp '2024-01-20' and e.event_type <> 'error'")
@@ -215,9 +205,9 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("long_texts").alias("long_texts"), ordered("bucket", "b").alias("digest"))
 
 
-@query("a08_import_prepass", "select md5(text) as text_hash, count(*) as rows, count(distinct source) as sources, count(distinct lang || left(text, 10)) > 1 as conflict, string_agg(distinct source, ',' order by source) as published from documents group by md5(text) having count(*) > 1")
+@query("a08_import_prepass", "select md5(text) as text_hash, count(*) as rows, count(distinct source) as sources, count(distinct lang || text) > 1 as conflict, string_agg(distinct source, ',' order by source) as published from documents group by md5(text) having count(*) > 1")
 def prepass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("rows"), F.countDistinct("source").alias("sources"), (F.countDistinct(F.concat("lang", F.substring("text", 1, 10))) > 1).alias("conflict"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("published"))
+    g = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("rows"), F.countDistinct("source").alias("sources"), (F.countDistinct(F.concat("lang", F.sha2("text", 256))) > 1).alias("conflict"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("published"))
     return g.where("rows > 1")
 
 
@@ -229,11 +219,7 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a11_nearest_rank", "select o_orderpriority, list_sort(list(o_totalprice))[round_even(0.5 * (count(*) - 1), 0)::int + 1] as p50, list_sort(list(o_totalprice))[round_even(0.95 * (count(*) - 1), 0)::int + 1] as p95 from orders group by o_orderpriority")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Ranks by a count below each value: of each group two rows are looked up, none is gathered whole.
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", F.row_number().over(w).alias("at"), F.count("*").over(Window.partitionBy("o_orderpriority")).alias("n"))
-    at = lambda f: F.bround(F.lit(f) * (F.col("n") - 1)).cast("int") + 1
-    return o.groupBy("o_orderpriority").agg(F.max(F.when(F.col("at") == at(0.5), F.col("o_totalprice"))).alias("p50"), F.max(F.when(F.col("at") == at(0.95), F.col("o_totalprice"))).alias("p95"))
+    return evaluation.nearest_rank(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"p50": 0.5, "p95": 0.95})
 
 
 @query("a15_next_id", "select event_type, 'q-' || lpad((max(regexp_extract('q-' || event_id::varchar, '([0-9]+)$', 1)::bigint) + 1)::varchar, 6, '0') as next_id from events group by event_type")
@@ -313,16 +299,16 @@ def page_of_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", F.max("l_linenumber").over(w).alias("page")).groupBy("l_orderkey", "l_linenumber").agg(F.max("page").alias("page"))
 
 
-@query("l01_stable_order", f"{J} select doc_id, row_number() over (order by judgment_date nulls last, uri) as place from j order by judgment_date nulls last, uri limit 100")
+@query("l01_stable_order", f"{J} select doc_id, row_number() over (order by judgment_date nulls last, uri) as place from j")
 def stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranked(judgments(spark, sf_dir).select("doc_id", "judgment_date", "uri"), [F.col("judgment_date").asc_nulls_last(), F.col("uri")], 100, "place").select("doc_id", "place")
+    return ranking.numbered(judgments(spark, sf_dir).select("doc_id", "judgment_date", "uri"), [F.col("judgment_date").asc_nulls_last(), F.col("uri")], "place").select("doc_id", "place")
 
 
-@query("l03_class_order", f"{J}, r as (select doc_id, case when doc_id % 50 = 7 then 0 when doc_id % 20 = 3 then 1 else 2 end as class from j) select doc_id, row_number() over (order by class, doc_id) as place from r order by class, doc_id limit 150")
+@query("l03_class_order", f"{J}, r as (select doc_id, case when doc_id % 50 = 7 then 0 when doc_id % 20 = 3 then 1 else 2 end as class from j) select doc_id, row_number() over (order by class, doc_id) as place from r")
 def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     r = judgments(spark, sf_dir).select("doc_id", F.when(k % 50 == 7, 0).when(k % 20 == 3, 1).otherwise(2).alias("class"))
-    return ranking.ranked(r, [F.col("class"), k], 150, "place").select("doc_id", "place")
+    return ranking.numbered(r, [F.col("class"), k], "place").select("doc_id", "place")
 
 
 @query("l05_fixed_slice", "select o_orderkey, place from (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders) where place between 21 and 30")
@@ -335,7 +321,7 @@ def fixed_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.verification import choose_within_budget
 
-    p = passages(spark, sf_dir).where("ordinal < 12")
+    p = passages(spark, sf_dir)
     items = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", V.estimate_tokens(F.col("content")).alias("cost")))).alias("items"))
     return items.select("doc_id", F.array_join(F.transform(choose_within_budget(F.col("items"), 8, 400), lambda x: x["chunk_id"].cast("string")), ",").alias("chosen"))
 

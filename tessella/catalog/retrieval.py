@@ -134,10 +134,10 @@ def twins_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.twins(judgments(spark, sf_dir)).select("source_text_hash", F.array_join("uris", " ").alias("uris"))
 
 
-@query("c19_passage_context", f"with p as ({PASSAGES}), l as (select p.*, d.lang from p join documents d using (doc_id)) select a.chunk_id as of_chunk, string_agg(b.content, chr(10) order by b.ordinal) as context from l a join p b on a.doc_id = b.doc_id and b.ordinal between a.ordinal - 2 and a.ordinal + 2 where a.ordinal = 3 group by a.chunk_id")
+@query("c19_passage_context", f"with p as ({PASSAGES}), l as (select p.*, d.lang from p join documents d using (doc_id)) select a.chunk_id as of_chunk, string_agg(b.content, chr(10) order by b.ordinal) as context from l a join p b on a.doc_id = b.doc_id and b.ordinal between a.ordinal - 2 and a.ordinal + 2 group by a.chunk_id")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = passages(spark, sf_dir)
-    n = ranking.neighbours(p, p.where("ordinal = 3"), 2)
+    n = ranking.neighbours(p, p, 2)
     listed = F.array_sort(F.collect_list(F.struct("ordinal", "content")))
     return n.groupBy("of_chunk").agg(F.array_join(F.transform(listed, lambda x: x["content"]), "\n").alias("context"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 
 def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key; order must end in a unique column."""
@@ -30,6 +32,22 @@ def ranked(rows: DataFrame, order: Sequence[Column], most: int, name: str = "ran
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(name) <= most)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """All rows with their place from 1 in one order, however many there are.
+
+    Rows are sorted over all tasks and numbered within each; what is added is how many the tasks before hold, a table
+    of one row per task. No window runs over the whole table.
+    """
+    part, at = "_numbered_part", "_numbered_at"
+    path = shared_path(rows.sparkSession, "numbered")
+    sorted_ = rows.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33) + 1)
+    sorted_.write.parquet(path)  # written once: places must not change when a task runs again
+    held = rows.sparkSession.read.schema(sorted_.schema).parquet(path)
+    sizes = held.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))
+    return held.join(before, part).withColumn(name, F.col("before") + F.col(at)).drop(part, at, "before")
+
+
 def fuse(lexical: DataFrame, dense: DataFrame, identity: Sequence[str], payload: Sequence[str], k: int = 60, by: Sequence[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of two lists with a rank and a score each.
 
