@@ -1,6 +1,6 @@
 """The registered queries, by kind of operator, with their SQL twins."""
 
-from . import answers, files, ingest, relational, retrieval, scalars, state
+from . import answers, files, ingest, records, relational, retrieval, scalars, state
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answers", "files", "ingest", "relational", "retrieval", "scalars", "state"]
+__all__ = ["ORACLES", "QUERIES", "answers", "files", "ingest", "records", "relational", "retrieval", "scalars", "state"]

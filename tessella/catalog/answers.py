@@ -149,30 +149,6 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.retrieval_metrics(records, ["config", "category"])
 
 
-@query("s13_gold_problems", "select item_id, array_to_string(list_filter([case when length(text) < 200 then 'short' end, case when item_id in (select item_id from benchmark group by item_id having count(*) > 1) then 'duplicate' end, case when not regexp_matches(text, '\\.$') then 'no end' end], lambda x: x is not null), ',') as problems from benchmark")
-def gold_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    twice = b.groupBy("item_id").agg((F.count("*") > 1).alias("twice"))
-    t = F.col("text")
-    problems = F.array_compact(F.array(F.when(F.length(t) < 200, F.lit("short")), F.when(F.col("twice"), F.lit("duplicate")), F.when(~t.rlike(r"\.$"), F.lit("no end"))))
-    return b.join(twice, "item_id").select("item_id", F.array_join(problems, ",").alias("problems"))
-
-
-SHEET = "select o_orderkey as id, case o_orderkey % 6 when 0 then 'x' when 1 then '0' else cast(o_custkey % 40 as string) end as rank, case when o_orderkey % 9 = 0 then '2024-13-01' else '2024-05-0' || cast(1 + o_orderkey % 9 as string) end as searched_on from {orders}"
-
-
-@query("s16_sheet_problems", f"select id, array_to_string(list_filter([case when not regexp_matches(rank, '^[1-9][0-9]*$') then 'bad rank' end, case when try_cast(searched_on as date) is null then 'bad date' end], lambda x: x is not null), ';') as problems from ({twin(SHEET)})")
-def sheet_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = derived(spark, sf_dir, SHEET)
-    return s.select("id", F.array_join(F.array_compact(F.array(F.when(~F.col("rank").rlike("^[1-9][0-9]*$"), F.lit("bad rank")), F.when(F.try_to_date("searched_on", "yyyy-MM-dd").isNull(), F.lit("bad date")))), ";").alias("problems"))
-
-
-@query("r09_stale_rows", "select a.l_orderkey, a.l_linenumber from lineitem a where a.l_returnflag <> case when a.l_orderkey % 5 = 0 then 'N' else a.l_returnflag end")
-def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    return line.where(F.col("l_returnflag") != F.when(F.col("l_orderkey") % 5 == 0, "N").otherwise(F.col("l_returnflag"))).select("l_orderkey", "l_linenumber")
-
-
 @query("r10_models_used", "select event_type, string_agg(distinct 'm' || (user_id % 4)::varchar, ',' order by 'm' || (user_id % 4)::varchar) as models from events group by event_type")
 def models_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")))), ",").alias("models"))

@@ -38,13 +38,6 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(spark, sf_dir).groupBy("outcome", "reason").agg(F.count("*").alias("n"), F.count_if("shared_text").alias("warned"))
 
 
-@query("c02_prepared_sources", f"with j as ({twin(JUDGMENTS)}) select doc_id, unnest(['text', 'html']) as kind, unnest([sha256(text), sha256('<p>' || text)]) as digest from j union all select doc_id, 'file', sha256('f' || doc_id::varchar) from j where doc_id % 3 = 0")
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = lambda kind, value, on=None: F.struct(F.lit(kind).alias("kind"), V.sha256_text(value).alias("digest"))
-    all_ = F.array(source("text", F.col("text")), source("html", F.concat(F.lit("<p>"), "text")), F.when(F.col("doc_id") % 3 == 0, source("file", F.concat(F.lit("f"), F.col("doc_id").cast("string")))))
-    return judgments(spark, sf_dir).select("doc_id", F.explode(F.array_compact(all_)).alias("s")).select("doc_id", "s.kind", "s.digest")
-
-
 @query("c03_content_fingerprint", "select doc_id, sha256(coalesce(case when doc_id % 3 = 0 then null else lang end, '∅') || chr(31) || source) as print from documents")
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -113,23 +106,12 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("total"), F.count(F.when(F.col("vec_id") % 3 > 0, F.col("vec_id"))).alias("present"))
 
 
-@query("a14_mean_confidence", "select l_orderkey, round(avg(l_quantity), 2) as confidence from lineitem group by l_orderkey")
-def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg("l_quantity"), 2).alias("confidence"))
-
-
 @query("c30_run_config", "select md5(string_agg(l, '' order by lang)) as config from (select lang, lang || '=' || count(*)::varchar || ';' as l from documents group by lang)")
 def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.concat("lang", F.lit("="), F.count("*").cast("string"), F.lit(";")).alias("l"))
     return g.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "l"))), lambda x: x["l"]), "")).alias("config"))
 
 
-@query("c17_final_score", "select l_orderkey, l_linenumber, coalesce(case when l_linenumber = 1 then l_tax end, case when l_linenumber = 2 then l_discount end, case when l_linenumber = 3 then l_quantity end, 0) as score from lineitem")
-def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.when(n == 1, F.col("l_tax")), F.when(n == 2, F.col("l_discount")), F.when(n == 3, F.col("l_quantity")), F.lit(0.0)).alias("score"))
-
-
 @query("j03_sources_with_flag", "select c_custkey, o_orderkey, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_tax > 0.07) as flagged from customer join orders on o_custkey = c_custkey where c_acctbal > 5000")
 def with_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, line = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
@@ -177,36 +159,12 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(joined).alias("place", "sentence"))
 
 
-@query("r05_page_flags", "select l_orderkey, l_linenumber, case when l_quantity < 10 then 'low_confidence' end as flag from lineitem")
-def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") < 10, "low_confidence").alias("flag"))
-
-
-@query("r08_gold_rows", "select item_id, item_id % 3 = 0 as reviewed, case when item_id % 3 = 0 then '{\"item_id\":' || item_id::varchar || ',\"status\":\"approved\"}' else '{\"item_id\":' || item_id::varchar || ',\"status\":\"draft\"}' end as snapshot from benchmark")
-def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("item_id") % 3 == 0, "approved").otherwise("draft").alias("status")
-    return table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3 == 0).alias("reviewed"), F.to_json(F.struct("item_id", status)).alias("snapshot"))
-
-
 @query("r03_listed_references", f"with j as ({twin(JUDGMENTS)}), l as (select unnest([5, 3, 26, 9, 13]) as doc_id, unnest(range(0, 5)) as place) select place, uri from l join j using (doc_id) where eligibility = 'eligible'")
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(i, p) for p, i in enumerate((5, 3, 26, 9, 13))], "doc_id long, place long")
     return wanted.join(judgments(spark, sf_dir).where("eligibility = 'eligible'"), "doc_id").select("place", "uri")
 
 
-@query("b01_draft_problems", "select o_orderkey, array_to_string(list_filter([case when o_totalprice < 1000 then 'small' end, case when o_orderpriority like '5%' then 'low' end, case when year(o_orderdate) < 1993 then 'early' end], lambda x: x is not null), ',') as problems from orders")
-def draft_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_compact(F.array(F.when(F.col("o_totalprice") < 1000, F.lit("small")), F.when(F.col("o_orderpriority").startswith("5"), F.lit("low")), F.when(F.year("o_orderdate") < 1993, F.lit("early"))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, ",").alias("problems"))
-
-
-@query("b03_toggled_sets", "with s as (select user_id, list_sort(list(distinct event_type)) as kinds from events where value > 60 group by user_id) select user_id, array_to_string(list_sort(case when list_contains(kinds, 'click') then list_filter(kinds, lambda x: x <> 'click') else list_append(kinds, 'click') end), ',') as kinds from s")
-def toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").where("value > 60").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
-    made = F.when(F.array_contains("k", "click"), F.array_remove("k", "click")).otherwise(F.array_append("k", F.lit("click")))
-    return s.select("user_id", F.array_join(F.array_sort(made), ",").alias("kinds"))
-
-
 @query("b06_open_passage", "select event_id, regexp_matches(md5(event_id::varchar), '^[0-9a-f]{32}$') and event_id % 2 = 0 as opens from events")
 def opens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (F.md5(F.col("event_id").cast("string")).rlike("^[0-9a-f]{32}$") & (F.col("event_id") % 2 == 0)).alias("opens"))

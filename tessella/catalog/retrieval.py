@@ -162,34 +162,6 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where((F.length(plain) <= chunking.HEADING_CHARS) & (F.upper(plain) == plain) & plain.rlike(f"^{chunking.HEADING.pattern}$")).select("doc_id", F.col("line").cast("long").alias("line"))
 
 
-STATE = "select doc_id, md5(text) as text_hash from documents where doc_id % 4 <> 0"
-
-
-@query("c08_chunk_decision", "select d.doc_id, case when length(d.text) = 0 then 'delete' when d.doc_id % 4 = 0 then 'new' when d.doc_id % 7 = 0 then 'changed' else 'unchanged' end as decision from documents d")
-def chunk_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("now"), F.length("text").alias("size"))
-    state = d.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("now")).alias("held"))
-    return d.join(state, "doc_id", "left").select("doc_id", F.when(F.col("size") == 0, "delete").when(F.col("held").isNull(), "new").when(F.col("held") != F.col("now"), "changed").otherwise("unchanged").alias("decision"))
-
-
-@query("c09_embedding_decision", "select vec_id, case when vec_id % 6 = 0 then 'new' when vec_id % 6 = 1 then 'embed again' when vec_id % 6 = 2 then 'back-fill' else 'unchanged' end as decision from embeddings")
-def embedding_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("vec_id")
-    v = table(spark, sf_dir, "embeddings").select(k, F.sha2(k.cast("string"), 256).alias("input"), F.md5(k.cast("string")).alias("context"))
-    held = v.where(k % 6 != 0).select(k, F.when(k % 6 == 1, "old").otherwise(F.col("input")).alias("held_input"), F.when(k % 6 == 2, F.lit(None)).otherwise(F.col("context")).alias("held_context"))
-    j = v.join(held, "vec_id", "left")
-    return j.select("vec_id", F.when(F.col("held_input").isNull(), "new").when(F.col("held_input") != F.col("input"), "embed again").when(~F.col("held_context").eqNullSafe(F.col("context")), "back-fill").otherwise("unchanged").alias("decision"))
-
-
-@query("c10_embedding_input", "with x as (select doc_id, string_split(source || ' ' || lang || ' case number ' || doc_id::varchar, ' ') as prefix, array_to_string(regexp_extract_all(text, '\\S+')[1:50], ' ') as content, least(len(regexp_extract_all(text, '\\S+')), 50) as n from documents) select doc_id, array_to_string(prefix[1:greatest(53 - 2 - n - 1, 0)], ' ') || case when 53 - 2 - n - 1 > 0 then chr(10) || chr(10) else '' end || content as input from x")
-def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    tokens = F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), 1, 50)
-    prefix = F.split(F.concat_ws(" ", "source", "lang", F.lit("case number"), F.col("doc_id").cast("string")), " ")
-    room = F.greatest(F.lit(53 - 2 - 1) - F.size(tokens), F.lit(0))
-    return d.select("doc_id", F.concat(F.when(room > 0, F.concat(F.array_join(F.slice(prefix, F.lit(1), room), " "), F.lit("\n\n"))).otherwise(""), F.array_join(tokens, " ")).alias("input"))
-
-
 @query("x12_bag_vectors", "with w as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from benchmark), b as (select item_id, substr(sha256(word), 63, 2) as b, count(*)::double as n from w group by all) select item_id, round(max(n) / sqrt(sum(n * n)), 9) as largest from b group by item_id")
 def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = search.bag_vectors(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text")

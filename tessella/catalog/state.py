@@ -45,17 +45,6 @@ def guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", E.budget_decision(F.col("spent"), F.col("calls"), F.col("tokens"), F.col("tokens") * 0.5, 1000, 18, 800).alias("refused"))
 
 
-@query("c31_retention", "select 'audit' as kind, count(*) as expired from events where event_type = 'view' and ts < timestamp '2024-01-31' - interval 20 day union all select 'session', count(*) from events where event_type = 'signup' and least(ts + interval 7 day, case when event_id % 3 = 0 then ts + interval 1 hour else ts + interval 7 day end, ts + interval 12 hour) < timestamp '2024-01-31' - interval 7 day")
-def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    now = F.expr("timestamp_ntz'2024-01-31'")
-    week = F.expr("ts + interval 7 days")
-    end = E.session_end(week, F.when(F.col("event_id") % 3 == 0, F.expr("ts + interval 1 hour")), F.col("ts"), 12)
-    a = e.where((F.col("event_type") == "view") & (F.col("ts") < now - F.expr("interval 20 days"))).agg(F.lit("audit").alias("kind"), F.count("*").alias("expired"))
-    b = e.where((F.col("event_type") == "signup") & (end < now - F.expr("interval 7 days"))).agg(F.lit("session").alias("kind"), F.count("*").alias("expired"))
-    return a.unionByName(b)
-
-
 @query("c29_review_state", "select user_id, arg_max(event_type, (ts, event_id)) as event_type, count(*) as version from events group by user_id")
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.last_state(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
@@ -89,11 +78,6 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.trim("c_name")).alias("email")).orderBy("email")
 
 
-@query("r15_revoked_sessions", "select user_id, min(ts)::varchar as revoked_at from events where event_type = 'error' and user_id % 2 = 0 group by user_id")
-def revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 2 = 0").groupBy("user_id").agg(F.min("ts").cast("string").alias("revoked_at"))
-
-
 @query("t06_progress_order", "select user_id, count(*) filter (where event_type = 'signup') as finals, max(ts) filter (where event_type = 'signup') = max(ts) as final_is_last from events group by user_id")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("event_type") == "signup"

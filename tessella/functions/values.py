@@ -77,3 +77,12 @@ def softmax(logits: Column) -> Column:
 
 def display_date(day: Column) -> Column:
     return F.date_format(day, "d MMMM yyyy")
+
+
+def version_tag(name: str, version: Column, digest: Column) -> Column:
+    """name-version-digest, the digest by its first twelve characters."""
+    return F.concat_ws("-", F.lit(name), version.cast("string"), F.left(digest, F.lit(12)))
+
+
+def normal_email(value: Column) -> Column:
+    return F.lower(F.trim(value))

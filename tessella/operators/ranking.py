@@ -70,6 +70,18 @@ def rerank_head(rows: DataFrame, position: str, score: str, head: int, by: Seque
     return rows.withColumn("final", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
+def final_score(rows: DataFrame) -> Column:
+    """rerank, else rrf, else the lexical, else the dense score, else 0; columns that aren't there are passed over."""
+    known = [F.col(c) for c in ("rerank", "rrf", "lexical_score", "dense_score") if c in rows.columns]
+    return F.coalesce(*known, F.lit(0.0))
+
+
+def channel_of(rows: DataFrame) -> Column:
+    """Which channels found a row."""
+    both = F.col("lexical_rank").isNotNull() & F.col("dense_rank").isNotNull()
+    return F.when(both, "hybrid").when(F.col("dense_rank").isNotNull(), "dense").otherwise("lexical")
+
+
 def page(rows: DataFrame, position: str, offset: int, size: int) -> DataFrame:
     """A slice of one fixed ranking."""
     return rows.where(F.col(position).between(offset + 1, offset + size))
