@@ -57,7 +57,7 @@ def whole_hashes(data: bytes) -> np.ndarray:
 
 
 def twice_filters(shards: int, most_hashes: int, most_bytes: int, unpack: Callable[[bytes], np.ndarray] = whole_hashes) -> Callable:
-    """A shard's filter of hashes seen again, from rows (shard, once, twice) sorted by shard.
+    """A shard's filter of hashes seen again, from rows (shard, once, twice), one shard's after another's.
 
     Nothing is gathered: both filters have a size that follows from most_hashes, about how many hashes a shard gets,
     and each row is added as it comes. The second one is folded to what it holds before it is sent.
@@ -143,7 +143,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     shards = shards_for(text_bytes(docs, text_col), shard_bytes, 16)
     hashes = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col)).mapInArrow(sent_hashes(shards, least_chars), "shard int, once binary, twice binary")
-    dealt = hashes.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = hashes.repartitionById(shards, "shard")
     filters = dealt.mapInArrow(twice_filters(shards, shard_bytes // least_chars, filter_bytes), "shard int, bits binary")
     # Bounded by filter_bytes, whatever the input's size.
     held = spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in filters.collect()})

@@ -49,6 +49,8 @@ HOT, HOT_PART = 20_000, 10_000
 #: Input bytes for each filter shard, each shard of surroundings and each group of documents, and the most of them.
 FILTER_SHARD, SHARD, DOCS_GROUP, MOST_SHARDS = 32 << 20, 8 << 20, 32 << 20, 50_000
 LAST = np.iinfo(np.int64).max
+#: More than a text has bytes.
+REACH = 1 << 32
 CODEC = "zstd"
 
 RECORD = np.dtype([("hash", "<u8"), ("first", "u1"), ("last", "u1"), ("bytes", "u1", (AROUND,)), ("fill", "u1", (2,))])
@@ -169,7 +171,7 @@ def sent_anchors(shards: int) -> Callable:
 
 
 def anchor_filters(shards: int, most_hashes: int, most_bytes: int) -> Callable:
-    """(shard, bits, hot) from rows sorted by shard: filters of the anchors of several documents and of those of more than HOT.
+    """(shard, bits, hot) from rows of one shard after another: filters of the anchors of several documents and of those of more than HOT.
 
     Nothing is gathered: the filters and the counts (two rows of counters, of which the smaller holds) have sizes that
     follow from most_hashes, about how many anchors a shard gets. A count may be too large, never too small, and takes
@@ -264,6 +266,20 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, np.nonzero(step < 0)[1]
 
 
+def united(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted marks with runs that meet or overlap as one, and which of the marks came first in each."""
+    if not len(marks):
+        return marks, np.zeros(0, np.int64)
+    # How far the runs up to each mark reach, within one text.
+    text = np.append(True, (marks["doc"][1:] != marks["doc"][:-1]) | (marks["text"][1:] != marks["text"][:-1]))
+    number = np.cumsum(text)
+    reach = np.maximum.accumulate(marks["stop"] + number * REACH) - number * REACH
+    at = np.flatnonzero(text | np.append(True, marks["start"][1:] > reach[:-1]))
+    out = marks[at]
+    out["stop"] = np.maximum.reduceat(marks["stop"], at)
+    return out, at
+
+
 def marks_of(places: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int, bytes]]:
     """Rows of kind 1: the runs of starts that the masks tell, those that meet as one, packed for each group of documents."""
     row, start, stop = runs_of(mask)
@@ -272,14 +288,8 @@ def marks_of(places: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int,
         marks[name] = places[name][row]
     marks["start"], marks["stop"] = places["base"][row] + start, places["base"][row] + stop
     order = np.lexsort((marks["start"], marks["text"], marks["doc"]))
-    marks, group = marks[order], group[order]
-    if len(marks):
-        new = np.append(True, (marks["doc"][1:] != marks["doc"][:-1]) | (marks["text"][1:] != marks["text"][:-1]) | (marks["start"][1:] > marks["stop"][:-1]))
-        at = np.flatnonzero(new)
-        stops = np.maximum.reduceat(marks["stop"], at)
-        marks, group = marks[at], group[at]
-        marks["stop"] = stops
-    return by_key(1, group, marks)
+    marks, at = united(marks[order])
+    return by_key(1, group[order][at], marks)
 
 
 def split_up(records: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -482,6 +492,28 @@ def without_repeats(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
+def merged_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group of documents its marks as one: runs that meet are one run, whichever tasks and shards found them."""
+    own, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            marks = np.concatenate(held)
+            marks = united(marks[np.lexsort((marks["start"], marks["text"], marks["doc"]))])[0]
+            for at in range(0, len(marks), 4 * BLOCK):
+                part = marks[at : at + 4 * BLOCK]
+                yield sent_rows([(1, own, len(part), packed(part))])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, key, n, data = (c[i].as_py() for c in batch.columns)
+            if key != own:
+                yield from done()
+                own, held = key, []
+            held.append(unpacked(data, n, MARK)[0])
+    yield from done()
+
+
 def marked_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashes of the documents that have marks."""
     for batch in batches:
@@ -505,7 +537,7 @@ def with_marks(held, shards: int, inside: bool) -> Callable:
 
 
 def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group first the marks, then its documents."""
+    """First the marks of a group, then its documents; a partition is a group."""
     group, blobs, marks = None, [], None
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
@@ -546,24 +578,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards, targets, groups = (min(MOST_SHARDS, shards_for(size, each)) for each in (FILTER_SHARD, SHARD, DOCS_GROUP))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("group"))
     hashes = slim.select("text").mapInArrow(sent_anchors(shards), "shard int, once binary, twice binary, held binary")
-    dealt = hashes.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = hashes.repartitionById(shards, "shard")
     # An anchor stands for about SPAN / 2 starts.
     filters = dealt.mapInArrow(anchor_filters(shards, -(-2 * max(size, 1) // (shards * SPAN)), filter_bytes), "shard int, bits binary, hot binary")
     # Bounded by filter_bytes, whatever the input's size.
     held = spark.sparkContext.broadcast({r["shard"]: (bytes(r["bits"]), bytes(r["hot"])) for r in filters.collect()})
     kinds = "kind int, key int, n long, data binary"
     sent = slim.mapInArrow(surroundings(held, shards, targets), kinds)
-    marks = sent.repartition(targets, "key").sortWithinPartitions("key").mapInArrow(sorted_buckets, kinds)
+    # A partition is a shard or a group itself: numbers that were hashed again would fall on some partitions several times.
+    found = sent.repartitionById(targets, F.when(F.col("kind") == 0, F.col("key")).otherwise(F.col("key") % targets)).sortWithinPartitions("kind", "key").mapInArrow(sorted_buckets, kinds)
+    marks = found.repartitionById(groups, "key").mapInArrow(merged_marks, kinds)
     marks = materialize(marks.select(F.col("key").alias("group"), "n", "data"), "suffix-marks")
     # Only documents with marks meet them; the others are told by a filter of ids of a fixed most size.
-    hashed = marks.select("n", "data").mapInArrow(marked_docs, "hash long").repartition(groups, F.pmod("hash", F.lit(groups)))
+    hashed = marks.select("n", "data").mapInArrow(marked_docs, "hash long").repartitionById(groups, F.pmod("hash", F.lit(groups)).cast("int"))
     known = spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in hashed.mapInArrow(filled(groups, filter_bytes), "shard int, bits binary").collect()})
     fields = "id long, text string, group int"
     maybe = slim.mapInArrow(with_marks(known, groups, True), fields)
     both = marks.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "n", "data").unionByName(
         maybe.select("group", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), F.encode(F.col("text"), "UTF-8").alias("data"))
     )
-    told = both.repartition(groups, "group").sortWithinPartitions("group", "kind")
+    told = both.repartitionById(groups, "group").sortWithinPartitions("kind")
     told = told.mapInArrow(cleaned, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     bytes_ = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
     zero = F.lit(0).cast("long")
