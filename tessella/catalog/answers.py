@@ -119,6 +119,21 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("p", F.round(V.mcnemar(F.col("only_a"), F.col("only_b")), 6))
 
 
+HIT = "(select qid, min(rank) as rank from ({}) s join gold using (qid, doc_id) group by qid)"
+
+
+@query("c28_benchmark_sides", f"""with {CHANNEL}, {DENSE}, {FUSED}, gold as (select item_id as qid, doc_id from benchmark b join documents d on contains(d.text, b.text)),
+s as (select case qid % 10 when 3 then 'citation' when 7 then 'name' else 'words' end as arm, coalesce(a.rank <= 20, false) as ours, coalesce(b.rank <= 20, false) as theirs from q left join {HIT.format('select qid, doc_id, final as rank from final')} a using (qid) left join {HIT.format('select qid, doc_id, rank from lexical')} b using (qid) where qid in (select qid from gold))
+select arm, count(*) as questions, count(*) filter (where ours) as ours, count(*) filter (where theirs) as theirs, count(*) filter (where ours and not theirs) as only_ours, count(*) filter (where theirs and not ours) as only_theirs from s group by arm""")
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, held, lexical, dense = channels(spark, sf_dir)
+    gold = evaluation.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("item_id", "qid")
+    k = F.col("qid") % 10
+    asked = questions.join(gold, "qid", "left_semi").select("qid", F.when(k == 3, "citation").when(k == 7, "name").otherwise("words").alias("arm"))
+    ours = search.hybrid(questions, lexical, dense, held).select("qid", "doc_id", F.col("final").alias("rank"))
+    return evaluation.paired_sides(asked, "arm", ours, lexical.select("qid", "doc_id", "rank"), gold)
+
+
 @query("w13_first_hit", "select user_id, min(place) as rank from (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as place from events) where event_type = 'purchase' group by user_id")
 def first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The earliest hit by an aggregate; then only rows before it are counted.

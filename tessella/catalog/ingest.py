@@ -61,12 +61,15 @@ def reassess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importing.reassessed(d, 40.0).select("doc_id")
 
 
-FILES = "select doc_id, substr(text, 1, 300) as record, case doc_id % 6 when 0 then text when 1 then null when 2 then ' - ' when 3 then 'Cited as [2020]  ENSC 5 here' when 4 then 'Party Number Four against all' else 'nothing like it' end as file, 'Party Number Four [2020] ENSC 5' as citation, 'Party Number Four' as title, doc_id % 12 = 4 as shared from {documents}"
+FILES = "select doc_id, text as record, case doc_id % 6 when 0 then text when 1 then null when 2 then ' - ' when 3 then 'Cited as [2020]  ENSC 5 here' when 4 then 'Party Number Four against all' else 'nothing like it' end as file, 'Party Number Four [2020] ENSC 5' as citation, 'Party Number Four' as title, doc_id % 12 = 4 as shared from {documents}"
 
 
-@query("x09_file_verdict", f"select doc_id, case doc_id % 6 when 0 then case when length(regexp_replace(lower(record), '[^a-z0-9]', '', 'g')) >= 20 then 'verified_text' else 'mismatch' end when 1 then 'missing' when 2 then 'unverified' when 3 then 'verified_citation' when 4 then case when shared then 'mismatch' else 'verified_title' end else 'mismatch' end as verdict from ({twin(FILES)}) where length(regexp_replace(lower(record), '[^a-z0-9]', '', 'g')) > 40")
+SQUASHED = "length(regexp_replace(lower(record), '[^a-z0-9]', '', 'g'))"
+
+
+@query("x09_file_verdict", f"select doc_id, case doc_id % 6 when 0 then case when {SQUASHED} >= 20 then 'verified_text' when {SQUASHED} = 0 then 'unverified' else 'mismatch' end when 1 then 'missing' when 2 then 'unverified' when 3 then 'verified_citation' when 4 then case when shared then 'mismatch' else 'verified_title' end else 'mismatch' end as verdict from ({twin(FILES)})")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = derived(spark, sf_dir, FILES).where(F.length(T.squash(F.col("record"))) > 40)
+    f = derived(spark, sf_dir, FILES)
     return f.select("doc_id", importing.file_verdict(F.col("record"), F.col("file"), F.col("citation"), F.col("title"), F.col("shared")).alias("verdict"))
 
 
@@ -152,22 +155,22 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n16_sentences")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?;])\s+(?=[A-Z\"“(\[])|\n\s*\n"), T.collapse), lambda p: p != "")
-    short = lambda p: F.size(F.split(p, " ")) < 4
-    step = lambda out, p: F.when((F.size(out) > 0) & short(F.element_at(out, -1)), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(F.element_at(out, -1), F.lit(" "), p)))).otherwise(F.concat(out, F.array(p)))
-    joined = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(joined).alias("place", "sentence"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+LISTED = "select item_id as place, item_id * 3 as doc_id from {benchmark}"
 
 
-@query("r03_listed_references", f"with j as ({twin(JUDGMENTS)}), l as (select unnest([5, 3, 26, 9, 13]) as doc_id, unnest(range(0, 5)) as place) select place, uri from l join j using (doc_id) where eligibility = 'eligible'")
+@query("r03_listed_references", f"with j as ({twin(JUDGMENTS)}) select place, uri from ({twin(LISTED)}) l join j using (doc_id) where eligibility = 'eligible'")
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame([(i, p) for p, i in enumerate((5, 3, 26, 9, 13))], "doc_id long, place long")
-    return wanted.join(judgments(spark, sf_dir).where("eligibility = 'eligible'"), "doc_id").select("place", "uri")
+    return derived(spark, sf_dir, LISTED).join(judgments(spark, sf_dir).where("eligibility = 'eligible'"), "doc_id").select("place", "uri")
 
 
-@query("b06_open_passage", "select event_id, regexp_matches(md5(event_id::varchar), '^[0-9a-f]{32}$') and event_id % 2 = 0 as opens from events")
+@query("b06_open_passage", f"with p as ({PASSAGES}) select chunk_id, case when ordinal % 3 = 0 then null else content_hash end as opened from p")
 def opens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", (F.md5(F.col("event_id").cast("string")).rlike("^[0-9a-f]{32}$") & (F.col("event_id") % 2 == 0)).alias("opens"))
+    # What a link names: an id of a passage, or something that only looks like one.
+    named = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("x"), "content_hash")).otherwise(F.col("content_hash"))
+    return passages(spark, sf_dir).select("chunk_id", T.hex_id(named).alias("opened"))
 
 
 @query("b07_known_events", "select event_id, case when event_type in ('click', 'view') and json_valid(props) then event_type end as event from events")
@@ -180,11 +183,3 @@ def known_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.when(F.col("event_type") == "view", 7).when(F.col("event_type") == "click", 14).otherwise(21)
     return table(spark, sf_dir, "events").where(F.col("ts") >= F.expr("timestamp_ntz'2024-01-31'") - F.make_dt_interval(days)).groupBy("event_type").agg(F.count("*").alias("kept"))
-
-
-@query("c28_benchmark_sides", "select case when doc_id % 2 = 0 then 'verbatim' else 'keywords' end as arm, count(*) as questions, count(*) filter (where quality = 1) as ours, count(*) filter (where toxic = 0) as theirs, count(*) filter (where quality = 1 and toxic = 1) as only_ours, count(*) filter (where quality = 0 and toxic = 0) as only_theirs from labels group by 1")
-def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = F.col("quality"), F.col("toxic")
-    return table(spark, sf_dir, "labels").groupBy(F.when(F.col("doc_id") % 2 == 0, "verbatim").otherwise("keywords").alias("arm")).agg(F.count("*").alias("questions"), F.count_if(q == 1).alias("ours"), F.count_if(t == 0).alias("theirs"), F.count_if((q == 1) & (t == 1)).alias("only_ours"), F.count_if((q == 0) & (t == 0)).alias("only_theirs"))
-
-

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions import text as T
 from ..operators import evaluation, ranking, snapshots
+from ..plans import chunking
 from .base import JUDGMENTS, PASSAGES, judgments, passages, query, table, twin
 
 J = f"with j as ({twin(JUDGMENTS)})"
@@ -196,13 +198,11 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("a07_fingerprint", "select lang, count(*) as n, count(*) filter (where length(text) > 1000) as long_texts, md5(string_agg(b, '' order by bucket)) as digest from (select lang, doc_id % 64 as bucket, md5(string_agg(md5(doc_id::varchar || chr(31) || text), '' order by doc_id)) as b, any_value(text) as text, any_value(doc_id) as doc_id from documents group by lang, bucket) group by lang".replace("count(*) as n, count(*) filter (where length(text) > 1000) as long_texts", "sum(n)::bigint as n, sum(long_texts)::bigint as long_texts").replace("any_value(text) as text, any_value(doc_id) as doc_id", "count(*) as n, count(*) filter (where length(text) > 1000) as long_texts"))
+@query("a07_fingerprint", "select lang, count(*) as n, count(*) filter (where length(text) > 1000) as long_texts, sum(('0x' || substr(md5(doc_id::varchar || chr(31) || text), 1, 15))::bigint::hugeint)::varchar as digest from documents group by lang")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Two levels of digests, so that no task holds a line for every row.
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id", (F.col("doc_id") % 64).alias("bucket"), F.length("text").alias("size"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), "text")).alias("line"))
-    ordered = lambda key, value: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""))
-    b = d.groupBy("lang", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 1000).alias("long_texts"), ordered("doc_id", "line").alias("b"))
-    return b.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("long_texts").alias("long_texts"), ordered("bucket", "b").alias("digest"))
+    # A sum of row digests: it needs no order, so tasks add up what they read and one number of each group shuffles.
+    line = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), "text"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 1000).alias("long_texts"), F.sum(F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
 @query("a08_import_prepass", "select md5(text) as text_hash, count(*) as rows, count(distinct source) as sources, count(distinct lang || text) > 1 as conflict, string_agg(distinct source, ',' order by source) as published from documents group by md5(text) having count(*) > 1")
@@ -286,17 +286,18 @@ def section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).select("chunk_id", F.last(F.when(F.length("content") < 40, F.col("content")), ignorenulls=True).over(w).alias("section"))
 
 
-@query("w12_sentence_windows", f"{P} select chunk_id, content || coalesce(' ' || lead(content) over w, '') as two from p window w as (partition by doc_id order by ordinal)")
+@query("w12_sentence_windows", """with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as s from documents),
+w as (select distinct doc_id, array_to_string(s[i:i + k - 1], ' ') as run from (select doc_id, s, k, unnest(range(1, greatest(len(s) - k + 1, 1) + 1)) as i from l, (select unnest([1, 2, 3]) as k) where len(s) > 0)) select doc_id, run from w""")
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("ordinal")
-    return passages(spark, sf_dir).select("chunk_id", F.concat("content", F.coalesce(F.concat(F.lit(" "), F.lead("content").over(w)), F.lit(""))).alias("two"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentence_windows(lines)).alias("run"))
 
 
-@query("w14_page_of_span", "select a.l_orderkey, a.l_linenumber, max(b.l_linenumber)::int as page from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_shipdate <= a.l_shipdate group by all")
+@query("w14_page_of_span", f"with p as ({PASSAGES}), s as (select doc_id, ordinal as page, length(content) as n, sum(length(content) + 2) over (partition by doc_id order by ordinal) - length(content) - 2 as start from p), d as (select doc_id, max(start + n) as size from s group by doc_id), a as (select doc_id, unnest(range(0, size::bigint, 100)) as at from d) select a.doc_id, a.at::int as char_at, max(page) as page from a join s on s.doc_id = a.doc_id and start <= a.at group by all")
 def page_of_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate").rangeBetween(Window.unboundedPreceding, 0)
-    return line.select("l_orderkey", "l_linenumber", F.max("l_linenumber").over(w).alias("page")).groupBy("l_orderkey", "l_linenumber").agg(F.max("page").alias("page"))
+    joined = chunking.join_pages(passages(spark, sf_dir).select("doc_id", F.col("ordinal").alias("page"), F.col("content").alias("text")))
+    spans = joined.select("doc_id", "page_starts", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(100))).alias("char_at"))
+    return spans.select("doc_id", "char_at", chunking.page_of(F.col("page_starts"), F.col("char_at")).alias("page"))
 
 
 @query("l01_stable_order", f"{J} select doc_id, row_number() over (order by judgment_date nulls last, uri) as place from j")

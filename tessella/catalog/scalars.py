@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import fuzzy
 from .base import JUDGMENTS, RAW_VALUES, derived, judgments, query, table, twin
 
 J = f"with j as ({twin(JUDGMENTS)})"
@@ -118,12 +119,10 @@ NORMAL = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 PART = "regexp_replace(regexp_replace({}, '^[ \"''`.,;:]+', ''), '[ \"''`.,;:]+$', '')"
 
 
-@query("n14_quote_in", f"""with q as (select doc_id, {NORMAL.format('passage')} as p, list_filter(list_transform(regexp_split_to_array(quote, '\\s*(?:\\.\\s*){{3,}}\\s*|\\s*…\\s*'), lambda x: {PART.format(NORMAL.format('x'))}), lambda x: x <> '') as parts from ({twin(QUOTED)})),
-a as (select *, case when len(parts) = 0 then 1 else instr(p, parts[1]) end as first from q)
-select doc_id, case when len(parts) < 2 then first > 0 else first > 0 and instr(substr(p, first + length(parts[1])), parts[2]) > 0 end as found, coalesce(list_sum(list_transform(parts, lambda x: len(string_split(x, ' ')))), 0)::int as words from a where len(parts) <= 2""")
+@query("n14_quote_in", f"""with q as (select doc_id, {NORMAL.format('passage')} as p, list_filter(list_transform(regexp_split_to_array(quote, '\\s*(?:\\.\\s*){{3,}}\\s*|\\s*…\\s*'), lambda x: {PART.format(NORMAL.format('x'))}), lambda x: x <> '') as parts from ({twin(QUOTED)}))
+select doc_id, len(parts) = 0 or regexp_matches(p, array_to_string(list_transform(parts, lambda x: regexp_escape(x)), '.*'), 's') as found, coalesce(list_sum(list_transform(parts, lambda x: len(string_split(x, ' ')))), 0)::int as words from q""")
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = derived(spark, sf_dir, QUOTED).where(F.size(T.quote_parts(F.col("quote"))) <= 2)
-    return r.select("doc_id", T.quote_in(F.col("quote"), F.col("passage")).alias("found"), T.quote_words(F.col("quote")).alias("words"))
+    return derived(spark, sf_dir, QUOTED).select("doc_id", T.quote_in(F.col("quote"), F.col("passage")).alias("found"), T.quote_words(F.col("quote")).alias("words"))
 
 
 CLAIMS = "select doc_id, 'It was held in ' || case doc_id % 3 when 0 then '[2020] XYSC 7' when 1 then '[' || cast(1990 + doc_id % 30 as string) || '] ' || upper(court_code) || 'SC ' || cast(doc_id as string) else 'court' end || case when doc_id % 5 = 0 then ' at page 12' else '' end as claim, citation, text from ({judgments})".replace("{judgments}", JUDGMENTS)
@@ -207,18 +206,18 @@ def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.size(T.char_grams(F.concat("p_name", "p_type"))).cast("long").alias("n"))
 
 
-@query("x08_containment", """with t as (select o.doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]{3,}')) as a, list_distinct(regexp_extract_all(lower(substr(text, 100)), '[a-z0-9]{3,}')) as b from documents o)
+@query("x08_containment", """with t as (select o.doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, length(text) // 2)), '[a-z0-9]{3,}')) as a, list_distinct(regexp_extract_all(lower(substr(text, length(text) // 2 + 1)), '[a-z0-9]{3,}')) as b from documents o)
 select doc_id, case when len(a) = 0 then 0.0::double else len(list_filter(a, lambda x: list_contains(b, x)))::double / len(a) end as share from t""")
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.containment(T.tokens(F.substring("text", 1, 200)), T.tokens(F.expr("substring(text, 100)"))).alias("share"))
+    return d.select("doc_id", T.containment(T.tokens(F.expr("substring(text, 1, length(text) div 2)")), T.tokens(F.expr("substring(text, length(text) div 2 + 1)"))).alias("share"))
 
 
-@query("x13_containment_nli", """with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as p, regexp_extract_all(lower(substr(text, 20, 50) || case when doc_id % 3 = 0 then ' not' else '' end), '[a-z0-9]+') as c from documents)
+@query("x13_containment_nli", """with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as p, regexp_extract_all(lower(substr(text, 20) || case when doc_id % 3 = 0 then ' not' else '' end), '[a-z0-9]+') as c from documents)
 select doc_id, case when len(list_filter(c, lambda w: length(w) > 3 and not list_contains(p, w))) > 0 then 'neutral' when list_has_any(p, ['not', 'no', 'never']) <> list_has_any(c, ['not', 'no', 'never']) then 'contradiction' else 'entailment' end as verdict from t""")
 def nli(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    claim = F.concat(F.substring("text", 20, 50), F.when(F.col("doc_id") % 3 == 0, " not").otherwise(""))
+    claim = F.concat(F.expr("substring(text, 20)"), F.when(F.col("doc_id") % 3 == 0, " not").otherwise(""))
     return d.select("doc_id", T.entails(F.col("text"), claim).alias("verdict"))
 
 
@@ -227,19 +226,31 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.highlight(F.col("text"), ["of", "the", "there"]).alias("marked"))
 
 
-@query("x03_word_similarity", """with g as (select p_partkey, list_distinct(flatten(list_transform(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: '  ' || w || ' '), lambda w: list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))))) as t from part),
-q as (select list_distinct(flatten(list_transform(list_transform(['part', '1'], lambda w: '  ' || w || ' '), lambda w: list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))))) as t)
-select p_partkey, len(list_filter(q.t, lambda x: list_contains(g.t, x)))::double / len(q.t) as similarity from g, q""")
+#: Names that are asked for, each with a letter too few, and the names that may be meant.
+ASKED_NAMES = "select distinct left(p_name, length(p_name) - 1) as asked from {part}"
+HELD_NAMES = "select p_partkey, p_name || ' of ' || p_brand as held from {part}"
+GRAMS = "list_distinct(flatten(list_transform(list_transform({}, lambda w: '  ' || w || ' '), lambda w: list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)))))"
+WORDS_OF = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+EXTENTS = f"""q as (select asked, {GRAMS.format(WORDS_OF.format('asked'))} as a from ({twin(ASKED_NAMES)})), h as (select p_partkey, {WORDS_OF.format('held')} as w from ({twin(HELD_NAMES)})),
+e as (select p_partkey, {GRAMS.format('w[i:j]')} as g from (select p_partkey, w, unnest(range(1, len(w) + 1)) as i from h), lateral (select unnest(range(i, len(w) + 1)) as j)),
+s as (select asked, p_partkey, round(max(len(list_intersect(a, g))::double / len(list_distinct(list_concat(a, g)))), 9) as similarity from q, e group by all)"""
+
+
+@query("x03_word_similarity", f"with {EXTENTS} select asked, p_partkey, similarity from s where similarity > 0")
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = T.trigrams(F.lit("part 1"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.containment(wanted, T.trigrams(F.col("p_name"))).alias("similarity"))
+    return fuzzy.similar_names(derived(spark, sf_dir, ASKED_NAMES), "asked", derived(spark, sf_dir, HELD_NAMES), "held", 1e-9).select("asked", "p_partkey", F.round("similarity", 9).alias("similarity"))
+
+
+@query("j13_fuzzy_join", f"with {EXTENTS} select asked, p_partkey, similarity from s where similarity >= 0.6")
+def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.similar_names(derived(spark, sf_dir, ASKED_NAMES), "asked", derived(spark, sf_dir, HELD_NAMES), "held", 0.6).select("asked", "p_partkey", F.round("similarity", 9).alias("similarity"))
 
 
 @query("x04_cosine", "with q as (select embedding as e from embeddings where vec_id = 0) select vec_id, round(list_sum(list_transform(list_zip(embedding, e), lambda p: p[1]::double * p[2]::double)), 6) as similarity from embeddings, q")
 def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    # One row, picked by its key.
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("e"))
+    # One row however many have the key: an aggregate without keys.
+    q = v.where("vec_id = 0").agg(F.first("embedding").alias("e"))
     return v.join(F.broadcast(q)).select("vec_id", F.round(V.dot(F.col("embedding"), F.col("e")), 6).alias("similarity"))
 
 

@@ -224,6 +224,17 @@ def char_grams(text: Column, n: int = 20) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def ascii_grams(text: Column, n: int = 20) -> Column:
+    """char_grams of a text of ASCII characters: taken from its bytes, where a place is found without counting characters."""
+
+    def of(data: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(data) - (n - 1), F.lit(1))), lambda i: F.substring(data, i, F.lit(n)).cast("string"))
+        return F.when(F.length(data) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    # The bytes are a bound variable: else they would be made again for each gram.
+    return F.element_at(F.transform(F.array(F.encode(text, "US-ASCII")), of), 1)
+
+
 def containment(reference: Column, candidate: Column) -> Column:
     """Which share of the reference's members the candidate has; 0 for an empty reference."""
     return F.when(F.size(reference) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(reference, candidate)) / F.size(reference))
@@ -258,3 +269,28 @@ def trigrams(text: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""), F.lit("/"))
+
+
+def hex_id(value: Column) -> Column:
+    """An identifier of 32 hexadecimal digits, dashes left out, in lower case; null for anything else."""
+    plain = F.lower(F.replace(strip(value), F.lit("-"), F.lit("")))
+    return F.when(plain.rlike("^[0-9a-f]{32}$"), plain)
+
+
+def sentences(text: Column) -> Column:
+    """A rough split at ends of sentences and blank lines; a piece of fewer than four words takes the next one to it."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+(?=[A-Z\"“(\[])|\n\s*\n"), collapse), lambda p: p != "")
+    short = lambda p: F.size(F.split(p, " ")) < 4
+    step = lambda out, p: F.when((F.size(out) > 0) & short(F.element_at(out, -1)), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(F.element_at(out, -1), F.lit(" "), p)))).otherwise(F.concat(out, F.array(p)))
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def sentence_windows(parts: Column, most: int = 3) -> Column:
+    """Runs of one to most sentences in order, each once; of fewer sentences than a run's size, all of them are one run."""
+    n = F.size(parts)
+
+    def of_size(size: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.lit(size)), " "))
+        return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*(of_size(k) for k in range(1, most + 1)))))

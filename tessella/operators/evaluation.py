@@ -118,3 +118,14 @@ def answer_metrics(records: DataFrame, by: list[str]) -> DataFrame:
 def removal_reasons(records: DataFrame, by: list[str]) -> DataFrame:
     """How often each reason stands in the records of each group."""
     return records.where("reason is not null").groupBy(*by, "reason").agg(F.count("*").alias("n"))
+
+
+def paired_sides(questions: DataFrame, by: str, ours: DataFrame, theirs: DataFrame, gold: DataFrame, most: int = 20) -> DataFrame:
+    """Two systems on the same questions(qid, by): how many each one answers within the first `most`, and how many it alone.
+
+    ours and theirs are (qid, doc_id, rank).
+    """
+    hit = lambda ranked, name: ranked.join(gold, ["qid", "doc_id"]).groupBy("qid").agg((F.min("rank") <= most).alias(name))
+    j = questions.join(hit(ours, "a"), "qid", "left").join(hit(theirs, "b"), "qid", "left")
+    a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
+    return j.groupBy(by).agg(F.count("*").alias("questions"), F.count_if(a).alias("ours"), F.count_if(b).alias("theirs"), F.count_if(a & ~b).alias("only_ours"), F.count_if(b & ~a).alias("only_theirs"))

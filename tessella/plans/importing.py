@@ -38,8 +38,13 @@ def import_outcomes(rows: DataFrame, least_chars: int = 1) -> DataFrame:
 def file_verdict(record: Column, file: Column, citation: Column, title: Column, shared: Column) -> Column:
     """Whether a file holds a record's text: by its words, then its citation, then its title if no other record has the file."""
     wanted = T.squash(record)
-    window = F.left(T.squash(file), F.greatest(4 * F.length(wanted), F.lit(LEAST_WINDOW)))
-    same = T.containment(T.char_grams(wanted, GRAM), T.char_grams(window, GRAM)) >= OVERLAP
+
+    def held(both: Column) -> Column:
+        window = F.left(both["file"], F.greatest(4 * F.length(both["record"]), F.lit(LEAST_WINDOW)))
+        return T.containment(T.ascii_grams(both["record"], GRAM), T.ascii_grams(window, GRAM)) >= OVERLAP
+
+    # Squashed once; an optimizer would repeat them in each use.
+    same = F.element_at(F.transform(F.array(F.struct(wanted.alias("record"), T.squash(file).alias("file"))), held), 1)
     named = T.containment(T.tokens(title), T.tokens(file)) >= OVERLAP
     number = T.neutral_citation(citation)
     spaced = lambda t: F.regexp_replace(F.upper(t), r"\s+|[\[\]()]", " ")
