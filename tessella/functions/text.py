@@ -237,7 +237,12 @@ def ascii_grams(text: Column, n: int = 20) -> Column:
 
 def containment(reference: Column, candidate: Column) -> Column:
     """Which share of the reference's members the candidate has; 0 for an empty reference."""
-    return F.when(F.size(reference) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(reference, candidate)) / F.size(reference))
+
+    def share(both: Column) -> Column:
+        return F.when(F.size(both["r"]) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(both["r"], both["c"])) / F.size(both["r"]))
+
+    # Bound once, as both are often made from whole texts.
+    return F.element_at(F.transform(F.array(F.struct(reference.alias("r"), candidate.alias("c"))), share), 1)
 
 
 def entails(premise: Column, claim: Column) -> Column:

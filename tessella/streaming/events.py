@@ -18,9 +18,13 @@ def read_events(spark: SparkSession, sf_dir: str, schema, files_per_trigger: int
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def daily_totals(events: DataFrame) -> DataFrame:
-    """Calls and value per kind and day. The sum is a decimal, so that it doesn't depend on the order of arrival."""
-    return events.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("calls"), F.sum(F.col("value").cast("decimal(10,6)")).alias("spent"))
+def daily_totals(events: DataFrame, late: str = "3650 days") -> DataFrame:
+    """Calls and value per kind and day. The sum is a decimal, so that it doesn't depend on the order of arrival.
+
+    In append and update mode a day leaves the state once the watermark, so much behind, has passed it; a result in
+    complete mode is all days, and keeps them.
+    """
+    return events.withWatermark("ts", late).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("calls"), F.sum(F.col("value").cast("decimal(10,6)")).alias("spent"))
 
 
 def session_counts(events: DataFrame, gap: str, late: str) -> DataFrame:
@@ -28,14 +32,19 @@ def session_counts(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
 
 
-def lockouts(events: DataFrame, most: int, minutes: int) -> DataFrame:
+def lockouts(events: DataFrame, most: int, minutes: int, late: str = "1 day") -> DataFrame:
     """(user_id, event_id, locked) for each failure; the state holds a user's failures of the last minutes only.
 
+    A user's state goes once the watermark, so much behind the latest event, has passed the last failure by the minutes.
+
     Failures of a user are taken in time order within a batch; one that comes later than a younger one of an earlier
     batch counts those that the state still holds.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
@@ -43,10 +52,12 @@ def lockouts(events: DataFrame, most: int, minutes: int) -> DataFrame:
             recent = [x for x in recent if x >= at - minutes * 60_000_000] + [at]
             out.append((key[0], event, len(recent) >= most))
         state.update((recent,))
+        state.setTimeoutTimestamp(max(max(recent) // 1000 + minutes * 60_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "locked"])
 
-    failed = events.where("event_type = 'error'").select("user_id", "event_id", F.unix_micros("ts").alias("at"))
-    return failed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, locked boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    failed = stamped.where("event_type = 'error'").select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    return failed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, locked boolean", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
