@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import evaluation
-from ..operators.verification import verify_claims
+from ..operators.verification import check_support, choose_sources, verify_claims
 from ..plans import search
 from .base import derived, query, table, twin
 from .retrieval import CHANNEL, DENSE, FUSED, channels
@@ -46,16 +46,21 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(spark, sf_dir)
 
 
-@query("c22_check_support", f"""with {VERIFIED}, k as (select v.answer_id, v.claim_id, regexp_extract_all(lower(excerpt), '[a-z0-9]+') as p, regexp_extract_all(lower(text), '[a-z0-9]+') as w, contains({PLAIN.format('excerpt')}, {PLAIN.format('text')}) as verbatim
-  from v join r using (answer_id, claim_id) where r.reason is null)
-select answer_id, claim_id, case when verbatim then 'verbatim' when len(list_filter(w, lambda x: length(x) > 3 and not list_contains(p, x))) > 0 then 'not_entailed' when list_has_any(p, ['not', 'no', 'never']) <> list_has_any(w, ['not', 'no', 'never']) then 'contradicted' else 'entailed' end as verdict from k""")
+#: Claims of several kinds about the first source: its first line, words of it in another order, with a negation, and others.
+STATED = "select a.conv_id as answer_id, a.turn as claim_id, 'S1' as label, case a.turn % 5 when 0 then u.text when 1 then substr(u.text, 1, 60) when 3 then substr(u.text, 20, 50) || ' not ' || substr(u.text, 1, 30) else 'nothing of the kind was decided' end as text from {conversations} a join (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from {conversations} where role = 'user') u on u.conv_id = a.conv_id and u.n = 1"
+LONG = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 3))"
+SAYS_NOT = "list_has_any(regexp_extract_all(lower({}), '[a-z0-9]+'), ['not', 'no', 'never'])"
+NEUTRAL = "len(list_filter(regexp_extract_all(lower({1}), '[a-z0-9]+'), lambda w: length(w) > 3 and not list_contains(regexp_extract_all(lower({0}), '[a-z0-9]+'), w))) > 0"
+
+
+@query("c22_check_support", f"""with s as ({twin(SOURCES)}), c as ({twin(STATED)}), j as (select c.*, s.excerpt, list_filter(string_split(excerpt, chr(10)), lambda x: trim(x) <> '') as parts from c join s using (answer_id, label)),
+w as (select distinct answer_id, claim_id, text, array_to_string(parts[i:i + k - 1], ' ') as run from (select *, unnest(range(1, greatest(len(parts) - k + 1, 1) + 1)) as i from j, (select unnest([1, 2, 3]) as k) where len(parts) > 0)),
+b as (select answer_id, claim_id, max(struct_pack(share := case when len({LONG.format('text')}) = 0 then 0.0::double else len(list_intersect({LONG.format('text')}, {LONG.format('run')}))::double / len({LONG.format('text')}) end, entails := not ({NEUTRAL.format('run', 'text')}) and {SAYS_NOT.format('run')} = {SAYS_NOT.format('text')})) as best from w group by all)
+select answer_id, claim_id, case when contains({PLAIN.format('excerpt')}, {PLAIN.format('text')}) then 'verbatim' when coalesce(best.share >= 0.8 and best.entails, false) then 'entailed' when not ({NEUTRAL.format('excerpt', 'text')}) and {SAYS_NOT.format('excerpt')} <> {SAYS_NOT.format('text')} then 'contradicted' else 'not_entailed' end as verdict,
+  round(case when contains({PLAIN.format('excerpt')}, {PLAIN.format('text')}) then 1.0 else coalesce(best.share, 0.0) end, 9) as score from j left join b using (answer_id, claim_id)""")
 def support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = verified(spark, sf_dir).where("reason is null").select("answer_id", "claim_id")
-    c = derived(spark, sf_dir, CLAIMS).join(kept, ["answer_id", "claim_id"]).withColumn("label", T.labels(F.array("label"))[0])
-    j = c.join(derived(spark, sf_dir, SOURCES), ["answer_id", "label"])
-    verdict = T.entails(F.col("excerpt"), F.col("text"))
-    named = F.when(verdict == "neutral", "not_entailed").when(verdict == "contradiction", "contradicted").otherwise("entailed")
-    return j.select("answer_id", "claim_id", F.when(T.plain_text(F.col("excerpt")).contains(T.plain_text(F.col("text"))), "verbatim").otherwise(named).alias("verdict"))
+    sources = derived(spark, sf_dir, SOURCES).withColumn("parts", F.filter(F.split("excerpt", "\n"), lambda x: F.trim(x) != ""))
+    return check_support(derived(spark, sf_dir, STATED), sources).withColumn("score", F.round("score", 9))
 
 
 @query("c23_answer_assembly", f"with {VERIFIED} select answer_id, string_agg(v.text || ' [' || label_no || ']', chr(10) order by claim_id) as answer from (select v.*, substr(upper(trim(trim(label), '[]')), 2) as label_no from v) v join r using (answer_id, claim_id) where reason is null group by answer_id")
@@ -73,13 +78,22 @@ def abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(k, "answer_id", "left").select("answer_id", F.when(F.col("claims") == 0, "no_results").when(F.coalesce("kept", F.lit(0)) == 0, "no_supported_claims").alias("reason"))
 
 
-@query("c20_select_sources")
-def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.verification import choose_within_budget
+#: What an answer may cite: each line of a conversation's turns, a turn being a case, in order.
+OFFERED = "select conv_id as answer_id, turn, place, content, cast(ceil(length(content) / 4.0) as bigint) as cost from lines"
+
 
-    s = derived(spark, sf_dir, SOURCES).withColumn("cost", V.estimate_tokens(F.col("excerpt")))
-    g = s.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("label", "cost"))).alias("items"))
-    return g.select("answer_id", F.array_join(F.transform(choose_within_budget(F.col("items"), 8, 300), lambda x: x["label"]), ",").alias("chosen"))
+@query("c20_select_sources", f"""with recursive lines as (select conv_id, turn, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as place from conversations),
+o as (select *, row_number() over (partition by answer_id order by turn, place) as n from ({OFFERED})),
+h as (select distinct answer_id, 0::bigint as n, 0::bigint as used, []::bigint[] as cases, ''::varchar as chosen from o
+  union all select o.answer_id, o.n, case when fits then used + cost else used end, case when fits then list_append(cases, o.turn::bigint) else cases end, case when fits then chosen || o.turn::varchar || '.' || o.place::varchar || ' ' else chosen end
+  from h join o on o.answer_id = h.answer_id and o.n = h.n + 1, lateral (select len(cases) < 8 and len(list_filter(cases, lambda x: x = o.turn)) < 2 and used + cost <= 400 as fits))
+select answer_id, arg_max(chosen, n) as chosen from h group by answer_id""")
+def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), "turn", F.posexplode(F.split("text", "\n")).alias("place", "content"))
+    item = F.struct("turn", (F.col("place") + 1).alias("place"), F.col("turn").alias("case"), F.ceil(F.length("content") / 4.0).cast("long").alias("cost"))
+    g = lines.groupBy("answer_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    name = lambda x: F.concat(x["turn"].cast("string"), F.lit("."), x["place"].cast("string"), F.lit(" "))
+    return g.select("answer_id", F.array_join(F.transform(choose_sources(F.col("items"), budget=400), name), "").alias("chosen"))
 
 
 #: Records of an evaluation: a rank, a category and a latency for each order.

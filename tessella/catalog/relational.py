@@ -318,7 +318,11 @@ def fixed_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.page(r, "place", 20, 10).select("o_orderkey", "place")
 
 
-@query("l06_greedy_budget")
+@query("l06_greedy_budget", f"""with recursive p as (select *, row_number() over (partition by doc_id order by ordinal) as n, (floor(length(content) / 3.5)::int + 40) as cost from ({PASSAGES})),
+h as (select distinct doc_id, 0::bigint as n, 0::bigint as used, 0::bigint as held, ''::varchar as chosen from p
+  union all select p.doc_id, p.n, case when fits then used + cost else used end, case when fits then held + 1 else held end, case when fits then chosen || case when chosen = '' then '' else ',' end || p.chunk_id::varchar else chosen end
+  from h join p on p.doc_id = h.doc_id and p.n = h.n + 1, lateral (select held < 8 and used + cost <= 400 as fits))
+select doc_id, arg_max(chosen, n) as chosen from h group by doc_id""")
 def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.verification import choose_within_budget
 

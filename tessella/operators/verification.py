@@ -39,3 +39,42 @@ def verify_claims(claims: DataFrame, sources: DataFrame, least_words: int = 4) -
         .when(~T.references_supported(F.col("text"), F.col("own"), F.col("passages")), "unsupported_reference")
     )
     return per.select("answer_id", "claim_id", "n_valid", "n_unknown", reason.alias("reason"))
+
+
+def leading_and_closing(items: Column, closing: int = 2) -> Column:
+    """Of the passages of a named case, in order: the first and the last ones, each once."""
+    n = F.size(items)
+    return F.when(n > 0, F.array_distinct(F.concat(F.slice(items, 1, 1), F.slice(items, F.greatest(n - closing + 1, F.lit(1)), F.lit(closing))))).otherwise(items)
+
+
+def choose_sources(items: Column, per_case: int = 2, most: int = 8, budget: int = 4000) -> Column:
+    """Sources of an answer from an ordered array of structs with case and cost: so many of a case, so many in all, within a budget.
+
+    One that doesn't fit is passed over; later ones may fit.
+    """
+
+    def step(state: Column, item: Column) -> Column:
+        own = F.size(F.filter(state["chosen"], lambda c: c["case"] == item["case"]))
+        fits = (F.size(state["chosen"]) < most) & (own < per_case) & (state["used"] + item["cost"] <= budget)
+        return F.struct(F.when(fits, state["used"] + item["cost"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["chosen"], F.array(item))).otherwise(state["chosen"]).alias("chosen"))
+
+    return F.aggregate(items, F.struct(F.lit(0).cast("long").alias("used"), F.filter(items, lambda _: F.lit(False)).alias("chosen")), step)["chosen"]
+
+
+def check_support(claims: DataFrame, sources: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(answer_id, claim_id, verdict, score) of claims(answer_id, claim_id, text, label) that cite sources(answer_id, label, excerpt, parts).
+
+    parts are the sentences of an excerpt. A claim that stands in an excerpt word for word is supported with score 1. Else
+    each run of one to three sentences is judged: the best share of the claim's longer words that a run holds must
+    reach the threshold, and that run must entail it. Else it is contradicted if the whole excerpt says so, or not entailed.
+    """
+    j = claims.join(sources, ["answer_id", "label"])
+    words = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) > 3))
+    told = lambda run: F.struct(T.containment(words(F.col("text")), words(run)).alias("share"), (T.entails(run, F.col("text")) == "entailment").alias("entails"))
+    best = F.array_max(F.transform(T.sentence_windows(F.col("parts")), told))
+    verbatim = T.plain_text(F.col("excerpt")).contains(T.plain_text(F.col("text")))
+    per = j.select("answer_id", "claim_id", verbatim.alias("verbatim"), best.alias("best"), (T.entails(F.col("excerpt"), F.col("text")) == "contradiction").alias("against"))
+    g = per.groupBy("answer_id", "claim_id").agg(F.max("verbatim").alias("verbatim"), F.max("best").alias("best"), F.max("against").alias("against"))
+    held = F.coalesce((F.col("best.share") >= threshold) & F.col("best.entails"), F.lit(False))
+    verdict = F.when(F.col("verbatim"), "verbatim").when(held, "entailed").when(F.col("against"), "contradicted").otherwise("not_entailed")
+    return g.select("answer_id", "claim_id", verdict.alias("verdict"), F.when(F.col("verbatim"), 1.0).otherwise(F.coalesce("best.share", F.lit(0.0))).alias("score"))
