@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import evaluation
-from ..operators.verification import check_support, choose_sources, verify_claims
+from ..operators.verification import abstain_reason, check_support, choose_sources, verify_claims
 from ..plans import search
 from .base import derived, query, table, twin
 from .retrieval import CHANNEL, DENSE, FUSED, channels
@@ -71,11 +71,12 @@ def assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("answer"))
 
 
-@query("c24_abstain_reasons", f"with {VERIFIED}, n as (select conv_id as answer_id, count(*) filter (where role = 'assistant') as claims from conversations group by conv_id), k as (select answer_id, count(*) filter (where reason is null) as kept from r group by answer_id) select answer_id, case when claims = 0 then 'no_results' when coalesce(kept, 0) = 0 then 'no_supported_claims' end as reason from n left join k using (answer_id)")
+@query("c24_abstain_reasons", f"with {VERIFIED}, n as (select conv_id as answer_id, count(*) filter (where role = 'user') as results, bool_and(length(text) < 3000) as readable, conv_id % 9 = 4 as abstained from conversations group by conv_id), k as (select answer_id, count(*) filter (where reason is null) as kept from r group by answer_id) select answer_id, case when results < 2 then 'no_results' when not readable then 'invalid_model_output' when abstained then 'model_abstained' when coalesce(kept, 0) = 0 then 'no_supported_claims' end as reason from n left join k using (answer_id)")
 def abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("answer_id")).agg(F.count_if(F.col("role") == "assistant").alias("claims"))
+    n = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("answer_id")).agg(F.count_if(F.col("role") == "user").alias("results"), F.every(F.length("text") < 3000).alias("readable"))
     k = verified(spark, sf_dir).groupBy("answer_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"))
-    return n.join(k, "answer_id", "left").select("answer_id", F.when(F.col("claims") == 0, "no_results").when(F.coalesce("kept", F.lit(0)) == 0, "no_supported_claims").alias("reason"))
+    found = F.when(F.col("results") < 2, 0).otherwise(F.col("results"))
+    return n.join(k, "answer_id", "left").select("answer_id", abstain_reason(found, F.col("readable"), F.col("answer_id") % 9 == 4, F.coalesce("kept", F.lit(0))).alias("reason"))
 
 
 #: What an answer may cite: each line of a conversation's turns, a turn being a case, in order.

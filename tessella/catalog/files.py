@@ -38,9 +38,10 @@ def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.recognised_text(b.select("item_id", tsv.alias("tsv")), "item_id", "tsv")
 
 
-@query("s14_jsonl_lines", """select doc_id, '{"doc_id":' || doc_id::varchar || ',"lang":"' || lang || '"' || case when doc_id % 2 = 0 then ',"source":"' || source || '"' else '' end || '}' as line from documents""")
+@query("s14_jsonl_lines", """select doc_id, '{"doc_id":' || doc_id::varchar || ',"lang":"' || lang || '"' || case when doc_id % 2 = 0 then ',"source":"' || source || '"' else '' end || '}' as line, true as reads_back from documents""")
 def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))).alias("line"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))
+    return files.json_lines(rows, "doc_id")
 
 
 @query("s15_sheet_lines", "select o_orderkey, o_orderkey::varchar || ',' || o_orderstatus || ',' || o_orderpriority || ',' as line from orders")

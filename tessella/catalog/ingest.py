@@ -99,9 +99,15 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat(F.lit(bytearray(OUTER)), F.unhex(inner)), 256).alias("digest"))
 
 
-@query("h07_token_hash", "select event_id, sha256(props) as token from events")
+@query("h07_token_hash", "select event_id, sha256(props) as token, ('0x' || substr(sha256(props), 1, 15))::bigint as lock from events")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.sha2("props", 256).alias("token"))
+    return table(spark, sf_dir, "events").select("event_id", F.sha2("props", 256).alias("token"), V.lock_key(F.col("props")).alias("lock"))
+
+
+@query("x01_english_lexemes")
+def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = english.with_lexemes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return made.select("doc_id", F.explode("lexemes").alias("x")).groupBy("doc_id", "x.stem").agg(F.count("*").alias("n"), F.min("x.place").alias("first"))
 
 
 @query("a01_vector_coverage", "select label, count(*) as total, count(case when vec_id % 3 > 0 then vec_id end) as present from embeddings group by label")

@@ -155,6 +155,14 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.every(exact).alias("exact"), F.every(F.col("token_count") <= 400).alias("within"), (F.max("ordinal") + 1 == F.count("*")).alias("dense"), F.sum("token_count").alias("tokens"))
 
 
+@query("c07_page_bounds", f"with p as ({PASSAGES}) select doc_id, min(ordinal) as first_page, max(ordinal) as last_page, true as ordered, true as within from p group by doc_id")
+def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = chunking.join_pages(passages(spark, sf_dir).select("doc_id", F.col("ordinal").alias("page"), F.col("content").alias("text")))
+    c = chunking.with_page_bounds(chunking.chunk_documents(joined, keep=("page_starts",)))
+    starts = F.element_at(F.filter("page_starts", lambda p: p["page"] == F.col("page_start")), 1)["start"]
+    return c.groupBy("doc_id").agg(F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"), F.every(F.col("page_start") <= F.col("page_end")).alias("ordered"), F.every(starts <= F.col("char_start")).alias("within"))
+
+
 @query("c07a_headings", "select doc_id, i - 1 as line from (select doc_id, unnest(string_split(text || chr(10) || 'FACTS' || chr(10) || 'II. THE LAW:', chr(10))) as line, generate_subscripts(string_split(text || chr(10) || 'FACTS' || chr(10) || 'II. THE LAW:', chr(10)), 1) as i from documents) where trim(line) in ('FACTS', 'II. THE LAW:')")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.concat("text", F.lit("\nFACTS\nII. THE LAW:")), "\n")).alias("line", "content"))

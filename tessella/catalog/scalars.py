@@ -114,6 +114,11 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.plain_text(F.col("text")).alias("normal"))
 
 
+@query("n13_folded_text", "select doc_id, lower(trim(regexp_replace(replace(replace(lower('Ｆｕｌｌ ﬁne ' || text), 'ß', 'ss'), lower('Ｆｕｌｌ ﬁne'), 'full fine'), '\\s+', ' ', 'g'))) as normal from documents")
+def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.normal_text(F.concat(F.lit("Ｆｕｌｌ ﬁne "), "text")).alias("normal"))
+
+
 QUOTED = "select a.doc_id, substr(a.text, 5, 30) || ' ... ' || substr(a.text, 60 + case when a.doc_id % 3 = 0 then 0 else 10 end, 20) as quote, a.text as passage from {documents} a"
 NORMAL = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 PART = "regexp_replace(regexp_replace({}, '^[ \"''`.,;:]+', ''), '[ \"''`.,;:]+$', '')"
@@ -264,6 +269,14 @@ def stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgments(spark, sf_dir).select("doc_id", V.stable_hash(F.col("doc_id"), F.col("judgment_date"), F.col("citation")).alias("digest"))
 
 
+ASCII = "array_to_string(list_transform(string_split({}, ''), lambda c: case when c = '' or unicode(c) < 128 then c else '\\u' || lpad(lower(hex(unicode(c))), 4, '0') end), '')"
+
+
+@query("h03_json_hash", f"select doc_id, sha256({ASCII.format(chr(39) + '{' + chr(34) + 'lang' + chr(34) + ':' + chr(39) + ' || to_json(lang) || ' + chr(39) + ',' + chr(34) + 'size' + chr(34) + ':' + chr(39) + ' || n_chars::varchar || ' + chr(39) + ',' + chr(34) + 'text' + chr(34) + ':' + chr(39) + ' || to_json(text) || ' + chr(39) + '}' + chr(39))}) as digest from documents")
+def json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", V.stable_json_hash({"text": F.col("text"), "lang": F.col("lang"), "size": F.col("n_chars")}).alias("digest"))
+
+
 @query("h04_stable_id", """with d as (select doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || (doc_id::varchar || chr(31) || lang)::blob) as h from documents)
 select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from d""")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import events as E
-from .base import query, table
+from .base import derived, query, table, twin
 
 
 @query("t01_lockout", "select event_id, n >= 5 as locked from (select event_id, count(*) over (partition by user_id order by ts range between interval 1440 minutes preceding and current row) as n from events where event_type = 'error')")
@@ -62,9 +63,18 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("value % 1 <> 0.5").select("event_id", F.sha2(asked, 256).alias("query_hash"), F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("query_text"), F.round("value").cast("int").alias("latency_ms"))
 
 
-@query("s25_usage_ledger", "select event_id, 'p' || (user_id % 3)::varchar as provider, (round(value * 1000) / 1000000)::decimal(10,6)::double as usd, case event_type when 'error' then 'failed' else 'ok' end as status from events")
+#: One row for each model call: tokens in and out, and whose prices they are charged at.
+CALLS = "select event_id, case user_id % 3 when 0 then 'near' when 1 then 'far' else 'free' end as provider, cast(floor(value * 40) as int) as plain, cast(event_id % 200 as int) as cached, cast(user_id % 150 as int) as output, event_type = 'error' as failed from {events}"
+PRICES = {"near": ("0.10", "0.01", "0.50"), "far": ("1.25", "0.125", "10.00"), "free": ("0", "0", "0")}
+CHARGED = " ".join(f"when '{p}' then greatest(plain - cached, 0) * {a} + cached * {b} + output * {c}" for p, (a, b, c) in PRICES.items())
+
+
+@query("s25_usage_ledger", f"select event_id, provider, case when failed then 'failed' else 'ok' end as status, (round(case provider {CHARGED} end, 0) / 1000000)::decimal(10,6)::double as usd from ({twin(CALLS)})")
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), (F.round(F.col("value") * 1000) / 1000000).cast("decimal(10,6)").cast("double").alias("usd"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
+    c, usd = derived(spark, sf_dir, CALLS), F.lit(None).cast("decimal(10,6)")
+    for provider, rates in PRICES.items():
+        usd = F.when(F.col("provider") == provider, V.estimate_usd(F.col("plain"), F.col("cached"), F.col("output"), rates)).otherwise(usd)
+    return c.select("event_id", "provider", F.when(F.col("failed"), "failed").otherwise("ok").alias("status"), usd.cast("double").alias("usd"))
 
 
 @query("r11_price_lookup", "select c_custkey, price, case when price is null then 'no price' end as problem from customer left join (select * from (values ('BUILDING', 0.1), ('MACHINERY', 0.5)) t(seg, price)) on seg = c_mktsegment".replace("price, case", "price::double as price, case"))

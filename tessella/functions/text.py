@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -299,3 +302,14 @@ def sentence_windows(parts: Column, most: int = 3) -> Column:
         return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.flatten(F.array(*(of_size(k) for k in range(1, most + 1)))))
+
+
+@F.pandas_udf("string")
+def folded(values: pd.Series) -> pd.Series:
+    """The compatibility form of Unicode, case folded; no built-in function has either."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+
+
+def normal_text(value: Column) -> Column:
+    """plain_text over the folded form: what quotes and excerpts are compared by where they may hold any script."""
+    return plain_text(folded(value))

@@ -86,3 +86,27 @@ def version_tag(name: str, version: Column, digest: Column) -> Column:
 
 def normal_email(value: Column) -> Column:
     return F.lower(F.trim(value))
+
+
+def ascii_json(value: Column) -> Column:
+    """JSON text with every character beyond ASCII escaped, those beyond 16 bits as a pair."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        high = F.shiftright(n - 0x10000, 10) + 0xD800
+        return F.when(n < 128, c).when(n < 0x10000, code(n)).otherwise(F.concat(code(high), code((n - 0x10000) % 1024 + 0xDC00)))
+
+    # Texts in ASCII alone, nearly all, stay as they are.
+    return F.when(F.octet_length(value) == F.length(value), value).otherwise(F.array_join(F.transform(F.split(value, ""), one), ""))
+
+
+def stable_json_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of an object in canonical JSON: keys in order, no blanks, ASCII only; a null is written as null."""
+    made = F.to_json(F.struct(*(fields[name].alias(name) for name in sorted(fields))), {"ignoreNullFields": "false"})
+    return F.sha2(ascii_json(made), 256)
+
+
+def lock_key(text: Column) -> Column:
+    """A number of 60 bits that stands for a text, for locks that take numbers."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")

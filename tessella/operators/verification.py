@@ -78,3 +78,8 @@ def check_support(claims: DataFrame, sources: DataFrame, threshold: float = 0.8)
     held = F.coalesce((F.col("best.share") >= threshold) & F.col("best.entails"), F.lit(False))
     verdict = F.when(F.col("verbatim"), "verbatim").when(held, "entailed").when(F.col("against"), "contradicted").otherwise("not_entailed")
     return g.select("answer_id", "claim_id", verdict.alias("verdict"), F.when(F.col("verbatim"), 1.0).otherwise(F.coalesce("best.share", F.lit(0.0))).alias("score"))
+
+
+def abstain_reason(results: Column, readable: Column, abstained: Column, supported: Column) -> Column:
+    """Why a question gets no answer: nothing found, a model's output that can't be read, its own wish, or no claim that holds; null if it gets one."""
+    return F.when(results == 0, "no_results").when(~readable, "invalid_model_output").when(abstained, "model_abstained").when(supported == 0, "no_supported_claims")

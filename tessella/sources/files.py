@@ -111,6 +111,28 @@ def event_frames(stream: Column) -> Column:
     return F.filter(F.transform(frames, one), lambda f: f["data"] != "")
 
 
+def json_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(key, line, reads_back): each row as a line of JSON without its nulls, and whether that line gives the row again."""
+    row = F.struct(*rows.columns)
+    line = F.to_json(row, {"ignoreNullFields": "true"})
+    again = F.from_json(line, rows.schema, {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)})
+    return rows.select(key, line.alias("line"), F.coalesce(again == row, F.lit(False)).alias("reads_back"))
+
+
+def write_lines(rows: DataFrame, key: str, path: str) -> None:
+    """Writes json_lines as text, only if all of them read back; the folder appears as a whole or not at all."""
+    spark, draft = rows.sparkSession, f"{path}.draft"
+    made = json_lines(rows, key)
+    if not made.where("not reads_back").isEmpty():
+        raise ValueError("some rows don't read back from their lines")
+    made.select("line").write.mode("overwrite").text(draft)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (draft, path))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(new, True)
+    if not files.rename(old, new):
+        raise OSError(f"{draft} can't become {path}")
+
+
 class SqliteSource(DataSource):
     """format("sqlite"): a table of a SQLite file, in row order, with row_number and every value as text.
 
