@@ -86,7 +86,7 @@ t as (select source_text_hash, string_agg(uri, ' ' order by judgment_date is nul
 def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(questions, indexed passages, lexical, dense)."""
     questions, held = asked(spark, sf_dir), indexed(spark, sf_dir)
-    return questions, held, search.lexical_channel(questions, held), search.dense_channel(search.bag_vectors(questions, "text"), search.bag_vectors(held.where("current"), "content"))
+    return questions, held, search.lexical_channel(questions, held), search.dense_channel(search.bag_vectors(questions, "text"), held, embed=search.bag_matrix)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,7 @@ def lexical_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c12_dense_channel", f"with {CHANNEL}, {DENSE} select qid, chunk_id, score, rank from dense")
 def dense_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = search.bag_vectors(indexed(spark, sf_dir).where("current"), "content")
-    return search.dense_channel(search.bag_vectors(asked(spark, sf_dir), "text"), vectors).select("qid", "chunk_id", "score", "rank")
+    return search.dense_channel(search.bag_vectors(asked(spark, sf_dir), "text"), indexed(spark, sf_dir), embed=search.bag_matrix).select("qid", "chunk_id", "score", "rank")
 
 
 @query("c13_rrf_fusion", f"with {CHANNEL}, {DENSE}, {FUSED} select qid, chunk_id, lexical_rank, dense_rank, rrf, position from placed")

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 MISSING = ("", "n/a", "na", "nan", "none", "null")
@@ -304,12 +305,16 @@ def sentence_windows(parts: Column, most: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.array(*(of_size(k) for k in range(1, most + 1)))))
 
 
-@F.pandas_udf("string")
-def folded(values: pd.Series) -> pd.Series:
-    """The compatibility form of Unicode, case folded; no built-in function has either."""
+def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
+def folded(value: Column) -> Column:
+    """The compatibility form of Unicode, case folded; no built-in function has either."""
+    # Made when it is used: workers that import this module have no session.
+    return F.pandas_udf(_fold, StringType())(value)
+
+
 def normal_text(value: Column) -> Column:
     """plain_text over the folded form: what quotes and excerpts are compared by where they may hold any script."""
     return plain_text(folded(value))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -29,18 +30,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
+@cache
+def bucket_of(word: str) -> int:
+    return hashlib.sha256(word.encode()).digest()[-1]
+
+
+def bag_matrix(texts: list[str | None]) -> np.ndarray:
+    """One row of length one for each text: hashed word counts of DIMENSION buckets; zeros for a text without words."""
+    held = [[bucket_of(w) for w in re.findall("[a-z0-9]+", (text or "").lower())] for text in texts]
+    rows = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    flat = np.fromiter((b for x in held for b in x), np.int64, len(rows))
+    v = np.bincount(rows * DIMENSION + flat, minlength=len(held) * DIMENSION).reshape(-1, DIMENSION).astype(np.float64)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1)
+
+
 def bag_batches(column: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch in batches:
-            v = np.zeros((batch.num_rows, DIMENSION))
-            for i, text in enumerate(batch.column(column).to_pylist()):
-                for w in re.findall("[a-z0-9]+", (text or "").lower()):
-                    if w not in known:
-                        known[w] = hashlib.sha256(w.encode()).digest()[-1]
-                    v[i, known[w]] += 1
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            v /= np.where(norm > 0, norm, 1)
+            v = bag_matrix(batch.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(v), pa.list_(pa.float64()))], [*batch.schema.names, "vector"])
 
     return run
@@ -127,8 +135,11 @@ def matches(asked: DataFrame, held: DataFrame) -> DataFrame:
 ROWS, ASKED = 2048, 512
 
 
-def block_top(held, raw: int) -> Callable:
-    """The raw nearest of each question in this task: matrix products of bounded size, and a running top of each question."""
+def block_top(held, raw: int, embed: Callable[[list], np.ndarray] | None) -> Callable:
+    """The raw nearest of each question in this task: matrix products of bounded size, and a running top of each question.
+
+    The second column holds vectors, or what embed makes them of.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vectors, asked = held.value
@@ -144,16 +155,18 @@ def block_top(held, raw: int) -> Callable:
 
         for whole in batches:
             for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                v = np.array(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)
+                given = batch.column(1)
+                v = embed(given.to_pylist()) if embed else np.array(given.flatten(), np.float64).reshape(batch.num_rows, -1)
                 ids = batch.column("chunk_id").to_numpy()
+                if asked:
+                    court, year = np.array(batch.column("court_code").to_pylist(), object), np.array(batch.column("year").to_numpy(zero_copy_only=False), np.float64)
+                    tests = {"court_code": lambda x: court == x, "year_from": lambda x: year >= x, "year_to": lambda x: year <= x}
                 for low in range(0, len(qids), ASKED):
                     sims = np.round(v @ vectors[low : low + ASKED].T, 9).T
-                    for name, compare in (("court_code", np.equal), ("year_from", np.greater_equal), ("year_to", np.less_equal)):
-                        if name in asked:
-                            mine = np.array(batch.column("year" if name != "court_code" else name).to_pylist(), object)
-                            for j, wanted in enumerate(asked[name][low : low + ASKED]):
-                                if wanted is not None:
-                                    sims[j, [x is None or not compare(x, wanted) for x in mine]] = -np.inf
+                    for name, wanted in asked.items():
+                        for j, x in enumerate(wanted[low : low + ASKED]):
+                            if x is not None:
+                                sims[j, ~tests[name](x)] = -np.inf
                     for j in range(len(sims)):
                         at = np.flatnonzero((sims[j] >= floor[low + j]) & (sims[j] > -np.inf))
                         if len(at):
@@ -170,9 +183,12 @@ def block_top(held, raw: int) -> Callable:
     return run
 
 
-def dense_channel(questions: DataFrame, passages: DataFrame, raw: int = RAW, limit: int = POOL, per_case: int = PER_CASE, most_questions: int = 2_000) -> DataFrame:
+def dense_channel(questions: DataFrame, passages: DataFrame, raw: int = RAW, limit: int = POOL, per_case: int = PER_CASE, most_questions: int = 2_000, embed: Callable[[list], np.ndarray] | None = None) -> DataFrame:
     """questions(qid, vector, filters) and passages(chunk_id, doc_id, hashes, vector, court_code, year).
 
+    With embed, a function from a list of texts to a matrix, passages have content instead of vector: vectors are then
+    made where they are compared and never leave the task.
+
     Vectors that don't belong to a passage's present context don't count: passages may have current, a boolean. The raw
     cut comes behind the filters and before equal passages and caps. Any number of questions is asked, most_questions in
     each pass over the passages: so many are on the driver and have a running top in a task at once, and each pass
@@ -183,11 +199,11 @@ def dense_channel(questions: DataFrame, passages: DataFrame, raw: int = RAW, lim
         passages = passages.where("current")
     kinds, order = dict(passages.dtypes), [F.desc("score"), F.col("chunk_id")]
     filters = [c for c in FILTERS if c in questions.columns]
-    columns = ["chunk_id", "vector", *(c for c in ("court_code", "year") if filters)]
+    columns = ["chunk_id", "content" if embed else "vector", *(c for c in ("court_code", "year") if filters)]
 
     def nearest(asked: list) -> DataFrame:
         held = spark.sparkContext.broadcast(([r["qid"] for r in asked], np.array([r["vector"] for r in asked], np.float64), {c: [r[c] for r in asked] for c in filters}))
-        near = passages.select(columns).mapInArrow(block_top(held, raw), f"qid long, chunk_id {kinds['chunk_id']}, score double")
+        near = passages.select(columns).mapInArrow(block_top(held, raw, embed), f"qid long, chunk_id {kinds['chunk_id']}, score double")
         return ranked(near, order, raw, by=["qid"]).drop("rank")
 
     asked = questions.select("qid", "vector", *filters).limit(most_questions + 1).collect()
