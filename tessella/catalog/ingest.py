@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..plans import importing
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
-from .retrieval import asked
+from .retrieval import NAMED, asked
 
 EXPORT = "select doc_id as row_number, case when doc_id % 41 = 0 then null else 'u' || cast(case when doc_id % 5 = 0 then doc_id % 150 else doc_id end as string) end as uri, case when doc_id % 29 = 0 then '' when doc_id % 5 = 0 and doc_id % 2 = 0 then 'fixed' else text end as text from {documents}"
 OUTCOMES = f"""
@@ -78,7 +78,7 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return english.ranked_matches(asked(spark, sf_dir), passages(spark, sf_dir))
 
 
-@query("x02_all_words_match", f"with p as ({PASSAGES}), q as (select item_id as qid, array_to_string(string_split(text, ' ')[3:8], ' ') as text from benchmark), w as (select qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from q), h as (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from p), a as (select qid, len(w) as n, unnest(w) as word from w) select qid, chunk_id, count(*) as hits from h join a using (word) group by qid, chunk_id, n having count(distinct word) = n")
+@query("x02_all_words_match", f"with p as ({PASSAGES}), q as (select qid, coalesce(named, array_to_string(string_split(item, ' ')[3:8], ' ')) as text from ({twin(NAMED)})), w as (select qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from q), h as (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from p), a as (select qid, len(w) as n, unnest(w) as word from w) select qid, chunk_id, count(*) as hits from h join a using (word) group by qid, chunk_id, n having count(distinct word) = n")
 def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
     a = asked(spark, sf_dir).select("qid", F.array_distinct(words("text")).alias("w")).select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
