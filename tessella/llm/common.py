@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path, table
 
-__all__ = ["BLANKS", "GAP", "OWN", "WORD", "discard", "materialize", "partitions", "renamed", "shards_for", "table", "text_bytes", "texts"]
+__all__ = ["BLANKS", "GAP", "OWN", "WORD", "discard", "materialize", "partitions", "renamed", "shards_for", "sliced", "table", "text_bytes", "texts"]
 
 #: Prefix of every helper column, so that columns of the input keep their names.
 OWN = "__tessella_"
@@ -62,6 +62,14 @@ def shards_for(size: int, each: int, least: int = 8) -> int:
     return max(least, -(-size // each))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, as Python objects take several times what Arrow does; what was freed goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column, some at a time; null is empty."""
     column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

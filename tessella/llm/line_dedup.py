@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, Filters, folded, possible, power_of_two, shared_filter
-from .common import BLANKS, OWN, discard, materialize, partitions, shards_for, text_bytes, texts
+from .common import BLANKS, OWN, discard, materialize, partitions, shards_for, sliced, text_bytes, texts
 
 def key_of(line: str) -> str | None:
     """What makes lines equal: stripped of ASCII white space, A-Z in lower case."""
@@ -37,7 +37,7 @@ def sent_hashes(shards: int, least: int) -> Callable:
     """(shard, once, twice): hashes that a batch holds in one document, and in more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [h for text in texts(batch.column(0)) for h in {line_hash(k) for k in long_keys(text, least)}]
             if not found:
                 continue
@@ -94,7 +94,7 @@ def mark_suspects(filters, shards: int, least: int, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filters(filters.value, shards)
-        for batch in batches:
+        for batch in sliced(batches):
             where, keys = [], []
             for i, text in enumerate(texts(batch.column(text_col))):
                 own = dict.fromkeys(long_keys(text, least))
@@ -112,7 +112,7 @@ def mark_suspects(filters, shards: int, least: int, id_col: str, text_col: str)
 
 def rewrite(text_col: str, drops_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept, lines, dropped = [], [], []
             for text, drops in zip(texts(batch.column(text_col)), batch.column(drops_col).to_pylist()):
                 text, gone = text.decode(), set(drops or ())

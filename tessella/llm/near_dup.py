@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import possible, shared_filter
-from .common import OWN, discard, materialize, partitions, texts
+from .common import OWN, discard, materialize, partitions, sliced, texts
 from .graph import components
 from .kernels import U, mix, shingle_sets
 
@@ -50,7 +50,7 @@ def signatures(n: int, bands: int, rows: int) -> Callable:
     salt = mix(np.arange(7, 7 + bands, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, nodes, mins, digests, sizes = [], [], [], [], []
             for doc, shingles, text in zip(batch.column(0).to_pylist(), shingle_sets(texts(batch.column(1)), n), texts(batch.column(1))):
                 if len(shingles):
@@ -75,14 +75,12 @@ def member_sets(n: int) -> Callable:
     """Replaces text by its n-gram set; rows whose text isn't that of their node go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [x for x in batch.schema.names if x != "text"]
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = list(shingle_sets(texts(part.column("text")), n))
-                right = [node_of(s) == bytes(k) for s, k in zip(sets, part.column("node").to_pylist())]
-                made = pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
-                yield made.filter(pa.array(right, pa.bool_()))
+        for part in sliced(batches):
+            names = [x for x in part.schema.names if x != "text"]
+            sets = list(shingle_sets(texts(part.column("text")), n))
+            right = [node_of(s) == bytes(k) for s, k in zip(sets, part.column("node").to_pylist())]
+            made = pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
+            yield made.filter(pa.array(right, pa.bool_()))
 
     return run
 

@@ -14,6 +14,7 @@ and waste that would cost the incumbent's number of bins ends a branch.
 from __future__ import annotations
 
 import base64
+import json
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 CAPACITY, END_ID = 1024, 2
 Plan = list[tuple[tuple[int, ...], int]]
@@ -256,24 +257,30 @@ def places(plan: Plan, capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray,
 
 
 @cache
-def encoders(path: str, ranks_path: str) -> tuple:
-    """The tokenizer, and the same vocabulary in an encoder several times as fast."""
+def tokenizer_at(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@cache
+def encoder(path: str, ranks_path: str) -> tuple:
+    """An encoder of the tokenizer's vocabulary that is several times as fast, and the strings of its special tokens."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast, [t.content for t in slow.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file).get("added_tokens", [])]
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def token_ids(text: str, path: str, ranks_path: str) -> np.ndarray:
-    """The tokenizer's ids without added tokens. Texts that hold a special token's string go through the tokenizer itself."""
-    slow, fast, special = encoders(path, ranks_path)
+    """The tokenizer's ids without added tokens. Texts that hold a special token's string go through the tokenizer itself, which is loaded only then."""
+    fast, special = encoder(path, ranks_path)
     if any(s in text for s in special):
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(tokenizer_at(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(fast.encode_ordinary(text), np.uint32)
 
 
@@ -286,7 +293,7 @@ def cut(capacity: int, end_id: int, path: str, ranks_path: str, with_ids: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in SCHEMA]
             for doc, text, part in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.append(token_ids(text or "", path, ranks_path), np.uint32(end_id)).astype("<u4")
