@@ -126,7 +126,7 @@ def answer_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a13_paired_comparison", f"""with r as ({twin(RECORDS)}), p as (select category, coalesce(rank <= 20, false) as a, coalesce(rank_b <= 20, false) as b, id from r where not expect_no_answer),
 n as (select category, count(*) filter (where a and b) as both_found, count(*) filter (where a and not b) as only_a, count(*) filter (where b and not a) as only_b, count(*) filter (where not a and not b) as neither from p group by category)
-select *, round(case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1))) from (select unnest(range(0, 100000)) as k) where k <= least(only_a, only_b)) / pow(2.0, only_a + only_b)) end, 6) as p from n""")
+select *, round(case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1))) from (select unnest(range(0, (select max(least(only_a, only_b)) + 1 from n))) as k) where k <= least(only_a, only_b)) / pow(2.0, only_a + only_b)) end, 6) as p from n""")
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = lambda c: F.coalesce(F.col(c) <= 20, F.lit(False))
     r = derived(spark, sf_dir, RECORDS).where("not expect_no_answer")

@@ -111,3 +111,18 @@ def test_costs(spark):
     usd = spark.range(1).select(V.estimate_usd(F.lit(1000), F.lit(200), F.lit(120), ("0.10", "0.01", "0.50")).alias("x")).first()["x"]
     assert str(usd) == "0.000142"
     assert one(spark, V.estimate_tokens, "x" * 35) == 50
+
+
+def test_canonical_json_and_folded_text(spark):
+    import hashlib
+    import json
+    import unicodedata
+
+    values = ["plain", 'é "quoted" \\ back\nslash', "🙂 ß ﬁ Ｆ", "", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v string")
+    made = rows.select("id", V.stable_json_hash({"v": F.col("v"), "id": F.col("id")}).alias("h"), T.folded(F.col("v")).alias("f"), V.lock_key(F.coalesce("v", F.lit("x"))).alias("k")).collect()
+    for r in made:
+        v = values[r.id]
+        assert r.h == hashlib.sha256(json.dumps({"id": r.id, "v": v}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert r.f == (None if v is None else unicodedata.normalize("NFKC", v).casefold())
+        assert r.k == int(hashlib.sha256((v if v is not None else "x").encode()).hexdigest()[:15], 16)

@@ -66,3 +66,27 @@ def test_event_frames(spark):
     text = ":c\r\nevent: stage\r\ndata: 1\r\n\r\ndata: a\ndata: b\n\nevent: empty\n\n"
     got = spark.createDataFrame([(text,)], "s string").select(files.event_frames(F.col("s")).alias("f")).first()["f"]
     assert [tuple(x) for x in got] == [("stage", "1"), ("message", "a\nb")]
+
+
+def test_lines_are_written_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb", None), (2, None, 2.5)], "id long, text string, score double")
+    files.write_lines(rows, "id", str(tmp_path / "out"))
+    files.write_lines(rows, "id", str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"id":1,"text":"a\\nb"}', '{"id":2,"score":2.5}']
+    assert sorted(spark.read.schema(rows.schema).json(str(tmp_path / "out")).collect()) == sorted(rows.collect()) and not (tmp_path / "out.draft").exists()
+
+
+def test_rows_of_a_table_with_gaps_in_its_ids(spark, tmp_path):
+    import sqlite3
+
+    path = tmp_path / "gaps.db"
+    with sqlite3.connect(path) as db:
+        db.execute("create table t (a integer, b text)")
+        db.executemany("insert into t values (?, ?)", [(i, f"b{i}") for i in range(50)])
+        db.execute("delete from t where a % 7 = 3 or a between 20 and 29")
+    held = [i for i in range(50) if i % 7 != 3 and not 20 <= i <= 29]
+    spark.dataSource.register(files.SqliteSource)
+    for limit in (-1, 11):
+        read = spark.read.format("sqlite").options(path=str(path), table="t", rows_per_partition=4, limit=limit).load()
+        want = held if limit < 0 else held[:limit]
+        assert [(r.row_number, r.a) for r in read.orderBy("row_number").collect()] == [(k + 1, str(i)) for k, i in enumerate(want)]
