@@ -80,4 +80,62 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, s
 from told group by r, doc_id
 """
 
-ORACLES = {"op4_exact_dedup": EXACT, "op5_quality_rules": RULES, "op6_chat_format": CHAT, "op8_mixing": MIX, "op10_line_dedup": LINES}
+#: A crc32 bit by bit over the digits: an element from 0 on is a byte to take in, -1 one step of the register.
+CRC = """list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, x: case when x >= 0 then xor(crc, x) when crc & 1 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+MANIFEST = f"""
+with recursive d as (select row_number() over () as r, doc_id, lang, {_leaf('n_chars')} as leaf,
+    case when n_chars is not null and xor({CRC}, 4294967295) % 7 = 0 then {_leaf('(n_chars::decimal(20, 0) + 1)')} else {_leaf('n_chars')} end as tampered from documents),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as spot from d),
+low(lang, lvl, spot, hash, n) as (
+  select lang, 0, spot, leaf, count(*) over (partition by lang) from placed
+  union all
+  select lang, lvl + 1, spot // 2, sha256(string_agg(hash, '' order by spot)), (n + 1) // 2 from low where n > 1 group by lang, lvl, spot // 2, n),
+tops as (select lang, lvl, hash as subroot, row_number() over (order by lang nulls first) - 1 as spot from low where n = 1),
+high(lvl, spot, hash, n) as (
+  select 0, spot, subroot, count(*) over () from tops
+  union all
+  select lvl + 1, spot // 2, sha256(string_agg(hash, '' order by spot)), (n + 1) // 2 from high where n > 1 group by lvl, spot // 2, n),
+nodes as (select true as upper, null::varchar as lang, lvl, spot, hash, n from high union all select false, lang, lvl, spot, hash, n from low),
+walk(r, upper, lang, lvl, spot, proof, folded) as (
+  select r, false, lang, 0, spot, '', tampered from placed
+  union all
+  select w.r, case when o.n = 1 then true else w.upper end, case when o.n > 1 then w.lang end, case when o.n = 1 then 0 else w.lvl + 1 end, case when o.n = 1 then t.spot else w.spot // 2 end,
+    w.proof || case when o.n = 1 then '' else coalesce(s.hash, '') end,
+    case when o.n = 1 then w.folded when w.spot % 2 = 1 then sha256(s.hash || w.folded) else sha256(w.folded || coalesce(s.hash, '')) end
+  from walk w
+  join nodes o on o.upper = w.upper and o.lang is not distinct from w.lang and o.lvl = w.lvl and o.spot = w.spot and not (o.upper and o.n = 1)
+  left join nodes s on s.upper = w.upper and s.lang is not distinct from w.lang and s.lvl = w.lvl and s.spot = xor(w.spot, 1)
+  left join tops t on not w.upper and t.lang is not distinct from w.lang),
+root as (select hash as root from high where n = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+from walk w join high h on h.n = 1 and w.upper and w.lvl = h.lvl join placed p on p.r = w.r join tops t on t.lang is not distinct from p.lang cross join root
+"""
+
+NEGATIVES = """
+with q as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from q a join q b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, id) as n from scored where same) where n <= 5),
+negatives as (
+  select p.anchor_id, positive_id, positive_score, s.id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as rank
+  from positives p join scored s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from negatives where rank <= 10
+"""
+
+ORACLES = {"op4_exact_dedup": EXACT, "op5_quality_rules": RULES, "op6_chat_format": CHAT, "op8_mixing": MIX, "op10_line_dedup": LINES, "op11_merkle_manifest": MANIFEST, "op12_hard_negatives": NEGATIVES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, line_dedup, mixing, near_dup, packing, quality_cnn, quality_rules, suffix_dedup
+from . import chat_format, exact_dedup, hard_negatives, html_extract, line_dedup, merkle, mixing, near_dup, packing, quality_cnn, quality_rules, simhash, suffix_dedup
 from .common import table
 
 
@@ -67,4 +67,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_quality_cnn, op4_exact_dedup, op5_quality_rules, op6_chat_format, op7_packing, op8_mixing, op9_jaccard_join, op10_line_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    more = leaf(F.col("n_chars").cast("decimal(20,0)") + 1)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, more)
+    leaves = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), tampered.alias("tampered"))
+    made = merkle.changed(merkle.manifest(leaves, "lang", "doc_id", "leaf", ("tampered",)), F.coalesce("tampered", "leaf"))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(relabelled, F.col("id") % 100 == 0)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_suffix_dedup, op3_quality_cnn, op4_exact_dedup, op5_quality_rules, op6_chat_format, op7_packing, op8_mixing, op9_jaccard_join, op10_line_dedup, op11_merkle_manifest, op12_hard_negatives, op13_simhash)}
