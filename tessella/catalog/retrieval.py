@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from ..plans import chunking, search
+from ..plans import chunking, lexical, search
+from ..plans.lexical import SIMPLE
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
 
 
@@ -34,13 +37,29 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASSES = "(q.court_code is null or coalesce(p.court_code = q.court_code, false)) and (q.year_from is null or p.year >= q.year_from) and (q.year_to is null or p.year <= q.year_to)"
+#: Atoms of the questions q, where they begin in the passages' words pw, and ls, the score of the passages that match.
+LEXICAL = r"""
+tok as (select qid, unnest(t) as tok, generate_subscripts(t, 1) as i from (select qid, regexp_extract_all(text, '-?"[^"]*"|\S+') as t from q)),
+alt as (select *, count(*) filter (where lower(tok) = 'or') over (partition by qid order by i) as g from tok),
+ato as (select qid, g, i as atom, starts_with(tok, '-') as negated, regexp_extract_all(lower(tok), '[a-z0-9]+') as ws from alt where lower(tok) <> 'or' and len(ws) > 0
+  qualify row_number() over (partition by qid, g, negated, ws order by i) = 1),
+aw as (select qid, g, atom, negated, unnest(ws) as word, unnest(range(len(ws))) as off, len(ws) as n from ato),
+ah as (select qid, g, atom, negated, chunk_id, place - off as place from pw join aw using (word) group by qid, g, atom, negated, chunk_id, place - off, n having count(*) = n),
+need as (select qid, g, count(*) as n from ato where not negated group by qid, g),
+gp as (select qid, g, chunk_id, n from ah join need using (qid, g) where not negated group by qid, g, chunk_id, n having count(distinct atom) = n),
+gm as (select * from gp where not exists (select 1 from ah where negated and ah.qid = gp.qid and ah.g = gp.g and ah.chunk_id = gp.chunk_id)),
+lasts as (select h.qid, h.g, h.chunk_id, n, h.place, h.atom, a.atom as other, max(a.place) as last from gm join ah h using (qid, g, chunk_id) join ah a using (qid, g, chunk_id)
+  where not h.negated and not a.negated and a.place <= h.place group by all),
+covers as (select qid, g, chunk_id, n, place, atom, min(last) as start from lasts group by qid, g, chunk_id, n, place, atom having count(*) = n),
+shortest as (select qid, g, chunk_id, n, start, min(place) as place from covers group by all),
+densities as (select qid, g, chunk_id, sum(1.0::double / (1 + greatest(place - start + 1 - n, 0))) as score from shortest group by qid, g, chunk_id),
+ls as (select qid, chunk_id, round(max(score), 9) as score from densities group by qid, chunk_id)
+"""
 CHANNEL = f"""
 n as ({twin(NAMED)}), q as (select qid, coalesce(named, array_to_string(string_split(item, ' ')[3:8], ' ')) as text, court_code, year_from, year_to from n),
 p as materialized (select x.*, lang as court_code, 1990 + x.doc_id % 30 as year from ({PASSAGES}) x join documents using (doc_id)),
-pw as materialized (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from p),
-qw as (select distinct qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from q), qn_ as (select qid, count(*) as terms from qw group by qid),
-lw as (select qid, chunk_id, word, count(*) as n from pw join qw using (word) group by all),
-ls as (select qid, chunk_id, score from (select qid, chunk_id, sum(n)::double as score, count(*) as held from lw group by all) join qn_ using (qid) where held = terms),
+pw as materialized (select chunk_id, unnest(w) as word, generate_subscripts(w, 1) as place from (select chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from p)),
+{LEXICAL},
 lo as (select qid, chunk_id, doc_id, source_text_hash, content_hash, score from ls join p using (chunk_id) join q using (qid) where {PASSES}
   qualify row_number() over (partition by qid, source_text_hash, content_hash order by score desc, doc_id, chunk_id) = 1),
 lc as (select * from lo qualify row_number() over (partition by qid, source_text_hash order by score desc, doc_id, chunk_id) <= 3),
@@ -84,9 +103,9 @@ t as (select source_text_hash, string_agg(uri, ' ' order by judgment_date is nul
 
 
 def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(questions, indexed passages, lexical, dense)."""
+    """(questions, indexed passages, lexical, dense). The twins have no stemmer, so words are matched as they stand."""
     questions, held = asked(spark, sf_dir), indexed(spark, sf_dir)
-    return questions, held, search.lexical_channel(questions, held), search.dense_channel(search.bag_vectors(questions, "text"), held, embed=search.bag_matrix)
+    return questions, held, search.lexical_channel(questions, held, forms=(SIMPLE,)), search.dense_channel(search.bag_vectors(questions, "text"), held, embed=search.bag_matrix)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +115,31 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c11_lexical_channel", f"with {CHANNEL} select qid, chunk_id, score, rank from lexical")
 def lexical_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.lexical_channel(asked(spark, sf_dir), indexed(spark, sf_dir), forms=(SIMPLE,)).select("qid", "chunk_id", "score", "rank")
+
+
+@query("c11_english_channel")
+def english_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lexical_channel(asked(spark, sf_dir), indexed(spark, sf_dir)).select("qid", "chunk_id", "score", "rank")
 
 
+#: Phrases, alternatives and exclusions made of the words of each benchmark item.
+GRAMMAR = """
+select item_id * 10 + k as qid, case k when 0 then '"' || w[3] || ' ' || w[4] || '"' when 1 then w[3] || '-' || w[4] || ' ' || w[6] when 2 then w[3] || ' ' || w[5] || ' or "' || w[6] || ' ' || w[7] || '"'
+  when 3 then w[3] || ' ' || w[4] || ' -' || w[9] when 4 then w[3] || ' -"' || w[4] || ' ' || w[5] || '"' when 5 then w[3] || ' OR ' || w[4] || ' -' || w[3] when 6 then '-' || w[3] else 'or "' || w[3] || ' ' || w[3] || '" or' end as text
+from (select item_id, {w} as w from {benchmark}), (select {ks} as k)
+"""
+
+
+@query("x02_phrases", f"""with q as ({GRAMMAR.format(w="string_split(text, ' ')", ks='unnest(range(8))', benchmark='benchmark')}),
+pw as materialized (select chunk_id, unnest(w) as word, generate_subscripts(w, 1) as place from (select chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from ({PASSAGES}))),
+{LEXICAL} select qid, chunk_id, score from ls""")
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.concat(F.array(F.lit("")), F.split("text", " ")).alias("w"), F.explode(F.array(*(F.lit(k) for k in range(8)))).alias("k"))
+    text = re.sub(r"w\[(\d)\]", r"get(w, \1)", GRAMMAR[GRAMMAR.index("case") : GRAMMAR.index(" as text")])
+    return lexical.matching(items.select((F.col("item_id") * 10 + F.col("k")).alias("qid"), F.expr(text).alias("text")), passages(spark, sf_dir), lambda near: near, (lexical.SIMPLE,))
+
+
 @query("c12_dense_channel", f"with {CHANNEL}, {DENSE} select qid, chunk_id, score, rank from dense")
 def dense_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense_channel(search.bag_vectors(asked(spark, sf_dir), "text"), indexed(spark, sf_dir), embed=search.bag_matrix).select("qid", "chunk_id", "score", "rank")

@@ -108,18 +108,21 @@ def with_lexemes(rows: DataFrame, column: str) -> DataFrame:
 def cover_density(hits: Column, n_terms: Column) -> Column:
     """From struct(place, term) in order of place: the sum over shortest covers of all terms, each one over its excess length.
 
-    A cover is a stretch that holds every term and no shorter stretch with that property.
+    A cover is a stretch that holds every term and no shorter stretch with that property. Terms that share places may have
+    a cover shorter than their number; its excess is 0.
     """
+    # All hits of one place are taken in before a cover may end there.
+    told = F.transform(hits, lambda h, i: F.struct(h["place"].alias("place"), h["term"].alias("term"), F.coalesce(F.get(hits, i + 1)["place"] == h["place"], F.lit(False)).alias("more")))
     start = F.struct(F.array_repeat(F.lit(0), n_terms).alias("last"), F.lit(0).alias("from"), F.lit(0.0).alias("score"))
 
     def step(state: Column, hit: Column) -> Column:
         last = F.transform(state["last"], lambda x, i: F.when(i == hit["term"], hit["place"]).otherwise(x))
         begin = F.array_min(last)
-        new = (begin > 0) & (begin > state["from"])
-        gain = F.when(new, 1.0 / (1 + hit["place"] - begin + 1 - n_terms)).otherwise(0.0)
+        new = ~hit["more"] & (begin > state["from"])
+        gain = F.when(new, 1.0 / (1 + F.greatest(hit["place"] - begin + 1 - n_terms, F.lit(0)))).otherwise(0.0)
         return F.struct(last.alias("last"), F.when(new, begin).otherwise(state["from"]).alias("from"), (state["score"] + gain).alias("score"))
 
-    return F.aggregate(hits, start, step)["score"]
+    return F.aggregate(told, start, step)["score"]
 
 
 def ranked_matches(questions: DataFrame, passages: DataFrame) -> DataFrame:

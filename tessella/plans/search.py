@@ -17,19 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.english import with_lexemes
 from ..functions.text import detect_citation, looks_like_case_name, names_every_party, neutral_citation, normal_citation, party_words
 from ..operators.ranking import cap_per_group, first_of_each, fuse, ranked, rerank_head
 from ..session import shared_path
+from .lexical import ENGLISH, SIMPLE, matching, words
 
 DIMENSION = 256
 POOL, PER_CASE, RAW, RERANK = 450, 3, 600, 30
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
-
-
 @cache
 def bucket_of(word: str) -> int:
     return hashlib.sha256(word.encode()).digest()[-1]
@@ -98,37 +94,23 @@ def top_passages(scored: DataFrame, limit: int, per_case: int) -> DataFrame:
     return ranked(cap_per_group(once, ["qid", "source_text_hash"], best, per_case), best, limit, by=["qid"])
 
 
-def lexical_channel(questions: DataFrame, passages: DataFrame, limit: int = POOL, per_case: int = PER_CASE, stems: bool = False) -> DataFrame:
+def lexical_channel(questions: DataFrame, passages: DataFrame, limit: int = POOL, per_case: int = PER_CASE, forms: tuple[str, ...] = (SIMPLE, ENGLISH), index: DataFrame | None = None) -> DataFrame:
     """questions(qid, text, filters); passages(chunk_id, doc_id, hashes, content, court_code, year).
 
-    A passage matches if it has every word of the question, with stems as English stems or as they stand; its score is
-    how many of its words are the question's. Gives qid, chunk_id, the hashes, doc_id, score and rank.
-
-    Passages are looked up by each question's longest word, so a common word meets no question by itself, and only the
-    passages found that way are compared with all of its words.
+    Words, phrases, alternatives and exclusions as plans.lexical has them; index may be a positional index of the
+    passages. Gives qid, chunk_id, the hashes, doc_id, score and rank. What a passage is filtered by meets the passages
+    of each question's rarest word; everything else about it only the scored rows.
     """
-    asked = questions.withColumn("terms", F.array_distinct(words(F.col("text"))))
-    held = owned(passages.select(*IDS, *(c for c in ("court_code", "year") if c in passages.columns), "content"))
-    first = matches(asked, held)
-    if stems:
-        asked_stems = with_lexemes(questions, "text").withColumn("terms", F.array_distinct(F.col("lexemes.stem"))).drop("lexemes")
-        stemmed = with_lexemes(held, "content").withColumn("words", F.col("lexemes.stem")).drop("lexemes")
-        both = first.unionByName(matches(asked_stems, stemmed))
-        first = both.groupBy("qid", *IDS).agg(F.max("score").alias("score"))
-    return top_passages(first, limit, per_case)
-
-
-def matches(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """(qid, ids, score) of the passages that have all terms of a question and pass its filters."""
-    asked = asked.where(F.size("terms") > 0)
-    longest = F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
-    asked = asked.withColumn("key", longest)
-    own = held["words"] if "words" in held.columns else words(F.col("content"))
-    found = held.select("chunk_id", F.explode(F.array_distinct(own)).alias("key")).join(asked.select("key").distinct(), "key")
-    near = found.join(asked.select("qid", "key"), "key").select("qid", "chunk_id")
-    pairs = near.join(asked.drop("key", "text"), "qid").join(held.withColumn("words", own), "chunk_id")
-    kept = pairs.where((F.size(F.array_except("terms", "words")) == 0) & allowed(asked))
-    return kept.select("qid", *IDS, F.size(F.filter("words", lambda w: F.array_contains("terms", w))).cast("double").alias("score"))
+    filters = [c for c in FILTERS if c in questions.columns]
+    about = owned(passages.select("chunk_id", *(c for c in ("court_code", "year") if c in passages.columns)))
+
+    def passing(near: DataFrame) -> DataFrame:
+        if not filters:
+            return near
+        told = near.join(questions.select("qid", *filters), "qid").join(about, "chunk_id")
+        return told.where(allowed(questions)).select(*near.columns)
+
+    return top_passages(matching(questions, passages, passing, forms, index=index).join(passages.select(*IDS), "chunk_id"), limit, per_case)
 
 
 #: Passages and questions of one matrix product.
