@@ -214,7 +214,9 @@ def near_blocks(blocks: DataFrame, count: int, most: int) -> DataFrame:
 def classes(prints: DataFrame, most: int, block: int, together: int) -> DataFrame:
     """(key, label) of distinct keys (fp long): label is a key of the component."""
     placed = numbered(prints, [], ["fp"], "simhash-order")
-    blocks = placed.groupBy(F.floor(F.col("at") / block).alias("block")).agg(F.sort_array(F.collect_list("fp")).alias("keys"))
+    # A partition for each block: small ones put together would be joined in one task.
+    dealt = placed.select("fp", F.floor(F.col("at") / block).alias("block")).repartition(max(1, -(-placed.count() // block)), "block")
+    blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list("fp")).alias("keys"))
     blocks = materialize(blocks.mapInArrow(joined_blocks(most), "block long, keys array<long>, roots array<int>"), "simhash-blocks")
     discard(placed)
     count = blocks.count()
