@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -276,10 +277,22 @@ def encoder(path: str, ranks_path: str) -> tuple:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
+#: The fast encoder's pattern goes back over a run of white space step by step and gives up on a very long one.
+BLANK_RUN = 100_000
+
+
+def long_blank(text: str) -> bool:
+    return len(text) > BLANK_RUN and any(m.end() - m.start() > BLANK_RUN for m in re.finditer(r"\s+", text))
+
+
 def token_ids(text: str, path: str, ranks_path: str) -> np.ndarray:
-    """The tokenizer's ids without added tokens. Texts that hold a special token's string go through the tokenizer itself, which is loaded only then."""
+    """The tokenizer's ids without added tokens.
+
+    Texts that hold a special token's string or a very long run of white space go through the tokenizer itself, which
+    is loaded only then.
+    """
     fast, special = encoder(path, ranks_path)
-    if any(s in text for s in special):
+    if any(s in text for s in special) or long_blank(text):
         return np.array(tokenizer_at(path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(fast.encode_ordinary(text), np.uint32)
 

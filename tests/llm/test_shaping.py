@@ -1,5 +1,6 @@
 """Pages, rules, chats, packing, mixing and the byte network."""
 
+import hashlib
 import json
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessella.llm import chat_format, html_extract, mixing, packing, quality_cnn, quality_rules
 
@@ -447,3 +449,35 @@ def test_chunks_cover_every_byte():
     for n in (0, 1, 15, 16, 17, 511, 512, 513, 5000):
         c = quality_cnn.chunks(bytes([7]) * n)
         assert (c != quality_cnn.FILL).sum() >= n and c.shape[1] == quality_cnn.CHUNK
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+def test_packing_reads_very_long_white_space(blank):
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = Tokenizer.from_file(paths[0])
+    for n in (90_000, 100_001, 1_000_000):
+        text = f"a{blank * n}b"
+        assert packing.token_ids(text, *paths).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(packing.token_ids(blank * 5_000_000, *paths)) > 1000
+
+
+def test_packing_of_20_million_blanks_runs_in_tasks(spark):
+    docs = spark.sql("select cast(id as long) as doc_id, concat('a', repeat(element_at(array(' ', '\n', '\t'), cast(id + 1 as int)), 20000000), 'b') as text from range(3)")
+    made = packing.pack_documents(docs).groupBy("doc_id").sum("length").collect()
+    assert len(made) == 3 and all(r[1] > 5_000_000 for r in made)
+
+
+def test_chat_of_many_turns_takes_linear_time(spark, monkeypatch):
+    import time
+
+    from tessella.llm import queries
+
+    rows = spark.range(40_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text <| of turn ', id) as text")
+    monkeypatch.setattr(queries, "table", lambda s, d, t: rows)
+    began = time.perf_counter()
+    made = {r.conv_id: r for r in queries.op6_chat_format(spark, "").collect()}
+    assert time.perf_counter() - began < 60
+    texts = "".join(f"text <| of turn {i}" for i in range(1, 40_000, 2))
+    assert made[1].n_turns == 40_000 and made[1].loss_sha256 == hashlib.sha256(texts.encode()).hexdigest()
