@@ -193,6 +193,11 @@ def pieces(formatted: Column) -> Column:
     return F.element_at(F.transform(F.array(rows), placed), 1)
 
 
+def in_loss(piece: Column) -> Column:
+    """Whether a piece's text is learned."""
+    return piece["role"] == "assistant"
+
+
 def format_turns(rows: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds formatted (string) and loss_spans (begin and length in code points of each assistant text as it is written).
 
@@ -200,13 +205,18 @@ def format_turns(rows: DataFrame, turns: str = "turns") -> DataFrame:
     long as Spark's strings are; a conversation's formatted string is one of them.
     """
     rows = rows.drop("formatted", "loss_spans").withColumn("formatted", render(F.col(turns)))
-    own = F.filter(pieces(F.col("formatted")), lambda p: p["role"] == "assistant")
+    own = F.filter(pieces(F.col("formatted")), in_loss)
     return rows.withColumn("loss_spans", F.transform(own, lambda p: F.struct(p["begin"].alias("begin"), p["length"].alias("length"))))
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted string."""
-    return F.transform(pieces(formatted), lambda p: F.struct(unescape_role(p["role"]).alias("role"), unescape(p["text"]).alias("text")))
+    return turns_of(pieces(formatted))
+
+
+def turns_of(cut: Column) -> Column:
+    """The turns of what pieces has cut."""
+    return F.transform(cut, lambda p: F.struct(unescape_role(p["role"]).alias("role"), unescape(p["text"]).alias("text")))
 
 
 def turns_from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -37,8 +37,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     chats = chat_format.turns_from_rows(rows.unionByName(planted))
     made = chat_format.format_turns(chat_format.canonical_turns(chats, "value"))
-    back = made.select("conv_id", "formatted", "loss_spans", chat_format.read_back(F.col("formatted")).alias("back"))
-    loss = F.array_join(F.transform("loss_spans", lambda s: chat_format.unescape(F.substring("formatted", s["begin"] + 1, s["length"]))), "")
+    # The texts under loss_spans, as pieces has cut them: a cut for each span would count code points from the string's begin.
+    cut = made.select("conv_id", "formatted", chat_format.pieces(F.col("formatted")).alias("pieces"))
+    back = cut.select("conv_id", "formatted", "pieces", chat_format.turns_of(F.col("pieces")).alias("back"))
+    loss = F.array_join(F.transform(F.filter("pieces", chat_format.in_loss), lambda p: chat_format.unescape(p["text"])), "")
     digest = lambda x: F.sha2(F.encode(x, "UTF-8"), 256)
     return back.select(
         "conv_id",
