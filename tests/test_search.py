@@ -129,3 +129,27 @@ def test_sources_of_a_case(spark):
     assert [(x["case"], x["place"]) for x in row.select(ver.choose_sources(F.col("items")).alias("x")).first().x] == [(c, p) for c in (1, 2, 3, 4) for p in (1, 2)]
     assert len(row.select(ver.choose_sources(F.col("items"), budget=350).alias("x")).first().x) == 3
     assert [tuple(x)[:2] for x in row.select(ver.leading_and_closing(F.col("items")).alias("x")).first().x] == [(1, 1), (5, 2), (5, 3)]
+
+def test_fuzzy_join_against_all_runs(spark):
+    """Random names against every run of words; null, empty and repeated names."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    made = lambda: " ".join("".join(rng.choice("abx") for _ in range(rng.choice([1, 2, 3, 5]))) for _ in range(rng.choice([0, 1, 2, 4])))
+    left, right = [made() for _ in range(60)] + [None, "", "ab", "ab"], [made() for _ in range(80)] + [None, "", "--", "ab ab"]
+
+    def grams(ws):
+        return {f"  {w} "[i : i + 3] for w in ws for i in range(len(w) + 1)}
+
+    expected = {}
+    for a in set(left):
+        wanted = grams(re.findall("[a-z0-9]+", a or ""))
+        for k, b in enumerate(right):
+            w = re.findall("[a-z0-9]+", b or "")
+            best = max((len(wanted & (g := grams(w[i:j]))) / len(wanted | g) for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=0)
+            if wanted and best >= 0.5:
+                expected[(a, k)] = best
+    a_, h_ = spark.createDataFrame([(x,) for x in left], "asked string"), spark.createDataFrame(list(enumerate(right)), "id long, name string")
+    found = {(r.asked, r.id): r.similarity for r in fuzzy.similar_names(a_, "asked", h_, "name", 0.5).collect()}
+    assert found == pytest.approx(expected) and len(expected) > 50
