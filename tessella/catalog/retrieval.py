@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from ..plans import chunking, lexical, search
+from ..plans import chunking, lexical, search, vector_index
 from ..plans.lexical import SIMPLE
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
 
@@ -221,3 +221,20 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").cast("string").alias("source_text_hash"), F.lit("").alias("content_hash"), F.col("embedding").cast("array<double>").alias("vector"))
     q = e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "vector")
     return search.dense_channel(q, e, raw=10, limit=10, per_case=1).select("qid", F.col("chunk_id").alias("vec_id"))
+
+
+def in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each twentieth vector against an inverted file of all of them."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return vector_index.nearest(rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector"), vector_index.build(rows))
+
+
+@query("j14_ivf_neighbours")
+def ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_lists(spark, sf_dir).select("qid", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("j14_ivf_recall", "select count(*) as questions, true as enough from embeddings where vec_id % 20 = 0")
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = nearest(spark, sf_dir).select("qid", F.col("vec_id").alias("id"))
+    return vector_index.recall_of(in_lists(spark, sf_dir), exact).agg(F.count("*").alias("questions"), (F.avg("recall") >= 0.9).alias("enough"))
