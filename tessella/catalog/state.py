@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import admission
 from ..operators import events as E
+from ..streaming import admission as live
+from ..streaming import events as stream
 from .base import derived, query, table, twin
 
 
@@ -92,3 +95,45 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("event_type") == "signup"
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(done).alias("finals"), (F.max(F.when(done, F.col("ts"))) == F.max("ts")).alias("final_is_last"))
+
+
+#: Each event as a priced call of an endpoint and provider on its day; money in thousandths of millionths. The third provider has no price.
+PRICED = """
+select event_id as call_id, ts, event_type || '/' || cast(user_id % 3 as string) || '/' || substr(cast(ts as string), 1, 10) as scope, cast(floor(value * 40) as bigint) as tokens,
+  case user_id % 3 when 0 then cast(floor(value * 40) as bigint) * 100 + (user_id % 150) * 500 when 1 then cast(floor(value * 40) as bigint) * 1250 + (user_id % 150) * 10000 end as worst,
+  case user_id % 3 when 0 then cast(floor(value * 40) as bigint) * 60 + (user_id % 150) * 300 when 1 then cast(floor(value * 40) as bigint) * 900 + (user_id % 150) * 7000 end as cost
+from {events}
+"""
+LIMITS = admission.Limits(input_tokens=3000, calls=12, budget=12_000_000)
+ADMITTED = f"""
+with recursive c as (select *, row_number() over (partition by scope order by ts, call_id) as n from ({twin(PRICED)})),
+r(scope, call_id, n, refused, calls, spent) as (
+  select distinct scope, -1::bigint, 0::bigint, null::varchar, 0::bigint, 0::bigint from c
+  union all
+  select scope, call_id, n, why, calls + (why is null and worst is not null)::bigint, spent + case when why is null and worst is not null then cost else 0 end
+  from (select c.*, r.calls, r.spent, case when worst is null then null when tokens > {LIMITS.input_tokens} then 'input_too_large' when r.calls >= {LIMITS.calls} then 'max_calls' when r.spent + worst > {LIMITS.budget} then 'budget' end as why
+    from r join c on c.scope = r.scope and c.n = r.n + 1))
+"""
+
+
+@query("c25_admission", f"{ADMITTED} select scope, call_id, refused, calls, spent from r where n > 0")
+def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.admissions(derived(spark, sf_dir, PRICED).withColumnRenamed("ts", "at"), LIMITS)
+
+
+@query("c25_stream_admission", f"{ADMITTED} select scope, call_id, refused, calls, spent from r where n > 0")
+def admitted_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = {k: spark.conf.get(k, None) for k in live.STORE}
+    for k, v in live.STORE.items():
+        spark.conf.set(k, v)
+    try:
+        stream.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema).createOrReplaceTempView("_admission_events")
+        return stream.run_to_table(live.admissions(spark.sql(PRICED.format(events="_admission_events")), LIMITS), "admissions", "append")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@query("a04_admitted_spend", f"{ADMITTED} select scope, count(*) as asked, max(calls) as admitted, count(*) filter (where refused = 'input_too_large') as input_too_large, count(*) filter (where refused = 'max_calls') as max_calls, count(*) filter (where refused = 'budget') as budget, max(spent) as spent from r where n > 0 group by scope")
+def admitted_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.spent_by_scope(admitted(spark, sf_dir))
