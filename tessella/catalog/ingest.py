@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import english
 from ..functions import text as T
 from ..functions import values as V
-from ..plans import importing
+from ..plans import import_run, importing
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
 from .retrieval import NAMED, asked
 
@@ -38,6 +38,44 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(spark, sf_dir).groupBy("outcome", "reason").agg(F.count("*").alias("n"), F.count_if("shared_text").alias("warned"))
 
 
+#: An export with every kind of trouble, each told by the document's number; judgments' addresses are valid ones.
+RUN = """
+select doc_id as row_number, case when doc_id % 41 = 0 then 'no address' when doc_id % 5 = 1 and doc_id % 10 = 6 then replace(uri, cast(doc_id as string), cast(doc_id - 5 as string)) else uri end as url, 'A v. B [2020] ENSC ' || cast(doc_id as string) as citation,
+  case when doc_id % 7 = 2 then ' N/A ' when doc_id % 11 = 3 then 'the same text in many documents' else text end as full_text, case when doc_id % 21 = 2 then '<p>' || text end as html,
+  case when doc_id % 3 = 0 then 'files/' || cast(doc_id as string) end as file_path, case when doc_id % 9 = 0 then text when doc_id % 9 = 3 then '' end as file_text, lang as language,
+  case when doc_id % 4 = 0 then 'some day' else '17 June 1963' end as judgment_date, case when doc_id % 37 = 5 then 'ValueError: broken' end as error
+from (select doc_id, lang, text, '/akn/' || lang || '/judgment/' || source || '/2020/' || cast(doc_id as string) || '/eng@2020-01-01' as uri from {documents})
+"""
+
+
+def import_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_run.decided(derived(spark, sf_dir, RUN), spark.createDataFrame([], import_run.STORED))
+
+
+@query("c01_import_run", f"""with e as (select *, case when row_number % 41 <> 0 then url end as uri, case when row_number % 7 = 2 or trim(full_text) = '' then null else trim(full_text) end as text from ({twin(RUN)})),
+u as (select uri, count(*) > 1 as conflict from e where uri is not null group by uri),
+d as (select row_number, case when e.uri is null then 'invalid_uri' when conflict then 'duplicate_uri_conflict' when error is not null then 'prepare_failed' when text is null and html is null and (file_path is null or file_text is null) then 'no_text_and_no_file' end as reason
+  from e left join u using (uri))
+select row_number, case when reason is null then 'accepted' when reason = 'prepare_failed' then 'failed' else 'quarantined' end as outcome, reason from d""")
+def import_run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_run_rows(spark, sf_dir).select("row_number", "outcome", "reason")
+
+
+@query("c01_run_report", f"""with e as (select *, case when row_number % 41 <> 0 then url end as uri, case when row_number % 7 = 2 or trim(full_text) = '' then null else trim(full_text) end as text from ({twin(RUN)})),
+u as (select uri, count(*) > 1 as conflict from e where uri is not null group by uri),
+d as (select *, case when e.uri is null then 'invalid_uri' when conflict then 'duplicate_uri_conflict' when error is not null then 'prepare_failed' when text is null and html is null and (file_path is null or file_text is null) then 'no_text_and_no_file' end as reason
+  from e left join u using (uri))
+select count(*) as rows_read, count(*) filter (where reason is null) as accepted, count(*) filter (where reason = 'prepare_failed') as failed, count(*) filter (where reason = 'invalid_uri') as invalid_uri,
+  count(*) filter (where reason = 'duplicate_uri_conflict') as conflicts, count(*) filter (where reason is null) as inserted,
+  count(*) filter (where coalesce(reason, 'no_text_and_no_file') = 'no_text_and_no_file' and row_number % 4 = 0) as unparsed_date,
+  count(*) filter (where coalesce(reason, 'no_text_and_no_file') = 'no_text_and_no_file' and text is not null) as text_available from d""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry run's report says."""
+    r = import_run.run_import(derived(spark, sf_dir, RUN), dry_run=True)
+    held = {"rows_read": r.rows_read, "accepted": r.accepted, "failed": r.failed, "invalid_uri": r.reasons.get("invalid_uri", 0), "conflicts": r.reasons.get("duplicate_uri_conflict", 0), "inserted": r.inserted - r.reasons.get("no_text_and_no_file", 0), "unparsed_date": r.warnings.get("unparsed_date", 0), "text_available": r.text_available}
+    return spark.createDataFrame([tuple(held.values())], ", ".join(f"{k} long" for k in held))
+
+
 @query("c03_content_fingerprint", "select doc_id, sha256(coalesce(case when doc_id % 3 = 0 then null else lang end, '∅') || chr(31) || source) as print from documents")
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
