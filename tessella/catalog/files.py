@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import files
+from ..session import shared_path
+from ..sources import files, sqlite
 from ..streaming import events as stream
 from .base import query, table
 
@@ -87,3 +88,22 @@ def daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema)
     return stream.run_to_table(stream.lockouts(e, 5, 1440), "lockouts", "append").select("event_id", "locked")
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, written as SQLite files and read back by their source, with every value as text."""
+    folder = shared_path(spark, "customers")
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    sqlite.write_files(own.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey"), "customer", folder)
+    sqlite.register(spark)
+    return spark.read.format("sqlite").options(path=folder, table="customer", required="c_custkey,c_name", rows_per_partition=500).load()
+
+
+@query("s01_sqlite_rows", "select row_number() over (order by c_custkey) as row_number, c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer")
+def sqlite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exported(spark, sf_dir)
+
+
+@query("s01_sqlite_filtered", "select * from (select row_number() over (order by c_custkey) as row_number, c_custkey::varchar as c_custkey, c_mktsegment from customer) where row_number > 10 and c_mktsegment = 'BUILDING'")
+def sqlite_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exported(spark, sf_dir).where("row_number > 10 and c_mktsegment = 'BUILDING'").select("row_number", "c_custkey", "c_mktsegment")

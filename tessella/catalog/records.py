@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import ranking
 from ..operators import records as R
+from ..operators import retention as retention_days
+from ..session import shared_path
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
 from .retrieval import CHANNEL, DENSE, FUSED, found
 
@@ -212,3 +216,22 @@ def toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("k"), F.array_sort(F.collect_set(passage)).alias("p"))
     t = s.select("user_id", R.toggle_case(F.col("k"), F.col("p"), F.lit("click")).alias("t"))
     return t.select("user_id", F.array_join(F.array_sort("t.cases"), ",").alias("cases"), F.array_join(F.transform("t.passages", lambda p: p["text"]), ",").alias("passages"))
+
+
+#: Kinds of events with their days, and what is kept longer.
+KEPT_DAYS = {"view": 20, "error": 14, "purchase": 25}
+
+
+@query("t04_retention_run", "select event_type, count(*) filter (where gone) as deleted, count(*) filter (where not gone) as kept from (select event_type, coalesce(ts < timestamp '2024-01-30 12:00:00' - case event_type when 'view' then interval 20 day when 'error' then interval 14 day else interval 25 day end and not (event_type = 'error' and user_id % 5 = 0), false) as gone from events where event_type in ('view', 'error', 'purchase')) group by event_type")
+def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each kind in day partitions; their expired days are deleted and what is left is read again."""
+    e = table(spark, sf_dir, "events")
+    schema, counts = "event_id long, user_id long, ts timestamp_ntz", []
+    for kind, days in KEPT_DAYS.items():
+        path = shared_path(spark, f"kept-{kind}")
+        retention_days.write_days(e.where(F.col("event_type") == kind).select("event_id", "user_id", "ts"), "ts", path)
+        cutoff = (datetime(2024, 1, 30, 12) - timedelta(days=days)).strftime("%Y-%m-%d %H:%M:%S")
+        gone, _ = retention_days.delete_expired(spark, path, schema, "ts", cutoff, "user_id % 5 = 0" if kind == "error" else None)
+        left = retention_days.read_days(spark, path, schema)
+        counts.append(left.agg(F.lit(kind).alias("event_type"), F.lit(gone).cast("long").alias("deleted"), F.count("*").alias("kept")))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -1,9 +1,8 @@
-"""Readers of files and texts: kinds by leading bytes, visible HTML, Word documents, recognised words, event frames, SQLite."""
+"""Readers of files and texts: kinds by leading bytes, visible HTML, Word documents, recognised words, event frames."""
 
 from __future__ import annotations
 
 import io
-import sqlite3
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -12,7 +11,6 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 UNSEEN = {"script", "style", "noscript", "nav", "header", "footer", "title", "head"}
@@ -131,56 +129,3 @@ def write_lines(rows: DataFrame, key: str, path: str) -> None:
     files.delete(new, True)
     if not files.rename(old, new):
         raise OSError(f"{draft} can't become {path}")
-
-
-class SqliteSource(DataSource):
-    """format("sqlite"): a table of a SQLite file, in row order, with row_number and every value as text.
-
-    Options: path, table, required (column names, by comma), limit, rows_per_partition. The file must be readable from
-    every executor, as in a shared folder.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite"
-
-    def columns(self) -> list[str]:
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
-            found = [r[1] for r in db.execute(f'pragma table_info("{self.options["table"]}")')]
-        if not found:
-            raise ValueError(f"there is no table {self.options['table']}")
-        if missing := sorted({c for c in self.options.get("required", "").split(",") if c} - set(found)):
-            raise ValueError(f"columns are missing: {', '.join(missing)}")
-        return found
-
-    def schema(self) -> str:
-        return ", ".join(["row_number bigint", *(f"`{c}` string" for c in self.columns())])
-
-    def reader(self, schema) -> DataSourceReader:
-        return SqliteReader(self.options, self.columns())
-
-
-class SqliteReader(DataSourceReader):
-    def __init__(self, options: dict, columns: list[str]) -> None:
-        self.path, self.table, self.names = options["path"], options["table"], columns
-        self.limit, self.step = int(options.get("limit", -1)), int(options.get("rows_per_partition", 10_000))
-
-    def connect(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-
-    def partitions(self) -> list[InputPartition]:
-        """(first row id, how many rows, rows before): one pass over the ids, so that no partition has to skip rows."""
-        with self.connect() as db:
-            ids = db.execute(f'select rowid from "{self.table}" order by rowid limit ?', (self.limit,))
-            begins, n = [], 0
-            for n, (rowid,) in enumerate(ids, 1):
-                if n % self.step == 1 or self.step == 1:
-                    begins.append(rowid)
-        return [InputPartition((rowid, min(self.step, n - k * self.step), k * self.step)) for k, rowid in enumerate(begins)] or [InputPartition((0, 0, 0))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        first, n, before = partition.value
-        listed = ", ".join(f'"{c}"' for c in self.names)
-        with self.connect() as db:
-            for i, row in enumerate(db.execute(f'select {listed} from "{self.table}" where rowid >= ? order by rowid limit ?', (first, n))):
-                yield (before + i + 1, *(None if v is None else str(v) for v in row))

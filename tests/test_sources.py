@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.sources import files
+from tessella.sources import files, sqlite
 
 
 def docx(body: str) -> bytes:
@@ -53,7 +53,7 @@ def test_sqlite(spark, tmp_path):
     with sqlite3.connect(path) as db:
         db.execute("create table judgments (url text, citation text, n integer)")
         db.executemany("insert into judgments values (?, ?, ?)", [(f"u{i}", None if i == 3 else f"c{i}", i) for i in range(25)])
-    spark.dataSource.register(files.SqliteSource)
+    sqlite.register(spark)
     read = lambda **o: spark.read.format("sqlite").options(path=path, table="judgments", required="url,citation", **o).load()
     rows = read(rows_per_partition="10").orderBy("row_number").collect()
     assert [r.row_number for r in rows] == list(range(1, 26)) and rows[3].citation is None and rows[4].n == "4"
@@ -85,8 +85,66 @@ def test_rows_of_a_table_with_gaps_in_its_ids(spark, tmp_path):
         db.executemany("insert into t values (?, ?)", [(i, f"b{i}") for i in range(50)])
         db.execute("delete from t where a % 7 = 3 or a between 20 and 29")
     held = [i for i in range(50) if i % 7 != 3 and not 20 <= i <= 29]
-    spark.dataSource.register(files.SqliteSource)
+    sqlite.register(spark)
     for limit in (-1, 11):
         read = spark.read.format("sqlite").options(path=str(path), table="t", rows_per_partition=4, limit=limit).load()
         want = held if limit < 0 else held[:limit]
         assert [(r.row_number, r.a) for r in read.orderBy("row_number").collect()] == [(k + 1, str(i)) for k, i in enumerate(want)]
+
+
+def numbers(path, rows, name="t"):
+    with sqlite3_(path) as db:
+        db.execute(f'create table if not exists "{name}" (a, b)')
+        db.executemany(f'insert into "{name}" values (?, ?)', rows)
+
+
+def sqlite3_(path):
+    import sqlite3
+
+    return sqlite3.connect(path)
+
+
+def test_sqlite_filters_reach_the_file(spark, tmp_path):
+    from pyspark.sql import datasource as D
+
+    path = str(tmp_path / "f.sqlite")
+    numbers(path, [(i, f"k{i % 5}") for i in range(100)] + [(1.5, None), (b"x", "k1")])
+    sqlite.register(spark)
+    read = lambda: spark.read.format("sqlite").options(path=path, table="t", rows_per_partition=10).load()
+    whole = [tuple(r) for r in read().orderBy("row_number").collect()]
+    for condition, keep in [("b = 'k1'", lambda r: r[2] == "k1"), ("a = '7'", lambda r: r[1] == "7"), ("a = '1.5'", lambda r: r[1] == "1.5"), ("b in ('k1', 'k2') and row_number between 20 and 60", lambda r: r[2] in ("k1", "k2") and 20 <= r[0] <= 60), ("b like 'k%' and a is not null", lambda r: (r[2] or "").startswith("k")), ("b is null", lambda r: r[2] is None), ("row_number = 3", lambda r: r[0] == 3), ("row_number < 0", lambda r: False)]:
+        assert [tuple(r) for r in read().where(condition).orderBy("row_number").collect()] == [r for r in whole if keep(r)], condition
+    # Fewer rows leave the reader, and fewer partitions are read.
+    reader = sqlite.SqliteReader({"path": path, "table": "t", "rows_per_partition": "10"}, ["a", "b"])
+    assert len(list(reader.pushFilters([D.EqualTo(("b",), "k1"), D.GreaterThan(("row_number",), 80)]))) == 2
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(list(reader.read(p))) for p in parts) == 5
+
+
+def test_sqlite_stream_reads_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "s.sqlite")
+    numbers(path, [(i, "old") for i in range(25)])
+    sqlite.register(spark)
+
+    def run():
+        source = spark.readStream.format("sqlite").options(path=path, table="t", rows_per_partition=10).load()
+        source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.row_number, r.a, r.b) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [(i + 1, str(i), "old") for i in range(25)]
+    numbers(path, [(i, "new") for i in range(25, 30)])
+    assert run() == [(i + 1, str(i), "old" if i < 25 else "new") for i in range(30)] == run()
+
+
+def test_sqlite_files_round_trip_and_have_a_version(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    rows = spark.range(50).selectExpr("id as a", "if(id % 7 = 0, null, concat('ü', id)) as b")
+    assert sqlite.write_files(rows.repartitionByRange(3, "a").sortWithinPartitions("a"), "t", folder) == 50
+    sqlite.register(spark)
+    back = spark.read.format("sqlite").options(path=folder, table="t").load()
+    assert [(r.row_number, r.a, r.b) for r in back.orderBy("row_number").collect()] == [(i + 1, str(i), None if i % 7 == 0 else f"ü{i}") for i in range(50)]
+    assert spark.read.format("sqlite").options(path=folder, table="t", limit=20).load().count() == 20
+    before = sqlite.source_version(folder)
+    assert before == sqlite.source_version(folder) and before.startswith("many-") and len(before) == 17
+    numbers(sqlite.files_of(folder)[0], [(99, "x")])
+    assert sqlite.source_version(folder) != before
