@@ -32,37 +32,65 @@ NO_ARTICLE = {
     "promo", "promoted", "promotion", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
     "complementary", "contentinfo", "alert",
 }
-SMALL_PRINT = re.compile(r"^\s*(©|\(c\)\s*\d{4}|copyright\b|all rights reserved)", re.I)
+# Words that name a place or a shape, beside which a word of NO_ARTICLE keeps its meaning.
+SHAPES = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "card", "col", "column", "container", "content", "fixed", "form", "global", "group", "icons", "inner", "item", "items", "large", "left", "link",
+    "links", "list", "main", "mobile", "module", "outer", "overlay", "page", "panel", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "text", "thread", "top", "unit", "wrap", "wrapper",
+}
+SMALL_PRINT = re.compile(r"^\s*(©|\(c\)\s*\d{4}|copyright\s*(?:©|\(c\)|\d{4})|all rights reserved)", re.I)
+#: A line of small print is no longer than this.
+SMALL_CHARS = 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?>[^<>=]+|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)>", re.S)
-MARKS = re.compile(r"(?<![^\s\"'/])(?:class|id|role|aria-label)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: The first word of a class, id or role, however it is joined to the rest.
-FIRST_WORD = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Words of a class, id or role, however they are joined.
+WORDS = re.compile(r"[a-z]+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What an element's attributes say of it: an article's part, perhaps none, surely none.
+SURE, DOUBT = 2, 1
 
 WINDOW, SURGE = 3, 80
 
 
-def no_article(name: str, attributes: str) -> bool:
-    """Whether an element is no article by its name, or by the first word of one of its classes, its id or its role."""
+def told_by(value: str) -> int:
+    """What one class, id or role says: its words are all known and one of NO_ARTICLE, or only the first one is."""
+    words = WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+    if not words or NO_ARTICLE.isdisjoint(words):
+        return 0
+    if all(w in NO_ARTICLE or w in SHAPES for w in words):
+        return SURE
+    return DOUBT if words[0] in NO_ARTICLE else 0
+
+
+def no_article(name: str, attributes: str) -> int:
+    """SURE if an element is no article, DOUBT if it may be none; by its name, or by its attributes' names and values.
+
+    Inline elements are part of their line whatever their class is, and a heading's id is made of its words.
+    """
     if name in SKIPPED:
-        return True
+        return SURE
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    for groups in MARKS.findall(attributes):
-        for value in "".join(groups).split():
-            first = FIRST_WORD.match(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if first and first[0] in NO_ARTICLE:
-                return True
-    return False
+        return 0
+    found = 0
+    for attribute, *values in ATTRIBUTE.findall(attributes):
+        attribute, value = attribute.lower(), "".join(values)
+        if attribute == "hidden" or attribute == "aria-hidden" and value.strip().lower() == "true" or attribute == "style" and NOT_SHOWN.search(value):
+            return SURE
+        if name in INLINE:
+            continue
+        if attribute in ("class", "role"):
+            found = max([found, *map(told_by, value.split())])
+        elif attribute == "aria-label" or attribute == "id" and name not in HEADINGS:
+            found = max(found, told_by(value))
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, number of the outermost article or main element or 0) of each line, those of skipped parts with an empty text.
 
-    A form is skipped too, unless it holds more text than the rest of the page that isn't skipped: then it wraps the page.
+    Outside article and main elements a part that may be none by its class or id has less weight, a line at a time, so
+    that only full paragraphs of it count. A form is skipped too, unless it holds more text than the rest of the page that isn't skipped: then it wraps the page.
     """
     plain, forms = _lines(page, True)
     if forms:
@@ -77,11 +105,14 @@ def _lines(page: str, skip_forms: bool) -> tuple[list[tuple[str, int, int]], boo
     parts: list[str] = []
     linked = [0]
     skip, depth, link, article, articles, forms = "", 0, 0, 0, 0, False
+    doubt, doubts = "", 0
     at, size, last = 0, len(page), page.rfind(">") + 1
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        weight = 0 if not article and SMALL_PRINT.match(text) else max(0, len(text) - 2 * linked[0])
+        weight = 0 if not article and len(text) <= SMALL_CHARS and SMALL_PRINT.match(text) else max(0, len(text) - 2 * linked[0])
+        if doubt and not article:
+            weight = max(0, weight - SURGE)
         out.append((text, weight, articles if article else 0))
         parts.clear()
         linked[0] = 0
@@ -116,10 +147,18 @@ def _lines(page: str, skip_forms: bool) -> tuple[list[tuple[str, int, int]], boo
                 end_line()
             if skip or closing and name not in ("article", "body", "html"):
                 continue
-        if not closing and name not in VOID and (name != "form" or skip_forms) and no_article(name, found[3]):
+        told = no_article(name, found[3]) if not closing and name not in VOID and (name != "form" or skip_forms) else 0
+        if told == SURE:
             end_line()
             skip, depth, link, forms = name, 1, 0, forms or name == "form"
             continue
+        if name == doubt:
+            end_line()
+            doubts += -1 if closing else 1
+            doubt = doubt if doubts else ""
+        elif told == DOUBT and not doubt:
+            end_line()
+            doubt, doubts = name, 1
         if name == "a":
             link = 0 if closing else 1
         elif name not in INLINE:

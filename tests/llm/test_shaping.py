@@ -481,3 +481,31 @@ def test_chat_of_many_turns_takes_linear_time(spark, monkeypatch):
     assert time.perf_counter() - began < 60
     texts = "".join(f"text <| of turn {i}" for i in range(1, 40_000, 2))
     assert made[1].n_turns == 40_000 and made[1].loss_sha256 == hashlib.sha256(texts.encode()).hexdigest()
+
+
+LONG_LINE = "This paragraph of the article is long enough to be text by any measure, and says something too. "
+
+
+@pytest.mark.parametrize("snippet, kept", [
+    ("<p title='the hidden truth'>Here it stands.</p>", "Here it stands."),
+    ("<section id='search-algorithms'><p>Binary search is quick.</p></section>", "Binary search is quick."),
+    ("<h2 id='social-contract'>The contract</h2>", "The contract"),
+    ("<p>The <a class='share-price' href='x'>price</a> of it fell.</p>", "The price of it fell."),
+    ("<p>A <span class='notice'>word</span> inside.</p>", "A word inside."),
+    ("<h2 id='comments'>Comments on the draft</h2>", "Comments on the draft"),
+    ("<p data-hidden='1' class='unhidden'>Seen.</p>", "Seen."),
+    ("<p hidden>Not seen.</p>", ""),
+    ("<p aria-hidden='TRUE'>Not seen.</p><p style='color:red; display : none'>Nor this.</p>", ""),
+    ("<div class='ad-box'>Buy it now.</div><div id='comments'><p>Nice one.</p></div><div class='cookieBanner'>We use them.</div><div aria-label='Search'>Go</div>", ""),
+])
+def test_attribute_words_inside_an_article(snippet, kept):
+    page = f"<body><article><p>{LONG_LINE}</p>{snippet}<p>{LONG_LINE}</p></article></body>"
+    assert html_extract.main_text(page) == " ".join(x for x in (LONG_LINE.strip(), kept, LONG_LINE.strip()) if x)
+
+
+def test_attribute_words_outside_an_article():
+    law = "Copyright law in the nineteenth century was a matter of some dispute among printers and their authors in many towns."
+    links = "<li><a href=x>One</a> or two</li>" * 5
+    page = f"<div><p>{LONG_LINE}</p><p>{law}</p><p>{LONG_LINE}</p></div><div class='search-of-our-shop'><ul>{links}</ul><div>Short words.</div></div><div>Copyright 2024 Site</div>"
+    assert html_extract.main_text(page) == f"{LONG_LINE.strip()} {law} {LONG_LINE.strip()}"
+    assert html_extract.main_text(f"<div class='search-theory'><p>{LONG_LINE * 2}</p><div>x</div><p>{LONG_LINE * 2}</p></div>").count("This paragraph") == 4
