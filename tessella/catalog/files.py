@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import shared_path
 from ..sources import files, sqlite
+from ..sources import jsonl as closed_lines
 from ..streaming import events as stream
 from .base import query, table
 
@@ -107,3 +108,19 @@ def sqlite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s01_sqlite_filtered", "select * from (select row_number() over (order by c_custkey) as row_number, c_custkey::varchar as c_custkey, c_mktsegment from customer) where row_number > 10 and c_mktsegment = 'BUILDING'")
 def sqlite_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exported(spark, sf_dir).where("row_number > 10 and c_mktsegment = 'BUILDING'").select("row_number", "c_custkey", "c_mktsegment")
+
+
+#: Benchmark items as lines, some of them bad.
+LINES = """
+select case item_id % 8 when 1 then '{{"id": ' || cast(item_id as string) when 2 then '[1, 2]' when 3 then '{{"id": "x", "question": "q"}}' when 4 then '{{"id": 5, "question": "q", "more": 1, "other": 2}}' when 5 then '{{"id": 6}}' when 6 then '   '
+  else '{{"id": ' || cast(item_id as string) || ', "question": "w"}}' end as value from {benchmark}
+"""
+
+
+@query("s13_bad_lines", f"""with l as (select item_id % 8 as k from benchmark), p as (select unnest(case k when 1 then ['not_json'] when 2 then ['not_an_object'] when 3 then ['wrong_type:id'] when 4 then ['unknown:more', 'unknown:other'] when 5 then ['missing:question'] when 6 then [] else ['none'] end) as problem from l)
+select problem, count(*) as n from p group by problem""")
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "gold-lines")
+    spark.sql(LINES, benchmark=table(spark, sf_dir, "benchmark")).write.text(path)
+    found = closed_lines.read_closed(spark, path, closed_lines.T.StructType.fromDDL("id long, question string"), ("id", "question"))
+    return found.select(F.explode(F.when(F.size("problems") > 0, F.col("problems")).otherwise(F.array(F.lit("none")))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))

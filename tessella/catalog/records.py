@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import ranking
+from ..operators import gold_import, ranking
 from ..operators import records as R
 from ..operators import retention as retention_days
 from ..session import shared_path
@@ -235,3 +235,29 @@ def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = retention_days.read_days(spark, path, schema)
         counts.append(left.agg(F.lit(kind).alias("event_type"), F.lit(gone).cast("long").alias("deleted"), F.count("*").alias("kept")))
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+GOLD_STORED = "select item_id as id, cast(1 + item_id % 3 as int) as version, case when item_id % 2 = 0 then 'approved' else 'draft' end as status, text as question, case when item_id % 5 = 0 then null else item_id % 7 end as year_from, array('u' || cast(item_id as string)) as gold from {benchmark} where item_id % 4 <> 0"
+GOLD_NEW = "select item_id as id, case when item_id % 6 = 1 then text || '?' else text end as question, case when item_id % 10 = 0 then null else item_id % 7 end as year_from, array(case when item_id % 9 = 2 then 'v' else 'u' end || cast(item_id as string)) as gold from {benchmark} where item_id % 8 <> 3"
+GOLD_FIELDS = ["question", "year_from", "gold"]
+
+
+def gold_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    history = spark.createDataFrame([], "id long, version int, at string, field string, old string, new string")
+    return gold_import.import_items(derived(spark, sf_dir, GOLD_STORED), history, derived(spark, sf_dir, GOLD_NEW), "id", GOLD_FIELDS, "2024-01-31")
+
+
+GOLD_DIFF = f"""with s as ({twin(GOLD_STORED).replace("array(", "list_value(")}), n as ({twin(GOLD_NEW).replace("array(", "list_value(")}),
+j as (select id, version, n.question as q, s.question as oq, n.year_from as y, s.year_from as oy, n.gold as g, s.gold as og from n left join s using (id)),
+d as (select *, list_filter([case when q is distinct from oq then 'question' end, case when y is distinct from oy then 'year_from' end, case when g is distinct from og then 'gold' end], lambda x: x is not null) as c from j)"""
+
+
+@query("c29_gold_differences", f"{GOLD_DIFF} select id, case when version is null then 'new' when len(c) > 0 then 'changed' else 'unchanged' end as change, coalesce(version, 0) + case when version is null or len(c) > 0 then 1 else 0 end as version, array_to_string(c, ',') as fields from d")
+def gold_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = gold_imports(spark, sf_dir)[2]
+    return told.select("id", "change", "version", F.array_join(F.transform("changes", lambda x: x["field"]), ",").alias("fields"))
+
+
+@query("c29_gold_history", f"{GOLD_DIFF} select id, coalesce(version, 0) + 1 as version, f as field, case f when 'question' then oq when 'year_from' then oy::varchar else '[\"' || og[1] || '\"]' end as old, case f when 'question' then q when 'year_from' then y::varchar else '[\"' || g[1] || '\"]' end as new from (select *, unnest(c) as f from d)")
+def gold_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold_imports(spark, sf_dir)[1].drop("at")

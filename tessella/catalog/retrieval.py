@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from ..plans import chunking, lexical, search, vector_index
+from ..plans import chunking, lexical, pair_scorer, search, vector_index
 from ..plans.lexical import SIMPLE
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
 
@@ -238,3 +238,20 @@ def ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = nearest(spark, sf_dir).select("qid", F.col("vec_id").alias("id"))
     return vector_index.recall_of(in_lists(spark, sf_dir), exact).agg(F.count("*").alias("questions"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
+#: Weights as a fit on pairs gave them, rounded; fixed, so that SQL can have them too.
+WEIGHTS = (-4.0, 3.5, 2.5, 1.5, -0.25)
+PAIRED = f"""
+heads as (select x.qid, x.chunk_id, x.position, regexp_extract_all(lower(q.text), '[a-z0-9]+') as a, regexp_extract_all(lower(p.content), '[a-z0-9]+') as h from placed x join q using (qid) join p using (chunk_id) where position <= 30),
+counted as (select *, list_distinct(a) as wanted, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) as ap, list_distinct(list_transform(range(1, len(h)), lambda i: h[i] || ' ' || h[i + 1])) as hp from heads),
+logits as (select qid, chunk_id, position, {WEIGHTS[0]}::double + {WEIGHTS[1]}::double * coalesce(len(list_intersect(wanted, list_distinct(h)))::double / nullif(len(wanted), 0), 0) + {WEIGHTS[2]}::double * coalesce(len(list_intersect(ap, hp))::double / nullif(len(ap), 0), 0)
+  + {WEIGHTS[3]}::double * coalesce(len(list_filter(h, lambda w: list_contains(wanted, w)))::double / nullif(len(h), 0), 0) + {WEIGHTS[4]}::double * ln(1 + len(h)) as z from counted)
+"""
+
+
+@query("c14_pair_scorer", f"with {CHANNEL}, {DENSE}, {FUSED.split('reranked as')[0].rstrip().rstrip(',')}, {PAIRED} select qid, chunk_id, position, round(1 / (1 + exp(-z)), 6) as rerank from logits")
+def pair_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, held, lexical_list, dense = channels(spark, sf_dir)
+    r = search.hybrid(questions, lexical_list, dense, held, scorer=lambda top: pair_scorer.with_scores(top, WEIGHTS))
+    return r.where("rerank is not null").select("qid", "chunk_id", "position", F.round("rerank", 6).alias("rerank"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import admission
 from ..operators import events as E
+from ..operators import sequences
 from ..streaming import admission as live
 from ..streaming import events as stream
 from .base import derived, query, table, twin
@@ -137,3 +138,17 @@ def admitted_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a04_admitted_spend", f"{ADMITTED} select scope, count(*) as asked, max(calls) as admitted, count(*) filter (where refused = 'input_too_large') as input_too_large, count(*) filter (where refused = 'max_calls') as max_calls, count(*) filter (where refused = 'budget') as budget, max(spent) as spent from r where n > 0 group by scope")
 def admitted_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.spent_by_scope(admitted(spark, sf_dir))
+
+
+#: A user's day is a run; kinds of events stand for its stages, sources and ends.
+RUNS = "select event_id, ts, user_id, substr(cast(ts as string), 1, 10) as day, case event_type when 'view' then 'searching' when 'click' then 'reading' when 'purchase' then 'sources' when 'signup' then 'answer' when 'error' then case when event_id % 11 = 0 then 'lost' else 'error' end end as kind from {events}"
+
+
+@query("t06_violations", f"""with e as (select *, case kind when 'searching' then 1 when 'reading' then 2 else 0 end as stage from ({twin(RUNS)})),
+w as (select *, coalesce(max(stage) over b, 0) as reached, coalesce(bool_or(kind in ('answer', 'error')) over b, false) as ended, coalesce(bool_or(kind = 'sources') over b, false) as sourced, lead(1) over (partition by user_id, day order by ts, event_id) is null as last
+  from e window b as (partition by user_id, day order by ts, event_id rows between unbounded preceding and 1 preceding)),
+v as (select event_id, case when kind = 'lost' then 'unknown_kind' when kind in ('answer', 'error') and ended then 'second_final' when ended then 'after_final' when kind = 'sources' and sourced then 'sources_twice' when stage > 0 and sourced then 'stage_after_sources'
+  when stage > 0 and stage < reached then 'stage_back' when last and kind not in ('answer', 'error') then 'no_final' end as violation from w)
+select event_id, violation from v where violation is not null""")
+def progress_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.violations(derived(spark, sf_dir, RUNS), ["user_id", "day"], ["ts", "event_id"], "kind", ["searching", "reading"]).select("event_id", "violation")

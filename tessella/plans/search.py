@@ -243,14 +243,21 @@ def overlap_score(question: Column, passage: Column) -> Column:
     return F.size(F.array_intersect(words(question), own)) / (1 + F.sqrt(F.size(own)))
 
 
-def hybrid(questions: DataFrame, lexical: DataFrame, dense: DataFrame, passages: DataFrame, head: int = RERANK, k: int = 60) -> DataFrame:
-    """Fused and reranked passages: qid, chunk_id, doc_id, hashes, both ranks, rrf, rerank, position and final."""
+def overlap_scores(top: DataFrame) -> DataFrame:
+    return top.select("qid", "position", F.round(overlap_score(F.col("text"), F.col("content")), 9).alias("rerank"))
+
+
+def hybrid(questions: DataFrame, lexical: DataFrame, dense: DataFrame, passages: DataFrame, head: int = RERANK, k: int = 60, scorer: Callable[[DataFrame], DataFrame] = overlap_scores) -> DataFrame:
+    """Fused and reranked passages: qid, chunk_id, doc_id, hashes, both ranks, rrf, rerank, position and final.
+
+    scorer takes (qid, position, text, content) of the heads to (qid, position, rerank).
+    """
     fused = fuse(lexical, dense, ["source_text_hash", "content_hash"], ["chunk_id", "doc_id"], k, by=["qid"])
     order = Window.partitionBy("qid").orderBy(F.desc("rrf"), "seen", "chunk_id")
     placed = fused.withColumn("position", F.row_number().over(order).cast("long"))
     # The text joins only the head, which is at most head rows of a question.
     top = placed.where(F.col("position") <= head).join(passages.select("chunk_id", "content"), "chunk_id").join(questions.select("qid", "text"), "qid")
-    scores = top.select("qid", "position", F.round(overlap_score(F.col("text"), F.col("content")), 9).alias("rerank"))
+    scores = scorer(top.select("qid", "position", "text", "content"))
     return rerank_head(placed.join(scores, ["qid", "position"], "left"), "position", "rerank", head, by=["qid"])
 
 
