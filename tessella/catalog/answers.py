@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import evaluation
-from ..operators.verification import abstain_reason, check_support, choose_sources, verify_claims
+from ..operators.verification import abstain_reason, check_support, choose_sources, offered, opened, verify_claims
 from ..plans import search
-from .base import derived, query, table, twin
+from .base import PASSAGES, derived, passages, query, table, twin
 from .retrieval import CHANNEL, DENSE, FUSED, channels
 
 #: Claims: assistant turns. Sources: the user turns of the same conversation, labelled S1 and on.
@@ -184,9 +185,56 @@ def models_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")))), ",").alias("models"))
 
 
-@query("b04_claim_source", f"with s as ({twin(SOURCES)}) select conv_id, turn, coalesce((select min(label) from s where answer_id = conv_id and contains(excerpt, left(text, 10))), 'S1') as label from conversations where role = 'assistant'")
+#: Passages of a source are the lines of a user's turn; a claim quotes one of the first source's and has a marker, or none.
+MARKED = "select conv_id, turn, case when turn % 4 > 0 then turn % 4 end as marker, turn % 2 as nth from {conversations} where role = 'assistant'"
+
+
+@query("b04_claim_source", f"""with s as (select conv_id, row_number() over (partition by conv_id order by turn) as number, list_transform(range(1, len(string_split(text, chr(10))) + 1), lambda i: turn * 1000 + i) as passages from conversations where role = 'user'),
+q as (select c.*, coalesce(f.passages[1 + nth], f.passages[1]) as quote, s.passages from ({twin(MARKED)}) c join s f on f.conv_id = c.conv_id and f.number = 1 left join s on s.conv_id = c.conv_id and s.number = c.marker)
+select conv_id, turn, case when marked then quote else passages[1] end as chunk_id, marked from (select *, marker is null or passages is null or list_contains(passages, quote) as marked from q)""")
 def claim_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.substring("text", 1, 10).alias("lead"))
-    s = derived(spark, sf_dir, SOURCES)
-    held = c.join(s, (F.col("conv_id") == F.col("answer_id")) & F.col("excerpt").contains(F.col("lead")), "left")
-    return held.groupBy("conv_id", "turn").agg(F.coalesce(F.min("label"), F.lit("S1")).alias("label"))
+    users = table(spark, sf_dir, "conversations").where("role = 'user'")
+    chunks = F.transform(F.split("text", "\n"), lambda _, i: F.col("turn") * 1000 + i + 1)
+    s = users.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("number"), chunks.alias("passages"))
+    quoted = s.where("number = 1").select("conv_id", F.col("passages").alias("own"))
+    c = derived(spark, sf_dir, MARKED).join(quoted, "conv_id").withColumn("quote", F.coalesce(F.get("own", F.col("nth").cast("int")), F.get("own", F.lit(0))))
+    j = c.join(s.withColumnRenamed("number", "marker"), ["conv_id", "marker"], "left")
+    return j.select("conv_id", "turn", opened(F.col("quote"), F.col("marker"), F.col("passages")).alias("x")).select("conv_id", "turn", "x.*")
+
+
+@query("c20_named_case", f"""with recursive lines as (select conv_id as answer_id, turn, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as place, len(string_split(text, chr(10))) as held, turn = min(turn) over (partition by conv_id) and conv_id % 3 = 0 as named from conversations),
+o as (select answer_id, turn, place, cast(ceil(length(content) / 4.0) as bigint) as cost, row_number() over (partition by answer_id order by turn, place) as n from lines where case when named then place = 1 or place > held - 2 else place <= 2 end),
+h as (select distinct answer_id, 0::bigint as n, 0::bigint as used, 0::bigint as taken, ''::varchar as chosen from o
+  union all select o.answer_id, o.n, case when fits then used + cost else used end, case when fits then taken + 1 else taken end, case when fits then chosen || o.turn::varchar || '.' || o.place::varchar || ' ' else chosen end
+  from h join o on o.answer_id = h.answer_id and o.n = h.n + 1, lateral (select taken < 8 and used + cost <= 400 as fits))
+select answer_id, arg_max(chosen, n) as chosen from h group by answer_id""")
+def named_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    passages = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.col("turn").alias("turn"), (i + 1).alias("place"), F.col("turn").alias("case"), F.ceil(F.length(x) / 4.0).cast("long").alias("cost")))
+    g = c.groupBy(F.col("conv_id").alias("answer_id")).agg(F.array_sort(F.collect_list(F.struct("turn", passages.alias("passages")))).alias("cases"))
+    listed = offered(F.col("cases"), named=F.col("answer_id") % 3 == 0)
+    name = lambda x: F.concat(x["turn"].cast("string"), F.lit("."), x["place"].cast("string"), F.lit(" "))
+    return g.select("answer_id", F.array_join(F.transform(choose_sources(listed, per_case=1 << 30, budget=400), name), "").alias("chosen"))
+
+
+#: What a run was made with: the settings that ranking depends on.
+SETTINGS = {
+    "chunk_most": 400, "chunk_target": 250, "dense_raw": search.RAW, "dimension": search.DIMENSION, "forms": "simple", "head": search.RERANK, "model": "hashed words", "per_case": search.PER_CASE, "pool": search.POOL, "rrf_k": 60, "scorer": "overlap",
+}
+
+
+@query("c30_run_settings", f"""with p as (select count(*)::varchar as n, sum(('0x' || substr(md5(doc_id::varchar || chr(31) || content_hash), 1, 15))::bigint::hugeint)::varchar as d from ({PASSAGES}) where true),
+x as (select '{{"corpus":{{"digest":"' || d || '","passages":' || n || '}},"settings":{json.dumps(SETTINGS, sort_keys=True, separators=(",", ":"))}}}' as config from p)
+select config, sha256(config) as config_hash from x""")
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.run_config(passages(spark, sf_dir), SETTINGS)
+
+
+@query("s26_run_parts", f"""with r as ({twin(RECORDS)})
+select 'question' as part, id::varchar as key, '{{"category":"' || category || '"' || case when rank is null then '' else ',"rank":' || rank::varchar end || '}}' as value from r
+union all select 'metrics', category, '{{"found":' || count(rank)::varchar || ',"in_top_5":' || count(*) filter (where rank <= 5)::varchar || ',"questions":' || count(*)::varchar || '}}' from r group by category
+union all select 'config', 'settings', '{json.dumps(SETTINGS, sort_keys=True, separators=(",", ":"))}'""")
+def run_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = derived(spark, sf_dir, RECORDS)
+    metrics = r.groupBy("category").agg(F.count("rank").alias("found"), F.count_if(F.col("rank") <= 5).alias("in_top_5"), F.count("*").alias("questions"))
+    return evaluation.run_record("a run", SETTINGS, metrics, "category", r.select("id", "category", "rank"), "id").drop("run_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import shared_path
-from ..sources import files, sqlite
+from ..sources import files, sheets, sqlite
 from ..sources import jsonl as closed_lines
 from ..streaming import events as stream
 from .base import query, table
@@ -124,3 +124,24 @@ def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.sql(LINES, benchmark=table(spark, sf_dir, "benchmark")).write.text(path)
     found = closed_lines.read_closed(spark, path, closed_lines.T.StructType.fromDDL("id long, question string"), ("id", "question"))
     return found.select(F.explode(F.when(F.size("problems") > 0, F.col("problems")).otherwise(F.array(F.lit("none")))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+#: Questions for the sheets; some texts have quotes, commas and line ends.
+QUESTIONS = "select item_id as id, case when item_id % 2 = 0 then 'words' else 'names' end as category, case when item_id % 3 = 0 then 'say \"it\", then' || chr(10) || text else text end as question, case when item_id % 4 = 0 then '{{\"court\":\"en\"}}' else '{{}}' end as filters from {benchmark}"
+
+
+@query("s15_query_sheet", QUESTIONS.replace("{{", "{").replace("}}", "}").replace("from {benchmark}", ", '' as keyword_query from benchmark").replace("item_id as id", "item_id::varchar as id"))
+def query_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet that a query writer gets, as it is read back."""
+    path = shared_path(spark, "query-sheet")
+    sheets.write_sheet(spark.sql(QUESTIONS, benchmark=table(spark, sf_dir, "benchmark")), sheets.QUERY_COLUMNS, path)
+    return sheets.read_sheet(spark, path, sheets.QUERY_COLUMNS)
+
+
+@query("s15_recording_sheet", "select item_id::varchar as id, 'query ' || item_id::varchar as keyword_query, 'Case ' || (item_id % 7)::varchar || ' (u' || (item_id % 7)::varchar || ') | Case x (z)' as look_for, '' as notes from benchmark")
+def recording_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, items = shared_path(spark, "recording-sheet"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    gold = items.select("id", F.explode(F.array(F.struct(F.concat(F.lit("Case "), (F.col("id") % 7).cast("string")).alias("citation"), F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("uri")), F.struct(F.lit("Case x").alias("citation"), F.lit("z").alias("uri")))).alias("x")).select("id", "x.*")
+    rows = items.withColumn("keyword_query", F.concat(F.lit("query "), F.col("id").cast("string"))).join(sheets.look_for(gold.union(gold), "id"), "id")
+    sheets.write_sheet(rows, sheets.SHEET_COLUMNS, path)
+    return sheets.read_sheet(spark, path, sheets.SHEET_COLUMNS).select("id", "keyword_query", "look_for", "notes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,3 +130,27 @@ def paired_sides(questions: DataFrame, by: str, ours: DataFrame, theirs: DataFra
     j = questions.join(hit(ours, "a"), "qid", "left").join(hit(theirs, "b"), "qid", "left")
     a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
     return j.groupBy(by).agg(F.count("*").alias("questions"), F.count_if(a).alias("ours"), F.count_if(b).alias("theirs"), F.count_if(a & ~b).alias("only_ours"), F.count_if(b & ~a).alias("only_theirs"))
+
+
+def run_config(passages: DataFrame, settings: dict) -> DataFrame:
+    """One row, config and config_hash: a run's settings and a fingerprint of what it searched, as JSON with its keys in order.
+
+    The fingerprint is the number of passages(doc_id, content_hash) and the sum of their digests, which needs no order:
+    tasks add up what they read, and one row for each shuffles.
+    """
+    line = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), "content_hash"))
+    held = passages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+    told = json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    config = F.concat(F.lit('{"corpus":{"digest":"'), "digest", F.lit('","passages":'), F.col("n").cast("string"), F.lit('},"settings":'), F.lit(told), F.lit("}"))
+    return held.select(config.alias("config")).withColumn("config_hash", F.sha2("config", 256))
+
+
+def run_record(run_id: str, settings: dict, metrics: DataFrame, by: str, questions: DataFrame, key: str) -> DataFrame:
+    """A run as rows (run_id, part, key, value), value in JSON: its settings, the metrics of each group, and each question's result.
+
+    Questions are rows of their own, so a run may have any number of them; nulls are left out.
+    """
+    packed = lambda rows, part, name: rows.select(F.lit(part).alias("part"), F.col(name).cast("string").alias("key"), F.to_json(F.struct(*sorted(c for c in rows.columns if c != name))).alias("value"))
+    told = metrics.sparkSession.createDataFrame([("config", "settings", json.dumps(settings, sort_keys=True, separators=(",", ":")))], "part string, key string, value string")
+    rows = told.unionByName(packed(metrics, "metrics", by)).unionByName(packed(questions, "question", key))
+    return rows.select(F.lit(run_id).alias("run_id"), "part", "key", "value")

@@ -61,6 +61,26 @@ def choose_sources(items: Column, per_case: int = 2, most: int = 8, budget: int
     return F.aggregate(items, F.struct(F.lit(0).cast("long").alias("used"), F.filter(items, lambda _: F.lit(False)).alias("chosen")), step)["chosen"]
 
 
+def offered(cases: Column, per_case: int = 2, named: Column | None = None, closing: int = 2) -> Column:
+    """The passages that an answer may cite, case by case, from an ordered array of structs with passages, an ordered array.
+
+    The first ones of each case; of the first case, where named says that the question names it, its leading and its
+    closing passages instead.
+    """
+    named = F.lit(False) if named is None else named
+    return F.flatten(F.transform(cases, lambda c, i: F.when(named & (i == 0), leading_and_closing(c["passages"], closing)).otherwise(F.slice(c["passages"], 1, per_case))))
+
+
+def opened(quote: Column, marker: Column, passages: Column) -> Column:
+    """Which passage a claim's marker opens, and whether its quote is marked there.
+
+    passages are those of the marker's source, null if there is no such source. Without a marker, and where the source
+    holds the quoted passage, it is that one; else the source's first passage, unmarked, if it has any.
+    """
+    own = marker.isNull() | passages.isNull() | F.coalesce(F.array_contains(passages, quote), F.lit(False)) | (F.size(passages) == 0)
+    return F.struct(F.when(own, quote).otherwise(F.get(passages, F.lit(0))).alias("chunk_id"), F.coalesce(own, F.lit(True)).alias("marked"))
+
+
 def check_support(claims: DataFrame, sources: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(answer_id, claim_id, verdict, score) of claims(answer_id, claim_id, text, label) that cite sources(answer_id, label, excerpt, parts).
 

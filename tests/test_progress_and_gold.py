@@ -103,3 +103,40 @@ def test_fitted_scorer_tells_answers_from_others(spark):
     overlap = {r.qid: r.o for r in two.select("qid", search.overlap_score(F.col("text"), F.col("content")).alias("o")).collect()}
     fitted = {r.qid: r.rerank for r in pair_scorer.with_scores(two, weights).collect()}
     assert overlap[2] > overlap[1] and fitted[1] > fitted[2]
+
+
+def test_sheets_come_back_as_they_were(spark, tmp_path):
+    import pytest
+
+    from tessella.sources import sheets
+
+    texts = ['say "it", then\nmore', "", None, "  plain ", "ü,;'", '"', "a\\b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, question string")
+    sheets.write_sheet(rows.repartition(3), sheets.QUERY_COLUMNS, str(tmp_path / "s"))
+    back = {r.id: r for r in sheets.read_sheet(spark, str(tmp_path / "s"), sheets.QUERY_COLUMNS).collect()}
+    assert {int(k): r.question for k, r in back.items()} == {i: (t or "").strip(" ") for i, t in enumerate(texts)} and {r.keyword_query for r in back.values()} == {""}
+    with pytest.raises(ValueError, match="keyword_query, notes"):
+        sheets.read_sheet(spark, str(tmp_path / "s"), ["id", "category", "question", "filters", "notes"])
+
+
+def test_named_case_and_opened_source(spark):
+    from tessella.operators import verification as ver
+
+    row = spark.sql("select array(named_struct('turn', 1, 'passages', array('a', 'b', 'c', 'd')), named_struct('turn', 2, 'passages', array('e', 'f', 'g')), named_struct('turn', 3, 'passages', array('h'))) as cases")
+    assert row.select(ver.offered(F.col("cases"), named=F.lit(True)).alias("x")).first().x == ["a", "c", "d", "e", "f", "h"]
+    assert row.select(ver.offered(F.col("cases")).alias("x")).first().x == ["a", "b", "e", "f", "h"]
+    rows = spark.createDataFrame([(1, "q", None, ["a"]), (2, "q", 1, None), (3, "q", 1, ["x", "q"]), (4, "q", 1, ["x", "y"]), (5, "q", 1, []), (6, "q", 1, ["x", None])], "id int, quote string, marker int, passages array<string>")
+    made = {r.id: tuple(r.x) for r in rows.select("id", ver.opened(F.col("quote"), F.col("marker"), F.col("passages")).alias("x")).collect()}
+    assert made == {1: ("q", True), 2: ("q", True), 3: ("q", True), 4: ("x", False), 5: ("q", True), 6: ("x", False)}
+
+
+def test_run_record_has_settings_metrics_and_questions(spark):
+    from tessella.operators import evaluation
+
+    questions = spark.createDataFrame([(1, "a", 3), (2, "a", None)], "id long, category string, rank int")
+    metrics = questions.groupBy("category").agg(F.count("rank").alias("found"))
+    made = {(r.part, r.key): r.value for r in evaluation.run_record("r", {"b": 1, "a": "x"}, metrics, "category", questions, "id").collect()}
+    assert made == {("config", "settings"): '{"a":"x","b":1}', ("metrics", "a"): '{"found":1}', ("question", "1"): '{"category":"a","rank":3}', ("question", "2"): '{"category":"a"}'}
+    p = spark.createDataFrame([(1, "h"), (2, "k")], "doc_id long, content_hash string")
+    one, other = (evaluation.run_config(x, {"a": 1}).first() for x in (p.repartition(2), p.where("doc_id = 1")))
+    assert one == evaluation.run_config(p.orderBy(F.desc("doc_id")), {"a": 1}).first() and one.config_hash != other.config_hash
