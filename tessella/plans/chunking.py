@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The words of headings, abbreviations that end no sentence, and the patterns of headings, citations and numbers.
@@ -91,24 +91,25 @@ def cuts(strength: np.ndarray, most: int) -> np.ndarray:
     return at
 
 
-def filled(at: np.ndarray, strength: np.ndarray, target: int, most: int) -> list[int]:
-    """Token numbers where passages begin. A heading always begins one; strays join a neighbour that has room."""
+def filled(at: np.ndarray, strength: np.ndarray, target: int, most: int) -> list[tuple[int, int]]:
+    """(begin, named) of passages in token numbers: a passage's section is the one that stands at named.
+
+    A heading always begins a passage. A stray, which is a passage of few tokens, goes into the one before it if there is
+    room, whose section stays; one that can't is taken in by the one behind it, whose section then counts.
+    """
     begins: list[int] = []
     for start, end in zip(at.tolist(), [*at[1:].tolist(), len(strength)]):
         if not begins or strength[start] == SECTION or end - begins[-1] > target:
             begins.append(start)
-    bounds = [*begins, len(strength)]
-    k = 0
-    while k < len(bounds) - 1:
-        size = bounds[k + 1] - bounds[k]
-        if size < STRAY and k and bounds[k + 1] - bounds[k - 1] <= most and strength[bounds[k]] != SECTION:
-            del bounds[k]
-            k -= 1
-        elif size < STRAY and k + 2 < len(bounds) and bounds[k + 2] - bounds[k] <= most and strength[bounds[k + 1]] != SECTION:
-            del bounds[k + 1]
-        else:
-            k += 1
-    return bounds[:-1]
+    made: list[tuple[int, int]] = []
+    for start, end in zip(begins, [*begins[1:], len(strength)]):
+        before = made[-1][0] if made else None
+        room = before is not None and end - before <= most
+        if room and start - before < STRAY:
+            made[-1] = before, start
+        elif not (room and end - start < STRAY):
+            made.append((start, start))
+    return made
 
 
 class Piece(NamedTuple):
@@ -122,39 +123,45 @@ class Piece(NamedTuple):
 def chunk(text: str, target: int = 350, most: int = 400, tokenizer: Tokenizer = words) -> list[Piece]:
     """The passages of a text in order.
 
-    section is the last heading at or before a passage's begin; refs are the numbers of the paragraphs that begin in it:
-    those in brackets, and those with a point if the paragraph has NUMBERED_TOKENS tokens. A tokenizer may see more
-    tokens in a passage alone than in its text; such a passage is halved until it fits.
+    section is the last heading at or before a passage's begin, or that of the passage which a stray in front of it has
+    joined; refs are the numbers of the paragraphs that begin in it: those in brackets, and those with a point if the
+    paragraph has NUMBERED_TOKENS tokens. A tokenizer may see more tokens in a passage alone than in its text; such a
+    passage is halved until it fits.
     """
     tokens = tokenizer(text)
     if not len(tokens):
         return []
     strength = strengths(text, tokens)
-    begins = filled(cuts(strength, most), strength, target, most)
+    passages = filled(cuts(strength, most), strength, target, most)
     paragraphs = np.flatnonzero(strength >= PARAGRAPH)
     sizes = np.diff(paragraphs, append=len(tokens))
+    titles = np.flatnonzero(strength == SECTION)
 
-    def label(k: int) -> str:
-        return text[tokens[k, 0] :].split("\n", 1)[0].strip().rstrip(":").rstrip()
-
-    sections = [(k, label(k)) for k in np.flatnonzero(strength == SECTION).tolist()]
+    def label(k: int) -> str | None:
+        last = int(np.searchsorted(titles, k, side="right")) - 1
+        if last < 0:
+            return None
+        start = int(tokens[titles[last], 0])
+        end = text.find("\n", start)
+        return " ".join(text[start : end if end >= 0 else len(text)].split()).rstrip(":").rstrip()
 
-    def piece(a: int, b: int) -> Iterator[Piece]:
+    def piece(a: int, b: int, section: str | None) -> Iterator[Piece]:
         start, end = int(tokens[a, 0]), int(tokens[b - 1, 1])
-        n = len(tokenizer(text[start:end]))
+        # Runs without white space are the same in a part of the text.
+        n = b - a if tokenizer is words else len(tokenizer(text[start:end]))
         if n > most and b - a > 1:
-            yield from piece(a, (a + b) // 2)
-            yield from piece((a + b) // 2, b)
+            yield from piece(a, (a + b) // 2, section)
+            yield from piece((a + b) // 2, b, section)
             return
         refs = []
-        for k in np.flatnonzero((paragraphs >= a) & (paragraphs < b)).tolist():
+        for k in range(*np.searchsorted(paragraphs, [a, b]).tolist()):
             at = int(tokens[paragraphs[k], 0])
             found = BRACKETED.match(text, at) or (NUMBERED.match(text, at) if sizes[k] >= NUMBERED_TOKENS else None)
             refs += [found[1]] if found else []
-        section = next((name for k, name in reversed(sections) if k <= a), None)
         yield Piece(start, end, n, section, list(dict.fromkeys(refs)))
 
-    return [p for a, b in zip(begins, [*begins[1:], len(tokens)]) for p in piece(a, b)]
+    ends = [*(begin for begin, _ in passages[1:]), len(tokens)]
+    return [p for (a, named), b in zip(passages, ends) for p in piece(a, b, label(named))]
 
 
 CHUNKS = [("ordinal", pa.int32(), "int"), ("content", pa.string(), "string"), ("char_start", pa.int32(), "int"), ("char_end", pa.int32(), "int"), ("token_count", pa.int32(), "int"), ("section", pa.string(), "string"), ("refs", pa.list_(pa.string()), "array<string>")]
@@ -191,11 +198,11 @@ def join_pages(pages: DataFrame) -> DataFrame:
 
     page_starts holds (page, start) of each page in that text, in order.
     """
-    listed = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
-    made = pages.groupBy("doc_id").agg(listed.alias("pages"))
-    lengths = F.transform("pages", lambda p: F.length(p["text"]) + 2)
-    before = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
-    starts = F.transform("pages", lambda p, i: F.struct(p["page"].alias("page"), before(i).alias("start")))
+    text = F.coalesce("text", F.lit(""))
+    before = F.sum(F.length(text) + 2).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    placed = pages.select("doc_id", "page", text.alias("text"), F.coalesce(before, F.lit(0)).cast("int").alias("start"))
+    made = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text", "start"))).alias("pages"))
+    starts = F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["start"].alias("start")))
     return made.select("doc_id", F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n").alias("text"), starts.alias("page_starts"))
 
 
@@ -204,6 +211,11 @@ def page_of(page_starts: Column, char: Column) -> Column:
     return F.element_at(F.filter(page_starts, lambda p: p["start"] <= char), -1)["page"]
 
 
-def with_page_bounds(chunks: DataFrame) -> DataFrame:
-    """Adds page_start and page_end to passages that kept page_starts: the pages of their first and last character."""
-    return chunks.withColumn("page_start", page_of(F.col("page_starts"), F.col("char_start"))).withColumn("page_end", page_of(F.col("page_starts"), F.col("char_end") - 1))
+def with_page_bounds(chunks: DataFrame, status: Column | None = None) -> DataFrame:
+    """Adds page_start and page_end to passages that kept page_starts: the pages of their first and last character.
+
+    status says how far a document's pages are to be trusted; only "verified" ones give bounds, others are null.
+    """
+    trusted = F.lit(True) if status is None else F.coalesce(status == "verified", F.lit(False))
+    bound = lambda char: F.when(trusted, page_of(F.col("page_starts"), char))
+    return chunks.withColumn("page_start", bound(F.col("char_start"))).withColumn("page_end", bound(F.col("char_end") - 1))

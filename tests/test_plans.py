@@ -19,7 +19,7 @@ def spans(text, target=20, most=25, **more):
 def test_paragraphs_are_gathered_and_headings_begin():
     text = " ".join(["word"] * 32) + "\n\n" + " ".join(["more"] * 12) + "\n\nFACTS\n" + " ".join(["fact"] * 40) + "."
     assert spans(text, 50, 60) == [("word", 44, None), ("FACTS", 41, "FACTS")]
-    assert spans(text, 40, 43) == [("word", 32, None), ("more", 12, None), ("FACTS", 41, "FACTS")]
+    assert spans(text, 40, 43) == [("word", 32, None), ("more", 13, "FACTS"), ("fact", 40, "FACTS")]  # the heading joins the stray in front of it
     assert spans(text, 40, 44) == [("word", 44, None), ("FACTS", 41, "FACTS")]
 
 
@@ -156,3 +156,32 @@ def test_dense_channel_answers_any_number_of_questions(spark):
     assert {q for q, *_ in whole} == set(range(23))
     for most in (5, 22, 23):
         assert asked(most_questions=most) == whole
+
+
+def test_strays_join_a_neighbour_with_room():
+    body = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    text = f"FACTS\n\n{body(50, 'a')}\n\nJUDGMENT\n\nTHE LAW:\n\n{body(60, 'b')}\n\nCOSTS\n\nshort end."
+    told = lambda t, **o: [(p.section, t[p.start : p.end].split()[0], p.tokens) for p in chunking.chunk(t, **o)]
+    assert told(text, target=100, most=120) == [("FACTS", "FACTS", 52), ("THE LAW", "THE", 65)]
+    assert told(text, target=100, most=62) == [("FACTS", "FACTS", 52), ("THE LAW", "THE", 62), ("COSTS", "COSTS", 3)]
+    # Without room before it, or with a stray before it, the passage behind takes it in and gives the section.
+    assert told(f"JUDGMENT\n\nRULING\n\n{text}", target=100, most=60)[0] == ("FACTS", "JUDGMENT", 53)
+
+
+def test_only_verified_pages_give_bounds(spark):
+    pages = spark.createDataFrame([(d, i, " ".join([f"page{i}"] * 40)) for d in (1, 2, 3) for i in range(3)], "doc_id long, page int, text string")
+    status = F.when(F.col("doc_id") == 1, "verified").when(F.col("doc_id") == 2, "pending")
+    made = chunking.with_page_bounds(chunking.chunk_documents(chunking.join_pages(pages), target=45, most=60, keep=("page_starts",)), status)
+    assert {(r.doc_id, r.page_start, r.page_end) for r in made.collect()} == {(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, None, None), (3, None, None)}
+
+
+def test_long_documents_are_cut_in_linear_time():
+    import time
+
+    line = "FACTS\n\n[12] " + " ".join(f"word{i}" for i in range(60)) + ".\n\n"
+    took = []
+    for n in (1000, 4000):
+        began = time.perf_counter()
+        assert len(chunking.chunk(line * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
