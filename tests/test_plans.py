@@ -165,7 +165,7 @@ def test_strays_join_a_neighbour_with_room():
     assert told(text, target=100, most=120) == [("FACTS", "FACTS", 52), ("THE LAW", "THE", 65)]
     assert told(text, target=100, most=62) == [("FACTS", "FACTS", 52), ("THE LAW", "THE", 62), ("COSTS", "COSTS", 3)]
     # Without room before it, or with a stray before it, the passage behind takes it in and gives the section.
-    assert told(f"JUDGMENT\n\nRULING\n\n{text}", target=100, most=60)[0] == ("FACTS", "JUDGMENT", 53)
+    assert told(f"JUDGMENT\n\nRULING\n\n{text}", target=100, most=60)[0] == ("FACTS", "JUDGMENT", 54)
 
 
 def test_only_verified_pages_give_bounds(spark):
