@@ -47,7 +47,7 @@ GROUP = 1 << 19
 #: An anchor in more documents than this is split up by substrings; so many surroundings are split at a time.
 HOT, HOT_PART = 20_000, 10_000
 #: Input bytes for each filter shard, each shard of surroundings and each group of documents, and the most of them.
-FILTER_SHARD, SHARD, DOCS_GROUP, MOST_SHARDS = 32 << 20, 8 << 20, 32 << 20, 50_000
+FILTER_SHARD, SHARD, DOCS_GROUP = 32 << 20, 8 << 20, 32 << 20
 LAST = np.iinfo(np.int64).max
 #: More than a text has bytes.
 REACH = 1 << 32
@@ -174,8 +174,8 @@ def anchor_filters(shards: int, most_hashes: int, most_bytes: int) -> Callable:
     """(shard, bits, hot) from rows of one shard after another: filters of the anchors of several documents and of those of more than HOT.
 
     Nothing is gathered: the filters and the counts (two rows of counters, of which the smaller holds) have sizes that
-    follow from most_hashes, about how many anchors a shard gets. A count may be too large, never too small, and takes
-    in what at least two documents of a task's part hold.
+    follow from most_hashes, about how many anchors a shard gets. A count is too small by one at most, for the first
+    part that held the anchor once, and may be too large.
     """
     bits, width, most_bits = power_of_two(12 * most_hashes), power_of_two(max(1024, most_hashes // 4)), max(64, 8 * most_bytes // shards)
 
@@ -195,16 +195,19 @@ def anchor_filters(shards: int, most_hashes: int, most_bytes: int) -> Callable:
                     own, seen, again, hot, n, n_hot = shard, Bloom(bits), Bloom(bits), Bloom(1 << 16), 0, 0
                     counts = np.zeros((2, width), np.int64)
                 ones, twos = from_five(once), from_five(twice)
-                repeats = np.concatenate([twos, ones[seen.hits(ones)]])
+                # One that another part has too counts as well: a line may stand in one document of each part, and in very many parts.
+                held = np.concatenate([twos, ones[seen.hits(ones)]])
+                docs = np.append(np.frombuffer(docs, "<u2").astype(np.int64), np.ones(len(held) - len(twos), np.int64))
                 for hashes in (ones, twos):
                     seen.add(hashes)
-                repeats = repeats[~again.hits(repeats)]
+                repeats = held[~again.hits(held)]
                 again.add(repeats)
                 n += len(repeats)
-                places = [(twos >> U(k)).astype(np.int64) & width - 1 for k in (0, 32)]
+                places = [(held >> U(k)).astype(np.int64) & width - 1 for k in (0, 32)]
                 for row, at in zip(counts, places):
-                    np.add.at(row, at, np.frombuffer(docs, "<u2").astype(np.int64))
-                many = twos[np.minimum(counts[0][places[0]], counts[1][places[1]]) > HOT]
+                    np.add.at(row, at, docs)
+                many = held[np.minimum(counts[0][places[0]], counts[1][places[1]]) > HOT]
+                many = many[~hot.hits(many)]
                 hot.add(many)
                 n_hot += len(many)
         yield from done()
@@ -575,7 +578,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others. Other columns are ignored; an empty table gives no rows. filter_bytes bounds what all tasks get.
     """
     spark, size = docs.sparkSession, text_bytes(docs, text_col)
-    shards, targets, groups = (min(MOST_SHARDS, shards_for(size, each)) for each in (FILTER_SHARD, SHARD, DOCS_GROUP))
+    shards, targets, groups = (shards_for(size, each) for each in (FILTER_SHARD, SHARD, DOCS_GROUP))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("group"))
     hashes = slim.select("text").mapInArrow(sent_anchors(shards), "shard int, once binary, twice binary, held binary")
     dealt = hashes.repartitionById(shards, "shard")

@@ -319,3 +319,19 @@ def test_shingle_sets_equal_when_words_do():
         assert len(s) == len(shingles(a))
         for b, o in zip(rows, sets):
             assert len(np.intersect1d(s, o)) == len(shingles(a) & shingles(b))
+
+
+def test_an_anchor_in_one_document_of_each_part_becomes_hot(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    rng = np.random.default_rng(4)
+    common, few = (int(x) for x in rng.integers(1, 1 << 40, 2))
+    parts = [np.array([common, *([few] if k < 40 else []), *rng.integers(1, 1 << 40, 30).tolist()], np.uint64) for k in range(120)]
+    rows = [([0], [suffix_dedup.five_bytes(p)], [suffix_dedup.five_bytes(np.zeros(0, np.uint64))], [b""]) for p in parts]
+    batches = [pa.RecordBatch.from_arrays([pa.array(r[0], pa.int32()), *(pa.array(c, pa.binary()) for c in r[1:])], ["shard", "once", "twice", "held"]) for r in rows]
+    (made,) = suffix_dedup.anchor_filters(1, 10_000, 1 << 20)(iter(batches))
+    hot, again = made["hot"][0].as_py(), made["bits"][0].as_py()
+    hot, again = (bloom.Bloom(8 * len(x), np.frombuffer(x, np.uint8)) for x in (hot, again))
+    ask = lambda f, x: bool(f.hits(np.array([x], np.uint64))[0])
+    assert ask(hot, common) and not ask(hot, few) and ask(again, common) and ask(again, few)
