@@ -3,17 +3,74 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def containing(texts: DataFrame, items: DataFrame, text_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+from pyspark.sql.pandas.types import to_arrow_type
+
+
+BLANK = re.compile(r"\s+", re.ASCII)
+#: Items of so many bytes in all, and so many of them, are sent to where the texts are.
+SENT_BYTES, SENT_ITEMS = 32 << 20, 100_000
+
+
+def held_items(shared, kinds: tuple[pa.DataType, pa.DataType], names: tuple[str, str]) -> Callable:
+    """(text_id, item_id) of the texts of a task that hold an item: looked up by the first of five inner words, or by an inner word, and then compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fives: dict[str, dict[tuple, list]] = {}
+        ones: dict[str, list] = {}
+        tiny = []
+        for key, item in shared.value:
+            w = BLANK.split(item)
+            if len(w) >= 7:
+                fives.setdefault(w[1], {}).setdefault(tuple(w[1:6]), []).append((key, item))
+            elif len(w) >= 3:
+                ones.setdefault(max(w[1:-1], key=len), []).append((key, item))
+            else:
+                tiny.append((key, item))
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                found = []
+                for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text is None:
+                        continue
+                    w = BLANK.split(text)
+                    near = {c for word in ones.keys() & set(w) for c in ones[word]}.union(tiny)
+                    for i, word in enumerate(w):
+                        if word in fives:
+                            near.update(fives[word].get(tuple(w[i : i + 5]), ()))
+                    found += ((number, key) for key, item in near if item in text)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], list(names))
+
+    return run
+
+
+def containing(texts: DataFrame, items: DataFrame, text_id: str = "doc_id", item_id: str = "item_id", sent_bytes: int = SENT_BYTES, sent_items: int = SENT_ITEMS) -> DataFrame:
     """(text_id, item_id) of the texts (text_id, text) that hold an item's text (item_id, text) as it is.
 
     A word within an item has white space on both sides in a text that holds the item, so it is a word of that text: an
     item of seven words or more is looked up by five of them, a shorter one by its longest inner word, and the whole
     text then decides. Items of one or two words have no inner word; only these are compared with every text.
+
+    Items are measured first: up to sent_bytes and sent_items they go to where the texts are, and no word of a text
+    leaves its task. More of them meet the texts' words in a join.
     """
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    if size["n"] <= sent_items and size["b"] <= sent_bytes:
+        held = [tuple(r) for r in items.where("text is not null").select(item_id, "text").collect()]
+        fields = [texts.schema[text_id], items.schema[item_id]]
+        kinds = tuple(to_arrow_type(f.dataType) for f in fields)
+        made = held_items(texts.sparkSession.sparkContext.broadcast(held), kinds, (text_id, item_id))
+        return texts.select(text_id, "text").mapInArrow(made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return containing_by_join(texts, items, text_id, item_id)
+
+
+def containing_by_join(texts: DataFrame, items: DataFrame, text_id: str, item_id: str) -> DataFrame:
     blank = r"\s+"
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     five = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))

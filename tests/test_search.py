@@ -73,11 +73,12 @@ def test_places_over_all_rows(spark):
     assert ranking.numbered(rows.where("id < 0"), [F.col("k")]).count() == 0
 
 
-def test_containing_with_items_of_any_length(spark):
+@pytest.mark.parametrize("sent", [0, 100])
+def test_containing_with_items_of_any_length(spark, sent):
     texts = {1: "one two three four five six seven eight", 2: "xone two", 3: "a one two three b", 4: "nothing", 5: "one  two three", 6: ""}
     items = {1: "two three four five six seven eig", 2: "one two", 3: "one two three", 4: "two", 5: "wo three four five s", 6: "absent words of more than seven in a row"}
-    found = evaluation.containing(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
-    assert {tuple(r) for r in found.collect()} == {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
+    found = evaluation.containing(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), sent_items=sent)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((d, i) for d, t in texts.items() for i, x in items.items() if x in t)
 
 
 def test_metrics_of_three_questions(spark):
