@@ -88,4 +88,4 @@ def test_twin(spark, name):
 def test_registered():
     import __spark_entry__ as entry
 
-    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and len(queries.QUERIES) == 10
+    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and len(queries.QUERIES) == 13
