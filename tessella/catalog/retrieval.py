@@ -250,8 +250,8 @@ logits as (select qid, chunk_id, position, {WEIGHTS[0]}::double + {WEIGHTS[1]}::
 """
 
 
-@query("c14_pair_scorer", f"with {CHANNEL}, {DENSE}, {FUSED.split('reranked as')[0].rstrip().rstrip(',')}, {PAIRED} select qid, chunk_id, position, round(1 / (1 + exp(-z)), 6) as rerank from logits")
+@query("c14_pair_scorer", f"with {CHANNEL}, {DENSE}, {FUSED.split('reranked as')[0].rstrip().rstrip(',')}, {PAIRED} select qid, chunk_id, position, round(1 / (1 + exp(-z)), 9) as rerank from logits")
 def pair_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, held, lexical_list, dense = channels(spark, sf_dir)
     r = search.hybrid(questions, lexical_list, dense, held, scorer=lambda top: pair_scorer.with_scores(top, WEIGHTS))
-    return r.where("rerank is not null").select("qid", "chunk_id", "position", F.round("rerank", 6).alias("rerank"))
+    return r.where("rerank is not null").select("qid", "chunk_id", "position", F.round("rerank", 9).alias("rerank"))
