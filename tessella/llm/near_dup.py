@@ -1,9 +1,11 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
-Rows with the same n-gram set are one node, so copies never meet each other. Nodes that share a band hash are linked
-to the smallest of them, which keeps the candidate graph linear; its components are the candidate groups. In each
-group all pairs are compared on their whole sets, block against block, and only counts and spanning links leave a
-task: no pair is ever a row.
+Rows with the same n-gram set are one node, so copies never meet each other. Only nodes that share a band hash are
+candidates, and their whole MinHash signatures, a byte a hash, say first whether they can be near at all: each node is
+held against the smallest one of its band hash, and where that fails against the others there, block against block. What
+passes connects the groups, so pages that share a template and a band now and then form none. In each group all pairs
+are compared on their whole sets, block against block, and only counts and spanning links leave a task: no pair is ever
+a row.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from .kernels import U, mix, shingle_sets
 #: A group is split into blocks of at least BLOCK nodes, at most SPLITS of them while they stay under MOST_BLOCK nodes
 #: and BLOCK_BYTES of n-gram hashes.
 BLOCK, SPLITS, MOST_BLOCK, BLOCK_BYTES = 64, 32, 2048, 8 << 20
+#: Nodes of one band hash that one task holds against each other by their signatures, and copies of a hub for a hot band.
+BAND_BLOCK, SALTS = 8192, 16
 
 
 def choose_bands(threshold: float, target_recall: float, hashes: int) -> tuple[int, int]:
@@ -38,12 +43,25 @@ def choose_bands(threshold: float, target_recall: float, hashes: int) -> tuple[i
     raise ValueError("too few hashes for this recall")
 
 
+def least_matches(threshold: float, hashes: int, loss: float = 1e-6) -> int:
+    """So many of the hashes agree at least for a pair at the threshold, but with a probability of at most loss."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k)
+        if below > loss:
+            return k
+    return hashes
+
+
 def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def signatures(n: int, bands: int, rows: int) -> Callable:
-    """(doc_id, node, digest, size, bands) for texts with words; node is a digest of the whole n-gram set, digest of the text."""
+    """(doc_id, node, digest, size, bands, sketch) for texts with words; node is a digest of the whole n-gram set, digest of the text.
+
+    The sketch is the signature with one byte for each hash: equal hashes have equal bytes, so it never tells fewer matches.
+    """
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
     shifts = mix(factors)
     weights = mix(np.arange(101, 101 + rows, dtype=np.uint64)) | U(1)
@@ -65,8 +83,10 @@ def signatures(n: int, bands: int, rows: int) -> Callable:
                         low = least if low is None else np.minimum(low, least)
                     mins.append(low)
             if ids:
-                keys = mix((np.array(mins).reshape(-1, bands, rows) * weights).sum(axis=2) ^ salt).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(nodes, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "node", "digest", "size", "bands"])
+                least = np.array(mins)
+                keys = mix((least.reshape(-1, bands, rows) * weights).sum(axis=2) ^ salt).view(np.int64)
+                sketches = [row.tobytes() for row in (mix(least) >> U(56)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(nodes, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "digest", "size", "bands", "sketch"])
 
     return run
 
@@ -189,6 +209,100 @@ def verified(threshold: Fraction) -> Callable:
     return run
 
 
+def matched(least: int) -> Callable:
+    """Whether a node's sketch and its hub's agree in so many bytes: (node, hub, near)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for x in ("sketch", "other"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), pa.array((a == b).sum(axis=1) >= least)], ["node", "hub", "near"])
+
+    return run
+
+
+def forest(sides: list[np.ndarray], least: int) -> Iterator[tuple[int, int, int]]:
+    """A breadth-first spanning forest of the sketches that agree in so many bytes: (side, node, parent on the other side).
+
+    One side is held against itself, two against each other. A node that was reached is never compared again, so a group
+    of near copies costs as much as it has nodes, and only nodes that are near to none meet all others.
+    """
+    left = [np.arange(len(s)) for s in sides]  # not reached yet
+    while len(left[0]):
+        root, left[0] = int(left[0][0]), left[0][1:]
+        todo = deque([(0, root)])
+        while todo:
+            side, at = todo.popleft()
+            to = 0 if len(sides) == 1 else 1 - side
+            near = np.zeros(len(left[to]), bool)
+            for low in range(0, len(near), 4096):
+                near[low : low + 4096] = np.count_nonzero(sides[to][left[to][low : low + 4096]] == sides[side][at], axis=1) >= least
+            found, left[to] = left[to][near], left[to][~near]
+            for other in found.tolist():
+                yield to, other, at
+                todo.append((to, other))
+
+
+def band_links(least: int) -> Callable:
+    """Per band hash and block pair: (a, b) of a spanning forest of the nodes whose sketches agree."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        _, i, j = rows[0][:3]
+        held = [{r[4]: r[5] for r in rows if r[3] == block} for block in dict.fromkeys((i, j))]
+        names = [list(side) for side in held]
+        if all(names):
+            sides = [np.frombuffer(b"".join(side.values()), np.uint8).reshape(len(side), -1) for side in held]
+            for side, node, parent in forest(sides, least):
+                yield names[side][node], names[len(sides) - 1 - side][parent]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], []
+        for batch in sliced(batches):
+            for r in zip(*(batch.column(x).to_pylist() for x in ("key", "i", "j", "block", "node", "sketch"))):
+                if r[:3] != key:
+                    found += pairs(rows) if len(rows) > 1 else ()
+                    key, rows = r[:3], []
+                rows.append(r)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
+                found = []
+        if len(rows) > 1 and (found := list(pairs(rows))):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def candidates(nodes: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes which share a band hash and whose sketches agree in so many bytes.
+
+    The smallest node of a band hash is its hub. Nodes that agree with their hub are connected by it and meet no other
+    one of that hash. The rest, as pages of one template are, meet all nodes of their hash, each pair at most once for a
+    hash that both have; a hash of many nodes is cut into blocks.
+    """
+    keys = materialize(nodes.select("node", F.explode("bands").alias("key")), "near-keys")
+    hubs = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
+    spokes = materialize(keys.join(hubs, "key").where("node <> hub").select("node", "key", "hub", "n"), "near-spokes")
+    discard(keys)
+    sketches = nodes.select("node", "sketch")
+    # A hub may have a third of all nodes: its sketch goes to several tasks.
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    wanted = hubs.select("hub").distinct()
+    salted = sketches.join(wanted, sketches["node"] == wanted["hub"]).select("hub", F.col("sketch").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = spokes.select("node", "hub").distinct().join(sketches, "node").withColumn("salt", salt).join(salted, ["hub", "salt"]).select("node", "hub", "sketch", "other")
+    told = materialize(held.mapInArrow(matched(least), "node binary, hub binary, near boolean"), "near-told")
+
+    rough = spokes.where("n > 2").join(told.where("not near"), ["node", "hub"]).select("key", "hub", "n").distinct()
+    rough = materialize(rough.withColumn("splits", F.ceil(F.col("n") / BAND_BLOCK).cast("int")), "near-rough")
+    inside = spokes.join(rough.select("key", "splits"), "key").select("key", "splits", "node").union(rough.select("key", "splits", F.col("hub").alias("node")))
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")).join(sketches, "node")
+    dealt = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "sketch")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = dealt.mapInArrow(band_links(least), "a binary, b binary")
+    own = stars(told.where("near").select("node", "hub"))
+    edges = materialize(few_edges(own).union(found), "near-edges")
+    discard(hubs, spokes, told, rough, own)
+    return edges
+
+
 def stars(links: DataFrame) -> DataFrame:
     """(node, least, hubs) of links (node, hub). A node has a hub for each band at most, so what is gathered for it is bounded."""
     return materialize(links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "near-stars")
@@ -205,15 +319,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     bands, rows = choose_bands(threshold, target_recall, hashes)
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = materialize(slim.mapInArrow(signatures(n, bands, rows), f"doc_id {kind}, node binary, digest binary, size long, bands array<long>"), "near-signed")
-    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    signed = materialize(slim.mapInArrow(signatures(n, bands, rows), f"doc_id {kind}, node binary, digest binary, size long, bands array<long>, sketch binary"), "near-signed")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "near-nodes")
 
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = materialize(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "near-hubs")
-    own = stars(keys.join(hubs, "key").where("node <> hub").select("node", "hub"))
-    groups = components(few_edges(own))
-    discard(hubs, own)
+    edges = candidates(nodes, least_matches(threshold, bands * rows))
+    groups = components(edges)
+    discard(edges)
 
     sizes = groups.join(nodes.select("node", "size"), "node").groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
     splits = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("n") / MOST_BLOCK), F.ceil(8 * F.col("grams") / BLOCK_BYTES)).cast("int")
@@ -251,8 +363,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as are rows whose id is null: these have a null class. Rows that repeat an id are rows of their own. Other columns
     are ignored; an empty table gives no rows.
 
-    Bands lose a pair at the threshold with a probability of at most 1 - target_recall, others less. N-grams are
-    compared by 64-bit hashes. The work in a group of near copies grows with the square of its different texts, as the
+    Bands lose a pair at the threshold with a probability of at most 1 - target_recall, others less, and signatures lose
+    one with a probability of at most a millionth. N-grams are compared by 64-bit hashes. Texts that share a band hash
+    but no more than a template are told apart by their signatures, at most once for each hash that two of them share,
+    and their texts don't meet. The work in a group of near copies grows with the square of its different texts, as the
     number of its links does, but is dealt out block by block, and blocks are bounded in nodes and in bytes; each text
     is copied at most 33 times for it while groups have up to 65,536 texts and 256 MiB of n-gram hashes. filter_bytes
     bounds what all tasks get; past its capacity more texts shuffle.

@@ -292,6 +292,57 @@ def test_spanning_forests_keep_all_that_links_connect(one):
         assert groups(edges) == groups(links) and len(edges) == n + to - len(groups(links))
 
 
+def template_pages(n: int, shared: int = 60, own: int = 66) -> list[tuple[int, str]]:
+    """Pages whose sets of five words have a similarity of about 0.3 through the template that they share."""
+    head = " ".join(f"template{k}" for k in range(shared))
+    return [(i, head + " " + " ".join(f"own{i}x{k}" for k in range(own))) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_pages_of_a_template_are_no_group(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BAND_BLOCK", block)
+    pages = template_pages(600)
+    near = [(1000 + i, pages[i][1].replace("template3 ", f"other{i} ")) for i in range(20)]
+    held = frame(spark, pages + near).repartition(3).select("doc_id", "text")
+    bands, rows = near_dup.choose_bands(0.8, 0.9999, 128)
+    signed = held.mapInArrow(near_dup.signatures(5, bands, rows), "doc_id long, node binary, digest binary, size long, bands array<long>, sketch binary").collect()
+    least = near_dup.least_matches(0.8, bands * rows)
+    nodes = {bytes(r.node): r.doc_id for r in signed}
+    edges = near_dup.candidates(spark.createDataFrame([(r.node, r.bands, r.sketch) for r in signed], "node binary, bands array<long>, sketch binary"), least).collect()
+    assert max(Counter(k for r in signed for k in r.bands).values()) > 10
+    assert {tuple(sorted((nodes[bytes(e.a)], nodes[bytes(e.b)]))) for e in edges} == {(i, 1000 + i) for i in range(20)}
+    found = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.jaccard_classes(held).collect()}
+    assert found == {i: (i % 1000, int(i % 1000 < 20)) for i, _ in pages + near}
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_forests_of_sketches_connect_what_all_pairs_do(sides):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 40):
+        base = rng.integers(0, 255, (n // 5 + 1, 50), np.uint8)
+        held = [base[rng.integers(0, len(base), n)].copy() for _ in range(sides)]
+        for side in held:
+            side[rng.random(side.shape) < 0.2] = 255
+        edges = [((k, a), (sides - 1 - k, p)) for k, a, p in near_dup.forest(held, 33)]
+        plain = [((0, a), (sides - 1, b)) for a in range(n) for b in range(n) if (sides == 2 or a < b) and (held[0][a] == held[-1][b]).sum() >= 33]
+        assert {frozenset(e) for e in edges} <= {frozenset(e) for e in plain}
+
+        def groups(pairs):
+            label = {x: x for pair in plain for x in pair}
+            for a, b in pairs:
+                label = {x: label[a] if y == label[b] else y for x, y in label.items()}
+            return {frozenset(x for x in label if label[x] == y) for y in label.values()}
+
+        assert groups(edges) == groups(plain) and len(edges) == sum(len(g) - 1 for g in groups(plain))
+
+
+def test_signatures_say_no_to_hardly_any_link():
+    least = near_dup.least_matches(0.8, 125)
+    rng = np.random.default_rng(1)
+    assert 70 < least < 85 and (rng.binomial(125, 0.8, 100_000) >= least).mean() > 0.9999
+    assert near_dup.least_matches(1.0, 10) == 10 and near_dup.least_matches(0.5, 1) == 0
+
+
 def test_no_near_copies_at_all(spark):
     assert near_dup.jaccard_classes(frame(spark, empty=True)).count() == 0
     out = near_dup.jaccard_classes(frame(spark, [(1, "a b c d e f"), (2, None), (3, "x y")])).collect()
