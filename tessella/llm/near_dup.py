@@ -243,7 +243,10 @@ def forest(sides: list[np.ndarray], least: int) -> Iterator[tuple[int, int, int]
 
 
 def band_links(least: int) -> Callable:
-    """Per band hash and block pair: (a, b) of a spanning forest of the nodes whose sketches agree."""
+    """Per band hash and block pair: (node, hub), hub being the smallest node of the tree that agreeing sketches connect.
+
+    Trees of one group of near copies have the same smallest node in most of its band hashes, so their links are few.
+    """
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         _, i, j = rows[0][:3]
@@ -251,8 +254,14 @@ def band_links(least: int) -> Callable:
         names = [list(side) for side in held]
         if all(names):
             sides = [np.frombuffer(b"".join(side.values()), np.uint8).reshape(len(side), -1) for side in held]
+            top_of, trees = {}, {}
             for side, node, parent in forest(sides, least):
-                yield names[side][node], names[len(sides) - 1 - side][parent]
+                up = (len(sides) - 1 - side, parent)
+                top = top_of[side, node] = top_of.setdefault(up, up)
+                trees.setdefault(top, [names[top[0]][top[1]]]).append(names[side][node])
+            for tree in trees.values():
+                hub = min(tree)
+                yield from ((node, hub) for node in tree if node != hub)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, found = None, [], []
@@ -263,10 +272,10 @@ def band_links(least: int) -> Callable:
                     key, rows = r[:3], []
                 rows.append(r)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["node", "hub"])
                 found = []
         if len(rows) > 1 and (found := list(pairs(rows))):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["node", "hub"])
 
     return run
 
@@ -296,15 +305,15 @@ def candidates(nodes: DataFrame, least: int) -> DataFrame:
     inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")).join(sketches, "node")
     dealt = inside.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "sketch")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = dealt.mapInArrow(band_links(least), "a binary, b binary")
-    own = stars(told.where("near").select("node", "hub"))
-    edges = materialize(few_edges(own).union(found), "near-edges")
+    found = dealt.mapInArrow(band_links(least), "node binary, hub binary")
+    own = stars(told.where("near").select("node", "hub").union(found))
+    edges = materialize(few_edges(own), "near-edges")
     discard(hubs, spokes, told, rough, own)
     return edges
 
 
 def stars(links: DataFrame) -> DataFrame:
-    """(node, least, hubs) of links (node, hub). A node has a hub for each band at most, so what is gathered for it is bounded."""
+    """(node, least, hubs) of links (node, hub). A node has a few hubs for each band and block at most, so what is gathered for it is bounded."""
     return materialize(links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "near-stars")
 
 
