@@ -154,3 +154,35 @@ def test_fuzzy_join_against_all_runs(spark):
     a_, h_ = spark.createDataFrame([(x,) for x in left], "asked string"), spark.createDataFrame(list(enumerate(right)), "id long, name string")
     found = {(r.asked, r.id): r.similarity for r in fuzzy.similar_names(a_, "asked", h_, "name", 0.5).collect()}
     assert found == pytest.approx(expected) and len(expected) > 50
+
+
+def test_word_similarity_returns_every_link(spark, tmp_path):
+    """Each key that shares anything with an asked name, not only the best or the near; copies, a key with two names, nulls."""
+    import re
+
+    import duckdb
+
+    from tessella.catalog import ORACLES, QUERIES
+
+    parts = [(1, "blue anvil", "Brand#7"), (2, "cold gear", "Brand#1"), (2, "blue gear", "Brand#1"), (3, "blue anvil", "Brand#7"), (4, None, "Brand#7"), (5, "blue rod", None)]
+    parts += [(None, "brown rod", "Brand#3"), (6, "", "Brand#4"), (7, "zz", "Brand#5"), (8, "a long old iron ring", "Brand#6"), (2, "cold gear", "Brand#1")]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string")
+    frame.write.parquet(f"{tmp_path}/part.parquet")
+
+    def grams(ws):
+        return {f"  {w} "[i : i + 3] for w in ws for i in range(len(w) + 1)}
+
+    expected = {}
+    for asked in {name[:-1] for _, name, _ in parts if name is not None}:
+        wanted = grams(re.findall("[a-z0-9]+", asked))
+        for key, name, brand in parts:
+            w = re.findall("[a-z0-9]+", f"{name} of {brand}".lower()) if name is not None and brand is not None else []
+            best = max((len(wanted & (g := grams(w[i:j]))) / len(wanted | g) for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=0)
+            if best > 0:
+                expected[(asked, key)] = max(best, expected.get((asked, key), 0))
+    found = QUERIES["x03_word_similarity"](spark, str(tmp_path)).collect()
+    assert len(found) == len(expected) and {(r.asked, r.p_partkey): r.similarity for r in found} == pytest.approx(expected, abs=1e-9)
+    assert sum(0 < x < 0.3 for x in expected.values()) > 10 and len(expected) > len({a for a, _ in expected})
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert {x[:2]: x[2] for x in con.execute(ORACLES["x03_word_similarity"]).fetchall()} == pytest.approx(expected, abs=1e-9)
