@@ -137,7 +137,8 @@ pw as materialized (select chunk_id, unnest(w) as word, generate_subscripts(w, 1
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.concat(F.array(F.lit("")), F.split("text", " ")).alias("w"), F.explode(F.array(*(F.lit(k) for k in range(8)))).alias("k"))
     text = re.sub(r"w\[(\d)\]", r"get(w, \1)", GRAMMAR[GRAMMAR.index("case") : GRAMMAR.index(" as text")])
-    return lexical.matching(items.select((F.col("item_id") * 10 + F.col("k")).alias("qid"), F.expr(text).alias("text")), passages(spark, sf_dir), lambda near: near, (lexical.SIMPLE,))
+    asked_items = items.select((F.col("item_id") * 10 + F.col("k")).alias("qid"), F.expr(text).alias("text"))
+    return lexical.matching(asked_items, passages(spark, sf_dir), lambda near: near, (lexical.SIMPLE,), keys=table(spark, sf_dir, "documents").select("doc_id"))
 
 
 @query("c12_dense_channel", f"with {CHANNEL}, {DENSE} select qid, chunk_id, score, rank from dense")

@@ -84,6 +84,11 @@ def stem(word: str) -> str:
     return word[:-1] if measure(word) > 1 and double(word) and word.endswith("l") else word
 
 
+def stems(words: list[str]) -> list[str | None]:
+    """None for stop words."""
+    return [None if w in STOP_WORDS else stem(w) for w in words]
+
+
 def lexemes(text: str | None) -> list[tuple[int, str]]:
     """(place, stem) of the words that aren't stop words; places count all words from 1."""
     return [(i, stem(w)) for i, w in enumerate(re.findall("[a-z0-9]+", (text or "").lower()), 1) if w not in STOP_WORDS]

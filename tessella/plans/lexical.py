@@ -15,7 +15,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.english import STOP_WORDS, cover_density, stem, with_lexemes
+from ..functions.english import STOP_WORDS, cover_density, stem, stems, with_lexemes
+from ..functions.postings import answers, single_and_repeated
 from ..session import shared_path
 
 SIMPLE, ENGLISH = "simple", "english"
@@ -95,19 +96,26 @@ def starts(entries: Column, n: Column) -> Column:
     return F.when(F.size(entries) == n, both).otherwise(F.array().cast("array<int>"))
 
 
-def matching(questions: DataFrame, passages: DataFrame, allowed: Callable[[DataFrame], DataFrame], forms: tuple[str, ...] = (SIMPLE, ENGLISH), most_terms: int = 200_000, index: DataFrame | None = None) -> DataFrame:
+def matching(questions: DataFrame, passages: DataFrame, allowed: Callable[[DataFrame], DataFrame], forms: tuple[str, ...] = (SIMPLE, ENGLISH), most_terms: int = 200_000, index: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score) of the passages that match a question, for any number of questions at once.
 
     A passage matches by either form if it has all atoms of one alternative and none that it excludes. Its score is the
     sum over the forms of the cover density of its best alternative, an atom counting at each place where it begins.
 
-    Each alternative meets the passages of its rarest word only, by the number of passages that have each asked word;
-    allowed takes (qid, chunk_id, ...) to those that pass the questions' filters, and only then the other words' lists
-    are read. Words asked are sent to all tasks, most_terms of them at most; beyond that a join takes their place. With
-    index, a whole index written before, no passage is read for its words.
+    Up to most_terms words of atoms are sent to all tasks, which answer them where a passage is read: posting lists stay in
+    a task, and only scored rows leave it. allowed takes (qid, chunk_id, ...) to those that pass the questions' filters.
+    keys, a frame of one column of the passages, shows more cheaply than their chunk_id which of them may repeat one.
+
+    Beyond that, for repeated ids, and with index, a whole index written before, joins take their place. Each alternative then meets the
+    passages of its rarest word only, by the number of passages that have each asked word, and only those that are
+    allowed meet the other words' lists.
     """
     spark = passages.sparkSession
     atoms = written(atoms_of(questions, forms), "atoms")
+    if index is None and (rows := atoms.limit(most_terms + 1).toArrow()).num_rows <= most_terms:
+        once, repeated = single_and_repeated(passages, passages.select("chunk_id") if keys is None else keys)
+        found = allowed(answers(atoms, rows, once, stems)).select("qid", "chunk_id", F.round("score", 9).alias("score"))
+        return found if repeated is None else found.unionByName(matching(questions, repeated, allowed, forms, -1))
     terms = atoms.select("form", "term").distinct()
     known = terms.limit(most_terms + 1).collect() if index is None else ()
     if index is None and len(known) <= most_terms:

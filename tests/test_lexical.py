@@ -89,3 +89,20 @@ def test_index_has_all_places(spark):
 def test_no_questions_and_no_passages(spark):
     q, p = spark.createDataFrame([(1, "court")], "qid long, text string"), spark.createDataFrame([(1, "court")], "chunk_id long, content string")
     assert lexical.matching(q.where("false"), p, lambda near: near).count() == 0 == lexical.matching(q, p.where("false"), lambda near: near).count()
+
+
+def test_posting_lists_stay_in_a_task(spark):
+    q = spark.createDataFrame([(1, 'court -"the costs"'), (2, "smith or jones run")], "qid long, text string")
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(["The court", "court of the costs", "Jones, run", "SMITH"])], "chunk_id long, content string").repartition(2)
+    made = lexical.matching(q, p, lambda near: near, ("simple",), keys=p.select("chunk_id"))
+    assert {(r.qid, r.chunk_id): r.score for r in made.collect()} == {(1, 0): 1.0, (2, 2): 1.0, (2, 3): 1.0}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_repeated_ids_match_as_by_joins(spark):
+    q = spark.createDataFrame([(1, "court"), (2, "court costs")], "qid long, text string")
+    p = spark.createDataFrame([(1, "the court"), (2, "court"), (2, "court"), (3, "court"), (3, "costs"), (None, "court costs")], "chunk_id long, content string")
+    by_joins = lexical.matching(q, p, lambda near: near, ("simple",), most_terms=-1)
+    found = sorted(map(tuple, lexical.matching(q, p, lambda near: near, ("simple",)).collect()))
+    assert found == sorted(map(tuple, by_joins.collect())) == [(1, 1, 1.0), (1, 3, 1.0), (2, 3, 1.0)]
