@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import english
 from ..functions import text as T
 from ..functions import values as V
-from ..plans import import_run, importing
+from ..plans import import_run, importing, lexical
 from .base import JUDGMENTS, PASSAGES, derived, judgments, passages, query, table, twin
 from .retrieval import NAMED, asked
 
@@ -118,12 +118,7 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x02_all_words_match", f"with p as ({PASSAGES}), q as (select qid, coalesce(named, array_to_string(string_split(item, ' ')[3:8], ' ')) as text from ({twin(NAMED)})), w as (select qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from q), h as (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from p), a as (select qid, len(w) as n, unnest(w) as word from w) select qid, chunk_id, count(*) as hits from h join a using (word) group by qid, chunk_id, n having count(distinct word) = n")
 def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
-    a = asked(spark, sf_dir).select("qid", F.array_distinct(words("text")).alias("w")).select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
-    h = passages(spark, sf_dir).select("chunk_id", F.explode(words("content")).alias("word"))
-    # Per word first, so that a common word is one row of a passage.
-    per = h.join(a, "word").groupBy("qid", "chunk_id", "n", "word").agg(F.count("*").alias("c")).groupBy("qid", "chunk_id", "n").agg(F.sum("c").alias("hits"), F.count("*").alias("found"))
-    return per.where("found = n").select("qid", "chunk_id", "hits")
+    return lexical.with_all_words(asked(spark, sf_dir), passages(spark, sf_dir), keys=table(spark, sf_dir, "documents").select("doc_id"))
 
 
 KEY = b"key of the check"

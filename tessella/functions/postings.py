@@ -247,3 +247,23 @@ def answers(atoms: DataFrame, rows: pa.Table, passages: DataFrame, stems: Callab
     kinds = {"qid": atoms.schema["qid"].dataType.simpleString(), "chunk_id": passages.schema["chunk_id"].dataType.simpleString()}
     texts = passages.select("chunk_id", F.lower("content").alias("content"))
     return texts.mapInArrow(answered(shared, stems, covers), f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
+
+
+def holding_all(asked: DataFrame, form: str, passages: DataFrame, stems: Callable[[list[str]], list[str | None]], joined: Callable[[DataFrame, DataFrame], DataFrame], covers: bool, keys: DataFrame | None, most_terms: int) -> DataFrame:
+    """(qid, chunk_id, score) of the passages that hold all terms of a question, from asked(qid, terms), arrays of different terms.
+
+    Up to most_terms terms in all are answered where a passage is read; beyond that, and for repeated ids, by joined. keys is
+    a frame of one column of the passages that shows which of them may repeat a chunk_id.
+    """
+    once, again = single_and_repeated(asked, asked.select("qid"))
+    atoms = once.select("qid", F.lit(form).alias("form"), F.lit(0).alias("alternative"), F.lit(False).alias("negated"), F.posexplode("terms").alias("atom", "term"), F.lit(0).alias("place"))
+    rows = atoms.limit(most_terms + 1).toArrow()
+    if rows.num_rows > most_terms:
+        return joined(asked, passages)
+    single, repeated = single_and_repeated(passages, passages.select("chunk_id") if keys is None else keys)
+    found = answers(atoms, rows, single, stems, covers)
+    found = found if covers else found.withColumn("score", F.col("score").cast("long"))
+    for part, held in ((again, passages), (once, repeated)):
+        if part is not None and held is not None:
+            found = found.unionByName(joined(part, held))
+    return found

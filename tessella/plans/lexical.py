@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.english import STOP_WORDS, cover_density, stem, stems, with_lexemes
-from ..functions.postings import answers, single_and_repeated
+from ..functions.postings import answers, holding_all, single_and_repeated
 from ..session import shared_path
 
 SIMPLE, ENGLISH = "simple", "english"
@@ -138,3 +138,20 @@ def matching(questions: DataFrame, passages: DataFrame, allowed: Callable[[DataF
     scored = kept.withColumn("score", cover_density(places, F.col("wanted")))
     best = scored.groupBy("qid", "chunk_id", "form").agg(F.max("score").alias("score"))
     return best.groupBy("qid", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
+
+
+def counted_by_join(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    a = asked.select("qid", F.size("terms").alias("n"), F.explode("terms").alias("word"))
+    h = passages.select("chunk_id", F.explode(words(F.col("content"))).alias("word"))
+    # Per word first, so that a common word is one row of a passage.
+    per = h.join(a, "word").groupBy("qid", "chunk_id", "n", "word").agg(F.count("*").alias("c")).groupBy("qid", "chunk_id", "n").agg(F.sum("c").alias("score"), F.count("*").alias("found"))
+    return per.where("found = n").select("qid", "chunk_id", "score")
+
+
+def with_all_words(questions: DataFrame, passages: DataFrame, keys: DataFrame | None = None, most_terms: int = 200_000) -> DataFrame:
+    """(qid, chunk_id, hits): passages that have all words of a question as they stand, and how often they have any of them.
+
+    keys is as in matching. Of up to most_terms words in all, only rows of the result leave the task that reads a passage.
+    """
+    asked = questions.select("qid", F.array_distinct(words(F.col("text"))).alias("terms"))
+    return holding_all(asked, SIMPLE, passages, stems, counted_by_join, False, keys, most_terms).withColumnRenamed("score", "hits")

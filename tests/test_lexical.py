@@ -106,3 +106,18 @@ def test_repeated_ids_match_as_by_joins(spark):
     by_joins = lexical.matching(q, p, lambda near: near, ("simple",), most_terms=-1)
     found = sorted(map(tuple, lexical.matching(q, p, lambda near: near, ("simple",)).collect()))
     assert found == sorted(map(tuple, by_joins.collect())) == [(1, 1, 1.0), (1, 3, 1.0), (2, 3, 1.0)]
+
+
+def test_all_words_are_counted_where_a_passage_is(spark):
+    q = spark.createDataFrame([(1, "the Court"), (2, "court costs court"), (3, "!"), (4, None), (5, "costs"), (5, "costs"), (6, "smith run")], "qid long, text string")
+    p = spark.createDataFrame([(1, "the court, the COSTS"), (2, "court"), (3, "court"), (3, "the costs"), (None, "the court"), (4, None), (5, "")], "chunk_id long, content string").repartition(3)
+    by_joins = lexical.with_all_words(q, p, most_terms=-1)
+    found = lexical.with_all_words(q, p)
+    assert found.schema["hits"].dataType.simpleString() == by_joins.schema["hits"].dataType.simpleString() == "bigint"
+    rows = {tuple(r) for r in found.collect()}
+    assert rows == {tuple(r) for r in by_joins.collect()} == {(1, 1, 3), (2, 1, 2), (5, 1, 2), (1, 3, 2), (2, 3, 2), (5, 3, 2), (1, None, 2)}
+    assert found.count() == len(rows)
+    once = lexical.with_all_words(q.where("qid <> 5"), p.where("chunk_id <> 3"))
+    assert {tuple(r) for r in once.collect()} == {(1, 1, 3), (2, 1, 2)}
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
