@@ -139,8 +139,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x01_english_lexemes")
 def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = english.with_lexemes(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return made.select("doc_id", F.explode("lexemes").alias("x")).groupBy("doc_id", "x.stem").agg(F.count("*").alias("n"), F.min("x.place").alias("first"))
+    return english.counted_lexemes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("a01_vector_coverage", "select label, count(*) as total, count(case when vec_id % 3 > 0 then vec_id end) as present from embeddings group by label")

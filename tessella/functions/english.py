@@ -9,10 +9,14 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .postings import cut, single_and_repeated, slices
+
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 # The suffixes of steps 2, 3 and 4 of the published algorithm.
 STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -110,6 +114,31 @@ def with_lexemes(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(stemmed(column), f"{fields}, lexemes array<struct<place:int,stem:string>>")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, text): id, stem, n and first for each stem of a row; each different word is stemmed once for some MB of text."""
+    for batch in slices(batches, "text"):
+        rows, places, words = cut(batch.column("text"))
+        kinds = pa.array(stems(words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+        kind = pc.fill_null(kinds.indices, -1).to_numpy()[words.indices.to_numpy()]
+        there = kind >= 0
+        width = max(len(kinds.dictionary), 1)
+        pairs, at, n = np.unique(rows[there] * width + kind[there], return_index=True, return_counts=True)
+        held = [batch.column("id").take(pa.array(pairs // width)), kinds.dictionary.take(pa.array(pairs % width)), pa.array(n, pa.int64()), pa.array(places[there][at], pa.int32())]
+        yield pa.RecordBatch.from_arrays(held, ["id", "stem", "n", "first"])
+
+
+def counted_lexemes(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, stem, n, first): how often a key's texts have a stem, and its first place; only texts of repeated keys shuffle, as their counts."""
+
+    def made(part: DataFrame) -> DataFrame:
+        held = part.select(F.col(key).alias("id"), F.lower(column).alias("text"))
+        return held.mapInArrow(counted, f"id {rows.schema[key].dataType.simpleString()}, stem string, n long, first int").withColumnRenamed("id", key)
+
+    once, repeated = single_and_repeated(rows, rows.select(key))
+    found = made(once)
+    return found if repeated is None else found.unionByName(made(repeated).groupBy(key, "stem").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+
+
 def cover_density(hits: Column, n_terms: Column) -> Column:
     """From struct(place, term) in order of place: the sum over shortest covers of all terms, each one over its excess length.
 

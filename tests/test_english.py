@@ -27,6 +27,21 @@ def test_all_stems_must_match(spark):
     assert [(r.qid, r.chunk_id) for r in english.ranked_matches(q, p).collect()] == [(1, 1)]
 
 
+def test_lexemes_are_counted_where_the_text_is(spark):
+    texts = ["The courts, a COURT; appeals", "court", "", None, "\u212aings and \u0130stanbul's caf\u00e9s\0x9", "the of", *(f"word{i} words {i}" for i in range(40)), "y" * 300]
+    rows = [*enumerate(texts), (1, "court costs"), (None, "one court"), (None, "court two")]
+    expected = {}
+    for key, text in rows:
+        for place, s in english.lexemes(text):
+            n, first = expected.get((key, s), (0, place))
+            expected[key, s] = (n + 1, min(first, place))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = english.counted_lexemes(d, "doc_id", "text").collect()
+    assert {(r.doc_id, r.stem): (r.n, r["first"]) for r in found} == expected and len(found) == len(expected)
+    once = english.counted_lexemes(d.where("doc_id <> 1"), "doc_id", "text")
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
 def test_import_rules(spark):
     rows = [(1, "a", "text one", "p"), (2, "a", "text one", "p"), (3, "b", "x", "p1"), (4, "b", "y", "p2"), (5, None, "z", "p"), (6, "c", "", "p"), (7, "d", "text one", "p9"), (8, "e", None, "p")]
     got = {r.row_number: (r.outcome, r.reason, r.shared_text) for r in importing.import_outcomes(spark.createDataFrame(rows, "row_number long, uri string, text string, print string")).collect()}
