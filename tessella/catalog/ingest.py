@@ -113,7 +113,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x02_english_ranking")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return english.ranked_matches(asked(spark, sf_dir), passages(spark, sf_dir))
+    return english.ranked_matches(asked(spark, sf_dir), passages(spark, sf_dir), keys=table(spark, sf_dir, "documents").select("doc_id"))
 
 
 @query("x02_all_words_match", f"with p as ({PASSAGES}), q as (select qid, coalesce(named, array_to_string(string_split(item, ' ')[3:8], ' ')) as text from ({twin(NAMED)})), w as (select qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from q), h as (select chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from p), a as (select qid, len(w) as n, unnest(w) as word from w) select qid, chunk_id, count(*) as hits from h join a using (word) group by qid, chunk_id, n having count(distinct word) = n")

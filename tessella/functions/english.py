@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .postings import cut, single_and_repeated, slices
+from .postings import cut, holding_all, single_and_repeated, slices
 
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 # The suffixes of steps 2, 3 and 4 of the published algorithm.
@@ -159,13 +159,19 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(told, start, step)["score"]
 
 
-def ranked_matches(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """(qid, chunk_id, score): passages that hold the stems of all of a question's words.
-
-    questions(qid, text), passages(chunk_id, content). Only hits of asked stems shuffle.
-    """
-    asked = with_lexemes(questions.select("qid", "text"), "text").select("qid", F.array_sort(F.array_distinct(F.col("lexemes.stem"))).alias("terms")).where(F.size("terms") > 0)
+def ranked_by_join(asked: DataFrame, passages: DataFrame) -> DataFrame:
     terms = asked.select("qid", F.size("terms").alias("n"), F.posexplode("terms").alias("term", "stem"))
     held = with_lexemes(passages.select("chunk_id", "content"), "content").select("chunk_id", F.explode("lexemes").alias("x")).select("chunk_id", "x.place", "x.stem")
     hits = held.join(terms, "stem").groupBy("qid", "chunk_id", "n").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("hits"), F.countDistinct("term").alias("found"))
     return hits.where("found = n").select("qid", "chunk_id", cover_density(F.col("hits"), F.col("n")).alias("score"))
+
+
+def ranked_matches(questions: DataFrame, passages: DataFrame, keys: DataFrame | None = None, most_terms: int = 200_000) -> DataFrame:
+    """(qid, chunk_id, score): passages that hold the stems of all of a question's words.
+
+    questions(qid, text), passages(chunk_id, content); keys is a frame of one column of the passages that shows which of them
+    may repeat a chunk_id. Of up to most_terms stems in all, only rows of the result leave the task that reads a passage;
+    beyond that, and for repeated ids, hits of asked stems shuffle.
+    """
+    asked = with_lexemes(questions.select("qid", "text"), "text").select("qid", F.array_sort(F.array_distinct(F.col("lexemes.stem"))).alias("terms")).where(F.size("terms") > 0)
+    return holding_all(asked, "english", passages, stems, ranked_by_join, True, keys, most_terms)

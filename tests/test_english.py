@@ -1,5 +1,7 @@
 """Stems and cover density, and import rules, on known cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,20 @@ def test_all_stems_must_match(spark):
     assert [(r.qid, r.chunk_id) for r in english.ranked_matches(q, p).collect()] == [(1, 1)]
 
 
+def test_ranking_happens_where_a_passage_is(spark):
+    rng = random.Random(4)
+    words = "appeal appeals court courts the of costs running run relational relate".split()
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", ",", " -"]) for _ in range(n))
+    q = spark.createDataFrame([*((i, text(rng.choice([1, 2, 3, 4]))) for i in range(40)), (50, None), (51, "unheard"), (52, "court"), (52, "court costs")], "qid long, text string")
+    p = spark.createDataFrame([*((i, text(rng.choice([0, 1, 5, 30, 80]))) for i in range(60)), (60, "court"), (60, "the costs"), (61, None), (None, "courts running")], "chunk_id long, content string").repartition(3)
+    by_joins = sorted((tuple(r) for r in english.ranked_matches(q, p, most_terms=-1).collect()), key=str)
+    found = english.ranked_matches(q, p)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == by_joins and len(by_joins) > 200
+    once = english.ranked_matches(q.where("qid < 52"), p.where("chunk_id < 60"))
+    assert sorted((tuple(r) for r in once.collect()), key=str) == [r for r in by_joins if r[0] < 52 and r[1] is not None and r[1] < 60]
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
 def test_lexemes_are_counted_where_the_text_is(spark):
     texts = ["The courts, a COURT; appeals", "court", "", None, "\u212aings and \u0130stanbul's caf\u00e9s\0x9", "the of", *(f"word{i} words {i}" for i in range(40)), "y" * 300]
     rows = [*enumerate(texts), (1, "court costs"), (None, "one court"), (None, "court two")]
